@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, shard, urls
+from . import chat, pack, quality, shard, urls
 
-OPERATORS = (urls.op2_url_filters, chat.op4_chat_formatting, shard.op9_sharding)
+OPERATORS = (urls.op2_url_filters, chat.op4_chat_formatting, quality.op5_quality_rules, pack.op8_best_fit_packing, shard.op9_sharding)
 
 
 def queries() -> dict:
