@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, pack, quality, shard, urls
+from . import chat, classifier, decontam, pack, quality, shard, simhash, urls
 
-OPERATORS = (urls.op2_url_filters, chat.op4_chat_formatting, quality.op5_quality_rules, pack.op8_best_fit_packing, shard.op9_sharding)
+OPERATORS = (
+    urls.op2_url_filters,
+    chat.op4_chat_formatting,
+    quality.op5_quality_rules,
+    simhash.op6_simhash_dedup,
+    decontam.op7_benchmark_decontamination,
+    pack.op8_best_fit_packing,
+    shard.op9_sharding,
+    classifier.op10_quality_classifier,
+)
 
 
 def queries() -> dict:
