@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, decontam, pack, quality, shard, simhash, urls
+from . import chat, classifier, decontam, html, pack, quality, shard, simhash, urls
 
 OPERATORS = (
+    html.op1_html_extraction,
     urls.op2_url_filters,
     chat.op4_chat_formatting,
     quality.op5_quality_rules,
