@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, decontam, html, pack, quality, shard, simhash, urls
+from . import chat, classifier, decontam, html, pack, quality, shard, simhash, suffix, urls
 
 OPERATORS = (
     html.op1_html_extraction,
     urls.op2_url_filters,
+    suffix.op3_suffix_array_dedup,
     chat.op4_chat_formatting,
     quality.op5_quality_rules,
     simhash.op6_simhash_dedup,
