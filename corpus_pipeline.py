@@ -1,11 +1,81 @@
-"""Corpus pipeline: stages that each take ``(spark, docs, sf_dir)`` and return a DataFrame."""
+"""Corpus pipeline: quality classifier, near-duplicates, repeated passages, benchmark leaks, packing.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and read again
+as the next one's ``docs``. All but the last return the columns of ``docs``. Rows without a doc_id
+are scored and cut like others, but no decision is addressed to them by id: they stay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plenaria.llm import classifier, decontam, pack, simhash, suffix
+from plenaria.llm.common import scratch, small_join, table
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to those at hand, doesn't reject."""
+    name = _free_name(docs, "_quality_score")
+    scored = classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")), name)
+    return scored.filter(F.col(name) >= classifier.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of least id, of each group of near-duplicates."""
+    found = scratch(simhash.near_duplicates(docs).select("doc_id", "component_id"), "components")
+    stays = found.filter("doc_id = component_id").select("doc_id")
+    unique = stays.distinct()
+    kept = small_join(docs.filter("doc_id IS NOT NULL"), unique, "doc_id", "left_semi", F.lit(32))
+    if stays.count() > unique.count():  # rows that repeat an id are one group as well
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that a document of smaller id says as well."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select("doc_id", "text", F.struct(F.lit(True).alias("_held"), *rest).alias("_rest"))
+    kept = suffix.remove_repeats(held, ["_rest"], ("kept",))
+    columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(columns.get(c, F.col("_rest")[c]).alias(c) for c in docs.columns))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id IS NOT NULL")
+    leaked = scratch(leaked.distinct(), "leaked")
+    return small_join(docs, leaked, "doc_id", "left_anti", F.lit(32))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences."""
+    return pack.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("simhash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("best-fit packing", packing),
+]
+
+#: Training and tokenizing have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
