@@ -12,7 +12,9 @@ pieces of their length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +31,52 @@ TOKENIZER = "word_bpe_49k.json"
 CACHED_WORDS = 400_000
 
 
+#: Words that the short way below treats: printable ASCII and precomposed Latin letters.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"[!-~{_LATIN}]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Letter by byte in byte-level vocabularies: visible Latin-1 is itself, the rest follows from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class _Ids(dict):
     """Little-endian ids by word. The tokenizer cuts at all white space and merges nothing across
-    it, so a text's ids are those of its words, which repeat far more often than texts do."""
+    it, so a text's ids are those of its words, which repeat far more often than texts do. Most new
+    words go the short way: lower case, cut into parts as the tokenizer does, its model on each."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self._encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode
+        self._model = tokenizer.model
+        self._special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self._letters = _byte_letters()
+        self._parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self._letters)
+        ids = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+        self._parts[part] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = np.asarray(self._encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and not any(s in text for s in self._special):
+            if len(self._parts) >= CACHED_WORDS:
+                self._parts.clear()
+            known = self._parts.get
+            ids = b"".join([known(p) or self._part(p) for p in _PARTS.findall(text.lower())])
+        else:
+            ids = array("I", self._encode(text, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
