@@ -20,3 +20,6 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return register
+
+
+from . import queries as _queries  # noqa: E402,F401
