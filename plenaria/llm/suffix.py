@@ -48,7 +48,7 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 def _words8(data: np.ndarray, order: str = "<") -> np.ndarray:
     """The eight bytes from each position on as a number, zeros behind the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data),), f"{order}u8", padded.tobytes(), 0, (1,)).astype(np.uint64)
+    return np.ndarray((len(data),), f"{order}u8", padded, 0, (1,)).astype(np.uint64)
 
 
 # --- suffix arrays -------------------------------------------------------------------------------
@@ -146,7 +146,7 @@ def _sorted_names(names: np.ndarray, covered: int, need: int) -> np.ndarray:
     following = np.zeros(m, np.int64)
     following[: m - min(covered, m)] = names[min(covered, m) :] + 1
     pair = names.astype(np.int64) * (m + 1) + following
-    order = np.argsort(pair, kind="stable")
+    order = np.argsort(pair)
     new = np.concatenate([[0], np.cumsum(pair[order[1:]] != pair[order[:-1]])])
     ranks = np.empty(m, np.int64)
     ranks[order] = new
@@ -171,7 +171,7 @@ def suffix_array(s: np.ndarray, need: int | None = None) -> np.ndarray:
         ranks[ordered] = _names(s, ordered, ends)
         # two or more bytes lie between leftmost-smaller suffixes
         names = _sorted_names(ranks[leftmost], 1, len(leftmost) if need is None else -(-need // 2) + 1)
-        leftmost = leftmost[np.argsort(names, kind="stable")]
+        leftmost = leftmost[np.argsort(names)]
     return _induce(s, smaller, leftmost)
 
 
@@ -217,16 +217,22 @@ class _Bucket:
     def segments(self, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, windows, document's number, anchor's key) of all runs of windows with one anchor."""
         found = []
-        step = SLICE
         n = len(self.data)
-        for at in range(0, n, step):
-            part = self.data[at : min(n, at + step + LENGTH - 1)]
+        whole = np.ones(n, bool)  # windows that start here lie in one document with an id
+        for a, b, known in zip(self.start.tolist(), self.end.tolist(), self.known.tolist(), strict=True):
+            whole[max(a, b - LENGTH + 1) if known else a : b] = False
+        for at in range(0, n, SLICE):
+            part = self.data[at : min(n, at + SLICE + LENGTH - 1)]
             m = len(part) - LENGTH + 1
             if m <= 0:
                 continue
             words = _words8(part)
             grams = len(part) - GRAM + 1
-            hashes = mixed(words[:grams] * _K1 ^ mixed(words[GRAM - 8 : GRAM - 8 + grams] * _K2))
+            hashes = words[:grams] * _K1
+            for k in (*range(8, GRAM - 8, 8), GRAM - 8):
+                hashes ^= hashes >> np.uint64(32)
+                hashes += words[k : k + grams]
+                hashes *= _K2
             least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
             width, have = LENGTH - GRAM + 1, 1
             while 2 * have <= width:
@@ -234,16 +240,14 @@ class _Bucket:
                 have *= 2
             if have < width:
                 least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
-            anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            doc = np.searchsorted(self.end, np.arange(at, at + m), side="right")
-            valid = (np.arange(at, at + m) + LENGTH <= self.end[doc]) & self.known[doc]
-            change = np.flatnonzero((anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])) + 1
+            own = whole[at : at + m]
+            change = np.flatnonzero((least[1:] != least[:-1]) | (own[1:] != own[:-1])) + 1
             start = np.concatenate([[0], change])
-            windows = np.diff(np.concatenate([start, [m]]))
-            start, windows = start[valid[start]], windows[valid[start]]
-            h = hashes[anchor[start]]
+            windows = np.diff(np.append(start, m))
+            start, windows = start[own[start]], windows[own[start]]
+            h = mixed(hashes[(least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
             key = ((h >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-            found.append((start + at, windows, doc[start], key))
+            found.append((start + at, windows, np.searchsorted(self.end, start + at, side="right"), key))
         if not found:
             none = np.empty(0, np.int64)
             return none, none, none, np.empty(0, np.uint64)
@@ -447,7 +451,7 @@ def _resolve(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _cut(bucket: _Bucket, found: pa.Table, occurrences: np.ndarray) -> np.ndarray:
     """Which bytes of the bucket go."""
-    marks = np.zeros(len(bucket.data) + 1, np.int64)
+    begins, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     columns = (found.column(c).to_pylist() for c in ("shard", "counts", "lengths", "docs"))
     order = np.argsort(occurrences[:, 0], kind="stable")
     occurrences = occurrences[order]
@@ -464,8 +468,10 @@ def _cut(bucket: _Bucket, found: pa.Table, occurrences: np.ndarray) -> np.ndarra
         goes = least[run] < bucket.ids[np.repeat(doc, times)]
         a = (np.repeat(start, times) + offset[run])[goes]
         b = a + size[run][goes] + LENGTH - 1
-        marks += np.bincount(a, minlength=len(marks))
-        marks -= np.bincount(b, minlength=len(marks))
+        begins.append(a)
+        ends.append(b)
+    size = len(bucket.data) + 1
+    marks = np.bincount(np.concatenate(begins), minlength=size) - np.bincount(np.concatenate(ends), minlength=size)
     return np.cumsum(marks)[:-1] > 0
 
 
