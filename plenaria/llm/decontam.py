@@ -4,8 +4,8 @@ A fixed mask reads some of the words that follow a position and ignores the othe
 substituted word at an ignored place does not change the hash. Test items are hashed under every
 mask at every position, documents likewise, and equal hashes are hits. Each hit fixes how document
 and item would lie on each other; that alignment is verified word by word, and counts as a leak if
-it holds a stretch of at least ``MIN_WORDS`` words (or the whole item, if shorter) of which
-``SIMILARITY`` are equal. The masks find every stretch of 13 words with up to two substitutions,
+it holds a stretch of at least ``MIN_WORDS`` words of which ``SIMILARITY`` are equal; an item of
+fewer words must be there whole, with no word substituted. The masks find every stretch of 13 words with up to two substitutions,
 of 15 with three and of 20 with four.
 """
 
@@ -126,7 +126,8 @@ def _verified(ix: Index, words: np.ndarray, first: np.ndarray, count: np.ndarray
     good = ok[score[ok] - lowest[ok - at[ok] + back[ok]] >= 0]
     leak = np.zeros(len(item), bool)
     leak[seg[good]] = True
-    return leak, np.bincount(seg, weights=equal, minlength=len(item)).astype(np.int64)
+    matched = np.bincount(seg, weights=equal, minlength=len(item)).astype(np.int64)
+    return leak & ((ix.length[item] >= MIN_WORDS) | (matched == ix.length[item])), matched
 
 
 #: Words of alignments that are verified at once.
