@@ -139,8 +139,8 @@ class GraphStore:
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
     def _current(self, name: str) -> str | None:
-        fs, pointer = self._fs(f"{self.path}/{name}/_current.txt")
-        return self.spark.read.text(f"{self.path}/{name}/_current.txt").first()[0] if fs.exists(pointer) else None
+        fs, pointer = self._fs(f"{self.path}/{name}/current.txt")
+        return self.spark.read.text(f"{self.path}/{name}/current.txt").first()[0] if fs.exists(pointer) else None
 
     def read(self, name: str) -> DataFrame:
         version = self._current(name)
@@ -157,7 +157,7 @@ class GraphStore:
             df.select(*schemas.GRAPH[name][0].names).write.parquet(f"{self.path}/{name}/{versions[name]}")
         for name, version in versions.items():
             old = self._current(name)
-            fs, target = self._fs(f"{self.path}/{name}/_current.txt")
+            fs, target = self._fs(f"{self.path}/{name}/current.txt")
             out = fs.create(target, True)
             out.write(bytearray(version.encode()))
             out.close()

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine, ratio, rounded, stdev0
 
-ONE = F.lit(1)
-
 
 def corpus_overview(speeches: DataFrame) -> DataFrame:
     return (
         speeches.groupBy(F.col("country_code").alias("country"), "year")
-        .agg(F.count(ONE).alias("speech_count"), F.countDistinct("party").alias("parties_active"))
+        .agg(F.count("*").alias("speech_count"), F.countDistinct("party").alias("parties_active"))
         .orderBy(F.asc_nulls_last("country"), F.asc_nulls_last("year"))
     )
 
@@ -25,7 +23,7 @@ def party_volume(speeches: DataFrame, country: str) -> DataFrame:
     return (
         speeches.filter(F.col("country_code") == country)
         .groupBy("party", "year")
-        .agg(F.count(ONE).alias("speeches"))
+        .agg(F.count("*").alias("speeches"))
         .orderBy(F.asc_nulls_last("year"), F.desc_nulls_first("speeches"), "party")
     )
 
@@ -38,7 +36,7 @@ def prolific_speakers(speeches: DataFrame, delivered: DataFrame, politicians: Da
         own.join(delivered.select("politician_id", "speech_id"), "speech_id")
         .join(people, "politician_id")
         .groupBy("politician", "party")
-        .agg(F.count(ONE).alias("speech_count"))
+        .agg(F.count("*").alias("speech_count"))
         .orderBy(F.desc("speech_count"), "politician", "party")
         .limit(limit)
     )
@@ -46,11 +44,11 @@ def prolific_speakers(speeches: DataFrame, delivered: DataFrame, politicians: Da
 
 def completeness(speeches: DataFrame, country: str, complexity: str = "ttr", model: str = "embedding_model") -> DataFrame:
     return speeches.filter(F.col("country_code") == country).agg(
-        F.count(ONE).alias("total_speeches"),
+        F.count("*").alias("total_speeches"),
         F.count("sentiment_score").alias("with_sentiment"),
         F.count(complexity).alias("with_complexity"),
         F.count(model).alias("with_embedding"),
-        rounded(F.try_divide(100.0 * F.count("sentiment_score"), F.count(ONE)), 1).alias("pct_extracted"),
+        rounded(F.try_divide(100.0 * F.count("sentiment_score"), F.count("*")), 1).alias("pct_extracted"),
     )
 
 
@@ -70,7 +68,7 @@ def sentiment_trend(speeches: DataFrame, country: str, start: int, end: int, dig
         .agg(
             shown(F.avg("sentiment_score")).alias("avg_sentiment"),
             shown(stdev0(F.col("sentiment_score"))).alias("std_sentiment"),
-            F.count(ONE).alias("speech_count"),
+            F.count("*").alias("speech_count"),
         )
         .orderBy("year", F.asc_nulls_last("party"))
     )
@@ -101,7 +99,7 @@ def subcorpus_volume(speeches: DataFrame, country: str) -> DataFrame:
     return (
         speeches.filter(F.col("country_code") == country)
         .groupBy(F.coalesce("subcorpus", F.lit("REGULAR")).alias("subcorpus"), "year")
-        .agg(F.count(ONE).alias("speeches"))
+        .agg(F.count("*").alias("speeches"))
         .orderBy("year", "subcorpus")
     )
 
@@ -115,7 +113,7 @@ def top_topics(speeches: DataFrame, mentions: DataFrame, country: str, limit: in
         _with_topics(speeches, mentions, country)
         .groupBy("topic")
         .agg(
-            F.count(ONE).alias("total_mentions"),
+            F.count("*").alias("total_mentions"),
             F.countDistinct("party").alias("parties_mentioning"),
             rounded(F.avg("sentiment_score"), 3).alias("avg_sentiment_when_mentioned"),
         )
@@ -129,7 +127,7 @@ def topic_salience(speeches: DataFrame, mentions: DataFrame, country: str, topic
     rows = _years(_with_topics(speeches, mentions.filter(F.col("topic") == topic), country), start, end)
     average = F.avg("sentiment_score")
     found = rows.groupBy("year", "party").agg(
-        F.count(ONE).alias("mention_count"), (average if digits is None else rounded(average, digits)).alias("avg_sentiment")
+        F.count("*").alias("mention_count"), (average if digits is None else rounded(average, digits)).alias("avg_sentiment")
     )
     return found.orderBy("year", "party") if digits is None else found.orderBy("year", F.desc_nulls_first("mention_count"), "party")
 
@@ -157,14 +155,14 @@ def topic_pairs(speeches: DataFrame, mentions: DataFrame, country: str, limit: i
         .join(other, "speech_id")
         .filter("topic_a < topic_b")
         .groupBy("topic_a", "topic_b")
-        .agg(F.count(ONE).alias("co_occurrence_count"))
+        .agg(F.count("*").alias("co_occurrence_count"))
         .orderBy(F.desc("co_occurrence_count"), "topic_a", "topic_b")
         .limit(limit)
     )
 
 
 def exclusive_topics(speeches: DataFrame, mentions: DataFrame, country: str, start: int, share: float = 0.5) -> DataFrame:
-    counts = _years(_with_topics(speeches, mentions, country), start, None).groupBy("topic", "party").agg(F.count(ONE).alias("party_mentions"))
+    counts = _years(_with_topics(speeches, mentions, country), start, None).groupBy("topic", "party").agg(F.count("*").alias("party_mentions"))
     total = F.sum("party_mentions").over(Window.partitionBy("topic"))
     part = ratio(F.col("party_mentions"), F.col("total_mentions"))
     return (
@@ -184,7 +182,7 @@ def complexity_trend(speeches: DataFrame, country: str, start: int, end: int | N
             rounded(F.avg("flesch_kincaid_grade"), 2).alias("avg_fk_grade"),
             rounded(F.avg("avg_sentence_length"), 2).alias("avg_sentence_length"),
             rounded(F.avg("gunning_fog"), 2).alias("avg_gunning_fog"),
-            F.count(ONE).alias("speech_count"),
+            F.count("*").alias("speech_count"),
         )
         .orderBy("year", F.asc_nulls_last("party"))
     )
@@ -232,7 +230,7 @@ def top_entities(speeches: DataFrame, references: DataFrame, country: str, start
     rows = _years(speeches.filter(F.col("country_code") == country), start, None).join(references, "speech_id")
     return (
         rows.groupBy(F.col("text").alias("entity"), F.col("label").alias("entity_type"))
-        .agg(F.count(ONE).alias("mention_count"), F.countDistinct("party").alias("parties_mentioning"))
+        .agg(F.count("*").alias("mention_count"), F.countDistinct("party").alias("parties_mentioning"))
         .orderBy(F.desc("mention_count"), "entity", "entity_type")
         .limit(limit)
     )
@@ -244,7 +242,7 @@ def entity_sentiment(speeches: DataFrame, references: DataFrame, country: str, t
     return (
         rows.join(references.filter(F.col("text") == text), "speech_id")
         .groupBy("party", "year")
-        .agg(F.count(ONE).alias("mentions"), rounded(F.avg("sentiment_score"), 3).alias("avg_sentiment"))
+        .agg(F.count("*").alias("mentions"), rounded(F.avg("sentiment_score"), 3).alias("avg_sentiment"))
         .orderBy("year", "party")
     )
 
@@ -261,11 +259,11 @@ def party_relations(
         .join(politicians.filter(F.col("party") == party).select("politician_id"), "politician_id")
         .select("speech_id").distinct()
     )
-    stated = relations.join(own, "speech_id", "left_semi").groupBy("relation", "subject").agg(F.count(ONE).alias("n"))
+    stated = relations.join(own, "speech_id", "left_semi").groupBy("relation", "subject").agg(F.count("*").alias("n"))
     if tied:
         counted = stated.withColumn("m", F.lit(1))
     else:
-        holding = relations.select("subject", "speech_id").distinct().groupBy("subject").agg(F.count(ONE).alias("m"))
+        holding = relations.select("subject", "speech_id").distinct().groupBy("subject").agg(F.count("*").alias("m"))
         counted = stated.join(holding, "subject")
     return (
         counted.groupBy(F.col("relation").alias("relation_type"))
@@ -351,6 +349,6 @@ def topic_cluster(embeddings: DataFrame, mentions: DataFrame, topic: str, k: int
     return (
         _nearest(embeddings, anchor, k)
         .groupBy("party", "year")
-        .agg(F.count(ONE).alias("speeches_in_cluster"), rounded(F.avg("score"), 6).alias("avg_similarity"))
+        .agg(F.count("*").alias("speeches_in_cluster"), rounded(F.avg("score"), 6).alias("avg_similarity"))
         .orderBy(F.desc("speeches_in_cluster"), "party", "year")
     )

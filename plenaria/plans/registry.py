@@ -22,4 +22,5 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+from . import flows as _flows  # noqa: E402,F401
 from . import queries as _queries  # noqa: E402,F401
