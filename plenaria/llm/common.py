@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Most bytes of a side that may be broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str, str | None]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +36,20 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/plenaria/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    _made.append((spark, path))
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_at_exit(spark: SparkSession, path: str, table_name: str | None = None) -> None:
+    """Drop the table and delete the folder when the application ends."""
+    _made.append((spark, path, table_name))
+
+
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path, name in _made:
         try:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

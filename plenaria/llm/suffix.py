@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import scratch, scratch_dir, table
+from .common import forget_at_exit, scratch, scratch_dir, table
 from .textarrays import mixed
 
 LENGTH = 50
@@ -528,16 +528,18 @@ def remove_repeats(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-total // BUCKET_BYTES))
-    ranges, shards = max(1, -(-total // RANGE_BYTES)), max(1, -(-total // SHARD_BYTES))
+    ranges, shards = max(least, -(-total // RANGE_BYTES)), max(least, -(-total // SHARD_BYTES))
     name = f"plenaria_buckets_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/plenaria/{name}"
     (
         rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
         .repartition(buckets, "bucket")
         .write.bucketBy(buckets, "bucket")
         .sortBy("bucket")
-        .option("path", f"{scratch_dir(spark)}/plenaria/{name}")
+        .option("path", path)
         .saveAsTable(name)
     )
+    forget_at_exit(spark, path, name)
     dealt = spark.table(name)
     texts = dealt.select("bucket", "doc_id", "text")
 
@@ -557,3 +559,20 @@ def remove_repeats(
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that a document of smaller id says as well, in strings of 50 bytes."""
     return remove_repeats(table(spark, sf_dir, "documents"), outputs=())
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, LATERAL unnest(range(greatest(length(h) // 2 - 49, 0))) t(i)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+f AS (SELECT w.doc_id, i FROM w JOIN m USING (s) WHERE least < w.doc_id),
+g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM f),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, span),
+k AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+c AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last,
+  string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(from_hex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
