@@ -23,4 +23,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.OP4_SQL}
+    return {
+        "op2_url_filters": urls.OP2_SQL,
+        "op3_suffix_array_dedup": suffix.OP3_SQL,
+        "op4_chat_formatting": chat.OP4_SQL,
+        "op9_sharding": shard.OP9_SQL,
+    }

@@ -150,3 +150,40 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+_CRC_SQL = """
+bits(b, v, k) AS (SELECT b, b::BIGINT, 0 FROM range(256) r(b)
+  UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS crc FROM bits WHERE k = 8),
+hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+split AS (SELECT doc_id, length(h) // 2 + 8 AS size, list_transform(range(length(h) // 2), lambda i:
+  ((strpos('0123456789ABCDEF', h[2*i+1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2*i+2]) - 1)::BIGINT) AS x FROM hexed),
+rows AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, x),
+  lambda a, y: xor(a // 256, crc[(xor(a, y) % 256) + 1])), 4294967295) AS crc FROM split, tab),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS number, count(*) OVER () AS n FROM rows),
+sides AS (SELECT *, floor(sqrt(n))::BIGINT AS a FROM numbered),
+"""
+
+
+def _rounds_sql(value: str) -> str:
+    """One pass of the network over the column ``value``, as nested selects."""
+    sql = f"SELECT *, {value} // b AS l, {value} % b AS r FROM {{source}}"
+    for i, key in enumerate(ROUND_KEYS):
+        side, other, modulus = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        y = f"(({other} + {key}) % {PRIME})"
+        mixed = f"{y} * {y} % {PRIME} * {MULTIPLIER} % {PRIME}"
+        sql = f"SELECT * REPLACE (({side} + {mixed}) % {modulus} AS {side}) FROM ({sql})"
+    return f"SELECT * EXCLUDE (l, r), l * b + r AS p FROM ({sql})"
+
+
+OP9_SQL = f"""
+WITH RECURSIVE {_CRC_SQL}
+based AS (SELECT doc_id, size, crc, n, a, (n + a - 1) // a AS b, number AS v FROM sides),
+walk AS ({_rounds_sql("v").format(source="based")}
+  UNION ALL SELECT doc_id, size, crc, n, a, b, p AS v, q AS p FROM
+    ({_rounds_sql("w").format(source="(SELECT * EXCLUDE (p), p AS w FROM walk WHERE p >= n)").replace("AS p FROM", "AS q FROM", 1).replace("SELECT * EXCLUDE (l, r)", "SELECT * EXCLUDE (l, r, w), w AS p", 1)})),
+placed AS (SELECT doc_id, size, crc, p FROM walk WHERE p < n)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(p % {N_SHARDS} AS INTEGER) AS shard, p // {N_SHARDS} AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""

@@ -128,3 +128,37 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: Dat
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the fixed rules and the aliases in the pages."""
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _rules_sql(host: str, path: str, column: str) -> str:
+    """The longest fitting rule (or its verdict) as a CASE expression."""
+    cases = ""
+    for kind, text in sorted(RULES, key=lambda r: (-len(r[1]), r[0] != "allow")):
+        name, slash, rest = text.partition("/")
+        value = {"rule": text, "verdict": kind}[column]
+        cases += f" WHEN ({host} = '{name}' OR {host} LIKE '%.{name}') AND starts_with({path}, '{slash + rest}') THEN '{value}'"
+    return f"CASE{cases} END"
+
+
+_HOST_SQL = "coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '" + _UPPER + "', '" + _LOWER + "'), '')"
+_PATH_SQL = "coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+OP2_SQL = f"""
+WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+links AS (SELECT url, replace(link, '&amp;', '&') AS link FROM (SELECT url, coalesce(
+    CASE WHEN regexp_matches(tag, '(?is)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN nullif(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), '') END,
+    CASE WHEN regexp_matches(tag, '(?is)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN nullif(regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1), '') END) AS link
+  FROM tags) WHERE link IS NOT NULL),
+edges AS (SELECT regexp_extract(url, '(?s)^([^#]*)', 1) AS a, regexp_extract(CASE
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link
+    WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?):', 1) || ':' || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || link END,
+  '(?s)^([^#]*)', 1) AS b FROM links),
+pairs AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+bad AS (SELECT a AS node FROM pairs WHERE {_rules_sql(_HOST_SQL.format(u="a"), _PATH_SQL.format(u="a"), "verdict")} = 'block'
+  UNION SELECT b FROM bad JOIN pairs ON a = node),
+judged AS (SELECT page_id, url, {_HOST_SQL.format(u="url")} AS host, {_PATH_SQL.format(u="url")} AS path FROM pages)
+SELECT page_id, host, path, {_rules_sql("host", "path", "rule")} AS rule, coalesce({_rules_sql("host", "path", "verdict")},
+  CASE WHEN regexp_extract(url, '(?s)^([^#]*)', 1) IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
+"""
