@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalar
-from ..operators import evaluation, extraction, graph
+from ..operators import evaluation, extraction, graph, vectors
 from ..sources import base, posts, tei
 from ..streaming import incremental
 from . import views as V
@@ -228,3 +228,78 @@ SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(val
 def stream_windows(spark, d):
     found = incremental.windowed_counts(V.read(spark, d, "events"))
     return found.withColumn("total", F.round("total", 4))
+
+
+def _results(spark, d):
+    """Extraction results of replies, one document a part."""
+    r = F.col("r")
+    entity = F.struct(F.col("raw").substr(1, 5).alias("text"), F.lit("EVENT").alias("label"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit(0.9).alias("score"))
+    return (
+        _reply(spark, d)
+        .withColumn("r", extraction.parsed_reply(F.col("raw")))
+        .filter(r.isNotNull())
+        .select(
+            F.col("p_partkey").cast("string").alias("doc_id"),
+            F.array(entity, entity).alias("named_entities"),
+            r["topics"].alias("topics"),
+            r["triples"].alias("triples"),
+            r["sentiment_score"].alias("sentiment_score"),
+            F.map_from_arrays(F.array(F.lit("ttr")), F.array(r["sentiment_score"].cast("double"))).alias("complexity_metrics"),
+        )
+    )
+
+
+_KEPT_SQL = """SELECT * FROM part WHERE NOT (p_partkey % 3 = 2 AND p_partkey % 2 = 0) AND abs((p_size - 25) / 20.0::DOUBLE) <= 1"""
+
+
+@query("snk_extraction_rows", f"""
+WITH kept AS ({_KEPT_SQL})
+SELECT 'mentions_topic' AS tbl, count(*) AS n FROM (SELECT DISTINCT p_partkey, p_type FROM kept WHERE p_size % 5 > 0)
+UNION ALL SELECT 'topics', count(DISTINCT p_type) FROM kept WHERE p_size % 5 > 0
+UNION ALL SELECT 'concepts', count(*) FROM (SELECT p_brand FROM kept WHERE p_size % 2 = 0 UNION SELECT p_type FROM kept WHERE p_size % 2 = 0)
+UNION ALL SELECT 'semantic_relation', count(*) FROM kept WHERE p_size % 2 = 0
+UNION ALL SELECT 'contains_triple', count(*) FROM kept WHERE p_size % 2 = 0
+UNION ALL SELECT 'references_entity', count(*) FROM kept""")
+def snk_extraction_rows(spark, d):
+    """Nodes and edges by table after merging: set semantics by each table's key."""
+    made = graph.extraction_rows(_results(spark, d))
+    counts = None
+    for name in ("mentions_topic", "topics", "concepts", "semantic_relation", "contains_triple", "references_entity"):
+        keys = schemas.GRAPH[name][1]
+        one = made[name].select(*keys).distinct().agg(F.lit(name).alias("tbl"), F.count("*").alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+@query("snk_speech_metrics", f"""
+WITH kept AS ({_KEPT_SQL})
+SELECT CAST(o_orderkey AS VARCHAR) AS speech_id, CASE WHEN p_partkey IS NULL THEN 0.125 ELSE round((p_size - 25) / 20.0::DOUBLE, 4) END AS sentiment_score,
+  CASE WHEN p_partkey IS NULL THEN 1.0 END AS gunning_fog FROM orders LEFT JOIN kept ON p_partkey = o_orderkey""")
+def snk_speech_metrics(spark, d):
+    """Results set a speech's sentiment and metrics and clear those they lack; other speeches keep theirs."""
+    metrics = {"sentiment_score": 0.125, "ttr": 1.0, "flesch_kincaid_grade": 1.0, "avg_sentence_length": 1.0, "gunning_fog": 1.0}
+    old = V.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("speech_id"), *(F.lit(v).alias(m) for m, v in metrics.items()))
+    changed = graph.with_metrics(old, _results(spark, d))
+    return changed.select("speech_id", F.round("sentiment_score", 4).alias("sentiment_score"), "gunning_fog")
+
+
+@query("snk_vector_upsert", """
+SELECT CAST(vec_id AS VARCHAR) AS doc_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS model_name, CAST(64 AS INTEGER) AS dim FROM embeddings""")
+def snk_vector_upsert(spark, d):
+    rows = V.embedded(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "vector", F.lit("old").alias("model_name"))
+    new = rows.filter("CAST(doc_id AS INT) % 2 = 0").withColumns({"model_name": F.lit("new"), "seq": F.lit(2)})
+    stale = rows.filter("CAST(doc_id AS INT) % 2 = 0").withColumns({"model_name": F.lit("stale"), "seq": F.lit(1)})
+    merged = graph.last_writer(rows, new.unionByName(stale), ["doc_id"], ["seq"], ["vector", "model_name"])
+    return merged.select("doc_id", "model_name", F.size("vector").alias("dim"))
+
+
+@query("src_point_lookup", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def src_point_lookup(spark, d):
+    ids = V.read(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
+    return V.read(spark, d, "documents").join(ids, "doc_id", "left_semi").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+@query("src_country_vectors", """
+SELECT vec_id AS doc_id, 'P' || label AS party FROM embeddings JOIN orders ON o_orderkey = vec_id WHERE year(o_orderdate) = 1998""")
+def src_country_vectors(spark, d):
+    return vectors.vectors_for_country(V.embedded(spark, d), "DE", 1998).select("doc_id", "party")

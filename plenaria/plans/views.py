@@ -15,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a speech of its customer, whose market segment is the party and nation the country."""
     orders = read(spark, sf_dir, "orders")
-    people = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    people = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     score = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 250000.0 - 1.0)
     return orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("speech_id"),
@@ -30,7 +30,7 @@ def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def politicians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = F.broadcast(read(spark, sf_dir, "nation"))
+    nation = read(spark, sf_dir, "nation")
     return read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("politician_id"),
         F.col("c_name").alias("name"),
