@@ -47,10 +47,11 @@ STRONG = frozenset(
     " sponsor sponsored promo promotion".split()
 )
 WEAK = frozenset(
-    "nav navbar navigation menu sidebar footer header masthead banner breadcrumb breadcrumbs notice notices cookie"
+    "nav navbar navigation menu sidebar footer masthead banner breadcrumb breadcrumbs notice notices cookie"
     " cookies consent gdpr alert announcement newsletter subscribe signup login share sharing social related"
     " recommended popup modal overlay pagination pager toolbar widget skip".split()
 )
+TITLED = frozenset("article content entry post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = HEADINGS | frozenset("p li blockquote pre dd dt figcaption tr caption summary".split())
 CLOSES = {
@@ -85,24 +86,29 @@ _NAMED = re.compile(r"\b(?:class|id|role|hidden|style|aria-hidden)\b", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _furniture(tag: str, attributes: str) -> tuple[bool, str]:
-    """(whether the element is furniture, its class)."""
+def _furniture(tag: str, attributes: str) -> tuple[bool, str, str]:
+    """(whether the element is furniture, its class, "header" or "title" if it heads a page or an article)."""
+    head = "header" if tag == "header" else ""
     if not attributes or not _NAMED.search(attributes):
-        return tag in FURNITURE, ""
+        return tag in FURNITURE, "", head
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     name = found.get("class", "")
     if tag in FURNITURE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
-        return tag not in ("html", "body"), name
+        return tag not in ("html", "body"), name, head
     if "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True, name
+        return True, name, head
     if tag in ("html", "body", "main"):
-        return False, name
+        return False, name, head
     for value in re.split(r"\s+", f"{name} {found.get('id', '')}"):
         parts = [p.lower() for p in _PARTS.findall(value)]
         for before, part in zip(["", *parts], parts):
-            if before not in ("has", "with", "no", "without", "page") and (part in STRONG or part in WEAK and tag != "article"):
-                return True, name
-    return False, name
+            if before in ("has", "with", "no", "without", "page"):
+                continue
+            if part == "header":
+                head = "title" if TITLED & set(parts) else head or "header"
+            elif part in STRONG or part in WEAK and tag != "article":
+                return True, name, head
+    return False, name, head
 
 
 class Page:
@@ -189,12 +195,12 @@ class Page:
                             if stack[i][0] in scope:
                                 break
                     _, _, out, inside, header = stack[-1]
-                    own, name = _furniture(tag, token[3])
+                    own, name, head = _furniture(tag, token[3])
                     if tag in ("article", "main") and not own and not (out and stack[-1][0] != "form"):
                         out, inside = False, True
                         self.marked = True
-                    if tag == "header":
-                        own, header = own or not inside, True
+                    if head:
+                        own, header = own or head == "header" and not inside, True
                     in_link = False
                     if tag not in VOID:
                         labels.append(f"{tag}.{name}" if name else tag)

@@ -58,6 +58,8 @@ ARTICLE = "<article><h1>T &amp; t</h1><p>One <b>two</b>&nbsp;three<p>Four<ul><li
         ("<main><header><h1>Head</h1><p>by line</header><p>Text.</p><form><p>sign up</form></main>", "Head\n\nText."),
         ("<body class='has-sidebar'><div id=cookie-notice><p>Cookies</div><p>Long enough to be kept as a text.</p>", "Long enough to be kept as a text."),
         ("<article><p>cut off <b>here", "cut off here"),
+        ("<div class=page-wrap><div id=header><h1>Site</h1></div><div class='post-header'><h1>Title</h1><p>by line</div><p>A text.</p></div>", "Title\n\nA text."),
+        ("<article><div class=entry-header><h2>Title</h2>by line</div><p>A text.</p></article>", "Title\n\nA text."),
         ("<article><p>a < b &lt; c<!-- <p>x --> d<br>e</p><article class=comment>no</article></article>", "a < b < c d e"),
         ("<div class='article-comments'><p>no</p></div><table><tr><td>1<td>2<tr><td>3</table>", "1 2\n\n3"),
         ("", ""),
