@@ -106,9 +106,9 @@ def _close(x: np.ndarray) -> np.ndarray:
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Tally of positional bytes that a pair shares."""
-    x = (a ^ b).view(np.uint8).reshape(*a.shape, 8)
-    return (x == 0).sum(axis=-1)
+    """Tally of positional bytes that each pair shares."""
+    x = np.ascontiguousarray(a ^ b)
+    return np.count_nonzero(x.view(np.uint8).reshape(*x.shape, 8) == 0, axis=-1)
 
 
 def _neighbours(prints: np.ndarray, parent: np.ndarray, out: list, free: list[int]) -> None:
@@ -130,11 +130,11 @@ def _links(prints: np.ndarray, key: tuple[int, ...], depth: int = 0) -> list[tup
     if n <= BLOCK:
         for at in range(0, n, 256):
             block = prints[at : at + 256]
-            a, b = np.nonzero(_close(block[:, None] ^ prints[None, :]))
+            a, b = np.nonzero(_shared(block[:, None], prints[None, :]) >= MIN_BYTES)
             keep = a + at < b
             a, b = a[keep] + at, b[keep]
-            enough = _shared(prints[a], prints[b]) >= MIN_BYTES
-            _forest(a[enough], b[enough], n, parent, out)
+            verified = _close(prints[a] ^ prints[b])
+            _forest(a[verified], b[verified], n, parent, out)
         return out
     if depth:
         free = [b for p in range(8) if p not in key for b in range(8 * (7 - p), 8 * (8 - p))]
