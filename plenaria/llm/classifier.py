@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .textarrays import Chunk, chunks, mixed, span_hashes
+from .textarrays import Chunk, chunks, mixed, span_hashes, trimmed
 
 SLOTS = 1 << 15
 DIMENSIONS = 32
@@ -119,7 +119,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     names = [f"c{d}" for d in range(DIMENSIONS)]
     schema = ", ".join(["slot long", *(f"{c} long" for c in names)])
     sums = (
-        documents.select("text").mapInArrow(_contexts, schema).groupBy("slot").agg(*(F.sum(c).alias(c) for c in names))
+        documents.select("text").mapInArrow(trimmed(_contexts), schema).groupBy("slot").agg(*(F.sum(c).alias(c) for c in names))
     ).toArrow()
     vectors = np.zeros((_ALL, 2 * DIMENSIONS), np.float32)
     for i in range(NONZERO):
@@ -250,7 +250,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> M
 
     chosen = F.broadcast(sample(labels, rows))  # at most ``rows`` rows
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    found = texts.mapInArrow(features, "doc_id long, label int, x array<double>").toArrow()
+    found = texts.mapInArrow(trimmed(features), "doc_id long, label int, x array<double>").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(found.num_rows, 2 * DIMENSIONS + 3)
     y = found.column("label").to_numpy().astype(np.float64)
     order = np.lexsort((x[:, 0], found.column("doc_id").to_numpy()))
@@ -270,7 +270,7 @@ def score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(p, 9))], [*part.schema.names, name])
 
     schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(trimmed(run), schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

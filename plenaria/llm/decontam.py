@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textarrays import Chunk, chunks, mixed, span_hashes
+from .textarrays import Chunk, chunks, mixed, span_hashes, trimmed
 
 #: Fixed by choice: the word positions that each mask reads.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4), (0, 1, 3, 5, 6))
@@ -208,7 +208,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
                         columns = [ids, *(pa.array(np.asarray(x, np.int64)) for x in (ix.ids[item], equal, ix.length[item]))]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "matched_words", "item_words"])
 
-        found = found.unionByName(rows.mapInArrow(run, schema))
+        found = found.unionByName(rows.mapInArrow(trimmed(run), schema))
     return found.groupBy("doc_id", "item_id").agg(
         F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words")
     )

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, small_join, table
+from .textarrays import trimmed
 from .urls import host_of
 
 # Elements and names.
@@ -397,7 +398,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     others = small_join(pages, pivots, "_host", "inner", F.octet_length("tree") + F.octet_length("_host") + 32)
     counted = (
         others.select("_host", "html", "tree")
-        .mapInArrow(_compare, "_host string, node int, aligned long, equal long")
+        .mapInArrow(trimmed(_compare), "_host string, node int, aligned long, equal long")
         .groupBy("_host", "node")
         .agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal"))
         .groupBy("_host")
@@ -475,7 +476,7 @@ def extract(pages: DataFrame) -> DataFrame:
     size = F.octet_length("tree") + 20 * F.size("nodes") + F.octet_length("_host") + 64
     joined = small_join(rows, found, "_host", "left", size)
     return joined.select("page_id", "url", "html", "tree", "nodes", "aligned", "equal").mapInArrow(
-        _extract, "page_id long, url string, text string, n_chars long"
+        trimmed(_extract), "page_id long, url string, text string, n_chars long"
     )
 
 

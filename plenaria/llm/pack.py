@@ -16,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, table
+from .textarrays import trimmed
 
 CAPACITY = 2048
 SEPARATOR = (0).to_bytes(4, "little")
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; the cache starts anew beyond that. No effect on results.
+#: Words whose ids a task keeps; the cache starts anew beyond that. No effect on results.
 CACHED_WORDS = 400_000
 
 
@@ -50,10 +52,8 @@ class _Ids(dict):
     words go the short way: lower case, cut into parts as the tokenizer does, its model on each."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__()
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = _tokenizer(path)
         self._encode = tokenizer.encode
         self._model = tokenizer.model
         self._special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
@@ -81,7 +81,13 @@ class _Ids(dict):
         return ids
 
 
-_loaded: dict[str, _Ids] = {}
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 
 PIECES = pa.schema(
     [
@@ -96,7 +102,7 @@ PIECES = pa.schema(
 
 def _cutter(path: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _loaded.get(path) or _loaded.setdefault(path, _Ids(path))
+        ids = _Ids(path)
         step = 4 * capacity
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
@@ -108,7 +114,7 @@ def _cutter(path: str, capacity: int):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, PIECES.types, strict=True)], schema=PIECES)
 
-    return cut
+    return trimmed(cut)
 
 
 def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

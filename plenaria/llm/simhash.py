@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .components import components
-from .textarrays import Chunk, chunks
+from .textarrays import Chunk, chunks, trimmed
 
 SHINGLE = 3
 SEED = 42
@@ -83,7 +83,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(documents: DataFrame) -> DataFrame:
     """``doc_id`` and ``print`` (the fingerprint's bits as a signed number) of every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprints, "doc_id long, print long")
+    return rows.mapInArrow(trimmed(_fingerprints), "doc_id long, print long")
 
 
 def _find(parent: np.ndarray, x: int) -> int:
@@ -200,9 +200,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame) -> DataFrame:
     """(``a``, ``b``): fingerprints that differ in 1 to MAX_BITS bits, a spanning forest by key of all
     such links among the distinct ``prints``."""
-    entries = prints.select("print").distinct().mapInArrow(_candidates, "key long, print long")
+    entries = prints.select("print").distinct().mapInArrow(trimmed(_candidates), "key long, print long")
     return (
-        entries.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_linked, "a long, b long").distinct()
+        entries.repartition("key").sortWithinPartitions("key", "print").mapInArrow(trimmed(_linked), "a long, b long").distinct()
     )
 
 

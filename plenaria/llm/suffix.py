@@ -31,12 +31,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import forget_at_exit, scratch, scratch_dir, table
-from .textarrays import mixed
+from .textarrays import give_back, mixed
 
 LENGTH = 50
 GRAM = 16
 #: Bytes of text in a bucket, of hashes in a range, and of text that a shard answers for, about.
-BUCKET_BYTES, RANGE_BYTES, SHARD_BYTES = 8 << 20, 16 << 20, 4 << 20
+BUCKET_BYTES, RANGE_BYTES, SHARD_BYTES = 6 << 20, 16 << 20, 3 << 20
 #: Bytes whose anchors are found at once.
 SLICE = 1 << 20
 #: Buckets that may have an anchor before its windows are dealt one by one.
@@ -327,7 +327,9 @@ def _arrow(rows: list[tuple], schema: T.StructType) -> pa.Table:
     kinds = {T.IntegerType(): pa.int32(), T.BinaryType(): pa.binary()}
     fields = [pa.field(f.name, kinds[f.dataType]) for f in schema.fields]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-    return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+    made = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+    give_back()
+    return made
 
 
 def _anchors(ranges: int) -> Callable:
@@ -470,9 +472,13 @@ def _cut(bucket: _Bucket, found: pa.Table, occurrences: np.ndarray) -> np.ndarra
         b = a + size[run][goes] + LENGTH - 1
         begins.append(a)
         ends.append(b)
-    size = len(bucket.data) + 1
-    marks = np.bincount(np.concatenate(begins), minlength=size) - np.bincount(np.concatenate(ends), minlength=size)
-    return np.cumsum(marks)[:-1] > 0
+    # a byte goes if more of the runs before it have begun than ended
+    marks = np.zeros(len(bucket.data) + 1, np.int32)
+    at, times = np.unique(np.concatenate(begins), return_counts=True)
+    marks[at] += times.astype(np.int32)
+    at, times = np.unique(np.concatenate(ends), return_counts=True)
+    marks[at] -= times.astype(np.int32)
+    return np.cumsum(marks, dtype=np.int32)[:-1] > 0
 
 
 def _finish(ranges: int, shards: int, schema: pa.Schema, columns: list[str]) -> Callable:

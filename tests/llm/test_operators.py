@@ -319,7 +319,7 @@ def test_quality_bands_reject_both_sides(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(150))) for i in range(300)]
-    rows += [(1000, " ".join("".join(rng.choice("QXZJ%#0189") for _ in range(6)) for _ in range(150)))]
+    rows += [(1000, " ".join("".join(rng.choice("QXZJWVKPYB%#0123456789;:+=?") for _ in range(6)) for _ in range(150)))]
     rows += [(1001, " ".join("an" * rng.randint(1, 12) for _ in range(150)))]
     got = {r.doc_id: r for r in quality.judge(docs(spark, rows)).collect()}
     middle = np.median([got[i].perplexity for i in range(300)])
