@@ -336,11 +336,10 @@ def _anchors(ranges: int) -> Callable:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = _Bucket(rows)
         _, _, doc, keys = bucket.segments(ranges)
-        order = np.lexsort((bucket.ids[doc], keys))
+        order = np.argsort(keys)
         keys, ids = keys[order], bucket.ids[doc][order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        last = np.append(first[1:], len(keys)) - 1 if len(keys) else first
-        twice = ids[first] != ids[last]
+        twice = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(keys) else np.empty(0, bool)
         keys = keys[first]
         out = []
         own = (keys >> np.uint64(32)).astype(np.int64)

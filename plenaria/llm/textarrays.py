@@ -59,13 +59,13 @@ def trimmed(work: Callable) -> Callable:
     @wraps(work)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
+        gc.collect()
         give_back()
 
     return run
 
 
 def give_back() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
