@@ -275,23 +275,28 @@ def party_relations(
 
 def bridges(delivered: DataFrame, politicians: DataFrame, mentions: DataFrame, country: str, limit: int = 20) -> DataFrame:
     """Politicians of different parties who speak on the same topics. Both aggregates are of distinct
-    topics, so (politician, topic) pairs are made distinct before they meet."""
+    topics, so (politician, topic) pairs are made distinct before they meet. Where no two politicians
+    share name and party, pairs are counted by id and topics gathered for the reported ones only."""
     spoke = delivered.select("politician_id", "speech_id").join(mentions, "speech_id").select("politician_id", "topic").distinct()
     a = politicians.filter(F.col("country_code") == country).select(
-        "politician_id", F.col("name").alias("politician_a"), F.col("party").alias("party_a")
+        F.col("politician_id").alias("_a"), F.col("name").alias("politician_a"), F.col("party").alias("party_a")
     )
     b = politicians.select(F.col("politician_id").alias("_b"), F.col("name").alias("politician_b"), F.col("party").alias("party_b"))
-    left = spoke.join(a, "politician_id").withColumnRenamed("politician_id", "_a")
+    left = spoke.withColumnRenamed("politician_id", "_a").join(a, "_a")
     right = spoke.withColumnRenamed("politician_id", "_b").join(b, "_b")
-    return (
-        left.join(right, "topic")
-        .filter("party_a <> party_b AND _a < _b")
-        .groupBy("politician_a", "party_a", "politician_b", "party_b")
-        .agg(F.sort_array(F.collect_set("topic")).alias("shared_topics"))
-        .withColumn("topic_overlap", F.size("shared_topics").cast("long"))
-        .orderBy(F.desc("topic_overlap"), "politician_a", "politician_b", "party_a", "party_b")
-        .limit(limit)
-    )
+    people = ["politician_a", "party_a", "politician_b", "party_b"]
+    order = [F.desc("topic_overlap"), "politician_a", "politician_b", "party_a", "party_b"]
+    pairs = left.join(right, "topic").filter("party_a <> party_b AND _a < _b")
+    topics = F.sort_array(F.collect_set("topic")).alias("shared_topics")
+    if politicians.groupBy("name", "party").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        counted = pairs.groupBy("_a", "_b").agg(F.count("*").alias("topic_overlap"))
+        top = counted.join(a, "_a").join(b, "_b").orderBy(*order).limit(limit)
+        shared = spoke.select(F.col("politician_id").alias("_a"), "topic")
+        also = spoke.select(F.col("politician_id").alias("_b"), "topic")
+        gathered = top.join(shared, "_a").join(also, ["_b", "topic"]).groupBy(*people, "topic_overlap").agg(topics)
+    else:
+        gathered = pairs.groupBy(*people).agg(topics).withColumn("topic_overlap", F.size("shared_topics").cast("long"))
+    return gathered.select(*people, "shared_topics", "topic_overlap").orderBy(*order).limit(limit)
 
 
 def year_snapshot(speeches: DataFrame, delivered: DataFrame, politicians: DataFrame, mentions: DataFrame, country: str, year: int) -> DataFrame:

@@ -102,3 +102,15 @@ def test_series_and_changes_over_a_gap(spark):
     s = spark.createDataFrame([("DE", 2018, "X", 5.0), ("DE", 2020, "X", 7.0)], "country_code string, year int, party string, flesch_kincaid_grade double")
     assert [(x.year, x.fk) for x in C.grade_series(s, "DE").first().series] == [(2018, 5.0), (2020, 7.0)]
     assert {r.year: r.fk_change for r in C.grade_changes(s, "DE").collect()} == {2018: None, 2020: 2.0}
+
+
+@pytest.mark.parametrize("namesakes", [False, True])
+def test_bridges_with_and_without_namesakes(spark, namesakes):
+    people = [("1", "A", "X", "DE"), ("2", "B", "Y", "FR"), ("3", "C", "X", "DE")] + [("4", "B", "Y", "DE")] * namesakes
+    politicians = spark.createDataFrame(people, "politician_id string, name string, party string, country_code string")
+    delivered = spark.createDataFrame([(p, f"s{p}") for p, *_ in people], "politician_id string, speech_id string")
+    said = [("s1", "t"), ("s1", "u"), ("s2", "t"), ("s2", "u"), ("s3", "t")] + [("s4", "u"), ("s4", "t")] * namesakes
+    mentions = spark.createDataFrame(said, "speech_id string, topic string")
+    got = [tuple(r) for r in C.bridges(delivered, politicians, mentions, "DE").collect()]
+    assert got[0] == ("A", "X", "B", "Y", ["t", "u"], 2)
+    assert got[1:] == ([("C", "X", "B", "Y", ["t"], 1)] if namesakes else [])
