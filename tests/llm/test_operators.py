@@ -328,6 +328,19 @@ def test_quality_bands_reject_both_sides(spark):
     assert sum(got[i].kept for i in range(300)) >= 297
 
 
+def test_quality_bands_count_copies_once(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(150))) for i in range(200)]
+    copy = " ".join(rng.choice(["".join(rng.choice("bdglmp") for _ in range(5)), "the", "of"]) for _ in range(150))
+    # a text that isn't like the others, as more than half of the rows; some of its copies differ in white space
+    rows += [(1000 + i, copy if i % 2 else copy.replace(" ", "\n")) for i in range(600)]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[i].kept for i in range(200)) >= 195
+    assert len({got[1000 + i].kept for i in range(600)}) == 1
+
+
 # --- 6: simhash
 
 
