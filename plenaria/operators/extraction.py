@@ -3,6 +3,9 @@
 A backend is asked for batches. Entities come from all texts; topics, triples and sentiment only
 from texts of enough words, filtered out before the expensive backend sees them. The defaults are
 deterministic rules that need no model: they keep the data flow testable and claim no quality.
+
+Texts are passed whole. A backend with a context window has to take a text in parts and merge its
+findings; only callers that ask for prefixes get them, by a number of characters.
 """
 
 from __future__ import annotations
@@ -22,11 +25,15 @@ from ..functions.scalar import relation_name, word_count
 
 LABELS = ("PERSON", "ORGANIZATION", "LOCATION", "LAW_TREATY", "POLITICAL_PARTY", "EVENT")
 LEAST_WORDS = 50
-TEXT_CAP, PROMPT_CAP = 10_000, 3_000
 THRESHOLD = 0.5
 RETRIES = 2
 
 
+def _text(cap: int | None) -> Column:
+    """The text, or its first ``cap`` characters."""
+    return F.col("text") if cap is None else F.substring("text", 1, cap)
+
+
 class EntityBackend(Protocol):
     extractor_name: str
 
@@ -62,7 +69,7 @@ class RuleEntities:
         return {"text": m[0], "label": label, "start": m.start(), "end": m.end(), "score": score}
 
 
-def entities(documents: DataFrame, backend: EntityBackend | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def entities(documents: DataFrame, backend: EntityBackend | None = None, threshold: float = THRESHOLD, cap: int | None = None) -> DataFrame:
     """(doc_id, named_entities): labels upper case, scores of 4 digits, those under ``threshold`` left
     out. A batch that fails is asked for text by text; a text that fails has none."""
     backend = backend or RuleEntities()
@@ -84,7 +91,7 @@ def entities(documents: DataFrame, backend: EntityBackend | None = None, thresho
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "named_entities"])
 
     schema = "doc_id string, named_entities array<struct<text:string,label:string,start:int,end:int,score:double>>"
-    texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, TEXT_CAP).alias("text"))
+    texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), _text(cap).alias("text"))
     return texts.mapInArrow(run, schema).withColumn(
         "named_entities",
         F.transform(
@@ -157,7 +164,9 @@ def _valid(raw: str) -> bool:
         return False
 
 
-def replies(documents: DataFrame, backend: ReplyBackend | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
+def replies(
+    documents: DataFrame, backend: ReplyBackend | None = None, least_words: int = LEAST_WORDS, cap: int | None = None, prompt_cap: int | None = None
+) -> DataFrame:
     """(doc_id, topics, triples, sentiment_score) of texts of ``least_words`` or more. An invalid reply is
     asked for again, at most RETRIES times, with what was wrong; any other failure is an empty result."""
     backend = backend or LexiconReplies()
@@ -179,25 +188,24 @@ def replies(documents: DataFrame, backend: ReplyBackend | None = None, least_wor
             found = [ask(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "raw"])
 
-    capped = F.substring("text", 1, TEXT_CAP)
-    rows = documents.filter(word_count(capped) >= least_words)
-    texts = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, PROMPT_CAP).alias("text"))
+    rows = documents.filter(word_count(_text(cap)) >= least_words)
+    texts = rows.select(F.col("doc_id").cast("string").alias("doc_id"), _text(prompt_cap).alias("text"))
     return texts.mapInArrow(run, "doc_id string, raw string").select("doc_id", parsed_reply(F.col("raw")).alias("_r")).select("doc_id", "_r.*")
 
 
 def extract(
     documents: DataFrame, entity_backend: EntityBackend | None = None, reply_backend: ReplyBackend | None = None,
-    llm: bool = True, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD,
+    llm: bool = True, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD, cap: int | None = None, prompt_cap: int | None = None,
 ) -> DataFrame:
     """Extraction results of ``documents`` (doc_id, text): entities, then topics, triples and sentiment of
     those with enough words (llm=False: of none), and complexity metrics; one row per doc_id."""
-    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, TEXT_CAP).alias("text"))
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), _text(cap).alias("text"))
     measured = metrics_map(rows).drop("text")
     found = entities(rows, entity_backend, threshold)
     empty = {c: F.array().cast(schemas.EXTRACTION[c].dataType) for c in ("named_entities", "topics", "triples")}
     joined = measured.join(found, "doc_id", "left")
     if llm:
-        joined = joined.join(replies(rows, reply_backend, least_words), "doc_id", "left")
+        joined = joined.join(replies(rows, reply_backend, least_words, prompt_cap=prompt_cap), "doc_id", "left")
     else:
         joined = joined.withColumns({"topics": empty["topics"], "triples": empty["triples"], "sentiment_score": F.lit(None).cast("double")})
     return joined.select(
@@ -228,7 +236,7 @@ class HashingEmbedder:
         return out
 
 
-def embed(documents: DataFrame, embedder: HashingEmbedder | None = None, prefix: str = "") -> DataFrame:
+def embed(documents: DataFrame, embedder: HashingEmbedder | None = None, prefix: str = "", cap: int | None = None) -> DataFrame:
     """Embedding records of ``documents`` (doc_id, text, party, country_code, language, date)."""
     embedder = embedder or HashingEmbedder()
 
@@ -242,7 +250,7 @@ def embed(documents: DataFrame, embedder: HashingEmbedder | None = None, prefix:
     names = ["doc_id", "party", "country_code", "language", "year"]
     rows = documents.select(
         F.col("doc_id").cast("string").alias("doc_id"), "party", "country_code", "language", F.year("date").alias("year"),
-        F.concat(F.lit(prefix), F.substring("text", 1, TEXT_CAP)).alias("text"),
+        F.concat(F.lit(prefix), _text(cap)).alias("text"),
     )
     made = rows.mapInArrow(run, "doc_id string, party string, country_code string, language string, year int, vector array<float>")
     return made.withColumn("model_name", F.lit(embedder.model_name)).select(*schemas.EMBEDDINGS.names)

@@ -135,6 +135,21 @@ def test_extraction_gate_retry_and_failures(spark):
     assert all(r.sentiment_score is None for r in extraction.extract(df, Broken(), Flaky(), llm=False).collect())
 
 
+def test_extraction_reads_whole_texts(spark):
+    long = "an even run of small words " * 450  # more than 10,000 characters
+    tail = "says New York in failure."
+    df = spark.createDataFrame([("a", long + tail), ("b", long), ("c", "x" * 10_000 + " word" * 60)], "doc_id string, text string")
+    got = {r.doc_id: r for r in extraction.extract(df).collect()}
+    assert [(e.text, e.start) for e in got["a"].named_entities] == [("New York", len(long) + 5)]
+    assert got["a"].complexity_metrics["lexicon_count"] == 450 * 6 + 5
+    assert (got["a"].sentiment_score, got["b"].sentiment_score, got["c"].sentiment_score) == (-1.0, 0.0, 0.0)
+    rows = df.selectExpr("*", "'P' AS party", "'DE' AS country_code", "'de' AS language", "DATE '2020-01-01' AS date")
+    vectors_of = lambda **cap: {r.doc_id: r.vector for r in extraction.embed(rows, **cap).collect()}
+    whole, cut = vectors_of(), vectors_of(cap=10_000)
+    assert whole["a"] != whole["b"] and cut["a"] == cut["b"]
+    assert extraction.extract(df, cap=10_000).filter("doc_id = 'a'").first().sentiment_score == 0.0
+
+
 def test_centroids_need_five_and_velocity_jumps_gaps(spark):
     rows = [(f"{y}-{i}", [1.0, float(y - 2018)], "X", y, "DE") for y in (2018, 2020) for i in range(5)]
     rows += [(f"n{i}", [1.0, 0.0], "Y", 2018, "DE") for i in range(4)]
