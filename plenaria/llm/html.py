@@ -1,8 +1,9 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
 Each page is parsed to the tree of its block elements. A host's pages are aligned to one of them,
-the pivot, by simple tree matching: the mapping of nodes, in order and level by level, that keeps
-most. For every pivot node it is counted, over all pages of the host, how often the aligned node
+the pivot of their layout, by simple tree matching: the mapping of nodes, in order and level by
+level, that keeps most. Layouts are counted over all pages of the host; pages of a rare one are
+aligned to the pivot that fits them best. For every pivot node it is counted, over all pages of the host, how often the aligned node
 said the same: nodes that hardly ever change are the template, the others are slots of content.
 
 What varies is not all article: menus, adverts and comments change from page to page too. Elements
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, small_join, table
@@ -70,6 +71,8 @@ CLOSES = {
 CONSTANT = 0.9
 #: In a marked article, template needs this share, and so many pages, of which half differ elsewhere in it.
 CONSTANT_IN_ARTICLE, PAGES_IN_ARTICLE = 0.95, 20
+#: Most pivots of a host, and levels of blocks by which layouts are told apart.
+PIVOTS, LEVELS = 8, 3
 #: Pairs of children aligned by the full matching; wider levels are aligned by their labels in turn.
 WIDEST = 200_000
 MOST_LINKS = 0.7
@@ -344,36 +347,83 @@ def _tree(text: str) -> Tree:
     return found
 
 
+def layout(page: Page) -> int:
+    """A hash of the different labels, without digits, of the containers in the page's upper levels: alike
+    for pages of one layout, whatever the number and kind of blocks of text in them."""
+    seen = set()
+    todo = [(0, 0)]
+    while todo:
+        node, level = todo.pop()
+        i, last = node + 1, node + page.sizes[node]
+        while i < last:
+            tag = page.labels[i].partition(".")[0]
+            if tag not in TEXTUAL and tag not in VOID:
+                seen.add((level, re.sub(r"\d+", "", page.labels[i])))
+                if level + 1 < LEVELS and tag not in ("article", "main"):
+                    todo.append((i, level + 1))
+            i += page.sizes[i]
+    return zlib.crc32(repr(sorted(seen)).encode("utf-8", "surrogatepass"))
+
+
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [layout(Page(html.as_py() or "")) for html in batch.column("html")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_host"), batch.column("page_id"), pa.array(found, pa.int64())], ["_host", "page_id", "layout"]
+        )
+
+
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         trees = []
         for html in batch.column("html"):
             page = Page(html.as_py() or "")
             trees.append(json.dumps([page.labels, page.sizes, page.said], separators=(",", ":")))
-        yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array(trees, pa.string())], ["_host", "tree"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_host"), batch.column("layout"), pa.array(trees, pa.string())], ["_host", "layout", "tree"]
+        )
+
 
+def fitted(page: Page, layouts: list[int], trees: list[str]) -> tuple[int, list[int]]:
+    """(number of the page's pivot, alignment to it): the pivot of its layout, or else the one that most aligns."""
+    tree = Tree(page.labels, page.sizes, page.said)
+    if len(trees) > 1:
+        own = layout(page)
+        if own not in layouts:
+            found = [align(tree, _tree(t)) for t in trees]
+            best = max(range(len(trees)), key=lambda k: (sum(j >= 0 for j in found[k]), -k))
+            return best, found[best]
+        k = layouts.index(own)
+    else:
+        k = 0
+    return k, align(tree, _tree(trees[k]))
 
-_STATS = pa.schema([("_host", pa.string()), ("node", pa.int32()), ("aligned", pa.int64()), ("equal", pa.int64())])
+
+_STATS = pa.schema(
+    [("_host", pa.string()), ("pivot", pa.int32()), ("node", pa.int32()), ("aligned", pa.int64()), ("equal", pa.int64())]
+)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, list[list[int]]] = {}
+    counts: dict[tuple[str, int], list[list[int]]] = {}
     held = 0
 
     def rows() -> pa.RecordBatch:
-        found = [(h, n, x[0], x[1]) for h, nodes in counts.items() for n, x in enumerate(nodes) if x[0]]
-        columns = zip(*found, strict=True) if found else [[]] * 4
+        found = [(*h, n, x[0], x[1]) for h, nodes in counts.items() for n, x in enumerate(nodes) if x[0]]
+        columns = zip(*found, strict=True) if found else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _STATS.types)], schema=_STATS)
 
     for batch in batches:
-        for host, html, tree in zip(*(batch.column(c) for c in ("_host", "html", "tree")), strict=True):
-            host, pivot = host.as_py(), _tree(tree.as_py())
-            page = Page(html.as_py() or "")
-            nodes = counts.get(host)
+        for host, html, layouts, trees in zip(*(batch.column(c) for c in ("_host", "html", "layouts", "trees")), strict=True):
+            page, trees = Page(html.as_py() or ""), trees.as_py()
+            k, mapped = fitted(page, layouts.as_py(), trees)
+            pivot = _tree(trees[k])
+            key = host.as_py(), k
+            nodes = counts.get(key)
             if nodes is None:
-                nodes = counts[host] = [[0, 0] for _ in pivot.labels]
+                nodes = counts[key] = [[0, 0] for _ in pivot.labels]
                 held += len(nodes)
-            for i, j in enumerate(align(Tree(page.labels, page.sizes, page.said), pivot)):
+            for i, j in enumerate(mapped):
                 if j >= 0:
                     nodes[j][0] += 1
                     nodes[j][1] += page.said[i] == pivot.said[j]
@@ -384,37 +434,38 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(``_host``, ``tree``, ``aligned``, ``equal``): each host's pivot and, by pivot node, on how many
+    """(``_host``, ``layouts``, ``trees``, ``s``): each host's pivots and, by pivot and its node, on how many
     of the host's other pages a node was aligned to it and how many of those said the same.
 
-    ``pages`` has ``_host``, ``page_id`` and ``html``. A host's pivot is its page of least id; hosts
-    of one page have no wrapper.
+    ``pages`` has ``_host``, ``page_id`` and ``html``. A pivot is the page of least id of a layout that
+    gives enough pages for evidence, for the PIVOTS most frequent ones; a host without such a layout has its
+    page of least id for all. Hosts of one page have no wrapper.
     """
-    hosts = pages.groupBy("_host").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hosts = scratch(hosts, "hosts")
-    chosen = small_join(pages, hosts, ["_host", "page_id"], "left_semi", F.octet_length("_host") + 32)
-    pivots = chosen.select("_host", "html").mapInArrow(_pivots, "_host string, tree string")
-    pivots = scratch(pivots.groupBy("_host").agg(F.min("tree").alias("tree")), "pivots")
-    others = small_join(pages, pivots, "_host", "inner", F.octet_length("tree") + F.octet_length("_host") + 32)
+    laid = pages.select("_host", "page_id", "html").mapInArrow(trimmed(_layouts), "_host string, page_id long, layout long")
+    laid = scratch(laid.groupBy("_host", "layout").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")), "layouts")
+    several = laid.groupBy("_host").agg(F.sum("n").alias("n")).filter("n > 1").select("_host")
+    frequent = F.col("n") > PAGES_IN_ARTICLE
+    order = Window.partitionBy("_host").orderBy(F.when(frequent, F.col("n")).otherwise(0).desc(), "page_id", "layout")
+    hosts = laid.join(several, "_host", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS)
+    hosts = scratch(hosts.filter((F.col("rank") == 1) | frequent).select("_host", "page_id", "layout"), "hosts")
+    chosen = small_join(pages, hosts, ["_host", "page_id"], "inner", F.octet_length("_host") + 48)
+    pivots = chosen.select("_host", "layout", "html").mapInArrow(_pivots, "_host string, layout long, tree string")
+    pivots = pivots.groupBy("_host", "layout").agg(F.min("tree").alias("tree"))
+    pivots = pivots.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("layout", "tree"))).alias("p"))  # at most PIVOTS
+    pivots = scratch(pivots.select("_host", F.col("p.layout").alias("layouts"), F.col("p.tree").alias("trees")), "pivots")
+    size = F.aggregate("trees", F.lit(0), lambda n, t: n + F.octet_length(t)) + F.octet_length("_host") + 128
+    others = small_join(pages, pivots, "_host", "inner", size)
     counted = (
-        others.select("_host", "html", "tree")
-        .mapInArrow(trimmed(_compare), "_host string, node int, aligned long, equal long")
-        .groupBy("_host", "node")
+        others.select("_host", "html", "layouts", "trees")
+        .mapInArrow(trimmed(_compare), "_host string, pivot int, node int, aligned long, equal long")
+        .groupBy("_host", "pivot", "node")
         .agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal"))
+        # a pivot itself was compared as well and equals itself
+        .withColumns({c: F.greatest(F.col(c) - 1, F.lit(0)) for c in ("aligned", "equal")})
         .groupBy("_host")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "aligned", "equal"))).alias("s"))  # one pivot's nodes
-    )
-    return scratch(
-        pivots.join(counted, "_host").select(
-            "_host",
-            "tree",
-            F.col("s.node").alias("nodes"),
-            # the pivot itself was compared as well and equals itself
-            F.transform("s.aligned", lambda x: x - 1).alias("aligned"),
-            F.transform("s.equal", lambda x: x - 1).alias("equal"),
-        ),
-        "wrappers",
+        .agg(F.sort_array(F.collect_list(F.struct("pivot", "node", "aligned", "equal"))).alias("s"))  # the pivots' nodes
     )
+    return scratch(pivots.join(counted, "_host"), "wrappers")
 
 
 def main_text(page: Page, mapped: list[int] | None, counts: dict[int, tuple[int, int]]) -> str:
@@ -447,16 +498,24 @@ def main_text(page: Page, mapped: list[int] | None, counts: dict[int, tuple[int,
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, tuple[list[int], list[str], list[dict]]] = {}
     for batch in batches:
         texts = []
-        for html, tree, nodes, aligned, equal in zip(
-            *(batch.column(c) for c in ("html", "tree", "nodes", "aligned", "equal")), strict=True
-        ):
+        for host, html, layouts, trees, s in zip(*(batch.column(c) for c in ("_host", "html", "layouts", "trees", "s")), strict=True):
             page = Page(html.as_py() or "")
             mapped, counts = None, {}
-            if tree.is_valid:
-                mapped = align(Tree(page.labels, page.sizes, page.said), _tree(tree.as_py()))
-                counts = dict(zip(nodes.as_py(), zip(aligned.as_py(), equal.as_py())))
+            if trees.is_valid:
+                host = host.as_py()
+                if host not in known:
+                    if len(known) >= 500:
+                        known.clear()
+                    by_pivot: list[dict] = [{} for _ in trees]
+                    for x in s.as_py():
+                        by_pivot[x["pivot"]][x["node"]] = (x["aligned"], x["equal"])
+                    known[host] = layouts.as_py(), trees.as_py(), by_pivot
+                own, written, by_pivot = known[host]
+                k, mapped = fitted(page, own, written)
+                counts = by_pivot[k]
             texts.append(main_text(page, mapped, counts))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
@@ -473,9 +532,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("_host"))
     found = wrappers(rows.filter("_host <> '' AND page_id IS NOT NULL").select("_host", "page_id", "html"))
-    size = F.octet_length("tree") + 20 * F.size("nodes") + F.octet_length("_host") + 64
+    trees = F.aggregate("trees", F.lit(0), lambda n, t: n + F.octet_length(t))
+    size = trees + 32 * F.size("s") + F.octet_length("_host") + 128
     joined = small_join(rows, found, "_host", "left", size)
-    return joined.select("page_id", "url", "html", "tree", "nodes", "aligned", "equal").mapInArrow(
+    return joined.select("page_id", "url", "_host", "html", "layouts", "trees", "s").mapInArrow(
         trimmed(_extract), "page_id long, url string, text string, n_chars long"
     )
 

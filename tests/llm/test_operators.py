@@ -107,6 +107,21 @@ def test_html_template_is_left_out(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_of_each_layout(spark):
+    rows = [(0, "https://h.example/", "<p>Moved, please go on")]
+    for i in range(1, 61):
+        story = f"<div>Story {i} tells of {i * 7} things</div>"
+        if i % 2:
+            body = f"<div class=top><div>Welcome to our lovely site of many words</div></div><div class=text>{story}</div>"
+        else:
+            body = f"<section><div>Read this in print as well as you can here</div>{story}<div>All rights are ours and not yours</div></section>"
+        rows.append((i, f"https://h.example/{i}", f"<body>{body}</body>"))
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and by[0] == "Moved, please go on"
+    assert all(by[i] == f"Story {i} tells of {i * 7} things" for i in range(1, 61))
+
+
 def test_html_of_all_pages(spark, sf):
     import html as std
 
