@@ -8,8 +8,10 @@ said the same: nodes that hardly ever change are the template, the others are sl
 
 What varies is not all article: menus, adverts and comments change from page to page too. Elements
 whose tag, role, class or id says that they are such furniture are left out whatever the wrapper
-says, and where a page marks its article (``article``, ``main``) only blocks in it are kept. There,
-a block counts as template only on strong evidence, as copied articles look constant as well.
+says, and where a page marks its article (``article``, ``main``) only blocks in it are kept. A block
+counts as template only on strong evidence, as copied articles look constant as well: equal pages
+count as one, many pages have to agree, and what is left has to be a share of the page's text. All
+other blocks are kept, however short or linked.
 """
 
 from __future__ import annotations
@@ -67,16 +69,16 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 
-#: A node is template if it says the same on this share of the pages aligned to it.
-CONSTANT = 0.9
-#: In a marked article, template needs this share, and so many pages, of which half differ elsewhere in it.
-CONSTANT_IN_ARTICLE, PAGES_IN_ARTICLE = 0.95, 20
+#: A node is template if it says the same on this share of the pages aligned to it, of which there are
+#: so many, and if half of the pages differ in another block that is kept.
+CONSTANT, LEAST_PAGES = 0.95, 20
+#: Nothing is template on a page of which less than this share of characters would be left: copies of a
+#: page but for a date or a counter look like that.
+LEAST_SHARE = 0.2
 #: Most pivots of a host, and levels of blocks by which layouts are told apart.
 PIVOTS, LEVELS = 8, 3
 #: Pairs of children aligned by the full matching; wider levels are aligned by their labels in turn.
 WIDEST = 200_000
-MOST_LINKS = 0.7
-LEAST_CHARS = 40
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -124,8 +126,8 @@ class Page:
         self.labels: list[str] = ["#"]
         self.sizes: list[int] = [1]
         self.said: list[int] = [0]
-        #: (node, text, furniture, in a marked article, tag, share of characters in links)
-        self.blocks: list[tuple[int, str, bool, bool, str, float]] = []
+        #: (node, text, furniture, in a marked article)
+        self.blocks: list[tuple[int, str, bool, bool]] = []
         self.marked = False
         self._parse(html)
 
@@ -134,12 +136,10 @@ class Page:
         # open elements: (tag, node, furniture, in an article, in a header of an article)
         stack = [("#", 0, False, False, False)]
         text: list[str] = []
-        linked = 0
-        in_link = False
         at, end = 0, len(html)
 
         def flush() -> None:
-            nonlocal text, linked
+            nonlocal text
             if text:
                 joined = "".join(text)
                 if "&" in joined:
@@ -149,9 +149,8 @@ class Page:
                     tag, node, out, inside, header = stack[-1]
                     out = out or header and tag not in HEADINGS
                     said[node] = zlib.crc32(joined.encode("utf-8", "surrogatepass"), said[node])
-                    blocks.append((node, joined, out, inside, tag, linked / len(joined)))
+                    blocks.append((node, joined, out, inside))
                 text = []
-                linked = 0
 
         def pop() -> None:
             flush()
@@ -161,18 +160,13 @@ class Page:
         token = _TOKEN.search(html, at)
         while token:
             if token.start() > at:
-                part = html[at : token.start()]
-                text.append(part)
-                if in_link:
-                    linked += len(part)
+                text.append(html[at : token.start()])
             at = token.end()
             tag = token[2]
             if tag is not None:
                 tag = tag.lower()
                 if token[1]:
-                    if tag == "a":
-                        in_link = False
-                    elif tag in BLOCKS:
+                    if tag in BLOCKS:
                         flush()
                         for i in range(len(stack) - 1, 0, -1):
                             if stack[i][0] == tag:
@@ -205,7 +199,6 @@ class Page:
                         self.marked = True
                     if head:
                         own, header = own or head == "header" and not inside, True
-                    in_link = False
                     if tag not in VOID:
                         labels.append(f"{tag}.{name}" if name else tag)
                         sizes.append(1)
@@ -214,8 +207,6 @@ class Page:
                     if tag in RAW:
                         close = re.compile(rf"</{tag}\b", re.I).search(html, at)
                         at = close.start() if close else end
-                elif tag == "a":
-                    in_link = True
                 elif tag in SPACES:
                     text.append(" ")
                 elif tag in RAW:
@@ -400,12 +391,12 @@ def fitted(page: Page, layouts: list[int], trees: list[str]) -> tuple[int, list[
 
 
 _STATS = pa.schema(
-    [("_host", pa.string()), ("pivot", pa.int32()), ("node", pa.int32()), ("aligned", pa.int64()), ("equal", pa.int64())]
+    [("_host", pa.string()), ("pivot", pa.int32()), ("node", pa.int32()), ("aligned", pa.float64()), ("equal", pa.float64())]
 )
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[tuple[str, int], list[list[int]]] = {}
+    counts: dict[tuple[str, int], list[list[float]]] = {}
     held = 0
 
     def rows() -> pa.RecordBatch:
@@ -414,19 +405,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _STATS.types)], schema=_STATS)
 
     for batch in batches:
-        for host, html, layouts, trees in zip(*(batch.column(c) for c in ("_host", "html", "layouts", "trees")), strict=True):
+        for host, html, layouts, trees, copies in zip(
+            *(batch.column(c) for c in ("_host", "html", "layouts", "trees", "copies")), strict=True
+        ):
+            weight = 1 / copies.as_py()
             page, trees = Page(html.as_py() or ""), trees.as_py()
             k, mapped = fitted(page, layouts.as_py(), trees)
             pivot = _tree(trees[k])
             key = host.as_py(), k
             nodes = counts.get(key)
             if nodes is None:
-                nodes = counts[key] = [[0, 0] for _ in pivot.labels]
+                nodes = counts[key] = [[0.0, 0.0] for _ in pivot.labels]
                 held += len(nodes)
             for i, j in enumerate(mapped):
                 if j >= 0:
-                    nodes[j][0] += 1
-                    nodes[j][1] += page.said[i] == pivot.said[j]
+                    nodes[j][0] += weight
+                    nodes[j][1] += weight * (page.said[i] == pivot.said[j])
         if held > 200_000:
             yield rows()
             counts, held = {}, 0
@@ -435,7 +429,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(``_host``, ``layouts``, ``trees``, ``s``): each host's pivots and, by pivot and its node, on how many
-    of the host's other pages a node was aligned to it and how many of those said the same.
+    of the host's other pages a node was aligned to it and how many of those said the same. Pages of
+    equal html count as one together.
 
     ``pages`` has ``_host``, ``page_id`` and ``html``. A pivot is the page of least id of a layout that
     gives enough pages for evidence, for the PIVOTS most frequent ones; a host without such a layout has its
@@ -444,7 +439,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     laid = pages.select("_host", "page_id", "html").mapInArrow(trimmed(_layouts), "_host string, page_id long, layout long")
     laid = scratch(laid.groupBy("_host", "layout").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")), "layouts")
     several = laid.groupBy("_host").agg(F.sum("n").alias("n")).filter("n > 1").select("_host")
-    frequent = F.col("n") > PAGES_IN_ARTICLE
+    frequent = F.col("n") > LEAST_PAGES
     order = Window.partitionBy("_host").orderBy(F.when(frequent, F.col("n")).otherwise(0).desc(), "page_id", "layout")
     hosts = laid.join(several, "_host", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS)
     hosts = scratch(hosts.filter((F.col("rank") == 1) | frequent).select("_host", "page_id", "layout"), "hosts")
@@ -454,46 +449,33 @@ def wrappers(pages: DataFrame) -> DataFrame:
     pivots = pivots.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("layout", "tree"))).alias("p"))  # at most PIVOTS
     pivots = scratch(pivots.select("_host", F.col("p.layout").alias("layouts"), F.col("p.tree").alias("trees")), "pivots")
     size = F.aggregate("trees", F.lit(0), lambda n, t: n + F.octet_length(t)) + F.octet_length("_host") + 128
-    others = small_join(pages, pivots, "_host", "inner", size)
+    body = pages.withColumn("_body", F.md5("html"))
+    copied = scratch(body.groupBy("_host", "_body").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copied")
+    others = small_join(body, copied, ["_host", "_body"], "left", F.octet_length("_host") + 64)
+    others = small_join(others.withColumn("copies", F.coalesce("copies", F.lit(1))), pivots, "_host", "inner", size)
     counted = (
-        others.select("_host", "html", "layouts", "trees")
-        .mapInArrow(trimmed(_compare), "_host string, pivot int, node int, aligned long, equal long")
+        others.select("_host", "html", "layouts", "trees", "copies")
+        .mapInArrow(trimmed(_compare), "_host string, pivot int, node int, aligned double, equal double")
         .groupBy("_host", "pivot", "node")
         .agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal"))
         # a pivot itself was compared as well and equals itself
-        .withColumns({c: F.greatest(F.col(c) - 1, F.lit(0)) for c in ("aligned", "equal")})
+        .withColumns({c: F.greatest(F.round(F.col(c) - 1, 6), F.lit(0.0)) for c in ("aligned", "equal")})
         .groupBy("_host")
         .agg(F.sort_array(F.collect_list(F.struct("pivot", "node", "aligned", "equal"))).alias("s"))  # the pivots' nodes
     )
     return scratch(pivots.join(counted, "_host"), "wrappers")
 
 
-def main_text(page: Page, mapped: list[int] | None, counts: dict[int, tuple[int, int]]) -> str:
+def main_text(page: Page, mapped: list[int] | None, counts: dict[int, tuple[float, float]]) -> str:
     """The text of the blocks that are content."""
-    plain = [b for b in page.blocks if not b[2]]
-
-    def changes(node: int) -> float | None:
-        """The share of pages that say otherwise, 1 for a node that the pivot lacks, None if unknown."""
-        if mapped is None or not counts:
-            return None
-        aligned, equal = counts.get(mapped[node], (0, 0)) if mapped[node] >= 0 else (1, 0)
-        return 1 - equal / aligned if aligned else None
-
-    if page.marked:
-        inside = [b for b in plain if b[3]]
-        if mapped is not None and counts and any((changes(b[0]) or 0) >= 0.5 for b in inside if mapped[b[0]] >= 0):
-
-            def template(node: int) -> bool:
-                aligned, equal = counts.get(mapped[node], (0, 0))
-                return aligned >= PAGES_IN_ARTICLE and equal >= CONSTANT_IN_ARTICLE * aligned
-
-            inside = [b for b in inside if mapped[b[0]] < 0 or not template(b[0])]
-        return "\n\n".join(b[1] for b in inside)
-    slots = [(b, changes(b[0])) for b in plain]
-    if any(c is not None and c > 1 - CONSTANT for _, c in slots):
-        kept = [b for b, c in slots if (c is None or c > 1 - CONSTANT) and b[5] <= MOST_LINKS]
-    else:
-        kept = [b for b in plain if b[5] <= MOST_LINKS and (b[4] in TEXTUAL or len(b[1]) >= LEAST_CHARS)]
+    kept = [b for b in page.blocks if not b[2] and (b[3] or not page.marked)]
+    if mapped is not None and counts:
+        # a node that the pivot lacks, or that no other page has, is no evidence
+        seen = [counts.get(mapped[b[0]], (0, 0)) if mapped[b[0]] >= 0 else (0, 0) for b in kept]
+        if any(aligned and equal <= 0.5 * aligned for aligned, equal in seen):
+            left = [b for b, (aligned, equal) in zip(kept, seen) if aligned < LEAST_PAGES or equal < CONSTANT * aligned]
+            if sum(len(b[1]) for b in left) >= LEAST_SHARE * sum(len(b[1]) for b in kept):
+                kept = left
     return "\n\n".join(b[1] for b in kept)
 
 

@@ -122,6 +122,21 @@ def test_html_template_of_each_layout(spark):
     assert all(by[i] == f"Story {i} tells of {i * 7} things" for i in range(1, 61))
 
 
+def test_html_copies_and_odd_blocks_are_kept(spark):
+    article = "".join(f"<div>Part {k} of a long and winding tale that is told on each mirror of the page</div>" for k in range(6))
+    rows = [(i, f"https://two.example/{i}", f"<body>{article}<div>Seen {i} times</div></body>") for i in range(2)]
+    rows += [(100 + i, f"https://many.example/{i}", f"<body>{article}<div>Seen {i} times</div></body>") for i in range(40)]
+    # 40 equal pages are one page, and three that differ are no evidence
+    rows += [(200 + i, f"https://same.example/{i}", f"<body>{article}<div>Seen</div></body>") for i in range(40)]
+    rows += [(300 + i, f"https://same.example/x{i}", f"<body>{article}<div>Once upon a time {'or more ' * 20}{i}</div></body>") for i in range(3)]
+    rows += [(400, "https://one.example/", "<body><div>Short</div><div><a href=/x>All of it a link</a></div><p>Text</p></body>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(t.count("long and winding") == 6 for i, t in got.items() if i < 400)
+    assert all(f"Seen {i % 100} times" in got[i] for i in (0, 1, *range(100, 140)))
+    assert got[400] == "Short\n\nAll of it a link\n\nText"
+
+
 def test_html_of_all_pages(spark, sf):
     import html as std
 
