@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,8 +78,10 @@ CONSTANT, LEAST_PAGES = 0.95, 20
 LEAST_SHARE = 0.2
 #: Most pivots of a host, and levels of blocks by which layouts are told apart.
 PIVOTS, LEVELS = 8, 3
-#: Pairs of children aligned by the full matching; wider levels are aligned by their labels in turn.
-WIDEST = 200_000
+#: Pairs of children of which a table is held; that of wider levels is made row by row, and again in parts.
+WIDEST = 20_000
+#: Weights of pairs of subtrees that are remembered at once.
+MOST_WEIGHTS = 1_000_000
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -242,7 +245,8 @@ class Tree:
 
 
 def align(page: Tree, pivot: Tree) -> list[int]:
-    """The pivot's node for each node of the page by simple tree matching, -1 where there is none."""
+    """The pivot's node for each node of the page by simple tree matching, -1 where there is none. Levels of
+    any width are matched exactly, in memory of the square root of their pairs times the pivot's children."""
     mapped = [-1] * len(page.labels)
     todo = [(0, 0)]
     weights: dict[tuple[int, int], int] = {}
@@ -262,15 +266,20 @@ def align(page: Tree, pivot: Tree) -> list[int]:
             return 0
         if page.shape[i] == pivot.shape[j]:
             return page.sizes[i]
-        found = weights.get((i, j))
+        if page.sizes[i] == 1 or pivot.sizes[j] == 1:
+            return 1
+        key = page.shape[i], pivot.shape[j]
+        found = weights.get(key)
         if found is None:
             a, b = page.children[i], pivot.children[j]
             head, tail = ends(a, b)
             found = 1 + sum(page.sizes[x] for x in a[:head]) + sum(page.sizes[x] for x in a[len(a) - tail :])
             a, b = a[head : len(a) - tail], b[head : len(b) - tail]
             if a and b:
-                found += table_of(a, b)[-1][-1] if len(a) * len(b) <= WIDEST else 0
-            weights[i, j] = found
+                found += table_of(a, b)[-1][-1] if len(a) * len(b) <= WIDEST else int(last_row(a, b)[-1])
+            if len(weights) >= MOST_WEIGHTS:
+                weights.clear()
+            weights[key] = found
         return found
 
     def table_of(a: list[int], b: list[int]) -> list[list[int]]:
@@ -286,6 +295,38 @@ def align(page: Tree, pivot: Tree) -> list[int]:
             rows.append(row)
         return rows
 
+    def rows_of(a: list[int], b: list[int], row: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows of the table after ``row``, one for each of ``a``."""
+        found: dict[str, list[int]] = {}
+        for k, y in enumerate(b):
+            found.setdefault(pivot.labels[y], []).append(k)
+        by_label = {label: np.array(at) for label, at in found.items()}
+        for x in a:
+            best = row[1:].copy()
+            at = by_label.get(page.labels[x])
+            if at is not None:
+                w = 1 if page.sizes[x] == 1 else np.array([weight(x, b[k]) for k in at], np.int64)
+                best[at] = np.maximum(best[at], row[at] + w)
+            row = np.concatenate([row[:1], np.maximum.accumulate(best)])
+            yield row
+
+    def last_row(a: list[int], b: list[int]) -> np.ndarray:
+        row = np.zeros(len(b) + 1, np.int64)
+        for row in rows_of(a, b, row):  # noqa: B020
+            pass
+        return row
+
+    def wide_parts(a: list[int], b: list[int]) -> Iterator[tuple[int, list]]:
+        """(number of the first row, rows) of the table in parts from its end, each but for its last row the
+        beginning of the one before: of the whole table only the parts' first rows are held."""
+        step = int(len(a) ** 0.5) + 1
+        firsts = [np.zeros(len(b) + 1, np.int64)]
+        for k, row in enumerate(rows_of(a, b, firsts[0]), 1):
+            if k % step == 0:
+                firsts.append(row)
+        for part in range(len(firsts) - 1, -1, -1):
+            yield part * step, [firsts[part], *rows_of(a[part * step : (part + 1) * step], b, firsts[part])]
+
     def same(i: int, j: int) -> None:
         for k in range(page.sizes[i]):
             mapped[i + k] = j + k
@@ -300,28 +341,20 @@ def align(page: Tree, pivot: Tree) -> list[int]:
         a, b = a[head : len(a) - tail], b[head : len(b) - tail]
         if not a or not b:
             continue
-        if len(a) * len(b) > WIDEST:
-            k = 0
-            for x in a:
-                for l in range(k, min(k + 8, len(b))):
-                    if page.labels[x] == pivot.labels[b[l]]:
-                        todo.append((x, b[l]))
-                        k = l + 1
-                        break
-            continue
-        rows = table_of(a, b)
+        parts = iter([(0, table_of(a, b))]) if len(a) * len(b) <= WIDEST else wide_parts(a, b)
         x, y = len(a), len(b)
-        while x and y:
-            if rows[x][y] == rows[x - 1][y]:
-                x -= 1
-            elif rows[x][y] == rows[x][y - 1]:
-                y -= 1
-            else:
-                x, y = x - 1, y - 1
-                if page.shape[a[x]] == pivot.shape[b[y]]:
-                    same(a[x], b[y])
+        for first, rows in parts:
+            while x > first and y:
+                if rows[x - first][y] == rows[x - 1 - first][y]:
+                    x -= 1
+                elif rows[x - first][y] == rows[x - first][y - 1]:
+                    y -= 1
                 else:
-                    todo.append((a[x], b[y]))
+                    x, y = x - 1, y - 1
+                    if page.shape[a[x]] == pivot.shape[b[y]]:
+                        same(a[x], b[y])
+                    else:
+                        todo.append((a[x], b[y]))
     return mapped
 
 

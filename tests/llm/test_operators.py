@@ -92,6 +92,30 @@ def test_html_alignment_is_simple_tree_matching():
         assert all(a.labels[i] == b.labels[j] for i, j in enumerate(mapped) if j >= 0)
 
 
+def test_html_alignment_of_wide_levels_is_exact(monkeypatch):
+    rng = random.Random(6)
+    piece = ["<p>t</p>", "<h2>h</h2>", "<div><p>t</p></div>", "<ul><li>a</ul>", "<div><p>a</p><h2>b</h2></div>"]
+
+    def tree(parts):
+        p = html.Page("".join(parts))
+        return html.Tree(p.labels, p.sizes, p.said)
+
+    for _ in range(30):
+        a, b = (tree(["<section>", *rng.choices(piece, k=rng.randint(1, 40)), "</section>", *rng.choices(piece, k=20)]) for _ in range(2))
+        monkeypatch.setattr(html, "WIDEST", 10**9)
+        want = html.align(a, b)
+        monkeypatch.setattr(html, "WIDEST", 0)
+        assert html.align(a, b) == want
+    monkeypatch.undo()
+    # a run of blocks put into a long flat page, whose ends differ as well
+    flat = rng.choices(piece, k=700)
+    longer = ["<hr><h3>new</h3>", *flat[:300], *["<p>t</p><h2>h</h2>"] * 60, *flat[300:], "<h4>end</h4>"]
+    mapped = html.align(tree(longer), tree(["<h5>old</h5>", *flat, "<h6>end</h6>"]))
+    assert sum(j >= 0 for j in mapped) == len(tree(flat).labels)
+    inner = html.align(tree(["<section>", *longer, "</section>"]), tree(["<section><h5>old</h5>", *flat, "<h6>end</h6></section>"]))
+    assert sum(j >= 0 for j in inner) == len(tree(flat).labels) + 1
+
+
 def test_html_template_is_left_out(spark):
     rows = []
     for i in range(30):
