@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded
 
 log = logging.getLogger(__name__)
-SEED, SAMPLE, SILHOUETTE_SAMPLE = 42, 5000, 2000
+SEED = 42
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = SEED, key: str = "doc_id") -> DataFrame:
@@ -50,11 +50,11 @@ def encode_labels(df: DataFrame, label: str = "party") -> DataFrame:
     return named.join(numbered, label)
 
 
-def evaluate(embeddings: DataFrame, model_name: str = "", sample: int = SAMPLE, plot: bool = False) -> dict:
-    """Cluster a bounded sample into as many groups as it has parties; ``ari`` against the parties,
+def evaluate(embeddings: DataFrame, model_name: str = "", sample: int | None = None, plot: bool = False) -> dict:
+    """Cluster all vectors, or a sample of so many, into as many groups as they have parties; ``ari`` against the parties,
     ``silhouette`` (cosine) of the clusters, counts and, with ``plot``, ``points`` (doc_id, party,
     cluster, x, y by principal components). No vectors: ValueError."""
-    rows = encode_labels(seeded_sample(embeddings, sample)).withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
+    rows = encode_labels(embeddings if sample is None else seeded_sample(embeddings, sample)).withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
     rows = rows.cache()
     try:
         n = rows.count()
@@ -63,10 +63,9 @@ def evaluate(embeddings: DataFrame, model_name: str = "", sample: int = SAMPLE,
         parties = rows.select("label_id").distinct().count()
         clustered = KMeans(k=max(2, parties), seed=SEED, maxIter=300).fit(rows).transform(rows)
         ari = adjusted_rand_index(clustered, "label_id", "prediction").first()["ari"]
-        part = seeded_sample(clustered, SILHOUETTE_SAMPLE, SEED + 1)
         silhouette = None
-        if part.select("prediction").distinct().count() > 1:
-            silhouette = round(ClusteringEvaluator(metricName="silhouette", distanceMeasure="cosine").evaluate(part), 4)
+        if clustered.select("prediction").distinct().count() > 1:
+            silhouette = round(ClusteringEvaluator(metricName="silhouette", distanceMeasure="cosine").evaluate(clustered), 4)
         found = {"model_name": model_name, "ari": ari, "silhouette": silhouette, "n_samples": n, "n_parties": parties}
         if plot:
             reduced = PCA(k=2, inputCol="features", outputCol="_xy").fit(clustered).transform(clustered)
@@ -77,7 +76,7 @@ def evaluate(embeddings: DataFrame, model_name: str = "", sample: int = SAMPLE,
         rows.unpersist()
 
 
-def tournament(candidates: Mapping[str, DataFrame], sample: int = SAMPLE) -> tuple[str, list[dict]]:
+def tournament(candidates: Mapping[str, DataFrame], sample: int | None = None) -> tuple[str, list[dict]]:
     """(best model, all results): each candidate by its own vectors. The highest ARI wins, the first of
     equals; a candidate that fails is left out; none left: RuntimeError."""
     results = []

@@ -178,6 +178,16 @@ def test_tournament(spark):
         evaluation.tournament({"none": frames["none"]})
 
 
+def test_evaluation_is_of_all_vectors(spark):
+    party = F.when(F.col("id") == 0, "Rare").otherwise(F.concat(F.lit("P"), F.col("id") % 2))
+    vector = F.array(F.col("id") % 2 + 0.001 * (F.col("id") % 7), 1.0 - F.col("id") % 2).cast("array<float>")
+    df = spark.range(5200).select(F.col("id").cast("string").alias("doc_id"), vector.alias("vector"), party.alias("party"))
+    found = evaluation.evaluate(df, plot=True)
+    assert (found["n_samples"], found["n_parties"]) == (5200, 3)
+    assert found["points"].count() == 5200 and found["points"].filter("party = 'Rare'").count() == 1
+    assert evaluation.evaluate(df, sample=100)["n_samples"] == 100
+
+
 def test_command_line(spark, folder, tmp_path):
     def run(*argv):
         args = cli.parser().parse_args([*argv, "-c", "de", "--graph-dir", str(tmp_path / "g")])
