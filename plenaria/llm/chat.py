@@ -6,10 +6,11 @@ Grammar of a formatted conversation::
     turn         := "### " role ":" NL body "</turn>" NL
     role, body   := characters; "\\" takes the next character literally
 
-Inside a body an unescaped ``### `` or ``</turn>`` is a control string, so the parser refuses the
-first and ends the turn at the second. A conversation is first rendered without any escapes, then
-parsed back; every turn that does not come back as it was gets its backslashes and control strings
-escaped, and the text is rendered and parsed again until the turns are identical to the source.
+Inside a body an unescaped ``### `` or ``</turn>`` is a control string, wherever it stands: the parser
+refuses the first and ends the turn at the second, behind which a line feed has to follow. A
+conversation is first rendered without any escapes, then parsed back; every turn that does not come
+back as it was (each one that holds a backslash or a control string) gets its backslashes and control
+strings escaped, and the text is rendered and parsed again until the turns are identical to the source.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 OPEN, CLOSE, LEARNED = "### ", "</turn>", "assistant"
-_BODY = re.compile(r"\\.|### |</turn>\n", re.S)
+_BODY = re.compile(r"\\.|### |</turn>", re.S)
 _ROLE = re.compile(r"\\.|:\n", re.S)
 _CONFLICT = re.compile(r"\\|### |</turn>")
 _ROLE_CONFLICT = re.compile(r"[\\:\n]")
@@ -59,10 +60,10 @@ def parse(formatted: str) -> list[tuple[str, int, int]] | None:
             return None
         body = role_end + 2
         stop = next((m for m in _BODY.finditer(formatted, body) if m[0][0] != "\\"), None)
-        if stop is None or stop[0] == OPEN:
+        if stop is None or stop[0] == OPEN or not formatted.startswith("\n", stop.end()):
             return None
         turns.append((_unescape(formatted[start:role_end]), body, stop.start()))
-        at = stop.end()
+        at = stop.end() + 1
     return turns
 
 

@@ -297,6 +297,29 @@ def test_chat_escapes_only_what_conflicts():
         assert chat.recover(chat.format_turns([("user", text), (text, text)])) == [("user", text), (text, text)]
 
 
+def test_chat_control_strings_are_escaped_wherever_they_stand(spark, tmp_path):
+    """Formatted by Spark, against the SQL, on texts that hold control strings and on a long one."""
+    import duckdb
+
+    assert chat.format_turns([("user", "a </turn> ok")]) == "### user:\na \\</turn> ok</turn>\n"
+    said = ["a </turn> ok", "</turn>", "x</turn>\n", "#### y", "\\", "a\\### b", "no marks", None, "</turn" + ">" * 3, "long </turn> " * 100_000]
+    rows = [(c, t, ("user", "assistant")[t % 2], said[(c + t) % len(said)]) for c in range(len(said)) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    folder = str(tmp_path / "sf")
+    df.write.parquet(f"{folder}/conversations.parquet")
+    got = chat.op4_chat_formatting(spark, folder)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    want = con.sql(chat.OP4_SQL)
+    order = [want.columns.index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
+    for r in chat.format_conversations(df).collect():
+        text = r.formatted
+        assert all(text[s.end :].startswith("</turn>\n") for s in r.spans)
+        bodies = [text[s.start : s.end] for s in r.spans]
+        assert not any(re.search(r"(?<!\\)</turn>|(?<!\\)### ", re.sub(r"\\\\", "", b)) for b in bodies)
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 1, "assistant", None), (1, 0, None, "q"), (1, 1, "assistant", None), (None, None, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(0))
