@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Most bytes of a side that may be broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
+#: A value is hot if more than one in so many rows hold it.
+HOT_VALUES = 512
+
 _made: list[tuple[SparkSession, str, str | None]] = []
 
 
@@ -69,3 +72,17 @@ def fits(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> bool:
 def small_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes) -> DataFrame:
     """Join with a broadcast of ``right`` if its measured size allows it, by shuffle otherwise."""
     return left.join(F.broadcast(right) if fits(right, row_bytes) else right, on, how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
+    """Inner join with ``right``, which has one row for each value of ``on`` and, as ``n``, how many rows of
+    ``left`` hold it, of ``total`` in all. Values of more than a 512th of the rows (so fewer than 512 values)
+    are sent to all tasks, so that no task gets their rows; the others are joined as ever. ``n`` goes."""
+    often = F.col("n") > total // HOT_VALUES
+    values = [c for c in right.columns if c not in (on, "n")]
+    hot = right.filter(often).select(on, F.struct(*values).alias("_hot"))
+    marked = left.join(F.broadcast(hot), on, "left")
+    names = [c for c in left.columns if c != on]
+    here = marked.filter("_hot IS NOT NULL").select(on, *names, *(F.col("_hot")[c].alias(c) for c in values))
+    rest = marked.filter("_hot IS NULL").drop("_hot").join(right.filter(~often).drop("n"), on)
+    return here.unionByName(rest.select(*here.columns))

@@ -455,7 +455,7 @@ def test_simhash(spark, texts, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_simhash_key_families_and_large_keys():
+def test_simhash_key_families_and_large_keys(spark, monkeypatch):
     from itertools import combinations
 
     assert all(any(set(k) <= set(five) for k in simhash.KEYS) for five in combinations(range(8), 5))
@@ -467,19 +467,43 @@ def test_simhash_key_families_and_large_keys():
             x ^= 1 << b
         made.add(x)
     prints = np.array(sorted(made), np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "print long")
     want = groups({i: int(p) for i, p in enumerate(prints)})
-    for block in (2048, 64):
-        before, simhash.BLOCK = simhash.BLOCK, block
-        try:
-            pairs = simhash._links(prints, (0, 1, 2, 3))
-        finally:
-            simhash.BLOCK = before
-        assert all((int(prints[a]) ^ int(prints[b])).bit_count() <= 3 for a, b in pairs)
-        # pairs that share a fifth byte are all that a key owes; here most do, and none may be invented
-        assert len({want[a] for a, b in pairs} | {want[b] for a, b in pairs}) <= len(set(want.values()))
-        if block == 2048:
-            whole = len(pairs)
-    assert len(pairs) == whole
+    assert 1 < len(set(want.values())) < 600
+    number = {int(x): i for i, x in enumerate(prints.view(np.int64))}
+    # keys as they are; those of over 64 entries by five bytes; and of those, the large ones by flips
+    for block in (2048, 64, 3):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        found = [(number[r.a], number[r.b]) for r in simhash.links(df).collect()]
+        assert all(1 <= (int(prints[a]) ^ int(prints[b])).bit_count() <= 3 for a, b in found)
+        own = {i: i for i in range(len(prints))}
+        for _ in range(20):
+            for a, b in found:
+                own[a] = own[b] = min(own[a], own[b])
+        assert own == want
+    five = (0, 1, 2, 3, 4)
+    some = np.unique(np.uint64(0x1234567890000000) | np.array([rng.getrandbits(24) & rng.getrandbits(24) & rng.getrandbits(24) for _ in range(500)], np.uint64))
+    forests = []
+    for block in (2048, 3):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        pairs = simhash._links(some, five)
+        own = list(range(len(some)))
+        for _ in range(20):
+            for a, b in pairs:
+                own[a] = own[b] = min(own[a], own[b])
+        forests.append((len(pairs), own))
+    assert forests[0] == forests[1] and 0 < forests[0][0] < len(some)
+
+
+def test_simhash_groups_by_row(spark):
+    rows = [(5, "a b c d e"), (5, "u v w x y z"), (None, "a b c d e"), (3, "a b c d e"), (None, "p q r s t"), (None, None)]
+    got = simhash.near_duplicates(docs(spark, rows), digest=F.md5("text")).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.digest): r for r in got}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert by[5, md5("a b c d e")].component_id == by[None, md5("a b c d e")].component_id == 3
+    assert by[5, md5("u v w x y z")].component_id == 5 and by[None, md5("p q r s t")].component_id is None
+    assert len({r.component for r in got}) == 4
 
 
 # --- 7: decontamination
