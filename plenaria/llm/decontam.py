@@ -4,9 +4,10 @@ A fixed mask reads some of the words that follow a position and ignores the othe
 substituted word at an ignored place does not change the hash. Test items are hashed under every
 mask at every position, documents likewise, and equal hashes are hits. Each hit fixes how document
 and item would lie on each other; that alignment is verified word by word, and counts as a leak if
-it holds a stretch of at least ``MIN_WORDS`` words of which ``SIMILARITY`` are equal; an item of
-fewer words must be there whole, with no word substituted. The masks find every stretch of 13 words with up to two substitutions,
-of 15 with three and of 20 with four.
+it holds a stretch of at least ``MIN_WORDS`` words, or of the whole item if it has fewer, of which
+``SIMILARITY`` are equal. So an item of one to four words has to be there word for word, one of five to
+nine with one substitution at most, one of ten to twelve with two. The masks find all of these, and
+every stretch of 13 words with up to two substitutions, of 15 with three and of 20 with four.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .textarrays import Chunk, chunks, mixed, span_hashes, trimmed
@@ -26,10 +28,12 @@ from .textarrays import Chunk, chunks, mixed, span_hashes, trimmed
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4), (0, 1, 3, 5, 6))
 MIN_WORDS = 13
 SIMILARITY = 0.8
-#: Items of fewer words hold no evidence of their own and are not searched for.
-LEAST_ITEM = 5
-#: Text of test items that is hashed and sent to the executors at once; larger sets go in blocks.
-BLOCK_BYTES = 16 << 20
+#: Items of fewer words than the first are read whole; those of fewer than MIN_WORDS by these masks as well.
+WHOLE_BELOW = 5
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+#: Text of test items that is hashed and sent to the executors at once; larger sets go in blocks. A word of
+#: it takes 56 bytes of the index (more in items under MIN_WORDS): some 80 MB a block.
+BLOCK_BYTES = 8 << 20
 _BITS = 22
 _FACTORS = mixed(np.arange(1, 8, dtype=np.uint64)) | np.uint64(1)
 _PUNCTUATION = np.zeros(256, bool)
@@ -65,18 +69,27 @@ def _seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Word hashes of some test items and their seeds in order."""
+    """Word hashes of some test items and, by mask, their seeds in order."""
 
     ids: np.ndarray
     words: np.ndarray
     start: np.ndarray
     length: np.ndarray
+    masks: list[tuple[int, ...]]
     seeds: np.ndarray
     seed_item: np.ndarray
     seed_at: np.ndarray
     bits: np.ndarray
 
 
+def _read_by(mask: tuple[int, ...], length: np.ndarray) -> np.ndarray:
+    """Which items, by their length, a mask is for."""
+    if mask in MASKS:
+        return length >= WHOLE_BELOW
+    short = (length >= WHOLE_BELOW) & (length < MIN_WORDS) if mask in SHORT_MASKS else np.zeros(len(length), bool)
+    return short | (length == len(mask)) if mask == tuple(range(len(mask))) else short
+
+
 def index(items: pa.Table) -> Index:
     words, ids, lengths = [], [], []
     for batch in items.to_batches():
@@ -89,27 +102,31 @@ def index(items: pa.Table) -> Index:
     word = np.concatenate(words) if words else np.empty(0, np.uint64)
     length = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
     start = np.cumsum(length) - length
-    owner = np.repeat(np.arange(len(length)), length)
-    seeds, item, at = [], [], []
-    for mask in MASKS:
+    owner = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    masks, seeds, item, at = [], [], [], []
+    for mask in (*MASKS, *SHORT_MASKS, *(tuple(range(n)) for n in range(1, WHOLE_BELOW - 1))):
         s = _seeds(word, mask)
-        inside = np.flatnonzero(owner[: len(s)] == owner[mask[-1] : mask[-1] + len(s)]) if len(s) else np.empty(0, np.int64)
-        seeds.append(s[inside])
-        item.append(owner[inside])
-        at.append(inside - start[owner[inside]])
-    seeds, item, at = np.concatenate(seeds), np.concatenate(item), np.concatenate(at)
-    order = np.argsort(seeds, kind="stable")
+        own = owner[: len(s)]
+        inside = np.flatnonzero((own == owner[mask[-1] : mask[-1] + len(s)]) & _read_by(mask, length)[own])
+        if len(inside):
+            masks.append(mask)
+            seeds.append(s[inside])
+            item.append(own[inside])
+            at.append((inside - start[own[inside]]).astype(np.int32))
+    seed = np.concatenate([np.empty(0, np.uint64), *seeds])
+    seed_item, seed_at = (np.concatenate([np.empty(0, np.int32), *x]) for x in (item, at))
+    order = np.argsort(seed, kind="stable")
     bits = np.zeros(1 << _BITS, bool)
-    bits[seeds >> np.uint64(64 - _BITS)] = True
+    bits[seed >> np.uint64(64 - _BITS)] = True
     found = np.concatenate(ids) if ids else np.empty(0, np.int64)
-    return Index(found, word, start, length, seeds[order], item[order], at[order], bits)
+    return Index(found, word, start, length, masks, seed[order], seed_item[order], seed_at[order], bits)
 
 
 def _verified(ix: Index, words: np.ndarray, first: np.ndarray, count: np.ndarray, item: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether it is a leak, equal words) of alignments: document words ``first`` to ``first + count``
     against ``item``, whose word j lies on the document's word j + ``shift``."""
     low = np.maximum(0, -shift)
-    size = np.minimum(ix.length[item], count - shift) - low
+    size = np.maximum(np.minimum(ix.length[item], count - shift) - low, 0)
     ends = np.cumsum(size)
     seg = np.repeat(np.arange(len(item)), size)
     at = np.arange(len(seg)) - np.repeat(ends - size, size)
@@ -127,46 +144,55 @@ def _verified(ix: Index, words: np.ndarray, first: np.ndarray, count: np.ndarray
     leak = np.zeros(len(item), bool)
     leak[seg[good]] = True
     matched = np.bincount(seg, weights=equal, minlength=len(item)).astype(np.int64)
-    return leak & ((ix.length[item] >= MIN_WORDS) | (matched == ix.length[item])), matched
+    return leak, matched
 
 
-#: Words of alignments that are verified at once.
+#: Hits that are put together, and words of alignments that are verified, at once.
 _AT_ONCE = 2_000_000
 
 
-def _search(ix: Index, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, item's number, equal words) of the leaks in a chunk."""
-    words, text = _words(chunk)
-    n = len(chunk.texts)
-    count = np.bincount(text, minlength=n)
-    first = np.cumsum(count) - count
-    found = []
-    for mask in MASKS:
+def _hits(ix: Index, words: np.ndarray, text: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """(text's number, item's number, shift) of the hits of a chunk, so many at once; a phrase of many items
+    that stands at many places gives many."""
+    for mask in ix.masks:
         seeds = _seeds(words, mask)
-        if not len(seeds) or not len(ix.seeds):
-            continue
         maybe = np.flatnonzero(ix.bits[seeds >> np.uint64(64 - _BITS)])
         maybe = maybe[text[maybe] == text[maybe + mask[-1]]]
         left = np.searchsorted(ix.seeds, seeds[maybe], side="left")
         hits = np.searchsorted(ix.seeds, seeds[maybe], side="right") - left
-        some = hits > 0
-        at, left, hits = maybe[some], left[some], hits[some]
-        each = np.repeat(left, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
-        at = np.repeat(at, hits)
-        found.append(np.stack([text[at], ix.seed_item[each], at - first[text[at]] - ix.seed_at[each]]))
+        ends = np.cumsum(hits)
+        for lo in range(0, int(hits.sum()), _AT_ONCE):
+            number = np.arange(lo, min(lo + _AT_ONCE, int(ends[-1])))
+            k = np.searchsorted(ends, number, side="right")
+            each = left[k] + number - (ends[k] - hits[k])
+            at = maybe[k]
+            yield np.stack([text[at], ix.seed_item[each], at - first[text[at]] - ix.seed_at[each]])
+
+
+def _search(ix: Index, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, item's number, equal words) of the leaks in a chunk."""
+    words, text = _words(chunk)
+    count = np.bincount(text, minlength=len(chunk.texts))
+    first = np.cumsum(count) - count
     none = np.empty(0, np.int64)
-    if not found:
-        return none, none, none
-    doc, item, shift = np.unique(np.concatenate(found, axis=1), axis=1)
-    keep = ix.length[item] >= LEAST_ITEM
-    doc, item, shift = doc[keep], item[keep], shift[keep]
     out = [(none, none, none)]
-    cuts = np.flatnonzero(np.diff(np.cumsum(ix.length[item]) // _AT_ONCE)) + 1
-    for part in np.split(np.arange(len(doc)), cuts):
-        if len(part):
-            d, i, s = doc[part], item[part], shift[part]
-            leak, equal = _verified(ix, words, first[d], count[d], i, s)
-            out.append((d[leak], i[leak], equal[leak]))
+    held: list[np.ndarray] = []
+
+    def settle() -> None:
+        if held:
+            doc, item, shift = np.unique(np.concatenate(held, axis=1), axis=1)
+            held.clear()
+            cuts = np.flatnonzero(np.diff(np.cumsum(ix.length[item]) // _AT_ONCE)) + 1
+            for part in np.split(np.arange(len(doc)), cuts):
+                d, i, s = doc[part], item[part], shift[part]
+                leak, equal = _verified(ix, words, first[d], count[d], i, s)
+                out.append((d[leak], i[leak], equal[leak]))
+
+    for found in _hits(ix, words, text, first):
+        held.append(found)
+        if sum(x.shape[1] for x in held) >= _AT_ONCE:
+            settle()
+    settle()
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -181,19 +207,20 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Index]:
         yield index(block.toArrow())
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, key: Column | None = None) -> DataFrame:
     """(``doc_id``, ``item_id``, ``matched_words``, ``item_words``) of each document and test item that
     share a leak, once each.
 
     Words are lower-cased (A-Z) runs between ASCII white space, without ASCII punctuation around
     them. The benchmark goes to the executors in blocks of a bounded size, each searched for in all
     whole documents. Null or empty texts leak nothing, rows of one id count as one document, a null
-    doc_id is one as well, items without an id or of fewer than LEAST_ITEM words are not searched
-    for, and an empty table gives no rows. Other columns are not used.
+    doc_id is one as well, items without an id or a word are not searched for, and an empty table gives no
+    rows. Other columns are not used. ``key``: what identifies a document, in place of its doc_id and in
+    a column of that name.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, matched_words long, item_words long"
+    rows = documents.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), "text")
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("item_id", "matched_words", "item_words"))])
     found = spark.createDataFrame([], schema)
     for ix in _blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(ix)

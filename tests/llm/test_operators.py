@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -512,9 +513,10 @@ def test_simhash_groups_by_row(spark):
 def test_masks_find_every_substitution():
     from itertools import combinations
 
-    for width, bad in ((13, 2), (15, 3), (20, 4)):
+    for width, bad in (*((n, n // 5) for n in range(1, 13)), (13, 2), (15, 3), (20, 4)):
+        masks = [m for m in (*decontam.MASKS, *decontam.SHORT_MASKS, (0,), (0, 1), (0, 1, 2)) if decontam._read_by(m, np.array([width]))[0]]
         for gone in combinations(range(width), bad):
-            assert any(all(o + p not in gone for p in m) for m in decontam.MASKS for o in range(width - m[-1]))
+            assert any(all(o + p not in gone for p in m) for m in masks for o in range(width - m[-1])), (width, gone)
 
 
 def leaked(documents, items):
@@ -524,38 +526,51 @@ def leaked(documents, items):
         w = split(t)
         for i, s in items:
             v = split(s)
-            if i is None or len(v) < 5:
+            if i is None or not v:
                 continue
             for shift in range(-len(v) + 1, len(w)):
                 lo, hi = max(0, -shift), min(len(v), len(w) - shift)
                 same = [w[q + shift] == v[q] for q in range(lo, hi)]
                 sums = np.concatenate([[0], np.cumsum([20 if x else -80 for x in same])])
                 least = min(13, len(v))
-                if (len(v) >= 13 or sum(same) == len(v)) and any(sums[b] - sums[: b - least + 1].min() >= 0 for b in range(least, len(sums))):
+                if any(sums[b] - sums[: b - least + 1].min() >= 0 for b in range(least, len(sums))):
                     found.add((d, i))
                     break
     return found
 
 
-def test_leaks(spark, none):
+def test_leaks(spark, none, monkeypatch):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([30, 20, 15, 13, 8, 5, 4])] + [(None, "a b c d e f g"), (9, None)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([30, 20, 15, 13, 12, 10, 8, 6, 5, 4])]
+    items += [(10, "the capital is Paris"), (11, "unique"), (12, "two words"), (None, "a b c d e f g"), (19, None), (20, "")]
     rows = []
-    for d in range(60):
-        i, s = items[d % 7]
+    for d in range(130):
+        i, s = items[d % 13]
         v = s.split()
-        for _ in range(d // 7 % 5):
+        for _ in range(d // 13 % 5):
             v[rng.randrange(len(v))] = "other"
         noise = [rng.choice(vocabulary) for _ in range(40)]
         at = rng.randrange(40)
         rows.append((d, " ".join([*noise[:at], *v, *noise[at:]]).replace("w1 ", "W1, ")))
     rows += [(70, None), (71, ""), (72, items[0][1]), (72, items[1][1])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit(0))
+    want = leaked(rows, items)
+    assert {i for _, i in want} >= set(range(13))
     for size in (decontam.BLOCK_BYTES, 100):
         got = decontam.leaks(docs(spark, rows), bench, size).collect()
         assert len(got) == len({(r.doc_id, r.item_id) for r in got})
-        assert {(r.doc_id, r.item_id) for r in got} == leaked(rows, items)
+        assert {(r.doc_id, r.item_id) for r in got} == want
+    monkeypatch.setattr(decontam, "_AT_ONCE", 7)
+    table_of = pa.table({"item_id": pa.array([i for i, t in items if i is not None and t]), "text": [t for i, t in items if i is not None and t]})
+    ix = decontam.index(table_of)
+    chunk = decontam.Chunk(list(range(len(rows))), [(t or "").lower().encode() for _, t in rows])
+    doc, item, _ = decontam._search(ix, chunk)
+    assert {(rows[d][0], int(ix.ids[i])) for d, i in zip(doc, item)} == want
+    digests = {(i, hashlib.md5(t.encode()).hexdigest()): t for i, t in rows if t}
+    one = [((i, h), t) for (i, h), t in digests.items()]
+    keyed = decontam.leaks(docs(spark, rows), bench, key=F.md5("text"))
+    assert {(r.doc_id, r.item_id) for r in keyed.collect()} == {(d[1], i) for d, i in leaked(one, items)}
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
