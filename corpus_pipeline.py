@@ -1,8 +1,10 @@
 """Corpus pipeline: quality classifier, near-duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and read again
-as the next one's ``docs``. All but the last return the columns of ``docs``. Rows without a doc_id
-are scored and cut like others, but no decision is addressed to them by id: they stay.
+as the next one's ``docs``. All but the last return the columns of ``docs``. Decisions are addressed to
+rows by what they hold, not by doc_id, so rows without an id, and different texts of one id, are each
+judged by their own text, whatever else is in the table. Only repeated passages need an order of
+documents: rows without an id are left whole there, and rows of one id take nothing from each other.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenaria.llm import classifier, decontam, pack, simhash, suffix
-from plenaria.llm.common import scratch, small_join, table
+from plenaria.llm.common import fits, scratch, small_join, table
 
 
 def _free_name(docs: DataFrame, name: str) -> str:
@@ -28,14 +30,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near-duplicates."""
-    found = scratch(simhash.near_duplicates(docs).select("doc_id", "component_id"), "components")
-    stays = found.filter("doc_id = component_id").select("doc_id")
-    unique = stays.distinct()
-    kept = small_join(docs.filter("doc_id IS NOT NULL"), unique, "doc_id", "left_semi", F.lit(32))
-    if stays.count() > unique.count():  # rows that repeat an id are one group as well
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group of near-duplicates: that of least doc_id (rows without one come last), then
+    of least md5 of its text, then of least JSON of all its columns, if rows repeat both."""
+    text, repeats, known = (_free_name(docs, n) for n in ("_digest", "_repeats", "_known"))
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    found = simhash.near_duplicates(docs, _digest=digest).select("component", "doc_id", "_digest")
+    rows = found.groupBy("component", "doc_id", "_digest").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_digest", "n")).alias("s"))
+    kept = scratch(first.select(F.col("s.doc_id").alias(known), F.col("s._digest").alias(text), F.col("s.n").alias(repeats)), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(known))
+    marked = docs.withColumn(text, digest)
+    if fits(kept, F.lit(64)):
+        kept = F.broadcast(kept)
+    chosen = marked.join(kept, (marked[text] == kept[text]) & same).drop(kept[text])
+    if kept.filter(F.col(repeats) > 1).isEmpty():
+        return chosen.select(*docs.columns)
+    row = F.struct(*docs.columns)
+    one = chosen.filter(F.col(repeats) > 1).groupBy(known, text).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return chosen.filter(F.col(repeats) == 1).select(*docs.columns).unionByName(one.select("_row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +62,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id IS NOT NULL")
+    """Rows whose text holds no passage of the benchmark."""
+    digest, name = F.md5("text"), _free_name(docs, "_digest")
+    leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark"), key=digest).select(F.col("doc_id").alias(name))
     leaked = scratch(leaked.distinct(), "leaked")
-    return small_join(docs, leaked, "doc_id", "left_anti", F.lit(32))
+    return small_join(docs.withColumn(name, digest), leaked, name, "left_anti", F.lit(64)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
