@@ -1,5 +1,6 @@
 """Every stage of the corpus pipeline against brute force, on its own input."""
 
+import hashlib
 import re
 
 import corpus_pipeline as P
@@ -28,14 +29,43 @@ def test_quality_stage(spark, sf):
     assert sum(i in ids for i in clean) / len(clean) > 0.98 and sum(i in ids for i in junk) / len(junk) < 0.1
 
 
+def one_of_each(rows):
+    """The rows that stay, by brute force over row numbers: (doc_id, text, source)."""
+    group = groups({k: fingerprint(r[1]) for k, r in enumerate(rows)})
+    best = {}
+    for k, (i, t, s) in enumerate(rows):
+        rank = (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), s)
+        if group[k] not in best or rank < best[group[k]][0]:
+            best[group[k]] = rank, (i, t, s)
+    return sorted((r for _, r in best.values()), key=str)
+
+
 def test_near_duplicate_stage(spark, sf):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    cases = [
+        [(5, a, "s"), (5, b, "s")],
+        [(3, a, "s"), (5, a, "s"), (5, b, "s")],
+        [(3, a, "s"), (5, a, "s"), (5, b, "s"), (9, c, "s"), (9, c, "s")],
+        [(None, a, "s"), (None, a, "t"), (None, b, "s"), (7, b, "s"), (None, None, "s"), (8, "", "s"), (8, " ", "s")],
+        [(1, a, "t"), (1, a, "s"), (1, a, None), (2, c, "s"), (2, d, "s"), (None, d, "s")],
+    ]
+    together = [r for case in cases for r in case]
+    for rows in (*cases, together):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_digest": F.lit(1), "n": F.create_map(F.lit("k"), F.lit(1))})
+        kept = P.near_duplicates(spark, docs, sf)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str)
+        want = one_of_each([(i, t, "" if s is None else s) for i, t, s in rows])
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+    # what stays of a case does not depend on other rows that aren't near any of it
+    apart = cases[0] + [(9, c, "s"), (9, c, "s")]
+    kept = P.near_duplicates(spark, spark.createDataFrame(apart, "doc_id long, text string, source string"), sf).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, a), (5, b), (9, c)])
     docs = read(spark, sf)
     docs = docs.unionByName(docs.filter("doc_id < 3")).unionByName(docs.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
     kept = P.near_duplicates(spark, docs, sf)
-    prints = {r.doc_id: fingerprint(r.text) for r in docs.collect() if r.doc_id is not None}
-    want = sorted(i for i, c in groups(prints).items() if i == c)
-    got = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in got if i is not None) == want and got.count(None) == 1 and kept.columns == docs.columns
+    want = one_of_each([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    assert sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str) == want and kept.columns == docs.columns
 
 
 def test_passage_stage(spark, sf):
@@ -57,6 +87,10 @@ def test_leak_stage(spark, sf):
     holding = {i for i, t in rows if any(s in t for _, s in items)}
     assert holding and not holding & kept and kept | holding == {i for i, _ in rows}
     assert {i for i, _ in leaked([r for r in rows if r[0] in sorted(holding)[:3]], items[:20])} <= holding
+    # texts are judged by themselves, whatever their id
+    texts = [(None, items[0][1]), (1, items[0][1]), (1, "nothing of it"), (None, "nothing"), (2, None)]
+    mixed = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted([tuple(r) for r in P.benchmark_leaks(spark, mixed, sf).collect()], key=str) == sorted([(1, "nothing of it"), (None, "nothing"), (2, None)], key=str)
 
 
 def test_empty_and_null_documents(spark, sf):
