@@ -3,9 +3,8 @@
 Words (runs of letters, of digits and of other characters) are hashed to a fixed number of slots.
 Each slot has a sparse index vector of +1 and -1 drawn from its number, and a context vector: the
 sum of the index vectors of its neighbours, over every occurrence in all documents. Both, scaled to
-unit length, make the word's vector; a document's is the mean over its words. Marks that carry no
-letters count as words of their own: a word in capitals, a word that repeats the one before it, and
-a run of words that the document already had. A network with one hidden layer learns the labels
+unit length, make the word's vector, held in whole units so that sums do not depend on their order; a
+document's is the mean over its words. Words are told apart by case. A network with one hidden layer learns the labels
 from a bounded sample, and its logits are divided by a temperature fitted to part of the sample that
 it has not seen, so that scores are probabilities.
 """
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .textarrays import Chunk, chunks, mixed, span_hashes, trimmed
+from .textarrays import Chunk, chunks, mixed, per_text, span_hashes, trimmed
 
 SLOTS = 1 << 15
 DIMENSIONS = 32
@@ -33,24 +32,18 @@ SAMPLE_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 THRESHOLD = 0.3
 HELD_OUT_MODULUS = 5
-ECHO = 4
-
-CAPITALS, AGAIN, ECHOED = SLOTS, SLOTS + 1, SLOTS + 2
-_ALL = SLOTS + 3
+#: Vectors are rounded to this part of one.
+UNIT = 1 << 20
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[32, 9, 10, 11, 12, 13]] = 0
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _CLASS[[*range(48, 58)]] = 2
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """(positions, signs) of the nonzero parts of every slot's index vector."""
-    n = np.arange(_ALL * NONZERO, dtype=np.uint64).reshape(_ALL, NONZERO)
+    n = np.arange(SLOTS * NONZERO, dtype=np.uint64).reshape(SLOTS, NONZERO)
     h = mixed(n + np.uint64(0x51ED2701))
     width = DIMENSIONS // NONZERO  # each nonzero part has a stretch of its own, so none cancel
     place = (h % np.uint64(width)).astype(np.int64) + np.arange(NONZERO) * width
@@ -61,40 +54,19 @@ _PLACE, _SIGN = index_vectors()
 
 
 def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, text's number) of the words and marks of the chunk, in order."""
+    """(slot, text's number) of the words of the chunk, in order."""
     kind = np.concatenate([[0], _CLASS[chunk.data], [0]])
     edge = np.flatnonzero(kind[1:] != kind[:-1])
     if len(edge) < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     word = kind[edge[:-1] + 1] != 0
     start, end = edge[:-1][word], edge[1:][word]
-    text = np.searchsorted(chunk.ends, start, side="right")
-    h = span_hashes(_LOWER[chunk.data], start, end)
-    slot = (h >> np.uint64(64 - 15)).astype(np.int64)
-    upper = np.concatenate([[0], np.cumsum(_UPPER[chunk.data])])
-    capitals = (upper[end] - upper[start] == end - start) & (end - start > 1)
-    same = text[1:] == text[:-1]
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & same
-    echoed = np.zeros(len(h), bool)
-    m = len(h) - ECHO + 1
-    if m > 0:
-        key = text[:m].astype(np.uint64)
-        for i in range(ECHO):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + h[i : i + m]
-        inside = np.flatnonzero(text[:m] == text[ECHO - 1 :])
-        order = np.argsort(key[inside], kind="stable")
-        k = key[inside][order]
-        echoed[inside[order[1:][k[1:] == k[:-1]]]] = True
-    marks = [(capitals, CAPITALS), (again, AGAIN), (echoed, ECHOED)]
-    at = np.concatenate([np.arange(len(h)), *(np.flatnonzero(m) for m, _ in marks)])
-    slots = np.concatenate([slot, *(np.full(np.count_nonzero(m), s) for m, s in marks)])
-    order = np.argsort(at, kind="stable")
-    return slots[order], text[at[order]]
+    h = span_hashes(chunk.data, start, end)
+    return (h >> np.uint64(64 - 15)).astype(np.int64), np.searchsorted(chunk.ends, start, side="right")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_ALL * DIMENSIONS)
+    total = np.zeros(SLOTS * DIMENSIONS)
     for batch in batches:
         for chunk in chunks(batch):
             slot, text = _tokens(chunk)
@@ -104,7 +76,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x, y in ((a, b), (b, a)):
                     for i in range(NONZERO):
                         total += np.bincount(x * DIMENSIONS + _PLACE[y, i], weights=_SIGN[y, i], minlength=len(total))
-    rows = total.reshape(_ALL, DIMENSIONS).astype(np.int64)
+    rows = total.reshape(SLOTS, DIMENSIONS).astype(np.int64)
     some = np.flatnonzero(rows.any(axis=1))
     for at in range(0, len(some), 4096):
         part = some[at : at + 4096]
@@ -115,35 +87,48 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_vectors(documents: DataFrame) -> np.ndarray:
-    """A vector for each slot from the contexts in all documents: SLOTS rows, whatever the corpus."""
+    """A vector for each slot, in units of 1 / UNIT, from the contexts in all documents: SLOTS rows, whatever
+    the corpus."""
     names = [f"c{d}" for d in range(DIMENSIONS)]
     schema = ", ".join(["slot long", *(f"{c} long" for c in names)])
     sums = (
         documents.select("text").mapInArrow(trimmed(_contexts), schema).groupBy("slot").agg(*(F.sum(c).alias(c) for c in names))
     ).toArrow()
-    vectors = np.zeros((_ALL, 2 * DIMENSIONS), np.float32)
+    vectors = np.zeros((SLOTS, 2 * DIMENSIONS))
     for i in range(NONZERO):
-        vectors[np.arange(_ALL), _PLACE[:, i]] = _SIGN[:, i] / np.sqrt(NONZERO)
+        vectors[np.arange(SLOTS), _PLACE[:, i]] = _SIGN[:, i] / np.sqrt(NONZERO)
     if sums.num_rows:
         context = np.stack([sums.column(c).to_numpy() for c in names], axis=1).astype(np.float64)
         length = np.linalg.norm(context, axis=1, keepdims=True)
         vectors[sums.column("slot").to_numpy(), DIMENSIONS:] = context / np.maximum(length, 1)
-    return vectors
+    return np.rint(vectors * UNIT).astype(np.int32)
 
 
 def pooled(chunk: Chunk, vectors: np.ndarray) -> np.ndarray:
-    """Features of each text: the mean word vector, its length, and the text's length."""
+    """Features of each text: the mean word vector, the length of its two halves, the mean product of the index
+    vectors of words so far apart as neighbours reach, and the text's length. Sums are of whole numbers,
+    so a text has the same features whatever texts share its chunk."""
     slot, text = _tokens(chunk)
     n = len(chunk.texts)
-    sums = np.zeros((n, vectors.shape[1]))
+    sums = np.zeros((n, vectors.shape[1]), np.int64)
     for at in range(0, len(slot), 1 << 15):
         own = text[at : at + (1 << 15)]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        sums[own[first]] += np.add.reduceat(vectors[slot[at : at + (1 << 15)]], first, axis=0)
+        sums[own[first]] += np.add.reduceat(vectors[slot[at : at + (1 << 15)]], first, axis=0, dtype=np.int64)
     count = np.bincount(text, minlength=n)[:, None]
-    mean = sums / np.maximum(count, 1)
+    mean = sums / (UNIT * np.maximum(count, 1))
     norms = [np.linalg.norm(part, axis=1, keepdims=True) for part in (mean[:, :DIMENSIONS], mean[:, DIMENSIONS:])]
-    return np.concatenate([mean, *norms, np.log1p(count) / 10], axis=1)
+    near = []
+    for reach in range(1, REACH + 1):
+        a, b = slot[:-reach], slot[reach:]
+        alike = sum(np.where(_PLACE[a, i] == _PLACE[b, i], _SIGN[a, i] * _SIGN[b, i], 0) for i in range(NONZERO))
+        alike[text[:-reach] != text[reach:]] = 0
+        near.append(per_text(alike, text[: len(alike)], n)[:, None] / (NONZERO * np.maximum(count - reach, 1)))
+    return np.concatenate([mean, *norms, *near, np.log1p(count) / 10], axis=1)
+
+
+#: Numbers that ``pooled`` gives of a text.
+FEATURES = 2 * DIMENSIONS + 3 + REACH
 
 
 @dataclass
@@ -250,10 +235,12 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> M
 
     chosen = F.broadcast(sample(labels, rows))  # at most ``rows`` rows
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    found = texts.mapInArrow(trimmed(features), "doc_id long, label int, x array<double>").toArrow()
-    x = np.array(found.column("x").to_pylist(), np.float64).reshape(found.num_rows, 2 * DIMENSIONS + 3)
+    found = texts.mapInArrow(trimmed(features), "doc_id long, label int, x array<double>")
+    # an id that rows repeat counts once, by the least of their features: at most ``rows`` rows
+    found = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("x").alias("x")).toArrow()
+    x = np.array(found.column("x").to_pylist(), np.float64).reshape(found.num_rows, FEATURES)
     y = found.column("label").to_numpy().astype(np.float64)
-    order = np.lexsort((x[:, 0], found.column("doc_id").to_numpy()))
+    order = np.argsort(found.column("doc_id").to_numpy())
     return Model(vectors, fit(x[order], y[order]))
 
 

@@ -685,6 +685,52 @@ def test_classifier_odd(spark, odd, none):
     assert classifier.score(odd, empty, "other").select("other").distinct().count() == 1
 
 
+def test_scores_do_not_depend_on_what_shares_a_chunk(spark, texts):
+    own = [(t or "").encode() for _, t in texts[:80]] + [b"", b"a a a a b b", b"word " * 50_000]
+    vectors = np.rint(np.random.default_rng(1).normal(0, 0.2, (classifier.SLOTS, 2 * classifier.DIMENSIONS)) * classifier.UNIT).astype(np.int32)
+    together = classifier.pooled(classifier.Chunk(list(range(len(own))), own), vectors)
+    assert together.shape == (len(own), classifier.FEATURES)
+    for k, t in enumerate(own):
+        assert np.array_equal(classifier.pooled(classifier.Chunk([0], [t]), vectors)[0], together[k])
+    slot, _ = classifier._tokens(classifier.Chunk([0], [own[5]]))
+    by_hand = vectors[slot].astype(np.int64).sum(axis=0) / (classifier.UNIT * len(slot))
+    assert np.allclose(together[5, : 2 * classifier.DIMENSIONS], by_hand)
+    dense = np.zeros((classifier.SLOTS, classifier.DIMENSIONS))
+    for i in range(classifier.NONZERO):
+        dense[np.arange(classifier.SLOTS), classifier._PLACE[:, i]] = classifier._SIGN[:, i] / np.sqrt(classifier.NONZERO)
+    near = [np.mean(np.sum(dense[slot[:-r]] * dense[slot[r:]], axis=1)) for r in (1, 2)]
+    assert np.allclose(together[5, -3:-1], near)
+    df = docs(spark, texts[:60]).drop("score")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = classifier.train(df, labels)
+    scores = [{r.doc_id: r.score for r in classifier.score(d, model).collect()} for d in (df.coalesce(1), df.repartition(13))]
+    assert scores[0] == scores[1]
+    again = classifier.train(df.repartition(7).unionByName(df.filter("doc_id < 9")), labels)
+    assert np.array_equal(again.vectors.shape, model.vectors.shape)
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """One text of three chunks' bytes beside others, through each operator that works by chunks."""
+    from plenaria.llm import textarrays
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 7))) for _ in range(500)]
+    long = " ".join(rng.choice(words) for _ in range(3 * textarrays.CHUNK_BYTES // 5))
+    assert len(long) > 2 * textarrays.CHUNK_BYTES
+    leak = " ".join(f"leak{k}" for k in range(20))
+    rows = [(1, "some few words here"), (2, f"{long} {leak}"), (3, " ".join(rng.choice(words) for _ in range(90))), (4, leak)]
+    df = docs(spark, rows).drop("score").coalesce(1)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    for i, t in rows:
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_measures(t)
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(df).collect()} == {i: f"{fingerprint(t):016x}" for i, t in rows}
+    bench = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == {(2, 7), (4, 7)}
+    model = classifier.train(df, spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int"))
+    assert classifier.score(df, model).filter("score BETWEEN 0 AND 1").count() == 4
+
+
 def test_network_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 6))
