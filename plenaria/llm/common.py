@@ -74,15 +74,18 @@ def small_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes) -> Da
     return left.join(F.broadcast(right) if fits(right, row_bytes) else right, on, how)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
-    """Inner join with ``right``, which has one row for each value of ``on`` and, as ``n``, how many rows of
-    ``left`` hold it, of ``total`` in all. Values of more than a 512th of the rows (so fewer than 512 values)
-    are sent to all tasks, so that no task gets their rows; the others are joined as ever. ``n`` goes."""
+def spread_join(left: DataFrame, right: DataFrame, on: str, total: int, how: str = "inner", row_bytes=None) -> DataFrame:
+    """Join (inner or left) with ``right``, which has one row for each value of ``on`` and, as ``n``, how many
+    rows of ``left`` hold it, of ``total`` in all. Values of more than a 512th of the rows (so fewer than 512
+    values) are sent to all tasks, so that no task gets their rows; the others are joined as ever. ``n``
+    goes. row_bytes: the size of a row of ``right``, if it has no bound; too many bytes aren't sent."""
     often = F.col("n") > total // HOT_VALUES
     values = [c for c in right.columns if c not in (on, "n")]
     hot = right.filter(often).select(on, F.struct(*values).alias("_hot"))
+    if row_bytes is not None and not fits(right.filter(often), row_bytes):
+        return left.join(right.drop("n"), on, how)
     marked = left.join(F.broadcast(hot), on, "left")
     names = [c for c in left.columns if c != on]
     here = marked.filter("_hot IS NOT NULL").select(on, *names, *(F.col("_hot")[c].alias(c) for c in values))
-    rest = marked.filter("_hot IS NULL").drop("_hot").join(right.filter(~often).drop("n"), on)
+    rest = marked.filter("_hot IS NULL").drop("_hot").join(right.filter(~often).drop("n"), on, how)
     return here.unionByName(rest.select(*here.columns))

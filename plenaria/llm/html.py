@@ -3,15 +3,19 @@
 Each page is parsed to the tree of its block elements. A host's pages are aligned to one of them,
 the pivot of their layout, by simple tree matching: the mapping of nodes, in order and level by
 level, that keeps most. Layouts are counted over all pages of the host; pages of a rare one are
-aligned to the pivot that fits them best. For every pivot node it is counted, over all pages of the host, how often the aligned node
-said the same: nodes that hardly ever change are the template, the others are slots of content.
-
-What varies is not all article: menus, adverts and comments change from page to page too. Elements
-whose tag, role, class or id says that they are such furniture are left out whatever the wrapper
-says, and where a page marks its article (``article``, ``main``) only blocks in it are kept. A block
-counts as template only on strong evidence, as copied articles look constant as well: equal pages
-count as one, many pages have to agree, and what is left has to be a share of the page's text. All
-other blocks are kept, however short or linked.
+aligned to the pivot that fits them best. Over all pages of the host, it is counted for every pivot
+node how often the aligned node said the same, and how much text that varies from page to page stands
+there, within links and without. Nodes that hardly ever change are the template. What varies is the
+content, but not all of it is article: menus, adverts and footers vary as well. So the wrapper is
+followed from its root to the node that holds the content, as long as all that varies beside a node is
+small or linked and has no heading; the page's blocks outside of that node are left out.
+
+Names decide where the wrapper can't: elements whose tag, role, class or id says that they are
+furniture (forms, notices, reader comments, which vary like the article and may stand in it) are left
+out, and where a page marks its article (``article``, ``main``) only blocks in it are kept; that is all
+there is on hosts of few pages. A block counts as template only on strong evidence, as copied articles
+look constant as well: equal pages count as one, many pages have to agree, and what is left has to be a
+share of the page's text. All other blocks are kept, however short or linked.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_join, table
+from .common import fits, scratch, small_join, spread_join, table
 from .textarrays import trimmed
 from .urls import host_of
 
@@ -76,10 +80,15 @@ CONSTANT, LEAST_PAGES = 0.95, 20
 #: Nothing is template on a page of which less than this share of characters would be left: copies of a
 #: page but for a date or a counter look like that.
 LEAST_SHARE = 0.2
+#: The wrapper leads to a node if it was aligned on so many pages and if at most this share of the text that
+#: varies stands beside it, links apart.
+REGION_PAGES, BESIDE = 10, 0.1
 #: Most pivots of a host, and levels of blocks by which layouts are told apart.
 PIVOTS, LEVELS = 8, 3
 #: Pairs of children of which a table is held; that of wider levels is made row by row, and again in parts.
 WIDEST = 20_000
+#: Children up to which rows of a table are lists, which are faster than arrays if they are short.
+NARROW = 64
 #: Weights of pairs of subtrees that are remembered at once.
 MOST_WEIGHTS = 1_000_000
 
@@ -129,8 +138,8 @@ class Page:
         self.labels: list[str] = ["#"]
         self.sizes: list[int] = [1]
         self.said: list[int] = [0]
-        #: (node, text, furniture, in a marked article)
-        self.blocks: list[tuple[int, str, bool, bool]] = []
+        #: (node, text, furniture, in a marked article, share of its characters in links)
+        self.blocks: list[tuple[int, str, bool, bool, float]] = []
         self.marked = False
         self._parse(html)
 
@@ -139,31 +148,37 @@ class Page:
         # open elements: (tag, node, furniture, in an article, in a header of an article)
         stack = [("#", 0, False, False, False)]
         text: list[str] = []
+        opened: dict[str, int] = {}
+        link, linked = False, 0
         at, end = 0, len(html)
 
         def flush() -> None:
-            nonlocal text
+            nonlocal text, linked
             if text:
                 joined = "".join(text)
                 if "&" in joined:
                     joined = unescape(joined)
                 joined = " ".join(joined.split())
                 if joined:
+                    share = min(1.0, linked / len(joined))
                     tag, node, out, inside, header = stack[-1]
                     out = out or header and tag not in HEADINGS
                     said[node] = zlib.crc32(joined.encode("utf-8", "surrogatepass"), said[node])
-                    blocks.append((node, joined, out, inside))
-                text = []
+                    blocks.append((node, joined, out, inside, share))
+                text, linked = [], 0
 
         def pop() -> None:
             flush()
-            node = stack.pop()[1]
+            tag, node = stack.pop()[:2]
+            opened[tag] = opened.get(tag, 0) - 1
             sizes[node] = len(labels) - node
 
         token = _TOKEN.search(html, at)
         while token:
             if token.start() > at:
                 text.append(html[at : token.start()])
+                if link:
+                    linked += token.start() - at
             at = token.end()
             tag = token[2]
             if tag is not None:
@@ -171,16 +186,17 @@ class Page:
                 if token[1]:
                     if tag in BLOCKS:
                         flush()
-                        for i in range(len(stack) - 1, 0, -1):
-                            if stack[i][0] == tag:
-                                while len(stack) > i:
-                                    pop()
-                                break
+                        if opened.get(tag, 0) > 0:
+                            while stack[-1][0] != tag:
+                                pop()
+                            pop()
+                    elif tag == "a":
+                        link = False
                     elif tag in SPACES:
                         text.append(" ")
                 elif tag in BLOCKS:
                     flush()
-                    if tag in ENDS_P and any(s[0] == "p" for s in stack):
+                    if tag in ENDS_P and opened.get("p", 0) > 0:
                         while True:
                             last = stack[-1][0]
                             pop()
@@ -188,7 +204,7 @@ class Page:
                                 break
                     if tag in CLOSES:
                         ended, scope = CLOSES[tag]
-                        for i in range(len(stack) - 1, 0, -1):
+                        for i in range(len(stack) - 1, 0, -1) if any(opened.get(t, 0) > 0 for t in ended) else ():
                             if stack[i][0] in ended:
                                 while len(stack) > i:
                                     pop()
@@ -207,11 +223,14 @@ class Page:
                         sizes.append(1)
                         said.append(0)
                         stack.append((tag, len(labels) - 1, out or own, inside, header))
+                        opened[tag] = opened.get(tag, 0) + 1
                     if tag in RAW:
                         close = re.compile(rf"</{tag}\b", re.I).search(html, at)
                         at = close.start() if close else end
                 elif tag in SPACES:
                     text.append(" ")
+                elif tag == "a":
+                    link = True
                 elif tag in RAW:
                     close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
                     at = close.end() if close else end
@@ -246,7 +265,8 @@ class Tree:
 
 def align(page: Tree, pivot: Tree) -> list[int]:
     """The pivot's node for each node of the page by simple tree matching, -1 where there is none. Levels of
-    any width are matched exactly, in memory of the square root of their pairs times the pivot's children."""
+    any width are matched exactly, in memory of the square root of their pairs times the pivot's children,
+    and trees of any depth: weights that a weight needs are worked off on a stack of their own."""
     mapped = [-1] * len(page.labels)
     todo = [(0, 0)]
     weights: dict[tuple[int, int], int] = {}
@@ -261,71 +281,110 @@ def align(page: Tree, pivot: Tree) -> list[int]:
             tail += 1
         return head, tail
 
-    def weight(i: int, j: int) -> int:
+    def known(i: int, j: int) -> int | None:
         if page.labels[i] != pivot.labels[j]:
             return 0
         if page.shape[i] == pivot.shape[j]:
             return page.sizes[i]
         if page.sizes[i] == 1 or pivot.sizes[j] == 1:
             return 1
-        key = page.shape[i], pivot.shape[j]
-        found = weights.get(key)
-        if found is None:
-            a, b = page.children[i], pivot.children[j]
-            head, tail = ends(a, b)
-            found = 1 + sum(page.sizes[x] for x in a[:head]) + sum(page.sizes[x] for x in a[len(a) - tail :])
-            a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-            if a and b:
-                found += table_of(a, b)[-1][-1] if len(a) * len(b) <= WIDEST else int(last_row(a, b)[-1])
-            if len(weights) >= MOST_WEIGHTS:
-                weights.clear()
-            weights[key] = found
+        return weights.get((page.shape[i], pivot.shape[j]))
+
+    # the following generators yield pairs whose weight they need, and rows of a table
+
+    def weigh(i: int, j: int) -> Iterator:
+        a, b = page.children[i], pivot.children[j]
+        head, tail = ends(a, b)
+        found = 1 + sum(page.sizes[x] for x in a[:head]) + sum(page.sizes[x] for x in a[len(a) - tail :])
+        a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+        if a and b:
+            last: list = [None]
+            yield from passing(rows_of(a, b, first_row(b)), lambda row: last.__setitem__(0, row))
+            found += int(last[0][-1])
+        if len(weights) >= MOST_WEIGHTS:
+            weights.clear()
+        weights[page.shape[i], pivot.shape[j]] = found
         return found
 
-    def table_of(a: list[int], b: list[int]) -> list[list[int]]:
-        rows = [[0] * (len(b) + 1)]
-        for x in a:
-            above, row = rows[-1], [0]
-            for k, y in enumerate(b):
-                best = above[k + 1] if above[k + 1] >= row[k] else row[k]
-                w = weight(x, y)
-                if w and above[k] + w > best:
-                    best = above[k] + w
-                row.append(best)
-            rows.append(row)
-        return rows
-
-    def rows_of(a: list[int], b: list[int], row: np.ndarray) -> Iterator[np.ndarray]:
+    def first_row(b: list[int]) -> np.ndarray:
+        return np.zeros(len(b) + 1, np.int64)
+
+    def rows_of(a: list[int], b: list[int], row: np.ndarray) -> Iterator:
         """The rows of the table after ``row``, one for each of ``a``."""
-        found: dict[str, list[int]] = {}
+        by_label: dict[str, list[int]] = {}
         for k, y in enumerate(b):
-            found.setdefault(pivot.labels[y], []).append(k)
-        by_label = {label: np.array(at) for label, at in found.items()}
+            by_label.setdefault(pivot.labels[y], []).append(k)
+        if len(b) <= NARROW:
+            row = row.tolist()
         for x in a:
-            best = row[1:].copy()
-            at = by_label.get(page.labels[x])
-            if at is not None:
-                w = 1 if page.sizes[x] == 1 else np.array([weight(x, b[k]) for k in at], np.int64)
-                best[at] = np.maximum(best[at], row[at] + w)
-            row = np.concatenate([row[:1], np.maximum.accumulate(best)])
+            found = by_label.get(page.labels[x], ())
+            each = [1] * len(found)
+            if page.sizes[x] > 1:
+                for n, k in enumerate(found):
+                    w = known(x, b[k])
+                    each[n] = (yield x, b[k]) if w is None else w
+            if len(b) <= NARROW:
+                new, at = row[:], 0
+                for k, w in zip(found, each):
+                    new[k + 1] = max(new[k + 1], row[k] + w)
+                for at in range(1, len(new)):
+                    if new[at] < new[at - 1]:
+                        new[at] = new[at - 1]
+                row = new
+            else:
+                best = row[1:].copy()
+                if len(found):
+                    at = np.array(found)
+                    best[at] = np.maximum(best[at], row[at] + np.array(each, np.int64))
+                row = np.concatenate([row[:1], np.maximum.accumulate(best)])
             yield row
 
-    def last_row(a: list[int], b: list[int]) -> np.ndarray:
-        row = np.zeros(len(b) + 1, np.int64)
-        for row in rows_of(a, b, row):  # noqa: B020
-            pass
-        return row
-
-    def wide_parts(a: list[int], b: list[int]) -> Iterator[tuple[int, list]]:
+    def passing(rows: Iterator, take: Callable) -> Iterator:
+        """Pass on the pairs that ``rows`` needs, and give its rows to ``take``."""
+        value = None
+        while True:
+            try:
+                found = rows.send(value)
+            except StopIteration:
+                return
+            value = None
+            if type(found) is tuple:
+                value = yield found
+            else:
+                take(found)
+
+    def run(work: Iterator) -> None:
+        stack, value = [work], None
+        while stack:
+            try:
+                pair = stack[-1].send(value)
+                stack.append(weigh(*pair))
+                value = None
+            except StopIteration as end:
+                stack.pop()
+                value = end.value
+
+    def parts(a: list[int], b: list[int]) -> Iterator[tuple[int, list]]:
         """(number of the first row, rows) of the table in parts from its end, each but for its last row the
-        beginning of the one before: of the whole table only the parts' first rows are held."""
+        beginning of the one before: of a wide table only the parts' first rows are held."""
+        rows = [first_row(b)]
+        if len(a) * len(b) <= WIDEST:
+            run(passing(rows_of(a, b, rows[0]), rows.append))
+            yield 0, rows
+            return
         step = int(len(a) ** 0.5) + 1
-        firsts = [np.zeros(len(b) + 1, np.int64)]
-        for k, row in enumerate(rows_of(a, b, firsts[0]), 1):
-            if k % step == 0:
-                firsts.append(row)
+        firsts, seen = rows, [0]
+
+        def take(row) -> None:
+            seen[0] += 1
+            if seen[0] % step == 0:
+                firsts.append(np.asarray(row))
+
+        run(passing(rows_of(a, b, firsts[0]), take))
         for part in range(len(firsts) - 1, -1, -1):
-            yield part * step, [firsts[part], *rows_of(a[part * step : (part + 1) * step], b, firsts[part])]
+            rows = [firsts[part]]
+            run(passing(rows_of(a[part * step : (part + 1) * step], b, firsts[part]), rows.append))
+            yield part * step, rows
 
     def same(i: int, j: int) -> None:
         for k in range(page.sizes[i]):
@@ -341,9 +400,8 @@ def align(page: Tree, pivot: Tree) -> list[int]:
         a, b = a[head : len(a) - tail], b[head : len(b) - tail]
         if not a or not b:
             continue
-        parts = iter([(0, table_of(a, b))]) if len(a) * len(b) <= WIDEST else wide_parts(a, b)
         x, y = len(a), len(b)
-        for first, rows in parts:
+        for first, rows in parts(a, b):
             while x > first and y:
                 if rows[x - first][y] == rows[x - 1 - first][y]:
                     x -= 1
@@ -423,9 +481,8 @@ def fitted(page: Page, layouts: list[int], trees: list[str]) -> tuple[int, list[
     return k, align(tree, _tree(trees[k]))
 
 
-_STATS = pa.schema(
-    [("_host", pa.string()), ("pivot", pa.int32()), ("node", pa.int32()), ("aligned", pa.float64()), ("equal", pa.float64())]
-)
+_COUNTED = ("aligned", "equal", "chars", "linked", "heads", "every")
+_STATS = pa.schema([("_host", pa.string()), ("pivot", pa.int32()), ("node", pa.int32()), *((c, pa.float64()) for c in _COUNTED)])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,8 +490,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
 
     def rows() -> pa.RecordBatch:
-        found = [(*h, n, x[0], x[1]) for h, nodes in counts.items() for n, x in enumerate(nodes) if x[0]]
-        columns = zip(*found, strict=True) if found else [[]] * 5
+        found = [(*h, n, *x) for h, nodes in counts.items() for n, x in enumerate(nodes) if any(x)]
+        columns = zip(*found, strict=True) if found else [[]] * len(_STATS)
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _STATS.types)], schema=_STATS)
 
     for batch in batches:
@@ -448,22 +505,76 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = host.as_py(), k
             nodes = counts.get(key)
             if nodes is None:
-                nodes = counts[key] = [[0.0, 0.0] for _ in pivot.labels]
+                nodes = counts[key] = [[0.0] * len(_COUNTED) for _ in pivot.labels]
                 held += len(nodes)
             for i, j in enumerate(mapped):
                 if j >= 0:
                     nodes[j][0] += weight
                     nodes[j][1] += weight * (page.said[i] == pivot.said[j])
+            above = _aligned_above(page, mapped)
+            for node, text, out, _, share in page.blocks:
+                own, j = mapped[node], above[node]
+                if not out:
+                    nodes[j][5] += weight * len(text) * (1 - share)
+                if not out and (own < 0 or page.said[node] != pivot.said[own]):  # it varies
+                    nodes[j][2] += weight * len(text)
+                    nodes[j][3] += weight * len(text) * share
+                    nodes[j][4] += weight * (page.labels[node].partition(".")[0] in HEADINGS)
         if held > 200_000:
             yield rows()
             counts, held = {}, 0
     yield rows()
 
 
+def _aligned_above(page: Page, mapped: list[int]) -> list[int]:
+    """The pivot's node for each node of the page or, where there is none, for the nearest one that it is in."""
+    above = mapped[:]
+    inside: list[tuple[int, int]] = []
+    for i, j in enumerate(mapped):
+        while inside and inside[-1][0] <= i:
+            inside.pop()
+        if j < 0:
+            above[i] = inside[-1][1]
+        inside.append((i + page.sizes[i], above[i]))
+    return above
+
+
+def region(tree: Tree, counts: dict[int, dict[str, float]]) -> int:
+    """The pivot's node that holds the content: from the root on, the child with most of the text that
+    varies, links apart, if next to nothing of it stands beside the child, and no heading. 0: all of it, as
+    well if most of the pages' text, that which doesn't vary included, would stand outside."""
+    zero = dict.fromkeys(_COUNTED, 0.0)
+    n = len(tree.labels)
+    text, heads, every = [0.0] * n, [0.0] * n, [0.0] * n
+    for i in range(n - 1, -1, -1):
+        own = counts.get(i, zero)
+        text[i] = own["chars"] - own["linked"] + sum(text[c] for c in tree.children[i])
+        heads[i] = own["heads"] + sum(heads[c] for c in tree.children[i])
+        every[i] = own["every"] + sum(every[c] for c in tree.children[i])
+    at = 0
+    while tree.children[at] and tree.labels[at].partition(".")[0] not in ("article", "main"):
+        best = max(tree.children[at], key=lambda c: text[c])
+        tag = tree.labels[best].partition(".")[0]
+        enough = counts.get(best, zero)["aligned"] >= REGION_PAGES
+        if not enough or tag in TEXTUAL or text[best] <= 0 or text[at] - text[best] > BESIDE * text[at] or heads[at] > heads[best]:
+            break
+        at = best
+    return at if 2 * every[at] > every[0] else 0
+
+
+def host_join(pages: DataFrame, hosts: DataFrame, total: int, how: str, size) -> DataFrame:
+    """Join of pages, of which ``total`` have a host, with one row a host, with its number of pages as ``n``.
+    Beyond what may be broadcast, only hosts with few of the pages are joined by a shuffle."""
+    if fits(hosts, size):
+        return pages.join(F.broadcast(hosts.drop("n")), "_host", how)
+    return spread_join(pages, hosts, "_host", total, how, size)
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(``_host``, ``layouts``, ``trees``, ``s``): each host's pivots and, by pivot and its node, on how many
-    of the host's other pages a node was aligned to it and how many of those said the same. Pages of
-    equal html count as one together.
+    """(``_host``, ``n``, ``layouts``, ``trees``, ``s``): each host's pages and pivots and, by pivot and its node, on
+    how many of the host's other pages a node was aligned to it, how many of those said the same, and the
+    characters there that vary, those of them in links, the headings that do, and all characters outside of
+    links. Pages of equal html count as one together.
 
     ``pages`` has ``_host``, ``page_id`` and ``html``. A pivot is the page of least id of a layout that
     gives enough pages for evidence, for the PIVOTS most frequent ones; a host without such a layout has its
@@ -471,40 +582,47 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """
     laid = pages.select("_host", "page_id", "html").mapInArrow(trimmed(_layouts), "_host string, page_id long, layout long")
     laid = scratch(laid.groupBy("_host", "layout").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")), "layouts")
-    several = laid.groupBy("_host").agg(F.sum("n").alias("n")).filter("n > 1").select("_host")
+    several = laid.groupBy("_host").agg(F.sum("n").alias("n")).filter("n > 1")
+    total = laid.agg(F.sum("n")).first()[0] or 0
     frequent = F.col("n") > LEAST_PAGES
     order = Window.partitionBy("_host").orderBy(F.when(frequent, F.col("n")).otherwise(0).desc(), "page_id", "layout")
-    hosts = laid.join(several, "_host", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS)
+    hosts = laid.join(several.select("_host"), "_host", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS)
     hosts = scratch(hosts.filter((F.col("rank") == 1) | frequent).select("_host", "page_id", "layout"), "hosts")
     chosen = small_join(pages, hosts, ["_host", "page_id"], "inner", F.octet_length("_host") + 48)
     pivots = chosen.select("_host", "layout", "html").mapInArrow(_pivots, "_host string, layout long, tree string")
     pivots = pivots.groupBy("_host", "layout").agg(F.min("tree").alias("tree"))
     pivots = pivots.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("layout", "tree"))).alias("p"))  # at most PIVOTS
-    pivots = scratch(pivots.select("_host", F.col("p.layout").alias("layouts"), F.col("p.tree").alias("trees")), "pivots")
+    pivots = pivots.join(several, "_host").select("_host", "n", F.col("p.layout").alias("layouts"), F.col("p.tree").alias("trees"))
+    pivots = scratch(pivots, "pivots")
     size = F.aggregate("trees", F.lit(0), lambda n, t: n + F.octet_length(t)) + F.octet_length("_host") + 128
     body = pages.withColumn("_body", F.md5("html"))
     copied = scratch(body.groupBy("_host", "_body").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copied")
     others = small_join(body, copied, ["_host", "_body"], "left", F.octet_length("_host") + 64)
-    others = small_join(others.withColumn("copies", F.coalesce("copies", F.lit(1))), pivots, "_host", "inner", size)
+    others = host_join(others.withColumn("copies", F.coalesce("copies", F.lit(1))), pivots, total, "inner", size)
     counted = (
         others.select("_host", "html", "layouts", "trees", "copies")
-        .mapInArrow(trimmed(_compare), "_host string, pivot int, node int, aligned double, equal double")
+        .mapInArrow(trimmed(_compare), ", ".join(["_host string, pivot int, node int", *(f"{c} double" for c in _COUNTED)]))
         .groupBy("_host", "pivot", "node")
-        .agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal"))
+        .agg(*(F.sum(c).alias(c) for c in _COUNTED))
         # a pivot itself was compared as well and equals itself
         .withColumns({c: F.greatest(F.round(F.col(c) - 1, 6), F.lit(0.0)) for c in ("aligned", "equal")})
         .groupBy("_host")
-        .agg(F.sort_array(F.collect_list(F.struct("pivot", "node", "aligned", "equal"))).alias("s"))  # the pivots' nodes
+        .agg(F.sort_array(F.collect_list(F.struct("pivot", "node", *_COUNTED))).alias("s"))  # the pivots' nodes
     )
     return scratch(pivots.join(counted, "_host"), "wrappers")
 
 
-def main_text(page: Page, mapped: list[int] | None, counts: dict[int, tuple[float, float]]) -> str:
-    """The text of the blocks that are content."""
+def main_text(page: Page, mapped: list[int] | None, counts: dict[int, dict[str, float]], content: int = 0) -> str:
+    """The text of the blocks that are content. content: the pivot's node that holds it."""
     kept = [b for b in page.blocks if not b[2] and (b[3] or not page.marked)]
     if mapped is not None and counts:
+        if content and content in mapped:
+            i = mapped.index(content)
+            kept = [b for b in kept if i <= b[0] < i + page.sizes[i]] or kept
         # a node that the pivot lacks, or that no other page has, is no evidence
-        seen = [counts.get(mapped[b[0]], (0, 0)) if mapped[b[0]] >= 0 else (0, 0) for b in kept]
+        none = {"aligned": 0, "equal": 0}
+        found = [counts.get(mapped[b[0]], none) if mapped[b[0]] >= 0 else none for b in kept]
+        seen = [(x["aligned"], x["equal"]) for x in found]
         if any(aligned and equal <= 0.5 * aligned for aligned, equal in seen):
             left = [b for b, (aligned, equal) in zip(kept, seen) if aligned < LEAST_PAGES or equal < CONSTANT * aligned]
             if sum(len(b[1]) for b in left) >= LEAST_SHARE * sum(len(b[1]) for b in kept):
@@ -513,12 +631,12 @@ def main_text(page: Page, mapped: list[int] | None, counts: dict[int, tuple[floa
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[list[int], list[str], list[dict]]] = {}
+    known: dict[str, tuple[list[int], list[str], list[dict], list[int]]] = {}
     for batch in batches:
         texts = []
         for host, html, layouts, trees, s in zip(*(batch.column(c) for c in ("_host", "html", "layouts", "trees", "s")), strict=True):
             page = Page(html.as_py() or "")
-            mapped, counts = None, {}
+            mapped, counts, content = None, {}, 0
             if trees.is_valid:
                 host = host.as_py()
                 if host not in known:
@@ -526,12 +644,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         known.clear()
                     by_pivot: list[dict] = [{} for _ in trees]
                     for x in s.as_py():
-                        by_pivot[x["pivot"]][x["node"]] = (x["aligned"], x["equal"])
-                    known[host] = layouts.as_py(), trees.as_py(), by_pivot
-                own, written, by_pivot = known[host]
+                        by_pivot[x["pivot"]][x["node"]] = x
+                    written = trees.as_py()
+                    known[host] = layouts.as_py(), written, by_pivot, [region(_tree(t), c) for t, c in zip(written, by_pivot)]
+                own, written, by_pivot, regions = known[host]
                 k, mapped = fitted(page, own, written)
-                counts = by_pivot[k]
-            texts.append(main_text(page, mapped, counts))
+                counts, content = by_pivot[k], regions[k]
+            texts.append(main_text(page, mapped, counts, content))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             ["page_id", "url", "text", "n_chars"],
@@ -541,15 +660,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) of every row of ``pages``.
 
-    Null or empty html has an empty text. Pages without a host (a null url, or none in it) are
-    extracted without a wrapper, as are those of hosts with one page. Repeated rows are extracted
+    Null or empty html has an empty text. Pages without a host (a null url, or none in it) or without an id
+    are extracted without a wrapper, as are those of hosts with one page. Repeated rows are extracted
     each, null ids stay null, an empty table gives no rows, other columns are not used.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("_host"))
-    found = wrappers(rows.filter("_host <> '' AND page_id IS NOT NULL").select("_host", "page_id", "html"))
+    wrapped = (F.col("_host") != "") & F.col("page_id").isNotNull()
+    found = wrappers(rows.filter(wrapped).select("_host", "page_id", "html"))
+    total = found.agg(F.sum("n")).first()[0] or 0
     trees = F.aggregate("trees", F.lit(0), lambda n, t: n + F.octet_length(t))
-    size = trees + 32 * F.size("s") + F.octet_length("_host") + 128
-    joined = small_join(rows, found, "_host", "left", size)
+    size = trees + 64 * F.size("s") + F.octet_length("_host") + 128
+    # a page without an id, or without a host, has a host that no wrapper is of
+    joined = host_join(rows.withColumn("_host", F.when(wrapped, F.col("_host"))), found, total, "left", size)
     return joined.select("page_id", "url", "_host", "html", "layouts", "trees", "s").mapInArrow(
         trimmed(_extract), "page_id long, url string, text string, n_chars long"
     )

@@ -162,6 +162,49 @@ def test_html_copies_and_odd_blocks_are_kept(spark):
     assert got[400] == "Short\n\nAll of it a link\n\nText"
 
 
+def nested(n, inner):
+    return "<div>" * n + inner + "</div>" * n
+
+
+def test_html_deep_and_wide_pages(spark):
+    """Pages nested 2,000 levels, with 5,000 children, and with end tags that nothing opened."""
+    def tree(html_text):
+        p = html.Page(html_text)
+        return html.Tree(p.labels, p.sizes, p.said)
+
+    a, b = tree(nested(2000, "<p>x</p><h2>y</h2>")), tree(nested(2000, "<h2>y</h2><p>x</p><p>z</p>"))
+    assert sum(j >= 0 for j in html.align(a, b)) == 2002
+    flat = ["<p>t</p>", "<h2>h</h2>", "<div><p>t</p></div>"]
+    wide = [flat[i * i % 3] for i in range(5000)]
+    a, b = tree("".join(["<h3>a</h3>", *wide[:2500], "<ul><li>n</ul>", *wide[2500:], "<h4>b</h4>"])), tree("".join(["<h5>c</h5>", *wide, "<h6>d</h6>"]))
+    assert sum(j >= 0 for j in html.align(a, b)) == len(tree("".join(wide)).labels)
+    rows = [(i, f"https://deep.example/{i}", nested(2000, f"<p>Page {i} says so</p>" * (1 + i % 3))) for i in range(12)]
+    rows += [(50 + i, f"https://wide.example/{i}", "".join(f"<p>Part {k} of {i}</p>" for k in range(5000 - i))) for i in range(3)]
+    rows += [(90, "https://odd.example/", "</li></p></div>" * 20_000 + "<p>" * 20_000 + "end")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n\n".join([f"Page {i} says so"] * (1 + i % 3)) for i in range(12))
+    assert all(got[50 + i].count("\n\n") == 4999 - i for i in range(3)) and got[90] == "end"
+
+
+def test_html_wrapper_finds_the_article_without_names(spark):
+    """All pages of the larger tables with every telling name taken away: on hosts with pages enough, the
+    wrapper alone tells the article from menus, adverts and footers, all of which vary."""
+    sf = "/root/testdata/sf0.1"
+    pages = table(spark, sf, "pages")
+    plain = F.regexp_replace(F.col("html"), r"<(/?)(?:nav|article|footer|main|aside|header)\b[^>]*>", "<$1div>")
+    plain = F.regexp_replace(plain, r"""<div (?:class|id)="[^"]*">""", "<div>")
+    named = {r.page_id: r.text for r in html.extract(pages).collect()}
+    bare = pages.withColumn("html", plain).withColumn("host", urls.host_of(F.col("url")))
+    got = {r.page_id: r.text for r in html.extract(bare).collect()}
+    rows = {r.page_id: r for r in bare.collect()}
+    n = collections.Counter(r.host for r in rows.values())
+    often = [i for i, r in rows.items() if n[r.host] >= 2 * html.REGION_PAGES]
+    right = sum(got[i] == named[i] for i in often)
+    alone = sum(html.main_text(html.Page(rows[i].html), None, {}) == named[i] for i in often)
+    print(f"of {len(often)} pages, {right} are right by the wrapper alone and {alone} without it")
+    assert len(often) > 1000 and right >= 0.95 * len(often) and alone < 0.05 * len(often)
+
+
 def test_html_of_all_pages(spark, sf):
     import html as std
 
