@@ -8,8 +8,8 @@ and no shard needs the whole corpus. Neighbouring windows of one anchor travel a
    its anchors, once each, to ranges of hashes; a range answers which of them any other document has.
 2. Buckets send the segments of shared anchors, once each with the least doc_id, to shards. A shard
    builds the suffix array of its segments: suffixes are classified, leftmost-smaller substrings
-   are sorted and named, the string of names is sorted by recursion on pairs, and the array is
-   induced from them in linear passes over the byte buckets. Permuted common prefixes tell which
+   are sorted and named, the string of names is sorted by pairs until they cover
+   a window, and the array is induced from them in linear passes over the byte buckets. Permuted common prefixes tell which
    neighbouring suffixes share a window, and each window's least doc_id goes back to the buckets.
 3. Buckets mark the windows that a document with a smaller doc_id also has, and cut them out.
 
@@ -534,6 +534,9 @@ def remove_repeats(
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-total // BUCKET_BYTES))
     ranges, shards = max(least, -(-total // RANGE_BYTES)), max(least, -(-total // SHARD_BYTES))
+    limit = "spark.sql.sources.bucketing.maxBuckets"
+    if buckets > int(spark.conf.get(limit, "100000")):
+        spark.conf.set(limit, str(buckets))  # Spark's limit is a guard against slips, and reading needs it as well
     name = f"plenaria_buckets_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/plenaria/{name}"
     (

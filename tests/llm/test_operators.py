@@ -313,6 +313,18 @@ def test_repeats_are_removed(spark, texts, odd, none):
     assert suffix.remove_repeats(none).count() == 0
 
 
+def test_repeats_beyond_the_limit_of_buckets(spark, texts):
+    limit = "spark.sql.sources.bucketing.maxBuckets"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "3")
+    try:
+        rows = texts[:40]
+        got = suffix.remove_repeats(docs(spark, rows), outputs=()).collect()
+        assert sorted([tuple(r) for r in got], key=str) == removed(rows) and int(spark.conf.get(limit)) > 3
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_repeats_keep_whole_characters(spark):
     a = "é" * 40
     got = {r.doc_id: r for r in suffix.remove_repeats(docs(spark, [(1, a), (2, "x" + a + "y")]), ["lang"], ("kept", "spans")).collect()}
