@@ -8,6 +8,8 @@ approximation meant for trends, with one rule for all languages.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,36 +30,35 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
 
-def with_complexity(df: DataFrame, text: str = "text", basic: bool = False) -> DataFrame:
+def with_complexity(df: DataFrame, text: str = "text", basic: bool = False, metrics: Sequence[str] | None = None) -> DataFrame:
     """``df`` with a column for each metric; null where the text is null or blank.
 
-    basic: only the four metrics that need no syllables. Existing columns of those names are replaced.
+    basic: only the four metrics that need no syllables. metrics: only those named. Existing columns of
+    those names are replaced. The metrics come from one generated row, so that a filter on one of them is
+    not pushed below it and does not evaluate it again.
     """
+    names = tuple(metrics) if metrics is not None else BASIC if basic else METRICS
     blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\S")
     t = F.when(~blank, F.col(text))
     lexicon = F.filter(F.transform(words(t), lambda w: F.regexp_replace(w, r"(?U)[^\w\s']", "")), lambda w: w != "")
     pieces = F.filter(F.split(t, "[.!?]+"), lambda p: p.rlike(r"(?U)\S"))
-    made = df.withColumns(
-        {
-            "_tokens": tokens(t),
-            "_sizes": F.transform(pieces, lambda p: F.size(words(p))),
-            **({} if basic else {"_lexicon": lexicon}),
-        }
-    )
+    parts = {"_tokens": tokens(t), "_sizes": F.transform(pieces, lambda p: F.size(words(p)))}
+    if not set(names) <= set(BASIC):
+        parts["_lexicon"] = lexicon
+    made = df.withColumns(parts)
     n, sentences = F.size("_tokens"), F.size("_sizes")
     distinct = F.size(F.array_distinct("_tokens"))
-    zero = F.when(F.col("_tokens").isNotNull(), F.lit(0.0))
 
-    def where(some: Column, value: Column, digits: int) -> Column:
-        return F.when(some > 0, rounded(value, digits)).otherwise(zero)
+    def where(some: Column, value: Column, digits: int, of: str = "_tokens") -> Column:
+        return F.when(some > 0, rounded(value, digits)).otherwise(F.when(F.col(of).isNotNull(), F.lit(0.0)))
 
     columns = {
         "ttr": where(n, F.try_divide(distinct, n), 4),
         "cttr": where(n, F.try_divide(distinct, F.sqrt(2.0 * n)), 4),
-        "avg_sentence_length": where(sentences, F.try_divide(_total(F.col("_sizes")), sentences), 2),
+        "avg_sentence_length": where(sentences, F.try_divide(_total(F.col("_sizes")), sentences), 2, "_sizes"),
         "avg_word_length": where(n, F.try_divide(_total(F.transform("_tokens", F.length)), n), 2),
     }
-    if not basic:
+    if "_lexicon" in parts:
         made = made.withColumn(
             "_syllables",
             F.transform("_lexicon", lambda w: F.greatest(F.size(F.regexp_extract_all(F.lower(w), F.lit(VOWELS), 0)), F.lit(1))),
@@ -68,13 +69,14 @@ def with_complexity(df: DataFrame, text: str = "text", basic: bool = False) -> D
         syllables = F.try_divide(_total(F.col("_syllables")), lex)
         hard = F.try_divide(F.size(F.filter("_syllables", lambda k: k >= 3)), lex)
         columns |= {
-            "flesch_reading_ease": where(lex, 206.835 - 1.015 * length - 84.6 * syllables, 2),
-            "flesch_kincaid_grade": where(lex, 0.39 * length + 11.8 * syllables - 15.59, 2),
-            "gunning_fog": where(lex, 0.4 * (length + 100 * hard), 2),
+            "flesch_reading_ease": where(lex, 206.835 - 1.015 * length - 84.6 * syllables, 2, "_lexicon"),
+            "flesch_kincaid_grade": where(lex, 0.39 * length + 11.8 * syllables - 15.59, 2, "_lexicon"),
+            "gunning_fog": where(lex, 0.4 * (length + 100 * hard), 2, "_lexicon"),
             "lexicon_count": F.when(F.col("_lexicon").isNotNull(), lex.cast("double")),
             "sentence_count": F.when(F.col("_sizes").isNotNull(), sent.cast("double")),
         }
-    return made.withColumns(columns).drop("_tokens", "_sizes", "_lexicon", "_syllables")
+    rest = [c for c in df.columns if c not in names]
+    return made.select(*rest, F.inline(F.array(F.struct(*(columns[c].alias(c) for c in names)))))
 
 
 def metrics_map(df: DataFrame, text: str = "text", name: str = "complexity_metrics") -> DataFrame:

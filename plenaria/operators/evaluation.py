@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
+from ..sources.base import numbered_rows
 
 log = logging.getLogger(__name__)
 SEED = 42
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = SEED, key: str = "doc_id") -> DataFrame:
-    """At most ``n`` rows without replacement, the same ones on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """At most ``n`` rows without replacement, the same ones on every run: those of least digest."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def adjusted_rand_index(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -42,12 +43,10 @@ def adjusted_rand_index(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def encode_labels(df: DataFrame, label: str = "party") -> DataFrame:
     """``label_id``: the number of the label among all in order; a null one is Unknown. Labels are
-    numbered once each, then joined."""
+    numbered once each, by ranges of their order, then joined."""
     named = df.withColumn(label, F.coalesce(F.col(label).cast("string"), F.lit("Unknown")))
-    labels = named.select(label).distinct()
-    below = labels.select(F.sort_array(F.collect_list(label)).alias("all"))
-    numbered = below.select(F.posexplode("all").alias("label_id", label))
-    return named.join(numbered, label)
+    numbered = numbered_rows(named.select(label).distinct(), [label], "label_id")
+    return named.join(numbered.withColumn("label_id", F.col("label_id").cast("int")), label)
 
 
 def evaluate(embeddings: DataFrame, model_name: str = "", sample: int | None = None, plot: bool = False) -> dict:

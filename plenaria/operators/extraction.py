@@ -72,22 +72,23 @@ class RuleEntities:
 def entities(documents: DataFrame, backend: EntityBackend | None = None, threshold: float = THRESHOLD, cap: int | None = None) -> DataFrame:
     """(doc_id, named_entities): labels upper case, scores of 4 digits, those under ``threshold`` left
     out. A batch that fails is asked for text by text; a text that fails has none."""
-    backend = backend or RuleEntities()
+    backend = backend or RuleEntities
     kind = to_arrow_type(schemas.EXTRACTION["named_entities"].dataType)
 
-    def one(text: str) -> list[dict]:
+    def one(model, text: str) -> list[dict]:
         try:
-            return backend.extract_batch([text])[0]
+            return model.extract_batch([text])[0]
         except Exception:
             return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(backend)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             try:
-                found = backend.extract_batch(texts)
+                found = model.extract_batch(texts)
             except Exception:
-                found = [one(t) for t in texts]
+                found = [one(model, t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "named_entities"])
 
     schema = "doc_id string, named_entities array<struct<text:string,label:string,start:int,end:int,score:double>>"
@@ -169,13 +170,13 @@ def replies(
 ) -> DataFrame:
     """(doc_id, topics, triples, sentiment_score) of texts of ``least_words`` or more. An invalid reply is
     asked for again, at most RETRIES times, with what was wrong; any other failure is an empty result."""
-    backend = backend or LexiconReplies()
+    backend = backend or LexiconReplies
 
-    def ask(text: str) -> str | None:
+    def ask(model, text: str) -> str | None:
         raw, correction = None, None
         for _ in range(1 + RETRIES):
             try:
-                raw = backend.reply(text, correction)
+                raw = model.reply(text, correction)
             except Exception:
                 return None
             if _valid(raw):
@@ -184,8 +185,9 @@ def replies(
         return raw
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(backend)
         for batch in batches:
-            found = [ask(t) for t in batch.column("text").to_pylist()]
+            found = [ask(model, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "raw"])
 
     rows = documents.filter(word_count(_text(cap)) >= least_words)
@@ -213,15 +215,64 @@ def extract(
     )
 
 
+#: What models want before a passage that is to be found again, by a part of their name. Fixed values.
+PREFIXES = {"e5": "passage: "}
+
+
+def passage_prefix(model_name: str) -> str:
+    return next((p for part, p in PREFIXES.items() if part in re.split(r"[-/_.]", model_name.lower())), "")
+
+
 class HashingEmbedder:
-    """Signed word hashes summed and scaled to unit length: deterministic, no model."""
+    """Signed word digests summed and scaled to unit length: deterministic, no model."""
 
     model_name = "hashing"
 
     def __init__(self, dim: int = 256):
         self.dim = dim
 
+    @property
+    def embedding_dim(self) -> int:
+        return self.dim
+
     def embed(self, texts: list[str]) -> list[list[float]]:
+        import hashlib
+        import math
+
+        import numpy as np
+
+        out, known = [], {}
+        for text in texts:
+            v = np.zeros(self.dim)
+            for w in (text or "").lower().split():
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big")
+                v[h % self.dim] += 1.0 if h & 0x80000000 else -1.0
+            norm = math.sqrt(float(v @ v))
+            out.append((v / norm if norm else v).astype(np.float32).tolist())
+        return out
+
+    def embed_single(self, text: str) -> list[float]:
+        return self.embed([text])[0]
+
+
+_loaded: dict = {}
+
+
+def loaded(backend):
+    """A backend as it is, or, given a class or function without arguments, what it makes: once in a worker,
+    so that a model is neither sent with each task nor loaded by each."""
+    if hasattr(backend, "embed") or hasattr(backend, "reply") or hasattr(backend, "extract_batch"):
+        if not isinstance(backend, type):
+            return backend
+    key = f"{backend.__module__}.{backend.__qualname__}"
+    if key not in _loaded:
+        _loaded[key] = backend()
+    return _loaded[key]
+
+
+def embed(self, texts: list[str]) -> list[list[float]]:
         import numpy as np
         import zlib
 
@@ -236,13 +287,17 @@ class HashingEmbedder:
         return out
 
 
-def embed(documents: DataFrame, embedder: HashingEmbedder | None = None, prefix: str = "", cap: int | None = None) -> DataFrame:
-    """Embedding records of ``documents`` (doc_id, text, party, country_code, language, date)."""
-    embedder = embedder or HashingEmbedder()
+def embed(documents: DataFrame, embedder=None, prefix: str | None = None, cap: int | None = None) -> DataFrame:
+    """Embedding records of ``documents`` (doc_id, text, party, country_code, language, date). embedder: an
+    object, or what makes one in a worker. prefix: what stands before each text; None: what the model wants."""
+    embedder = embedder or HashingEmbedder
+    model_name = embedder.model_name
+    prefix = passage_prefix(model_name) if prefix is None else prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(embedder)
         for batch in batches:
-            vectors = embedder.embed(batch.column("text").to_pylist())
+            vectors = model.embed(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(vectors, pa.list_(pa.float32()))], [*names, "vector"]
             )
@@ -253,4 +308,4 @@ def embed(documents: DataFrame, embedder: HashingEmbedder | None = None, prefix:
         F.concat(F.lit(prefix), _text(cap)).alias("text"),
     )
     made = rows.mapInArrow(run, "doc_id string, party string, country_code string, language string, year int, vector array<float>")
-    return made.withColumn("model_name", F.lit(embedder.model_name)).select(*schemas.EMBEDDINGS.names)
+    return made.withColumn("model_name", F.lit(model_name)).select(*schemas.EMBEDDINGS.names)

@@ -46,7 +46,7 @@ def src_transcripts(spark, d):
     u = [F.lit('<u who="#p'), who, F.lit('" xml:id="u'), F.col("doc_id").cast("string"), F.lit('"><seg>'), text, F.lit("</seg></u>")]
     xml = F.concat(*head, *u, F.lit("</div></body></text></TEI>"))
     path = F.concat(F.lit("file:/transcripts/"), "doc_id", F.lit(".xml"))
-    files = V.read(spark, d, "documents").select(path.alias("path"), F.encode(xml, "UTF-8").alias("content"))
+    files = V.spread(V.read(spark, d, "documents")).select(path.alias("path"), F.encode(xml, "UTF-8").alias("content"))
     found = tei.documents(tei.parse(files), "de", 20)
     return found.select(
         "doc_id", "language", "speaker_id", "speaker_name", "party", "date", "session_id", "subcorpus", "token_count", F.md5(F.encode("text", "UTF-8")).alias("text_md5")
@@ -164,18 +164,45 @@ def ext_reply_parsing(spark, d):
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(list_filter(string_split_regex(left(text, 10000), '\s+'), lambda w: w <> '')) >= 50 AS has_sentiment FROM documents""")
 def ext_pipeline(spark, d):
     """Extraction over all documents; the backends' own findings have no SQL form, the gate has."""
-    return extraction.extract(V.read(spark, d, "documents")).select("doc_id", F.col("sentiment_score").isNotNull().alias("has_sentiment"))
+    return extraction.extract(V.spread(V.read(spark, d, "documents").select("doc_id", "text"))).select("doc_id", F.col("sentiment_score").isNotNull().alias("has_sentiment"))
 
 
-@query("ext_entities")
-def ext_entities(spark, d):
-    return extraction.entities(V.read(spark, d, "documents")).select("doc_id", F.inline("named_entities"))
+_WORD, _NOT_WORD = r"[A-ZÀ-Þ][\p{L}\p{N}_-]+", r"[^\p{L}\p{N}_]"
+
 
+def _has(words: str) -> str:
+    return f"regexp_matches(text, '(^|{_NOT_WORD})({words})({_NOT_WORD}|$)')"
 
-@query("ext_embeddings")
+
+@query("ext_entities", rf"""
+WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '([\p{{L}}\p{{N}}_,;] )({_WORD}( {_WORD})*)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)) AS p
+  FROM documents),
+e AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, string_split(p[i + 1], chr(2))[1] AS text,
+  list_sum(list_transform(p[1:i], lambda x: length(replace(x, chr(2), '')))) AS start FROM m, LATERAL unnest(range(1, len(p))) t(i))
+SELECT doc_id, text, CASE WHEN {_has('Act|Law|Treaty|Gesetz|Loi|Ley')} THEN 'LAW_TREATY' WHEN {_has('Party|Partei|Parti|Partido')} THEN 'POLITICAL_PARTY'
+  WHEN {_has('Committee|Council|Union|Ministry|Commission|Ausschuss|Rat')} THEN 'ORGANIZATION' WHEN {_has('Summit|Election|Conference|Wahl')} THEN 'EVENT'
+  WHEN contains(text, ' ') THEN 'PERSON' ELSE 'LOCATION' END AS label, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end",
+  round(least(0.95::DOUBLE, 0.6::DOUBLE + 0.1::DOUBLE * (length(text) - length(replace(text, ' ', '')))), 4) AS score FROM e""")
+def ext_entities(spark, d):
+    return extraction.entities(V.spread(V.read(spark, d, "documents").select("doc_id", "text"))).select("doc_id", F.inline("named_entities"))
+
+
+@query("ext_embeddings", r"""
+WITH texts AS (SELECT doc_id, text, lang, source, o_orderdate FROM documents JOIN orders ON o_orderkey = doc_id),
+w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM texts),
+h AS (SELECT doc_id, ('0x' || md5(w)[1:8])::BIGINT AS h FROM w),
+s AS (SELECT doc_id, h % 256 AS slot, sum(CASE WHEN h >= 2147483648 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm, map(list(slot ORDER BY slot), list(v ORDER BY slot)) AS m FROM s GROUP BY doc_id),
+f AS (SELECT texts.*, list_transform(range(256), lambda i: CASE WHEN coalesce(norm, 0) > 0 THEN coalesce(m[i]::DOUBLE, 0.0::DOUBLE) / norm ELSE 0.0::DOUBLE END::FLOAT) AS vector
+  FROM texts LEFT JOIN n USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, array_to_string(list_transform(vector, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)), ' ') AS vector_millionths,
+  'hashing' AS model_name, source AS party, upper(lang) AS country_code, CAST(year(o_orderdate) AS INTEGER) AS year, lower(lang) AS language FROM f""")
 def ext_embeddings(spark, d):
+    """The vectors as text, in millionths, so that they have one written form."""
     rows = V.texts(spark, d).select(F.col("speech_id").alias("doc_id"), "text", "party", "country_code", F.lower("country_code").alias("language"), "date")
-    return extraction.embed(rows)
+    made = extraction.embed(rows)
+    shown = F.transform("vector", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return made.select("doc_id", F.array_join(shown, " ").alias("vector_millionths"), "model_name", "party", "country_code", "year", "language")
 
 
 @query("fn_scalars", """
@@ -207,7 +234,9 @@ def fn_dates(spark, d):
     return V.read(spark, d, "orders").select("o_orderkey", scalar.flexible_date(said).alias("date"))
 
 
-@query("sel_seeded_sample")
+@query("sel_seeded_sample", """
+SELECT vec_id AS doc_id, 'P' || label AS party, CAST(year(o_orderdate) AS INTEGER) AS year FROM embeddings JOIN orders ON o_orderkey = vec_id
+ORDER BY md5(vec_id || '-42'), vec_id LIMIT 100""")
 def sel_seeded_sample(spark, d):
     return evaluation.seeded_sample(V.embedded(spark, d), 100).select("doc_id", "party", "year")
 

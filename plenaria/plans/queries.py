@@ -13,6 +13,7 @@ from .registry import query as register
 COUNTRY, PARTY_A, PARTY_B = "NATION_0", "BUILDING", "MACHINERY"
 START, END = 1995, 2000
 TEXT_COUNTRY = "EN"
+TREND = ("ttr", "flesch_kincaid_grade", "avg_sentence_length", "gunning_fog")
 #: Of the invented English texts none is below grade 6, the default.
 GRADE = 8.0
 TOPIC, ENTITY, SPEECH = "red widget", "Supplier#000000001", 7
@@ -134,27 +135,27 @@ SELECT year, party, round(avg(ttr), 4) AS avg_ttr, round(avg(flesch_kincaid_grad
   round(avg(avg_sentence_length), 2) AS avg_sentence_length, round(avg(gunning_fog), 2) AS avg_gunning_fog, count(*) AS speech_count
 FROM measured WHERE country_code = '{TEXT_COUNTRY}' AND year >= {START} AND ttr IS NOT NULL GROUP BY year, party""")
 def q4_1(spark, d):
-    return C.complexity_trend(V.measured(spark, d), TEXT_COUNTRY, START)
+    return C.complexity_trend(V.measured(spark, d, *TREND), TEXT_COUNTRY, START)
 
 
 @query("q4_2_grade_series", _with(V.TEXTS_SQL) + f"""
 SELECT party, string_agg(year || ':' || printf('%.3f', round(fk, 3)), ' ' ORDER BY year) AS series FROM ({_GRADES}) GROUP BY party""")
 def q4_2(spark, d):
     shown = F.transform("series", lambda s: F.concat(s["year"].cast("string"), F.lit(":"), F.format_string("%.3f", rounded(s["fk"], 3))))
-    return C.grade_series(V.measured(spark, d), TEXT_COUNTRY).select("party", F.array_join(shown, " ").alias("series"))
+    return C.grade_series(V.measured(spark, d, "flesch_kincaid_grade"), TEXT_COUNTRY).select("party", F.array_join(shown, " ").alias("series"))
 
 
 @query("q4_2_grade_changes", _with(V.TEXTS_SQL) + f"""
 SELECT party, year, round(fk, 4) AS fk_grade, round(fk - lag(fk) OVER (PARTITION BY party ORDER BY year), 4) AS fk_change FROM ({_GRADES})""")
 def q4_2_changes(spark, d):
-    return C.grade_changes(V.measured(spark, d), TEXT_COUNTRY)
+    return C.grade_changes(V.measured(spark, d, "flesch_kincaid_grade"), TEXT_COUNTRY)
 
 
 @query("q4_3_simple_speeches", _with(V.TEXTS_SQL) + f"""
 SELECT speech_id, party, year, round(flesch_kincaid_grade, 2) AS fk_grade, round(ttr, 4) AS ttr, CAST(word_count AS INTEGER) AS words
 FROM measured WHERE country_code = '{TEXT_COUNTRY}' AND flesch_kincaid_grade < {GRADE} AND word_count > 200 ORDER BY fk_grade, speech_id LIMIT 50""")
 def q4_3(spark, d):
-    return C.simple_speeches(V.measured(spark, d), TEXT_COUNTRY, GRADE)
+    return C.simple_speeches(V.measured(spark, d, "flesch_kincaid_grade", "ttr"), TEXT_COUNTRY, GRADE)
 
 
 @query("q5_1_top_entities", _with(SPEECHES, V.REFERENCES_SQL) + f"""
@@ -245,7 +246,7 @@ FROM measured JOIN orders ON o_orderkey = speech_id JOIN customer ON c_custkey =
 WHERE country_code = '{TEXT_COUNTRY}' AND year BETWEEN {START} AND {END} AND ttr IS NOT NULL GROUP BY year, party""")
 def p2(spark, d):
     by = V.delivered(spark, d).join(V.politicians(spark, d).select("politician_id"), "politician_id").select("speech_id")
-    return C.complexity_trend(V.measured(spark, d).join(by, "speech_id"), TEXT_COUNTRY, START, END)
+    return C.complexity_trend(V.measured(spark, d, *TREND).join(by, "speech_id"), TEXT_COUNTRY, START, END)
 
 
 @query("p3_sentiment_trends", _with(SPEECHES) + _TREND.format(
@@ -318,7 +319,7 @@ SELECT party, max_by(avg_ttr, year) AS avg_ttr, max_by(avg_fk, year) AS avg_fk_g
 (SELECT party, year, round(avg(ttr), 4) AS avg_ttr, round(avg(flesch_kincaid_grade), 2) AS avg_fk FROM measured
  WHERE country_code = '{TEXT_COUNTRY}' AND year >= {START} AND ttr IS NOT NULL GROUP BY party, year) GROUP BY party""")
 def p8(spark, d):
-    return C.latest_per_party(C.complexity_trend(V.measured(spark, d), TEXT_COUNTRY, START), ["avg_ttr", "avg_fk_grade"])
+    return C.latest_per_party(C.complexity_trend(V.measured(spark, d, *TREND), TEXT_COUNTRY, START), ["avg_ttr", "avg_fk_grade"])
 
 
 @query("text_complexity", _with(V.TEXTS_SQL) + """
