@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .operators import evaluation, extraction, graph, vectors
 from .plans import catalogue
 from .settings import settings
+from .sources.base import numbered_batches
 from .sources.tei import TranscriptSource
+from .storage import work_dir
 
 log = logging.getLogger("plenaria")
 
@@ -39,29 +41,39 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Extract from speeches not yet processed, batch by batch, until none is left. What has been
-    processed is kept apart from the results, so a speech without a sentiment is not taken again."""
+    processed is kept apart from the results, so a speech without a sentiment is not taken again.
+    Speeches to be done are looked up and numbered once. A batch that fails is counted and left for
+    the next run; an interrupt ends the run with its report."""
     store = graph.GraphStore(spark, args.graph_dir)
-    done, batches = f"{args.graph_dir}/processed", 0
-    report = {"documents": 0, "batches": 0}
-    while args.max_batches < 0 or batches < args.max_batches:
-        try:
-            processed = spark.read.schema("speech_id string").parquet(done)
-            processed.isEmpty()
-        except Exception:
-            processed = spark.createDataFrame([], "speech_id string")
-        batch = catalogue.unprocessed(store.read("speeches"), processed, args.country.upper(), args.batch_size).cache()
-        n = batch.count()
-        if n:
-            texts = batch.select(F.col("speech_id").alias("doc_id"), F.col("raw_text").alias("text"))
-            texts = texts.filter(F.length(F.trim("text")) > 0)
-            store.upsert_extractions(extraction.extract(texts, llm=not args.no_llm))
-            batch.select("speech_id").write.mode("append").parquet(done)
-            report["documents"] += n
-            batches += 1
-        batch.unpersist()
-        if not n:
-            break
-    report["batches"] = batches
+    done, began = f"{args.graph_dir}/processed", time.time()
+    fs, folder = store._fs(done)
+    if fs.exists(folder):
+        processed = spark.read.schema("speech_id string").parquet(done)
+    else:
+        processed = spark.createDataFrame([], "speech_id string")
+    todo = store.unprocessed(processed, args.country.upper()).select(F.col("speech_id").alias("doc_id"), F.col("raw_text").alias("text"))
+    todo = numbered_batches(todo, args.batch_size, ["doc_id"], [])
+    if args.max_batches >= 0:
+        todo = todo.filter(F.col("batch") < args.max_batches)
+    path = work_dir(spark, "extract")
+    todo.write.partitionBy("batch").parquet(path)
+    todo = spark.read.schema("doc_id string, text string, batch long").parquet(path)
+    report = {"documents": 0, "batches": 0, "errors": 0}
+    try:
+        for row in todo.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").toLocalIterator():
+            batch = todo.filter(F.col("batch") == row["batch"]).select("doc_id", "text")
+            try:
+                texts = batch.filter(F.length(F.trim("text")) > 0)
+                store.upsert_extractions(extraction.extract(texts, llm=not args.no_llm))
+                batch.select(F.col("doc_id").alias("speech_id")).write.mode("append").parquet(done)
+                report["documents"] += row["n"]
+            except Exception as e:  # the next batch may be sound
+                log.warning("batch %s failed: %s", row["batch"], e)
+                report["errors"] += 1
+            report["batches"] += 1
+    except KeyboardInterrupt:
+        log.warning("interrupted after %s batches", report["batches"])
+    report["rate"] = round(report["documents"] / max(time.time() - began, 1e-9), 1)
     return report
 
 

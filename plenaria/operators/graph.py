@@ -1,15 +1,19 @@
 """Keyed merges and the graph writer: idempotent upserts of node and edge tables.
 
-A merge returns the new state of a table. ``GraphStore`` keeps each table as Parquet versions below
-a folder: a version is written whole, then made current by a pointer file, so a reader sees the old
-state or the new one, and a failed write changes nothing.
+A merge returns the new state of a table, or what is to be added to it. ``GraphStore`` keeps each table as
+Parquet parts below a folder, and names the parts of all tables in one numbered manifest. Parts are
+written whole, their keys checked, and then the next manifest is put in place by one rename: a reader
+sees the old state of all tables or the new one, a failed write changes nothing, and of two writers one
+is refused. Small changes add small parts; ``compact`` joins them.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,22 +23,29 @@ from ..functions.scalar import entity_id, party_id, relation_name
 TEXT_CAP = 10_000
 
 
-def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+def first_of(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """The first (or last) row of each key in ``order``, nulls being least: an aggregate, so that rows of a
+    frequent key are reduced where they are."""
+    row, by = F.struct(*df.columns), F.struct(*order)
+    found = df.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
+    return found.agg((F.max_by(row, by) if last else F.min_by(row, by)).alias("_row")).select("_row.*")
+
+
+def fresh_rows(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key of ``new`` that ``existing`` lacks."""
+    lacking = new.join(existing.select(*keys).distinct(), keys, "left_anti")
+    return first_of(lacking, keys, order).select(*existing.columns)
 
 
 def first_writer(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``existing`` and those rows of ``new`` whose key it lacks, the first of each; order columns go."""
-    fresh = first_of(new, keys, order).join(existing.select(*keys), keys, "left_anti")
-    return existing.unionByName(fresh.select(*existing.columns))
+    return existing.unionByName(fresh_rows(existing, new, keys, order))
 
 
 def last_writer(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str], overwrite: list[str]) -> DataFrame:
     """The last row of each key of ``new`` sets the columns ``overwrite`` of an existing row, or is
     added whole where there is none."""
-    latest = first_of(new, keys, [F.desc(c) for c in order]).select(*existing.columns)
+    latest = first_of(new, keys, order, last=True).select(*existing.columns)
     old = existing.select(*keys, F.struct(*existing.columns).alias("_old"))
     new = latest.select(*keys, F.struct(*existing.columns).alias("_new"))
 
@@ -91,17 +102,28 @@ def ingest_rows(documents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+METRIC_COLUMNS = ("ttr", "flesch_kincaid_grade", "avg_sentence_length", "gunning_fog")
+
+
+def metric_rows(results: DataFrame) -> DataFrame:
+    """(speech_id, sentiment_score and metrics) of extraction results, one row each: of rows that repeat an
+    id, the one that is least when written as JSON."""
+    row = F.struct(F.col("sentiment_score"), *(F.try_element_at("complexity_metrics", F.lit(m)).alias(m) for m in METRIC_COLUMNS))
+    one = results.groupBy(F.col("doc_id").alias("speech_id")).agg(F.min_by(row, F.to_json(row)).alias("_r"))
+    return one.select("speech_id", "_r.*")
+
+
 def with_metrics(speeches: DataFrame, results: DataFrame) -> DataFrame:
     """Sentiment and metrics of extraction results set on the speeches they name; null clears, other
     results and other speeches stay as they are."""
-    metric = ("ttr", "flesch_kincaid_grade", "avg_sentence_length", "gunning_fog")
-    update = results.select(
-        F.col("doc_id").alias("speech_id"),
-        F.struct(F.col("sentiment_score"), *(F.try_element_at("complexity_metrics", F.lit(m)).alias(m) for m in metric)).alias("_new"),
-    )
-    joined = speeches.join(update, "speech_id", "left")
-    changed = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("sentiment_score", *metric)}
-    return joined.withColumns(changed).select(*speeches.columns)
+    return _set(speeches, metric_rows(results), ("sentiment_score", *METRIC_COLUMNS))
+
+
+def _set(speeches: DataFrame, rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``speeches`` with ``columns`` of those that ``rows`` name, one row each."""
+    update = rows.select("speech_id", F.struct(*columns).alias("_new"))
+    changed = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in columns}
+    return speeches.join(update, "speech_id", "left").withColumns(changed).select(*speeches.columns)
 
 
 def extraction_rows(results: DataFrame) -> dict[str, DataFrame]:
@@ -122,6 +144,18 @@ def extraction_rows(results: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has put the next manifest in place."""
+
+
+#: What extraction sets on speeches: kept beside them and laid over them when they are read.
+UPDATES = T.StructType([f for f in schemas.SPEECHES.fields if f.name in ("speech_id", "sentiment_score", *METRIC_COLUMNS)])
+#: Tables whose parts hold later states of the same keys; the last one counts.
+LATER = {"embeddings": ["doc_id"], "speech_updates": ["speech_id"]}
+#: Parts of a table from which on a write joins them.
+MOST_PARTS = 64
+
+
 class GraphStore:
     """Tables of the graph below a folder that driver and executors share."""
 
@@ -138,40 +172,104 @@ class GraphStore:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def _current(self, name: str) -> str | None:
-        fs, pointer = self._fs(f"{self.path}/{name}/current.txt")
-        return self.spark.read.text(f"{self.path}/{name}/current.txt").first()[0] if fs.exists(pointer) else None
+    def manifests(self) -> list[int]:
+        """Numbers of the manifests that there are, in order."""
+        fs, folder = self._fs(f"{self.path}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n))
+
+    def _manifest(self, number: int | None = None) -> tuple[int, dict[str, list[str]]]:
+        """(number, parts by table) of a manifest, by default the last one."""
+        if number is None:
+            number = max(self.manifests(), default=0)
+        if not number:
+            return 0, {}
+        rows = self.spark.read.text(f"{self.path}/manifests/{number:012d}.json", wholetext=True).first()
+        return number, json.loads(rows[0])
+
+    def _schema(self, name: str) -> T.StructType:
+        schema = UPDATES if name == "speech_updates" else schemas.GRAPH[name][0]
+        later = [T.StructField("_seq", T.LongType())] if name in LATER else []
+        return T.StructType([*(T.StructField(f.name, f.dataType) for f in schema.fields), *later])
+
+    def _stored(self, name: str) -> DataFrame:
+        parts = self._manifest()[1].get(name, [])
+        schema = self._schema(name)
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{p}" for p in parts))
+        return first_of(rows, LATER[name], ["_seq"], last=True) if name in LATER else rows
 
     def read(self, name: str) -> DataFrame:
-        version = self._current(name)
-        schema, _ = schemas.GRAPH[name]
-        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
-        if version is None:
-            return self.spark.createDataFrame([], nullable)
-        return self.spark.read.schema(nullable).parquet(f"{self.path}/{name}/{version}")
-
-    def write(self, tables: dict[str, DataFrame]) -> None:
-        """Make each DataFrame the table's new state; pointers move once all are written."""
-        versions = {name: f"v-{uuid.uuid4().hex}" for name in tables}
+        """The table's state; speeches with what later steps have set on them."""
+        rows = self._stored(name)
+        if name == "speeches":
+            parts = self._manifest()[1]
+            if parts.get("speech_updates"):
+                rows = _set(rows, self._stored("speech_updates"), ("sentiment_score", *METRIC_COLUMNS))
+            if parts.get("embeddings"):
+                vectors = self._stored("embeddings").select(F.col("doc_id").alias("speech_id"), F.col("vector").alias("embedding"), F.col("model_name").alias("embedding_model"))
+                rows = _set(rows, vectors, ("embedding", "embedding_model"))
+        return rows.drop("_seq")
+
+    def write(self, tables: dict[str, DataFrame], add: bool = False) -> None:
+        """Make each DataFrame the table's new state or, with ``add``, a part of it. All of it shows at once."""
+        number, parts = self._manifest()
+        new = {}
         for name, df in tables.items():
-            df.select(*schemas.GRAPH[name][0].names).write.parquet(f"{self.path}/{name}/{versions[name]}")
-        for name, version in versions.items():
-            old = self._current(name)
-            fs, target = self._fs(f"{self.path}/{name}/current.txt")
-            out = fs.create(target, True)
-            out.write(bytearray(version.encode()))
-            out.close()
-            if old:
-                fs.delete(self._fs(f"{self.path}/{name}/{old}")[1], True)
+            part, schema = f"p-{uuid.uuid4().hex}", self._schema(name)
+            if name in LATER:
+                df = df.withColumn("_seq", F.lit(number + 1).cast("long"))
+            df.select(*schema.names).write.parquet(f"{self.path}/{name}/{part}")
+            written = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{part}")
+            keys = LATER.get(name) or schemas.GRAPH[name][1]
+            clash = duplicate_keys(written, keys).first()
+            if clash is not None:
+                raise ValueError(f"{name}: more than one row of key {clash.asDict()}")
+            if not add:
+                new[name] = [part]
+            elif written.isEmpty():
+                new[name] = parts.get(name, [])
+            else:
+                new[name] = [*parts.get(name, []), part]
+        self._commit(number + 1, parts | new)
+        for name in tables:
+            if len(new[name]) > MOST_PARTS:
+                self.compact(name)
+
+    def _commit(self, number: int, parts: dict[str, list[str]]) -> None:
+        fs, target = self._fs(f"{self.path}/manifests/{number:012d}.json")
+        _, written = self._fs(f"{self.path}/manifests/_{uuid.uuid4().hex}")
+        out = fs.create(written, True)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        if fs.exists(target) or not fs.rename(written, target):
+            fs.delete(written, False)
+            raise ConcurrentWrite(f"manifest {number} is there already")
+
+    def compact(self, name: str) -> None:
+        """Join the parts of a table, and delete what neither the last manifest nor the one before names."""
+        number, parts = self._manifest()
+        rows, part = self._stored(name), f"p-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}/{part}")
+        self._commit(number + 1, parts | {name: [part]})
+        keep = {p for n in (number, number + 1) for p in (self._manifest(n)[1].get(name, []) if n else [])}
+        fs, folder = self._fs(f"{self.path}/{name}")
+        for status in fs.listStatus(folder):
+            if status.getPath().getName() not in keep:
+                fs.delete(status.getPath(), True)
+
+    def _fresh(self, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        found = {}
+        for name, new in rows.items():
+            keys = schemas.GRAPH[name][1]
+            order = [c for c in ("_file", "_ordinal") if c in new.columns] or keys
+            found[name] = fresh_rows(self._stored(name), new, keys, order)
+        return found
 
     def upsert_documents(self, documents: DataFrame) -> None:
-        """First writer wins on every node and edge that ``documents`` state."""
-        merged = {}
-        for name, rows in ingest_rows(documents).items():
-            keys = schemas.GRAPH[name][1]
-            order = [c for c in ("_file", "_ordinal") if c in rows.columns] or keys
-            merged[name] = first_writer(self.read(name), rows, keys, order)
-        self.write(merged)
+        """First writer wins on every node and edge that ``documents`` state; only new ones are written."""
+        self.write(self._fresh(ingest_rows(documents)), add=True)
 
     def upsert_politicians(self, rows: DataFrame, order: list[str]) -> None:
         """Name, party and role are the last writer's; country and handles the first's."""
@@ -184,22 +282,20 @@ class GraphStore:
 
     def upsert_extractions(self, results: DataFrame) -> None:
         """Metrics on speeches, and the nodes and edges of topics, entities and triples. Results that
-        name no speech of the store are left out."""
-        speeches = self.read("speeches")
-        known = results.join(speeches.select(F.col("speech_id").alias("doc_id")), "doc_id", "left_semi")
-        merged = {"speeches": with_metrics(speeches, known)}
-        for name, rows in extraction_rows(known).items():
-            keys = schemas.GRAPH[name][1]
-            order = [c for c in ("_file", "_ordinal") if c in rows.columns] or keys
-            merged[name] = first_writer(self.read(name), rows, keys, order)
-        self.write(merged)
+        name no speech of the store are left out; only what is new or set is written."""
+        known = results.join(self._stored("speeches").select(F.col("speech_id").alias("doc_id")), "doc_id", "left_semi")
+        rows = self._fresh(extraction_rows(known))
+        self.write(rows | {"speech_updates": metric_rows(known)}, add=True)
 
     def upsert_embeddings(self, records: DataFrame, order: list[str] | None = None) -> None:
         """The last vector of each document replaces the one before, here and on its speech."""
-        table = self.read("embeddings")
-        others = [c for c in table.columns if c != "doc_id"]
-        latest = last_writer(table, records, ["doc_id"], order or ["doc_id"], others)
-        new = records.select(F.col("doc_id").alias("speech_id"), F.struct(F.col("vector").cast("array<float>").alias("embedding"), F.col("model_name").alias("embedding_model")).alias("_new"))
-        joined = self.read("speeches").join(new.dropDuplicates(["speech_id"]), "speech_id", "left")
-        changed = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("embedding", "embedding_model")}
-        self.write({"embeddings": latest, "speeches": joined.withColumns(changed).drop("_new")})
+        self.write({"embeddings": first_of(records, ["doc_id"], order or ["model_name", "vector"], last=True)}, add=True)
+
+    def unprocessed(self, processed: DataFrame, country: str) -> DataFrame:
+        """Speeches of a country that ``processed`` (by speech_id) lacks."""
+        own = self.read("speeches").filter(F.col("country_code") == country)
+        return own.join(processed.select("speech_id"), "speech_id", "left_anti")
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(speech_id, raw_text) of the speeches that ``ids`` (speech_id) names."""
+        return self._stored("speeches").select("speech_id", "raw_text").join(ids.select("speech_id"), "speech_id", "left_semi")

@@ -38,9 +38,25 @@ def drain(
     until none is left or ``max_batches`` are done (-1: no limit).
 
     What a batch does must be idempotent: a batch that was cut off is given again. A batch that fails
-    is logged and counted; later ones go on. An interrupt stops the query and reports what was done.
+    is logged, counted and put aside beside the checkpoint; later ones go on, and the next run gives it
+    again before all else. An interrupt stops the query and reports what was done.
     """
     report, began = Report(), time.time()
+    aside = f"{checkpoint.rstrip('/')}-failed"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(aside)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        if 0 <= max_batches <= report.batches:
+            break
+        batch, name = spark.read.schema(schema).parquet(status.getPath().toString()), status.getPath().getName()
+        try:
+            process(batch, int(name))
+            report.rows += batch.count()
+            fs.delete(status.getPath(), True)
+        except Exception as e:  # it stays aside
+            log.warning("batch %s failed again: %s", name, e)
+            report.errors.append(f"{name}: {e}")
+        report.batches += 1
 
     def work(batch: DataFrame, number: int) -> None:
         if 0 <= max_batches <= report.batches:
@@ -54,6 +70,7 @@ def drain(
         except Exception as e:  # the next batch may be sound
             log.warning("batch %s failed: %s", number, e)
             report.errors.append(f"{number}: {e}")
+            batch.write.mode("overwrite").parquet(f"{aside}/{number}")
         report.batches += 1
 
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)

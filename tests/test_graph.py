@@ -2,6 +2,7 @@
 
 import argparse
 import json
+import os
 
 import pytest
 from pyspark.sql import Row
@@ -108,6 +109,48 @@ def test_extractions_into_the_store(spark, folder, tmp_path):
     assert sorted(r.text for r in store.read("concepts").collect()) == ["a", "b"]
 
 
+def test_small_changes_write_little_and_show_at_once(spark, folder, tmp_path):
+    path = str(tmp_path / "g")
+    store = graph.GraphStore(spark, path)
+    documents = TranscriptSource("de", 5).load(spark, folder, trace=True)
+    store.upsert_documents(documents)
+    before = set(os.listdir(f"{path}/speeches"))
+    number, manifest = store._manifest()
+    store.upsert_documents(documents)
+    assert store._manifest()[0] == number + 1 and store._manifest()[1] == manifest  # nothing new: no part joins
+    result = "doc_id string, named_entities array<struct<text:string,label:string,start:int,end:int,score:double>>, topics array<struct<label:string,keywords:array<string>>>, triples array<struct<subject:string,relation:string,obj:string,subject_type:string,obj_type:string>>, sentiment_score double, complexity_metrics map<string,double>"
+    one = spark.createDataFrame([("u1", [], [], [], 0.5, {"ttr": 0.5}), ("u1", [], [], [], 0.25, {"ttr": 0.5})], result)
+    store.upsert_extractions(one)
+    assert store._manifest()[1]["speeches"] == manifest["speeches"]  # speeches are not written again
+    got = {r.speech_id: r for r in store.read("speeches").collect()}
+    assert len(got) == 3 and got["u1"].sentiment_score == 0.25 and got["u2"].sentiment_score is None
+    store.upsert_extractions(one.withColumn("sentiment_score", F.lit(None).cast("double")))
+    assert store.read("speeches").filter("speech_id = 'u1'").first().sentiment_score is None
+    vectors_of = spark.createDataFrame([("u2", [1.0], "a", "P", "DE", 2020, "de", 1), ("u2", [2.0], "a", "P", "DE", 2020, "de", 2)], "doc_id string, vector array<float>, model_name string, party string, country_code string, year int, language string, n int")
+    store.upsert_embeddings(vectors_of, ["n"])
+    speech = store.read("speeches").filter("speech_id = 'u2'").first()
+    assert speech.embedding == [2.0] == store.read("embeddings").first().vector
+    assert set(os.listdir(f"{path}/speeches")) >= before
+    # a reader of an earlier manifest sees all tables as they were
+    assert store._manifest(number) == (number, manifest)
+    with pytest.raises(ValueError, match="more than one row"):
+        store.write({"parties": spark.createDataFrame([("x",), ("x",)], "party_id string").select("party_id", *(F.lit(None).cast("string").alias(c) for c in ("name", "country_code", "abbreviation", "political_family")))})
+    with pytest.raises(graph.ConcurrentWrite):
+        store._commit(number, {})
+    state = sorted(map(str, store.read("speeches").collect()))
+    store.compact("embeddings")
+    store.compact("speech_updates")
+    assert sorted(map(str, store.read("speeches").collect())) == state and len(store._manifest()[1]["speech_updates"]) == 1
+    assert [r.raw_text for r in store.texts(spark.createDataFrame([("u2",)], "speech_id string")).collect()] == ["No segments but enough words in it."]
+
+
+def test_backends_are_made_once_a_worker_and_prefixes_follow_the_model(spark):
+    made = extraction.loaded(extraction.HashingEmbedder)
+    assert made is extraction.loaded(extraction.HashingEmbedder) and made.embedding_dim == 256
+    assert extraction.loaded(made) is made and made.embed_single("a b") == made.embed(["a b"])[0]
+    assert extraction.passage_prefix("org/multilingual-e5-large") == "passage: " and extraction.passage_prefix("hashing") == ""
+
+
 def test_extraction_gate_retry_and_failures(spark):
     class Flaky:
         extractor_name = "flaky"
@@ -196,7 +239,9 @@ def test_command_line(spark, folder, tmp_path):
 
     assert run("ingest", "--data-dir", folder, "--min-tokens", "5", "--dry-run")["documents"] == 3
     assert run("ingest", "--data-dir", folder, "--min-tokens", "5")["errors"] == 1
-    assert run("extract", "--batch-size", "2") == {"documents": 3, "batches": 2}
+    assert run("extract", "--batch-size", "2", "--max-batches", "1")["documents"] == 2
+    last = run("extract", "--batch-size", "2")
+    assert (last["documents"], last["batches"], last["errors"]) == (1, 1, 0)
     assert run("extract")["documents"] == 0
     run("analyze", "--step", "embeddings")
     out = str(tmp_path / "out")

@@ -1,6 +1,6 @@
 """Incremental drains: nothing twice, a limit of batches, and failures that do not stop the rest."""
 
-from plenaria.streaming.incremental import append_new, drain
+from plenaria.streaming.incremental import append_new, drain, windowed_counts
 
 
 def write(spark, folder, start):
@@ -39,3 +39,51 @@ def test_failed_batch_is_counted(spark, tmp_path):
 
     report = drain(spark, source, spark.read.parquet(source).schema, work, mark, files_per_batch=1)
     assert len(report.errors) == 1 and "unsound" in report.errors[0] and sorted(seen) == [10, 11, 12, 13, 14]
+    schema = spark.read.parquet(source).schema
+    again = drain(spark, source, schema, work, mark)
+    assert len(again.errors) == 1 and again.rows == 0  # it fails again and stays
+    last = drain(spark, source, schema, lambda batch, number: seen.extend(r.id for r in batch.collect()), mark)
+    assert last.rows == 5 and sorted(seen) == [*range(5), *range(10, 15)]
+    assert drain(spark, source, schema, work, mark).batches == 0
+
+
+def test_interrupt_ends_a_drain_with_its_report(spark, tmp_path):
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    write(spark, source, 0)
+    work = append_new(out, ["id"])
+    schema = spark.read.parquet(source).schema
+
+    class Interrupted:
+        def __init__(self, query):
+            self.query = query
+
+        def __getattr__(self, name):
+            return getattr(self.query, name)
+
+        def awaitTermination(self):
+            self.query.processAllAvailable()
+            raise KeyboardInterrupt
+
+    from pyspark.sql.streaming import DataStreamWriter
+
+    start = DataStreamWriter.start
+    DataStreamWriter.start = lambda self, *a, **k: Interrupted(start(self, *a, **k))
+    try:
+        report = drain(spark, source, schema, work, mark)
+    finally:
+        DataStreamWriter.start = start
+    assert report.batches == 1 and report.rows == 5 and spark.read.parquet(out).count() == 5
+
+
+def test_windows_of_a_stream_drop_late_events(spark, tmp_path):
+    """A real stream with a watermark: windows come out when they are over, events later than it are lost."""
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    batches = [[("2024-01-01 10:05", "a", 1.0), ("2024-01-01 10:50", "a", 2.0), ("2024-01-01 11:50", "b", 4.0)], [("2024-01-01 10:55", "a", 8.0), ("2024-01-01 14:30", "b", 16.0)], [("2024-01-01 10:59", "a", 32.0), ("2024-01-01 20:00", "b", 1.0)]]
+    for rows in batches:
+        made = spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "value")
+        made.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(made.schema).parquet(source)
+        query = windowed_counts(stream).writeStream.outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").option("path", out).start()
+        query.awaitTermination()
+    got = sorted((str(r.start)[11:16], r.event_type, r.n, r.total) for r in spark.read.parquet(out).collect())
+    assert got == [("10:00", "a", 3, 11.0), ("11:00", "b", 1, 4.0), ("14:00", "b", 1, 16.0)]
