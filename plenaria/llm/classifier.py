@@ -262,7 +262,7 @@ def score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents."""
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = table(spark, sf_dir, "documents", even=True).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(documents, table(spark, sf_dir, "labels"))
     return score(documents, model).select(
         "doc_id",

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.views import spread
+
 #: Most bytes of a side that may be broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -18,8 +20,10 @@ HOT_VALUES = 512
 _made: list[tuple[SparkSession, str, str | None]] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, even: bool = False) -> DataFrame:
+    """even: deal out the rows of a table of one or few small files, for work that costs more than that."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if even else df
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -679,4 +679,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(table(spark, sf_dir, "pages", even=True))

@@ -247,4 +247,4 @@ def pack_documents(documents: DataFrame, path: str | None = None, capacity: int
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents", even=True))

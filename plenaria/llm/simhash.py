@@ -273,4 +273,4 @@ def near_duplicates(documents: DataFrame, **columns: Column) -> DataFrame:
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents", even=True)).select("doc_id", "fingerprint", "component_id")
