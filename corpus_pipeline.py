@@ -88,7 +88,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", even=True)
     for name, stage in STAGES[:-1]:
         docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
