@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Name space of URL-derived UUIDs (RFC 9562).
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
-#: Language keys of the complexity formulas, by the first part of a language tag; others are en_US.
+#: Language keys of the complexity formulas, by the first part of a language tag; others are en_US.
 LANGUAGES = {
     "de": "de", "fr": "fr", "es": "es", "it": "it", "nl": "nl", "pl": "pl", "pt": "pt", "en": "en_US", "fi": "fi",
     "et": "et", "lv": "lv", "lt": "lt",

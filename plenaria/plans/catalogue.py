@@ -275,8 +275,9 @@ def party_relations(
 
 def bridges(delivered: DataFrame, politicians: DataFrame, mentions: DataFrame, country: str, limit: int = 20) -> DataFrame:
     """Politicians of different parties who speak on the same topics. Both aggregates are of distinct
-    topics, so (politician, topic) pairs are made distinct before they meet. Where no two politicians
-    share name and party, pairs are counted by id and topics gathered for the reported ones only."""
+    topics, so (politician, topic) pairs are made distinct before they meet. A small job is run while the plan
+    is built: where no two politicians share name and party, pairs are counted by id and topics gathered
+    for the reported ones only; else by name and party. Both plans give the same rows."""
     spoke = delivered.select("politician_id", "speech_id").join(mentions, "speech_id").select("politician_id", "topic").distinct()
     a = politicians.filter(F.col("country_code") == country).select(
         F.col("politician_id").alias("_a"), F.col("name").alias("politician_a"), F.col("party").alias("party_a")

@@ -114,3 +114,25 @@ def test_bridges_with_and_without_namesakes(spark, namesakes):
     got = [tuple(r) for r in C.bridges(delivered, politicians, mentions, "DE").collect()]
     assert got[0] == ("A", "X", "B", "Y", ["t", "u"], 2)
     assert got[1:] == ([("C", "X", "B", "Y", ["t"], 1)] if namesakes else [])
+
+
+def test_reports_are_in_order(spark):
+    """Several keys up, mixed directions with ties, and nulls last."""
+    rows = [("b", "DE", 2020, "X", 0.0, None), ("a", "DE", 2019, "Y", 0.0, None), ("c", "DE", 2020, "Y", 0.0, None), ("d", "DE", 2020, "Y", 0.0, None),
+            ("e", "DE", 2020, "A", 0.0, None), ("f", "AT", 2021, "X", 0.0, None), ("g", None, 2021, "X", 0.0, None), ("h", "DE", None, "X", 0.0, None)]
+    df = spark.createDataFrame(rows, SPEECH).repartition(5)
+    assert [(r.country, r.year) for r in C.corpus_overview(df).collect()] == [("AT", 2021), ("DE", 2019), ("DE", 2020), ("DE", None), (None, 2021)]
+    assert [(r.year, r.party, r.speeches) for r in C.party_volume(df, "DE").collect()] == [(2019, "Y", 1), (2020, "Y", 2), (2020, "A", 1), (2020, "X", 1), (None, "X", 1)]
+    trend = [(r.year, r.party) for r in C.sentiment_trend(df, "DE", 2000, 2030).collect()]
+    assert trend == sorted(trend)
+
+
+def test_metrics_are_evaluated_once(spark, sf):
+    """A filter on a metric does not bring its expressions into the scan's filter again."""
+    def plan(name):
+        return QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+    most = plan("text_complexity")
+    for name in ("q4_1_complexity_trend", "q4_2_grade_series", "q4_2_grade_changes", "p2_complexity_trends", "p8_latest_complexity"):
+        for call in ("split(", "regexp_extract_all"):
+            assert plan(name).count(call) <= most.count(call), (name, call)

@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from plenaria.functions import scalar as S
-from plenaria.functions.complexity import METRICS, metrics_map, with_complexity
+from plenaria.functions.complexity import BASIC, METRICS, metrics_map, with_complexity
 
 TEXTS = [
     "Das ist ein Satz. Hier steht noch einer! Und ein dritter?", "", "   ", None, "całość Über straße word1 x", "no terminator here",
@@ -50,3 +50,12 @@ def test_uuid_and_languages(spark):
 def test_word_count_of_nothing(spark):
     df = spark.createDataFrame([("",), (None,), (" a b\n",)], "t string")
     assert [r[0] for r in df.select(S.word_count(F.col("t"))).collect()] == [0, 0, 2]
+
+
+def test_basic_metrics_alone(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string")
+    basic = with_complexity(df, basic=True)
+    assert basic.columns == ["i", "text", *BASIC]
+    whole = with_complexity(df).select("i", *BASIC).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, basic.select("i", *BASIC).collect()))
+    assert with_complexity(df, metrics=["gunning_fog"]).columns == ["i", "text", "gunning_fog"]
