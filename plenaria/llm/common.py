@@ -84,6 +84,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, total: int, how: str
     values) are sent to all tasks, so that no task gets their rows; the others are joined as ever. ``n``
     goes. row_bytes: the size of a row of ``right``, if it has no bound; too many bytes aren't sent."""
     often = F.col("n") > total // HOT_VALUES
+    if (right.agg(F.max("n")).first()[0] or 0) <= total // HOT_VALUES:
+        return left.join(right.drop("n"), on, how)
     values = [c for c in right.columns if c not in (on, "n")]
     hot = right.filter(often).select(on, F.struct(*values).alias("_hot"))
     if row_bytes is not None and not fits(right.filter(often), row_bytes):
