@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenaria.llm import classifier, decontam, pack, simhash, suffix
-from plenaria.llm.common import fits, scratch, small_join, table
+from plenaria.llm.common import scratch, small_join, table
 
 
 def _free_name(docs: DataFrame, name: str) -> str:
@@ -32,22 +32,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that of least doc_id (rows without one come last), then
     of least md5 of its text, then of least JSON of all its columns, if rows repeat both."""
-    text, repeats, known = (_free_name(docs, n) for n in ("_digest", "_repeats", "_known"))
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     found = simhash.near_duplicates(docs, _digest=digest).select("component", "doc_id", "_digest")
     rows = found.groupBy("component", "doc_id", "_digest").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_digest", "n")).alias("s"))
-    kept = scratch(first.select(F.col("s.doc_id").alias(known), F.col("s._digest").alias(text), F.col("s.n").alias(repeats)), "kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(known))
-    marked = docs.withColumn(text, digest)
-    if fits(kept, F.lit(64)):
-        kept = F.broadcast(kept)
-    chosen = marked.join(kept, (marked[text] == kept[text]) & same).drop(kept[text])
-    if kept.filter(F.col(repeats) > 1).isEmpty():
-        return chosen.select(*docs.columns)
+    # a row's place is a number of 64 bits made of both; that two share it is left to chance, and would keep a copy
+    name, repeats = _free_name(docs, "_place"), _free_name(docs, "_repeats")
+    places = scratch(first.select(F.xxhash64(F.col("s.doc_id"), F.col("s._digest")).alias(name), F.col("s.n").alias(repeats)), "places")
+    marked = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), digest))
+    once = places.filter(F.col(repeats) == 1).select(name)
+    kept = small_join(marked, once, name, "left_semi", F.lit(32)).select(*docs.columns)
+    several = places.filter(F.col(repeats) > 1).select(name).distinct()
+    if several.isEmpty():
+        return kept
     row = F.struct(*docs.columns)
-    one = chosen.filter(F.col(repeats) > 1).groupBy(known, text).agg(F.min_by(row, F.to_json(row)).alias("_row"))
-    return chosen.filter(F.col(repeats) == 1).select(*docs.columns).unionByName(one.select("_row.*"))
+    again = small_join(marked, several, name, "left_semi", F.lit(32))
+    return kept.unionByName(again.groupBy(name).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
