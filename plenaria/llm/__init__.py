@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, decontam, html, pack, quality, shard, simhash, suffix, urls
+from . import chat, classifier, decontam, html, pack, quality, shard, simhash, suffix, trie, urls, warc
 
 OPERATORS = (
     html.op1_html_extraction,
@@ -15,6 +15,8 @@ OPERATORS = (
     pack.op8_best_fit_packing,
     shard.op9_sharding,
     classifier.op10_quality_classifier,
+    warc.op11_warc,
+    trie.op12_prefix_trie,
 )
 
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_suffix_array_dedup": suffix.OP3_SQL,
         "op4_chat_formatting": chat.OP4_SQL,
         "op9_sharding": shard.OP9_SQL,
+        "op11_warc": warc.OP11_SQL,
+        "op12_prefix_trie": trie.OP12_SQL,
     }
