@@ -10,13 +10,17 @@ findings; only callers that ask for prefixes get them, by a number of characters
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import schemas
@@ -69,36 +73,45 @@ class RuleEntities:
         return {"text": m[0], "label": label, "start": m.start(), "end": m.end(), "score": score}
 
 
-def entities(documents: DataFrame, backend: EntityBackend | None = None, threshold: float = THRESHOLD, cap: int | None = None) -> DataFrame:
-    """(doc_id, named_entities): labels upper case, scores of 4 digits, those under ``threshold`` left
-    out. A batch that fails is asked for text by text; a text that fails has none."""
-    backend = backend or RuleEntities
-    kind = to_arrow_type(schemas.EXTRACTION["named_entities"].dataType)
+#: What a backend finds in a text.
+ENTITIES = "array<struct<text:string,label:string,start:int,end:int,score:double>>"
+
+
+def _found(model: EntityBackend, texts: list[str]) -> pa.Array:
+    """The entities of each text; of a batch that fails, text by text."""
 
-    def one(model, text: str) -> list[dict]:
+    def one(text: str) -> list[dict]:
         try:
             return model.extract_batch([text])[0]
         except Exception:
             return []
 
+    try:
+        found = model.extract_batch(texts)
+    except Exception:
+        found = [one(t) for t in texts]
+    return pa.array(found, to_arrow_type(schemas.EXTRACTION["named_entities"].dataType))
+
+
+def entities(documents: DataFrame, backend: EntityBackend | None = None, threshold: float = THRESHOLD, cap: int | None = None) -> DataFrame:
+    """(doc_id, named_entities): labels upper case, scores of 4 digits, those under ``threshold`` left
+    out. A batch that fails is asked for text by text; a text that fails has none."""
+    backend = shared(backend or RuleEntities)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(backend)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            try:
-                found = model.extract_batch(texts)
-            except Exception:
-                found = [one(model, t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "named_entities"])
-
-    schema = "doc_id string, named_entities array<struct<text:string,label:string,start:int,end:int,score:double>>"
+            found = _found(model, [t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "named_entities"])
+
     texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), _text(cap).alias("text"))
-    return texts.mapInArrow(run, schema).withColumn(
-        "named_entities",
-        F.transform(
-            F.filter("named_entities", lambda e: e["score"] >= threshold),
-            lambda e: F.struct(e["text"].alias("text"), F.upper(e["label"]).alias("label"), e["start"].alias("start"), e["end"].alias("end"), F.round(e["score"], 4).alias("score")),
-        ),
+    return texts.mapInArrow(run, f"doc_id string, named_entities {ENTITIES}").withColumn("named_entities", _shaped(threshold))
+
+
+def _shaped(threshold: float) -> Column:
+    return F.transform(
+        F.filter("named_entities", lambda e: e["score"] >= threshold),
+        lambda e: F.struct(e["text"].alias("text"), F.upper(e["label"]).alias("label"), e["start"].alias("start"), e["end"].alias("end"), F.round(e["score"], 4).alias("score")),
     )
 
 
@@ -165,29 +178,31 @@ def _valid(raw: str) -> bool:
         return False
 
 
+def _asked(model: ReplyBackend, text: str) -> str | None:
+    """The model's reply, the last one if none of its tries is valid, none if it fails."""
+    raw, correction = None, None
+    for _ in range(1 + RETRIES):
+        try:
+            raw = model.reply(text, correction)
+        except Exception:
+            return None
+        if _valid(raw):
+            return raw
+        correction = f"Not a valid reply, answer with the JSON object only: {raw!r}"
+    return raw
+
+
 def replies(
     documents: DataFrame, backend: ReplyBackend | None = None, least_words: int = LEAST_WORDS, cap: int | None = None, prompt_cap: int | None = None
 ) -> DataFrame:
     """(doc_id, topics, triples, sentiment_score) of texts of ``least_words`` or more. An invalid reply is
     asked for again, at most RETRIES times, with what was wrong; any other failure is an empty result."""
-    backend = backend or LexiconReplies
-
-    def ask(model, text: str) -> str | None:
-        raw, correction = None, None
-        for _ in range(1 + RETRIES):
-            try:
-                raw = model.reply(text, correction)
-            except Exception:
-                return None
-            if _valid(raw):
-                return raw
-            correction = f"Not a valid reply, answer with the JSON object only: {raw!r}"
-        return raw
+    backend = shared(backend or LexiconReplies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(backend)
         for batch in batches:
-            found = [ask(model, t) for t in batch.column("text").to_pylist()]
+            found = [_asked(model, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "raw"])
 
     rows = documents.filter(word_count(_text(cap)) >= least_words)
@@ -198,21 +213,37 @@ def replies(
 def extract(
     documents: DataFrame, entity_backend: EntityBackend | None = None, reply_backend: ReplyBackend | None = None,
     llm: bool = True, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD, cap: int | None = None, prompt_cap: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Extraction results of ``documents`` (doc_id, text): entities, then topics, triples and sentiment of
-    those with enough words (llm=False: of none), and complexity metrics; one row per doc_id."""
-    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), _text(cap).alias("text"))
-    measured = metrics_map(rows).drop("text")
-    found = entities(rows, entity_backend, threshold)
-    empty = {c: F.array().cast(schemas.EXTRACTION[c].dataType) for c in ("named_entities", "topics", "triples")}
-    joined = measured.join(found, "doc_id", "left")
+    """Extraction results of ``documents`` (doc_id, text), a row each: entities, then topics, triples and
+    sentiment of those with enough words (llm=False: of none), and complexity metrics. keep: columns that stay.
+
+    One pass without a shuffle: metrics come first as native expressions, then one task asks both backends.
+    """
+    first, second = shared(entity_backend or RuleEntities), shared(reply_backend or LexiconReplies)
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), *keep, _text(cap).alias("text"))
+    asked = F.lit(None).cast("string")
     if llm:
-        joined = joined.join(replies(rows, reply_backend, least_words, prompt_cap=prompt_cap), "doc_id", "left")
-    else:
-        joined = joined.withColumns({"topics": empty["topics"], "triples": empty["triples"], "sentiment_score": F.lit(None).cast("double")})
-    return joined.select(
-        "doc_id", *(F.coalesce(F.col(c), e).alias(c) for c, e in empty.items()), "sentiment_score", "complexity_metrics"
-    )
+        asked = F.when(word_count(F.col("text")) >= least_words, _text(prompt_cap))
+    measured = metrics_map(rows).withColumn("prompt", asked)
+    columns = ["doc_id", *keep, "complexity_metrics"]
+    kept = measured.select(*columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, answerer = loaded(first), loaded(second) if llm else None
+        for batch in batches:
+            found = _found(finder, [t or "" for t in batch.column("text").to_pylist()])
+            raw = [None if t is None else _asked(answerer, t) for t in batch.column("prompt").to_pylist()]
+            stay = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*stay, found, pa.array(raw, pa.string())], [*columns, "named_entities", "raw"])
+
+    schema = T.StructType([*kept.fields, *T.DataType.fromDDL(f"named_entities {ENTITIES}, raw string").fields])
+    made = measured.mapInArrow(run, schema).withColumn("_r", parsed_reply(F.col("raw"))).withColumn("named_entities", _shaped(threshold))
+    empty = {c: F.array().cast(schemas.EXTRACTION[c].dataType) for c in ("topics", "triples")}
+    return made.select(
+        "doc_id", *keep, "named_entities", *(F.coalesce(F.col("_r")[c], e).alias(c) for c, e in empty.items()),
+        F.col("_r")["sentiment_score"].alias("sentiment_score"), "complexity_metrics",
+    )
 
 
 #: What models want before a passage that is to be found again, by a part of their name. Fixed values.
@@ -236,7 +267,6 @@ class HashingEmbedder:
         return self.dim
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import hashlib
         import math
 
         import numpy as np
@@ -257,41 +287,51 @@ class HashingEmbedder:
         return self.embed([text])[0]
 
 
-_loaded: dict = {}
+@dataclass(frozen=True)
+class Factory:
+    """What makes a backend in a worker, with a key that tells it from others."""
 
+    key: str
+    make: Callable
 
-def loaded(backend):
-    """A backend as it is, or, given a class or function without arguments, what it makes: once in a worker,
-    so that a model is neither sent with each task nor loaded by each."""
-    if hasattr(backend, "embed") or hasattr(backend, "reply") or hasattr(backend, "extract_batch"):
-        if not isinstance(backend, type):
-            return backend
-    key = f"{backend.__module__}.{backend.__qualname__}"
-    if key not in _loaded:
-        _loaded[key] = backend()
-    return _loaded[key]
-
-
-def embed(self, texts: list[str]) -> list[list[float]]:
-        import numpy as np
-        import zlib
 
-        out = []
-        for text in texts:
-            v = np.zeros(self.dim, np.float32)
-            for w in (text or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % self.dim] += 1.0 if h & 0x80000000 else -1.0
-            norm = float(np.linalg.norm(v))
-            out.append((v / norm if norm else v).tolist())
-        return out
+#: Models that a worker keeps; the oldest goes.
+MOST_LOADED = 4
+_loaded: dict = {}
+
 
+def shared(backend):
+    """A backend as it is, or a class or other callable that makes one as a ``Factory``. Its key is a digest of its
+    pickled form, so two functions of one name, or of one body over other values, make a model each."""
+    if isinstance(backend, Factory) or not callable(backend):
+        return backend
+    if not isinstance(backend, type) and any(hasattr(backend, m) for m in ("embed", "reply", "extract_batch")):
+        return backend
+    return Factory(hashlib.sha256(cloudpickle.dumps(backend)).hexdigest(), backend)
 
-def embed(documents: DataFrame, embedder=None, prefix: str | None = None, cap: int | None = None) -> DataFrame:
+
+def loaded(backend):
+    """A backend as it is, or what its factory makes: once in a worker, so that a model is neither sent with each
+    task nor loaded by each."""
+    backend = shared(backend)
+    if not isinstance(backend, Factory):
+        return backend
+    if backend.key not in _loaded:
+        while len(_loaded) >= MOST_LOADED:
+            del _loaded[next(iter(_loaded))]
+        _loaded[backend.key] = backend.make()
+    return _loaded[backend.key]
+
+
+def embed(documents: DataFrame, embedder=None, prefix: str | None = None, cap: int | None = None, model_name: str | None = None) -> DataFrame:
     """Embedding records of ``documents`` (doc_id, text, party, country_code, language, date). embedder: an
-    object, or what makes one in a worker. prefix: what stands before each text; None: what the model wants."""
+    object, or what makes one in a worker; a function has to be given the ``model_name``. prefix: what stands before
+    each text; None: what the model wants."""
     embedder = embedder or HashingEmbedder
-    model_name = embedder.model_name
+    model_name = model_name or getattr(embedder, "model_name", None)
+    if model_name is None:
+        raise ValueError("model_name is needed where the embedder doesn't state it")
+    embedder = shared(embedder)
     prefix = passage_prefix(model_name) if prefix is None else prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
