@@ -65,7 +65,8 @@ def running(rows: DataFrame, keys: list[str], place: str, sums: dict[str, Column
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """(conv_id, place from 1, role, text) of all conversations, in order; by blocks of turn numbers."""
+    """(conv_id, place from 1, said, words) of all conversations, in order; by blocks of turn numbers. said: a digest of
+    role and text, which aren't needed after this."""
     rows = turns.filter("conv_id IS NOT NULL").select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -75,7 +76,9 @@ def numbered(turns: DataFrame) -> DataFrame:
     starts = counts.withColumn("_start", F.sum("c").over(before)).filter("_start IS NOT NULL").select("conv_id", F.col("_part"), "_start")
     here = Window.partitionBy("conv_id", "_part").orderBy("turn", "role", "text")
     local = rows.withColumn("_nth", F.row_number().over(here)).join(starts, ["conv_id", "_part"], "left")
-    return local.select("conv_id", (F.col("_nth") + F.coalesce("_start", F.lit(0))).alias("place"), "role", "text")
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words")
+    said = F.unhex(F.sha2(F.concat_ws(":", F.length("role"), "role", "text"), 256)).alias("said")
+    return local.select("conv_id", (F.col("_nth") + F.coalesce("_start", F.lit(0))).alias("place"), said, words)
 
 
 def _taken(conv: Column) -> Column:
@@ -84,18 +87,18 @@ def _taken(conv: Column) -> Column:
 
 
 def rebuilt(turns: DataFrame, convs: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text): each conversation's first turns are those of the first of its family, if that
+    """(conv_id, place, said, words): each conversation's first turns are those of the first of its family, if that
     has them, and its own ones follow. ``convs``: (conv_id, n) of all of them, n being how many turns they have."""
     base = F.col("conv_id") - F.col("conv_id") % FAMILY
     heads = turns.filter((F.col("conv_id") % FAMILY == 0) & (F.col("place") < HEAD)).withColumnRenamed("conv_id", "_base")
     known = convs.withColumns({"_base": base, "h": _taken(F.col("conv_id"))})
-    first = known.filter("h > 0").join(heads, "_base").filter("place <= h").select("conv_id", "place", "role", "text")
+    first = known.filter("h > 0").join(heads, "_base").filter("place <= h").select("conv_id", "place", "said", "words")
     short = known.join(convs.select(F.col("conv_id").alias("_base"), F.col("n").alias("_has")), "_base", "left")
     # Where the family's first has fewer turns than asked for, one's own turns move up.
     short = short.select("conv_id", "n", (F.col("h") - F.least(F.col("h"), F.coalesce("_has", F.lit(0)))).alias("lacks")).filter("lacks > 0")
     total = convs.agg(F.sum("n")).first()[0] or 0
     own = spread_join(turns.filter(F.col("place") > _taken(F.col("conv_id"))), short, "conv_id", total, how="left")
-    own = own.select("conv_id", (F.col("place") - F.coalesce("lacks", F.lit(0))).alias("place"), "role", "text")
+    own = own.select("conv_id", (F.col("place") - F.coalesce("lacks", F.lit(0))).alias("place"), "said", "words")
     return first.unionByName(own)
 
 
@@ -166,11 +169,9 @@ def trie(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     turns = scratch(numbered(conversations), "turns")
     convs = scratch(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "convs")
-    said = F.concat_ws(":", "place", F.length("role"), "role", "text")
-    digest = F.sha2(said, 256)
+    digest = F.sha2(F.concat(F.encode(F.concat(F.col("place").cast("string"), F.lit(":")), "UTF-8"), "said"), 256)
     pieces = {s: F.conv(F.substring(F.col("_d"), 8 * i + 1, 8), 16, 10).cast("long") for i, s in enumerate(_SUMS)}
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    marked = rebuilt(turns, convs).select("conv_id", "place", words.alias("words"), digest.alias("_d")).withColumns(pieces).drop("_d")
+    marked = rebuilt(turns, convs).select("conv_id", "place", "words", digest.alias("_d")).withColumns(pieces).drop("_d")
     marked = scratch(marked, "digests")
 
     def key(depth: Column) -> Column:

@@ -89,9 +89,9 @@ def test_random_tries_in_small_blocks(spark, monkeypatch, seed, convs, said):
 def test_groups_of_copies(spark, monkeypatch):
     """A third of conversations alike, their ids spread over chunks and ranges; one path holds most turns."""
     monkeypatch.setattr(trie, "CHUNK_IDS", 64)
-    rows = [(c, t, "user", f"turn {t}" if c % 3 else f"turn {t} of {c}") for c in range(300) for t in range(6)]
-    rows += [(1000, t, "user", f"long {t}") for t in range(1200)]
-    monkeypatch.setattr(trie, "BLOCK", 300)
+    rows = [(c, t, "user", f"turn {t}" if c % 3 else f"turn {t} of {c}") for c in range(240) for t in range(4)]
+    rows += [(1000, t, "user", f"long {t}") for t in range(400)]
+    monkeypatch.setattr(trie, "BLOCK", 100)
     assert found(trie.trie(spark.createDataFrame(rows, CONV).repartition(4))) == brute(rows)
 
 
