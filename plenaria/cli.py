@@ -10,11 +10,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation, extraction, graph, vectors
+from .operators.results import extract_once
 from .plans import catalogue
 from .settings import settings
-from .sources.base import numbered_batches
 from .sources.tei import TranscriptSource
-from .storage import work_dir
+from .storage import drop, work_dir
+from .streaming.incremental import drain
 
 log = logging.getLogger("plenaria")
 
@@ -41,40 +42,32 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Extract from speeches not yet processed, batch by batch, until none is left. What has been
-    processed is kept apart from the results, so a speech without a sentiment is not taken again.
-    Speeches to be done are looked up and numbered once. A batch that fails is counted and left for
-    the next run; an interrupt ends the run with its report."""
+    processed is kept apart from the results, so a speech without a sentiment is not taken again; results are kept by
+    text, so no text is asked about twice. Speeches to be done are looked up once and written to files of a batch
+    each, which are drained. A batch that fails is counted and left for the next run; an interrupt ends the run with
+    its report."""
     store = graph.GraphStore(spark, args.graph_dir)
-    done, began = f"{args.graph_dir}/processed", time.time()
-    fs, folder = store._fs(done)
-    if fs.exists(folder):
-        processed = spark.read.schema("speech_id string").parquet(done)
-    else:
-        processed = spark.createDataFrame([], "speech_id string")
+    done, asked = f"{args.graph_dir}/processed", f"{args.graph_dir}/results"
+    spark.createDataFrame([], "speech_id string").write.mode("append").parquet(done)  # the folder, if it is new
+    processed = spark.read.schema("speech_id string").parquet(done)
     todo = store.unprocessed(processed, args.country.upper()).select(F.col("speech_id").alias("doc_id"), F.col("raw_text").alias("text"))
-    todo = numbered_batches(todo, args.batch_size, ["doc_id"], [])
-    if args.max_batches >= 0:
-        todo = todo.filter(F.col("batch") < args.max_batches)
     path = work_dir(spark, "extract")
-    todo.write.partitionBy("batch").parquet(path)
-    todo = spark.read.schema("doc_id string, text string, batch long").parquet(path)
-    report = {"documents": 0, "batches": 0, "errors": 0}
+    todo.write.option("maxRecordsPerFile", args.batch_size).parquet(f"{path}/todo")
+
+    def process(batch, number: int) -> None:
+        session = batch.sparkSession
+        texts = batch.filter(F.length(F.trim("text")) > 0)
+        results = extract_once(texts, asked, llm=not args.no_llm)
+        graph.GraphStore(session, args.graph_dir).upsert_extractions(results)
+        batch.select(F.col("doc_id").alias("speech_id")).write.mode("append").parquet(done)
+
     try:
-        for row in todo.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").toLocalIterator():
-            batch = todo.filter(F.col("batch") == row["batch"]).select("doc_id", "text")
-            try:
-                texts = batch.filter(F.length(F.trim("text")) > 0)
-                store.upsert_extractions(extraction.extract(texts, llm=not args.no_llm))
-                batch.select(F.col("doc_id").alias("speech_id")).write.mode("append").parquet(done)
-                report["documents"] += row["n"]
-            except Exception as e:  # the next batch may be sound
-                log.warning("batch %s failed: %s", row["batch"], e)
-                report["errors"] += 1
-            report["batches"] += 1
-    except KeyboardInterrupt:
-        log.warning("interrupted after %s batches", report["batches"])
-    report["rate"] = round(report["documents"] / max(time.time() - began, 1e-9), 1)
-    return report
+        report = drain(
+            spark, f"{path}/todo", todo.schema, process, f"{path}/checkpoint", args.max_batches, files_per_batch=1
+        )
+    finally:
+        drop(spark, path)
+    return {"documents": report.rows, "batches": report.batches, "errors": len(report.errors), "rate": round(report.rate, 1)}
 
 
 def _csv(df, path: str) -> None:
@@ -134,7 +127,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--subcorpus", nargs="*")
     p.add_argument("--dry-run", action="store_true")
     p = command("extract", extract)
-    p.add_argument("--batch-size", type=int, default=50)
+    p.add_argument("--batch-size", type=int, default=100_000, help="most speeches a batch: each is a Spark job over all executors")
     p.add_argument("--max-batches", type=int, default=-1)
     p.add_argument("--no-llm", action="store_true")
     p = command("analyze", analyze)

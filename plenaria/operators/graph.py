@@ -4,7 +4,7 @@ A merge returns the new state of a table, or what is to be added to it. ``GraphS
 Parquet parts below a folder, and names the parts of all tables in one numbered manifest. Parts are
 written whole, their keys checked, and then the next manifest is put in place by one rename: a reader
 sees the old state of all tables or the new one, a failed write changes nothing, and of two writers one
-is refused. Small changes add small parts; ``compact`` joins them.
+is refused, where a rename is atomic and doesn't replace (HDFS, local disks); on object stores let one writer write. Small changes add small parts; ``compact`` joins them.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.scalar import entity_id, party_id, relation_name
-
-TEXT_CAP = 10_000
+from ..storage import drop, work_dir
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
@@ -64,8 +63,8 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def speech_rows(documents: DataFrame) -> DataFrame:
-    """Raw documents as speech nodes: midnight of the date, words as counted, text up to its cap."""
+def speech_rows(documents: DataFrame, text_cap: int | None = None) -> DataFrame:
+    """Raw documents as speech nodes: midnight of the date, words as counted, the text or so many characters of it."""
     absent = {f.name: F.lit(None).cast(f.dataType) for f in schemas.SPEECHES.fields}
     columns = absent | {
         "speech_id": F.col("doc_id"),
@@ -78,12 +77,12 @@ def speech_rows(documents: DataFrame) -> DataFrame:
         "party": F.col("party"),
         "subcorpus": F.col("subcorpus"),
         "word_count": F.col("token_count"),
-        "raw_text": F.substring("text", 1, TEXT_CAP),
+        "raw_text": F.col("text") if text_cap is None else F.substring("text", 1, text_cap),
     }
     return documents.select(*(c.alias(n) for n, c in columns.items()), *(c for c in ("_file", "_ordinal") if c in documents.columns))
 
 
-def ingest_rows(documents: DataFrame) -> dict[str, DataFrame]:
+def ingest_rows(documents: DataFrame, text_cap: int | None = None) -> dict[str, DataFrame]:
     """Node and edge rows that a set of raw documents states, by table."""
     seq = [c for c in ("_file", "_ordinal") if c in documents.columns]
     people = F.col("speaker_id").alias("politician_id")
@@ -92,7 +91,7 @@ def ingest_rows(documents: DataFrame) -> dict[str, DataFrame]:
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     speech = F.col("doc_id").alias("speech_id")
     return {
-        "speeches": speech_rows(documents),
+        "speeches": speech_rows(documents, text_cap),
         "politicians": documents.select(people, F.col("speaker_name").alias("name"), "party", "country_code", "role", empty.alias("social_media_handles"), *seq),
         "parties": documents.select(party, F.col("party").alias("name"), "country_code", null.alias("abbreviation"), null.alias("political_family"), *seq),
         "sessions": documents.select("session_id", "country_code", "date", *seq),
@@ -157,10 +156,11 @@ MOST_PARTS = 64
 
 
 class GraphStore:
-    """Tables of the graph below a folder that driver and executors share."""
+    """Tables of the graph below a folder that driver and executors share. text_cap: characters of a speech's text that
+    are kept (10,000 for the tables that the queries were first made for), None: all."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, text_cap: int | None = None):
+        self.spark, self.path, self.text_cap = spark, path.rstrip("/"), text_cap
 
     def __enter__(self) -> GraphStore:
         return self
@@ -212,8 +212,9 @@ class GraphStore:
                 rows = _set(rows, vectors, ("embedding", "embedding_model"))
         return rows.drop("_seq")
 
-    def write(self, tables: dict[str, DataFrame], add: bool = False) -> None:
-        """Make each DataFrame the table's new state or, with ``add``, a part of it. All of it shows at once."""
+    def write(self, tables: dict[str, DataFrame], add: bool = False, fresh: bool = False) -> None:
+        """Make each DataFrame the table's new state or, with ``add``, a part of it. All of it shows at once. A key may be
+        there once, in all parts together; ``fresh`` says that the rows' keys aren't in the other parts."""
         number, parts = self._manifest()
         new = {}
         for name, df in tables.items():
@@ -224,6 +225,10 @@ class GraphStore:
             written = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{part}")
             keys = LATER.get(name) or schemas.GRAPH[name][1]
             clash = duplicate_keys(written, keys).first()
+            others = parts.get(name, []) if add and not fresh and name not in LATER else []
+            if clash is None and others:
+                there = self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{p}" for p in others)).select(*keys)
+                clash = written.select(*keys).join(there, keys, "left_semi").first()
             if clash is not None:
                 raise ValueError(f"{name}: more than one row of key {clash.asDict()}")
             if not add:
@@ -269,7 +274,7 @@ class GraphStore:
 
     def upsert_documents(self, documents: DataFrame) -> None:
         """First writer wins on every node and edge that ``documents`` state; only new ones are written."""
-        self.write(self._fresh(ingest_rows(documents)), add=True)
+        self.write(self._fresh(ingest_rows(documents, self.text_cap)), add=True, fresh=True)
 
     def upsert_politicians(self, rows: DataFrame, order: list[str]) -> None:
         """Name, party and role are the last writer's; country and handles the first's."""
@@ -282,10 +287,17 @@ class GraphStore:
 
     def upsert_extractions(self, results: DataFrame) -> None:
         """Metrics on speeches, and the nodes and edges of topics, entities and triples. Results that
-        name no speech of the store are left out; only what is new or set is written."""
-        known = results.join(self._stored("speeches").select(F.col("speech_id").alias("doc_id")), "doc_id", "left_semi")
-        rows = self._fresh(extraction_rows(known))
-        self.write(rows | {"speech_updates": metric_rows(known)}, add=True)
+        name no speech of the store are left out; only what is new or set is written. ``results`` are evaluated
+        once: all eight tables are made of what was written of them then."""
+        path = work_dir(self.spark, "results")
+        try:
+            results.select(*schemas.EXTRACTION.names).write.parquet(path)
+            once = self.spark.read.schema(schemas.EXTRACTION).parquet(path)
+            known = once.join(self._stored("speeches").select(F.col("speech_id").alias("doc_id")), "doc_id", "left_semi")
+            rows = self._fresh(extraction_rows(known))
+            self.write(rows | {"speech_updates": metric_rows(known)}, add=True, fresh=True)
+        finally:
+            drop(self.spark, path)
 
     def upsert_embeddings(self, records: DataFrame, order: list[str] | None = None) -> None:
         """The last vector of each document replaces the one before, here and on its speech."""

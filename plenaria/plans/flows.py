@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalar
-from ..operators import evaluation, extraction, graph, vectors
+from ..operators import evaluation, extraction, graph, results, vectors
+from ..storage import work_dir
 from ..sources import base, posts, tei
 from ..streaming import incremental
 from . import views as V
@@ -161,12 +162,29 @@ def ext_reply_parsing(spark, d):
 
 
 @query("ext_pipeline", r"""
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(list_filter(string_split_regex(left(text, 10000), '\s+'), lambda w: w <> '')) >= 50 AS has_sentiment FROM documents""")
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 50 AS has_sentiment FROM documents""")
 def ext_pipeline(spark, d):
     """Extraction over all documents; the backends' own findings have no SQL form, the gate has."""
     return extraction.extract(V.spread(V.read(spark, d, "documents").select("doc_id", "text"))).select("doc_id", F.col("sentiment_score").isNotNull().alias("has_sentiment"))
 
 
+@query("ext_results_by_content", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words,
+  regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text IN (SELECT text FROM documents WHERE lang = 'en') AS known_before,
+  CAST(CASE WHEN words >= 50 THEN least(3, len(list_distinct(list_filter(w, lambda x: length(x) > 5)))) ELSE 0 END AS INTEGER) AS n_topics FROM d""")
+def ext_results_by_content(spark, d):
+    """Results of all documents by their text, after a first run over the English ones; whether a text was known by then."""
+    documents = V.spread(V.read(spark, d, "documents"))
+    path, label = work_dir(spark, "results"), results.made_by()
+    results.extract_once(documents.filter("lang = 'en'").select("doc_id", "text"), path)
+    before = results.stored(spark, path, label).select("text_hash", F.lit(True).alias("known"))  # the files of now
+    found = results.extract_once(documents.select("doc_id", "text"), path)
+    hashes = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
+    known = hashes.join(before, "text_hash", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known_before"))
+    return found.join(known, "doc_id").select("doc_id", "known_before", F.size("topics").alias("n_topics"))
+
+
 _WORD, _NOT_WORD = r"[A-ZÀ-Þ][\p{L}\p{N}_-]+", r"[^\p{L}\p{N}_]"
 
 

@@ -17,3 +17,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="plenaria-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/plenaria/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``work_dir`` that is no longer read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

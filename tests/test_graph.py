@@ -1,6 +1,7 @@
 """Sources, the graph store, extraction, vectors and the command line on original fixtures."""
 
 import argparse
+import functools
 import json
 import os
 
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from plenaria import cli
-from plenaria.operators import evaluation, extraction, graph, vectors
+from plenaria import cli, schemas
+from plenaria.operators import evaluation, extraction, graph, results, vectors
 from plenaria.sources.posts import PostSource
 from plenaria.sources.tei import TranscriptSource
 
@@ -151,6 +152,79 @@ def test_backends_are_made_once_a_worker_and_prefixes_follow_the_model(spark):
     assert extraction.passage_prefix("org/multilingual-e5-large") == "passage: " and extraction.passage_prefix("hashing") == ""
 
 
+class Counting:
+    """Backends that note each text they are asked about in a file."""
+
+    extractor_name = "counting"
+
+    def __init__(self, path):
+        self.path = path
+
+    def note(self, kind, text):
+        with open(self.path, "a") as f:
+            f.write(f"{kind} {text[:8]}\n")
+
+    def extract_batch(self, texts):
+        for t in texts:
+            self.note("entities", t)
+        return [[{"text": t[:4], "label": "event", "start": 0, "end": 4, "score": 0.9}] for t in texts]
+
+    def reply(self, text, correction=None):
+        self.note("reply", text)
+        return '{"topics": [{"label": "%s"}], "sentiment_score": 0.5}' % text[:4]
+
+
+def test_a_text_is_asked_about_once(spark, tmp_path, monkeypatch):
+    """Over eight tables, over copies, and over runs; another version is asked again."""
+    path, notes = str(tmp_path / "results"), tmp_path / "notes"
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    ids = [("u1", "long one " * 60), ("u2", "long one " * 60), ("u3", "long two " * 60), ("u4", "short"), ("u5", None), ("u6", "")]
+    documents = spark.createDataFrame(ids, "doc_id string, text string").repartition(3)
+    speeches = documents.select(F.col("doc_id").alias("speech_id"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.SPEECHES.fields[1:]))
+    store.write({"speeches": speeches})
+    backend = Counting(str(notes))
+    store.upsert_extractions(results.extract_once(documents, path, backend, backend))
+    want = sorted(["entities long one", "entities long two", "entities short", "entities ", "reply long one", "reply long two"])
+    assert sorted(notes.read_text().splitlines()) == want
+    assert {r.speech_id: r.sentiment_score for r in store.read("speeches").collect()} == {"u1": 0.5, "u2": 0.5, "u3": 0.5, "u4": None, "u5": None, "u6": None}
+    assert store.read("mentions_topic").count() == 3 and store.read("topics").count() == 1 and store.read("references_entity").count() == 6
+    more = documents.unionByName(spark.createDataFrame([("u7", "new " * 60), ("u8", "short")], documents.schema))
+    again = results.extract_once(more, path, backend, backend)
+    assert sorted(notes.read_text().splitlines()) == sorted([*want, "entities new new ", "reply new new "])
+    assert {r.doc_id: len(r.topics) for r in again.collect()} == {"u1": 1, "u2": 1, "u3": 1, "u4": 0, "u5": 0, "u6": 0, "u7": 1, "u8": 0}
+    for changed in ({"version": "2"}, {"least_words": 1}, {"llm": False}):
+        before = len(notes.read_text().splitlines())
+        assert results.extract_once(documents, path, backend, backend, **changed).count() == 6
+        assert len(notes.read_text().splitlines()) >= before + 4
+    # Eight tables of results that aren't kept by content: one evaluation still, and its folder goes.
+    monkeypatch.setattr(graph, "work_dir", lambda *a: str(tmp_path / "once"))
+    notes.write_text("")
+    store.upsert_extractions(extraction.extract(documents, backend, backend))
+    assert len(notes.read_text().splitlines()) == 9
+    assert not (tmp_path / "once").exists()
+
+
+def test_a_model_for_each_factory(spark):
+    rows = spark.createDataFrame([("a", "some words", "P", "DE", "de", "2020-01-01")], "doc_id string, text string, party string, country_code string, language string, date string").withColumn("date", F.to_date("date"))
+    small, large = (lambda: extraction.HashingEmbedder(8)), (lambda: extraction.HashingEmbedder(64))
+    sizes = [len(extraction.embed(rows, f, model_name="m").first().vector) for f in (small, large, functools.partial(extraction.HashingEmbedder, 16), small, extraction.HashingEmbedder(4))]
+    assert sizes == [8, 64, 16, 8, 4]
+    assert [len(extraction.loaded(lambda n=n: extraction.HashingEmbedder(n)).embed_single("a")) for n in range(1, 9)] == list(range(1, 9))
+    assert len(extraction._loaded) <= extraction.MOST_LOADED
+    with pytest.raises(ValueError, match="model_name"):
+        extraction.embed(rows, small)
+
+
+def test_keys_of_other_parts_are_checked(spark, tmp_path):
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    one = spark.createDataFrame([("a",)], "text string")
+    store.write({"concepts": one}, add=True)
+    store.write({"concepts": spark.createDataFrame([("b",)], "text string")}, add=True)
+    with pytest.raises(ValueError, match="more than one row"):
+        store.write({"concepts": one}, add=True)
+    assert store.read("concepts").count() == 2
+
+
 def test_extraction_gate_retry_and_failures(spark):
     class Flaky:
         extractor_name = "flaky"
