@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
-from ..operators import evaluation, vectors
+from ..operators import evaluation, vector_index, vectors
+from ..storage import work_dir
 from . import catalogue as C
 from . import views as V
 from .registry import query as register
@@ -314,6 +315,31 @@ def p7(spark, d):
     return found.select("doc_id", "party", "year", rounded("score", 6).alias("score"))
 
 
+def _index(spark, d):
+    return vector_index.build(V.embedded(spark, d), work_dir(spark, "vectors"))
+
+
+@query("p7_vector_search_indexed", _with(V.EMBEDDED_SQL) + f"""
+SELECT e.doc_id, e.party, e.year, round({V.COSINE_SQL.format(a='e.vector', b='r.vector')}, 6) AS score
+FROM embedded e, (SELECT {_QUERY}::DOUBLE[] AS vector) r WHERE e.year = 1997 ORDER BY score DESC, doc_id LIMIT 10""")
+def p7_indexed(spark, d):
+    """The filtered search through an index of all vectors: cells that cannot hold one of the ten best aren't read."""
+    found, _ = _index(spark, d).search(_QUERY, 10, {"country_code": "DE", "year": 1997})
+    return found.select("doc_id", "party", "year", rounded("score", 6).alias("score"))
+
+
+@query("q7_1_similar_speeches_join", _with(V.EMBEDDED_SQL) + f"""
+, pairs AS (SELECT q.doc_id AS query_id, e.doc_id, round({V.COSINE_SQL.format(a='q.vector', b='e.vector')}, 6) AS score
+  FROM embedded q JOIN embedded e ON q.doc_id % 50 = 0 AND q.doc_id <> e.doc_id),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, doc_id AS speech_id, score AS cosine_similarity, rank FROM best WHERE rank <= 10""")
+def q7_1_join(spark, d):
+    """The ten speeches most similar to each one whose id is divisible by 50, among all."""
+    asked = V.embedded(spark, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    found = _index(spark, d).join(asked, 10)
+    return found.select("query_id", F.col("doc_id").alias("speech_id"), F.col("score").alias("cosine_similarity"), "rank")
+
+
 @query("p8_latest_complexity", _with(V.TEXTS_SQL) + f"""
 SELECT party, max_by(avg_ttr, year) AS avg_ttr, max_by(avg_fk, year) AS avg_fk_grade FROM
 (SELECT party, year, round(avg(ttr), 4) AS avg_ttr, round(avg(flesch_kincaid_grade), 2) AS avg_fk FROM measured
