@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine, ratio, rounded, stdev0
+from ..operators.overlap import top_overlaps
+from ..storage import scratch
 
 
 def corpus_overview(speeches: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def topic_growth(speeches: DataFrame, mentions: DataFrame, country: str, first:
 
 
 def topic_pairs(speeches: DataFrame, mentions: DataFrame, country: str, limit: int = 20) -> DataFrame:
-    """Pairs within a speech; a speech's topics are gathered once and its pairs counted."""
+    """Pairs of topics within a speech: they meet by speech, so a speech's pairs are made where it is, and are counted."""
     own = speeches.filter(F.col("country_code") == country).select("speech_id").join(mentions, "speech_id")
     other = own.withColumnRenamed("topic", "topic_b")
     return (
@@ -274,30 +276,23 @@ def party_relations(
 
 
 def bridges(delivered: DataFrame, politicians: DataFrame, mentions: DataFrame, country: str, limit: int = 20) -> DataFrame:
-    """Politicians of different parties who speak on the same topics. Both aggregates are of distinct
-    topics, so (politician, topic) pairs are made distinct before they meet. A small job is run while the plan
-    is built: where no two politicians share name and party, pairs are counted by id and topics gathered
-    for the reported ones only; else by name and party. Both plans give the same rows."""
-    spoke = delivered.select("politician_id", "speech_id").join(mentions, "speech_id").select("politician_id", "topic").distinct()
-    a = politicians.filter(F.col("country_code") == country).select(
-        F.col("politician_id").alias("_a"), F.col("name").alias("politician_a"), F.col("party").alias("party_a")
-    )
-    b = politicians.select(F.col("politician_id").alias("_b"), F.col("name").alias("politician_b"), F.col("party").alias("party_b"))
-    left = spoke.withColumnRenamed("politician_id", "_a").join(a, "_a")
-    right = spoke.withColumnRenamed("politician_id", "_b").join(b, "_b")
-    people = ["politician_a", "party_a", "politician_b", "party_b"]
-    order = [F.desc("topic_overlap"), "politician_a", "politician_b", "party_a", "party_b"]
-    pairs = left.join(right, "topic").filter("party_a <> party_b AND _a < _b")
-    topics = F.sort_array(F.collect_set("topic")).alias("shared_topics")
-    if politicians.groupBy("name", "party").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        counted = pairs.groupBy("_a", "_b").agg(F.count("*").alias("topic_overlap"))
-        top = counted.join(a, "_a").join(b, "_b").orderBy(*order).limit(limit)
-        shared = spoke.select(F.col("politician_id").alias("_a"), "topic")
-        also = spoke.select(F.col("politician_id").alias("_b"), "topic")
-        gathered = top.join(shared, "_a").join(also, ["_b", "topic"]).groupBy(*people, "topic_overlap").agg(topics)
-    else:
-        gathered = pairs.groupBy(*people).agg(topics).withColumn("topic_overlap", F.size("shared_topics").cast("long"))
-    return gathered.select(*people, "shared_topics", "topic_overlap").orderBy(*order).limit(limit)
+    """Politicians of different parties who speak on the same topics, by name and party; of ids that share those, topics
+    count for a pair if one id of the first is less than one of the second. Topics are gathered for the reported
+    pairs only."""
+    spoke = delivered.select("politician_id", "speech_id").join(mentions, "speech_id").select("politician_id", "topic")
+    person = F.struct("name", "party")
+    # A few columns of a row for each politician and topic.
+    left = spoke.join(politicians.filter(F.col("country_code") == country).select("politician_id", person.alias("a")), "politician_id")
+    left = left.groupBy("a", F.col("topic").alias("item")).agg(F.min("politician_id").alias("lo"))
+    right = spoke.join(politicians.select("politician_id", person.alias("b")), "politician_id")
+    right = right.groupBy("b", F.col("topic").alias("item")).agg(F.max("politician_id").alias("hi"))
+    left, right = scratch(left, "bridges"), scratch(right, "bridges")
+    order = [F.col(f"{p}.{c}") for c, p in (("name", "a"), ("name", "b"), ("party", "a"), ("party", "b"))]
+    top = top_overlaps(left, right, limit, F.col("a.party") != F.col("b.party"), order)
+    met = top.join(left, "a").join(right, ["b", "item"]).filter("lo < hi")
+    gathered = met.groupBy("a", "b", F.col("overlap").alias("topic_overlap")).agg(F.sort_array(F.collect_set("item")).alias("shared_topics"))
+    people = [F.col("a.name").alias("politician_a"), F.col("a.party").alias("party_a"), F.col("b.name").alias("politician_b"), F.col("b.party").alias("party_b")]
+    return gathered.select(*people, "shared_topics", "topic_overlap").orderBy(F.desc("topic_overlap"), "politician_a", "politician_b", "party_a", "party_b").limit(limit)
 
 
 def year_snapshot(speeches: DataFrame, delivered: DataFrame, politicians: DataFrame, mentions: DataFrame, country: str, year: int) -> DataFrame:

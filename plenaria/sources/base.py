@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import work_dir
+from ..storage import scratch
 
 
 class Source(Protocol):
@@ -35,9 +35,7 @@ def numbered_rows(df: DataFrame, order: list[str], name: str, by: Sequence[str]
     range and group are added up in one place, so a group of any size is numbered by many tasks.
     """
     keys = [*by, *order]
-    path = work_dir(df.sparkSession, "ranges")
-    df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    ranged = df.sparkSession.read.parquet(path)
+    ranged = scratch(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -23,3 +27,21 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder of ``work_dir`` that is no longer read."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new work folder and read back: its lineage ends there. The folder goes when the application
+    ends, since what is made of it may be read until then."""
+    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session may have ended first; the folder's owner sweeps it then
+            drop(spark, path)
+
+
+atexit.register(_clean)
