@@ -90,7 +90,10 @@ def analyze(spark: SparkSession, args: argparse.Namespace) -> dict:
             candidates = {n: embedded.filter(F.col("model_name") == n) for n in sorted(names)}
             report["best"], report["results"] = evaluation.tournament(candidates)
         else:
-            report["evaluation"] = evaluation.evaluate(embedded, "stored")
+            found = evaluation.evaluate(embedded, "stored", plot="graph" if args.plot else False)
+            if args.plot:
+                evaluation.write_plot(found.pop("points"), f"{args.output_dir}/vectors_{country}", f"Speeches of {country}")
+            report["evaluation"] = found
     if args.step in ("all", "longitudinal"):
         speeches = store.read("speeches")
         trend = catalogue.complexity_trend(speeches, country, args.start_year, args.end_year)
@@ -137,6 +140,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--party-a")
     p.add_argument("--party-b")
     p.add_argument("--compare-models", action="store_true")
+    p.add_argument("--plot", action="store_true", help="lay the vectors out in two dimensions and write a page with them")
     p.add_argument("--output-dir", default=s.output_dir)
     return top
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping
+from html import escape
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -49,10 +50,11 @@ def encode_labels(df: DataFrame, label: str = "party") -> DataFrame:
     return named.join(numbered.withColumn("label_id", F.col("label_id").cast("int")), label)
 
 
-def evaluate(embeddings: DataFrame, model_name: str = "", sample: int | None = None, plot: bool = False) -> dict:
+def evaluate(embeddings: DataFrame, model_name: str = "", sample: int | None = None, plot: bool | str = False) -> dict:
     """Cluster all vectors, or a sample of so many, into as many groups as they have parties; ``ari`` against the parties,
     ``silhouette`` (cosine) of the clusters, counts and, with ``plot``, ``points`` (doc_id, party,
-    cluster, x, y by principal components). No vectors: ValueError."""
+    cluster, x, y): by principal components, or with ``plot="graph"`` by the layout of the neighbour graph, which leaves
+    vectors without a direction out. No vectors: ValueError."""
     rows = encode_labels(embeddings if sample is None else seeded_sample(embeddings, sample)).withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
     rows = rows.cache()
     try:
@@ -66,7 +68,12 @@ def evaluate(embeddings: DataFrame, model_name: str = "", sample: int | None = N
         if clustered.select("prediction").distinct().count() > 1:
             silhouette = round(ClusteringEvaluator(metricName="silhouette", distanceMeasure="cosine").evaluate(clustered), 4)
         found = {"model_name": model_name, "ari": ari, "silhouette": silhouette, "n_samples": n, "n_parties": parties}
-        if plot:
+        if plot == "graph":
+            from . import layout
+
+            at = layout.spectral_layout(layout.neighbour_graph(clustered))
+            found["points"] = clustered.select("doc_id", "party", F.col("prediction").alias("cluster")).join(at, "doc_id")
+        elif plot:
             reduced = PCA(k=2, inputCol="features", outputCol="_xy").fit(clustered).transform(clustered)
             xy = vector_to_array("_xy")
             found["points"] = reduced.select("doc_id", "party", F.col("prediction").alias("cluster"), xy[0].alias("x"), xy[1].alias("y"))
@@ -75,6 +82,28 @@ def evaluate(embeddings: DataFrame, model_name: str = "", sample: int | None = N
         rows.unpersist()
 
 
+#: Colours of the parties in a plot, in order of their names; from the first again where they are more.
+COLOURS = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
+
+
+def write_plot(points: DataFrame, path: str, title: str = "", most: int = 20_000) -> None:
+    """Write ``points`` as a page with a scatter plot, to be opened in a browser: coloured by party, each point showing its
+    id, party and cluster. A page of more than ``most`` points is of no use: of more, so many are drawn, chosen by digest."""
+    if points.count() > most:
+        points = seeded_sample(points, most)
+    spark = points.sparkSession
+    span = points.agg(*(f(c).alias(f.__name__ + c) for c in ("x", "y") for f in (F.min, F.max))).first()
+    at = {c: (F.col(c) - (span["min" + c] or 0.0)) * (960 / ((span["max" + c] or 0.0) - (span["min" + c] or 0.0) or 1.0)) + 20 for c in ("x", "y")}
+    named = encode_labels(points.select("doc_id", "party", "cluster", "x", "y"))
+    colour = F.element_at(F.array(*map(F.lit, COLOURS)), (F.col("label_id") % len(COLOURS) + 1).cast("int"))
+    safe = [F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")) for c in ("doc_id", "party", "cluster")]
+    mark = '<circle cx="%.1f" cy="%.1f" r="4" fill="%s" fill-opacity="0.6"><title>%s, %s, cluster %s</title></circle>'
+    marks = named.select(F.format_string(mark, at["x"], 1000 - at["y"], colour, *safe).alias("value"))
+    head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><svg viewBox="0 0 1000 1000" width="1000" height="1000">'
+    page = spark.createDataFrame([(head,)], "value string").unionByName(marks).unionByName(spark.createDataFrame([("</svg></body></html>",)], "value string"))
+    page.coalesce(1).write.mode("overwrite").text(path)  # parts in their order, at most ``most`` rows
+
+
 def tournament(candidates: Mapping[str, DataFrame], sample: int | None = None) -> tuple[str, list[dict]]:
     """(best model, all results): each candidate by its own vectors. The highest ARI wins, the first of
     equals; a candidate that fails is left out; none left: RuntimeError."""

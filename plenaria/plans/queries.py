@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
-from ..operators import evaluation, vector_index, vectors
+from ..operators import evaluation, layout, vector_index, vectors
 from ..storage import work_dir
 from . import catalogue as C
 from . import views as V
@@ -378,3 +378,22 @@ def ml_evaluate(spark, d):
 def ml_projection(spark, d):
     found = evaluation.evaluate(V.embedded(spark, d), plot=True)["points"]
     return found.select("doc_id", "party", "cluster", rounded("x", 6).alias("x"), rounded("y", 6).alias("y"))
+
+
+@query("ml_neighbour_graph", _with(V.EMBEDDED_SQL) + """
+SELECT count(*) AS n_vectors, count(*) * 15 AS n_edges, true AS recall_enough FROM embedded""")
+def ml_neighbour_graph(spark, d):
+    """The neighbour graph of all vectors; its recall against the exact neighbours of those whose id is divisible by 50."""
+    rows = V.embedded(spark, d)
+    edges = layout.neighbour_graph(rows)
+    asked = rows.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    exact = vector_index.build(rows, work_dir(spark, "vectors")).join(asked, layout.NEIGHBOURS)
+    met = exact.join(edges.select(F.col("u").alias("query_id"), F.col("v").alias("doc_id"), F.lit(1).alias("found")), ["query_id", "doc_id"], "left")
+    recall = met.agg((F.count("found") / F.count(F.lit(1)) >= 0.9).alias("recall_enough"))
+    counts = edges.agg(F.count_distinct("u").alias("n_vectors"), F.count(F.lit(1)).alias("n_edges"))
+    return counts.crossJoin(recall)  # one row each
+
+
+@query("ml_neighbour_layout")
+def ml_neighbour_layout(spark, d):
+    return layout.spectral_layout(layout.neighbour_graph(V.embedded(spark, d)))

@@ -319,6 +319,12 @@ def test_command_line(spark, folder, tmp_path):
     assert run("extract")["documents"] == 0
     run("analyze", "--step", "embeddings")
     out = str(tmp_path / "out")
+    found = run("analyze", "--step", "evaluate", "--plot", "--output-dir", out)["evaluation"]
+    assert found["n_samples"] == 3 and found["n_parties"] == 3 and "points" not in found
+    page = "\n".join(r.value for r in spark.read.text(f"{out}/vectors_DE").collect())
+    assert page.startswith("<!DOCTYPE html>") and page.endswith("</html>") and page.count("<circle") == 3 and "Alpha Party" in page
+    best = run("analyze", "--step", "evaluate", "--compare-models")
+    assert best["best"] == "hashing" and len(best["results"]) == 1
     report = run("analyze", "--step", "longitudinal", "--party-a", "Alpha Party", "--party-b", "pb", "--output-dir", out)
     assert {r["party"] for r in report["latest"]} == {"Alpha Party", "pb", "Unknown"}
     assert spark.read.option("header", True).csv(f"{out}/complexity_trends_DE").count() == 3
