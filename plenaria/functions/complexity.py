@@ -3,7 +3,8 @@
 Flesch reading ease, Flesch-Kincaid grade and Gunning fog follow the published formulas. Their
 syllables are groups of vowels (at least one a word), and their sentences are the pieces between
 full stops, exclamation and question marks with more than two words (at least one a text): an
-approximation meant for trends, with one rule for all languages.
+approximation meant for trends. Without a language one rule serves all; with one, syllables follow a rule of that language
+and reading ease has the constants that were published for it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalar import rounded, words
+from .scalar import language_key, rounded, words
 
 TOKEN = r"(?U)\b[a-zA-ZÀ-ÿ]{2,}\b"
 VOWELS = "[aeiouyà-æè-ïò-öø-ýÿœ]+"
@@ -21,6 +22,48 @@ BASIC = ("ttr", "cttr", "avg_sentence_length", "avg_word_length")
 METRICS = (*BASIC, "flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "lexicon_count", "sentence_count")
 
 
+#: Base, weight of sentence length and weight of syllables a word of the reading ease of each language key
+#: (Amstad for German, Fernandez Huerta for Spanish, Kandel and Moles for French, Vacca for Italian, Douma for Dutch).
+READING_EASE = {
+    "en_US": (206.835, 1.015, 84.6),
+    "de": (180.0, 1.0, 58.5),
+    "es": (206.84, 1.02, 60.0),
+    "fr": (207.0, 1.015, 73.6),
+    "it": (217.0, 1.3, 60.0),
+    "nl": (206.835, 0.93, 77.0),
+}
+#: Syllables from which a word is hard, where it isn't 3.
+HARD = {"pl": 4}
+#: By language key: what is cut from the end of a word first, for it isn't spoken, and what is one syllable in the rest.
+#: English and French drop a last e that a vowel came before; German tells diphthongs from vowels in hiatus; in Spanish,
+#: Italian and Portuguese each strong or accented vowel is a syllable, with the weak ones beside it.
+SILENT = {"en_US": "([aeiouy].*[^aeiouyl])e$", "fr": "(?:([aeiouyà-ÿœ].*[qg])u|([aeiouyà-ÿœ].*[^aeiouyà-ÿœ]))es?$"}
+_STRONG = "[iuüy]*[aeoáéíóúàèìòùâêôãõ][iuy]*|[iuüy]+"
+NUCLEI = {"de": "ie|ei|ai|au|eu|äu|ey|ay|oi|aa|ee|oo|[aeiouyäöüéèà]", "es": _STRONG, "it": _STRONG, "pt": _STRONG}
+
+
+def syllables(word: Column, language: Column | None = None) -> Column:
+    """Syllables of a lower-case word, at least one. language: a key as ``language_key`` gives."""
+    def counted(w: Column, pattern: str) -> Column:
+        return F.greatest(F.size(F.regexp_extract_all(w, F.lit(pattern), 0)), F.lit(1))
+
+    found = counted(word, VOWELS)
+    if language is None:
+        return found
+    for key in (*SILENT, *NUCLEI):
+        spoken = F.regexp_replace(word, SILENT[key], "$1$2" if key == "fr" else "$1") if key in SILENT else word
+        found = F.when(language == key, counted(spoken, NUCLEI.get(key, VOWELS))).otherwise(found)
+    return found
+
+
+def _constant(language: Column | None, place: int) -> Column:
+    default = F.lit(READING_EASE["en_US"][place])
+    if language is None:
+        return default
+    table = F.create_map(*(F.lit(x) for k, v in READING_EASE.items() for x in (k, v[place])))
+    return F.coalesce(F.try_element_at(table, language), default)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words of two or more letters up to U+00FF, whole words only."""
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), F.lower)
@@ -30,9 +73,14 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
 
-def with_complexity(df: DataFrame, text: str = "text", basic: bool = False, metrics: Sequence[str] | None = None) -> DataFrame:
+def with_complexity(
+    df: DataFrame, text: str = "text", basic: bool = False, metrics: Sequence[str] | None = None, language: Column | None = None
+) -> DataFrame:
     """``df`` with a column for each metric; null where the text is null or blank.
 
+    language: a tag of each row's language; its rules for syllables and reading ease are used, or those of one without
+    rules of its own.
+
     basic: only the four metrics that need no syllables. metrics: only those named. Existing columns of
     those names are replaced. The metrics come from one generated row, so that a filter on one of them is
     not pushed below it and does not evaluate it again.
@@ -45,6 +93,10 @@ def with_complexity(df: DataFrame, text: str = "text", basic: bool = False, metr
     parts = {"_tokens": tokens(t), "_sizes": F.transform(pieces, lambda p: F.size(words(p)))}
     if not set(names) <= set(BASIC):
         parts["_lexicon"] = lexicon
+    key = None
+    if language is not None:
+        parts["_language"] = language_key(F.coalesce(language, F.lit("")))
+        key = F.col("_language")
     made = df.withColumns(parts)
     n, sentences = F.size("_tokens"), F.size("_sizes")
     distinct = F.size(F.array_distinct("_tokens"))
@@ -61,16 +113,19 @@ def with_complexity(df: DataFrame, text: str = "text", basic: bool = False, metr
     if "_lexicon" in parts:
         made = made.withColumn(
             "_syllables",
-            F.transform("_lexicon", lambda w: F.greatest(F.size(F.regexp_extract_all(F.lower(w), F.lit(VOWELS), 0)), F.lit(1))),
+            F.transform("_lexicon", lambda w: syllables(F.lower(w), key)),
         )
         lex = F.size("_lexicon")
         sent = F.greatest(F.size(F.filter("_sizes", lambda k: k > 2)), F.lit(1))
         length = F.try_divide(lex, sent)
-        syllables = F.try_divide(_total(F.col("_syllables")), lex)
-        hard = F.try_divide(F.size(F.filter("_syllables", lambda k: k >= 3)), lex)
+        spoken = F.try_divide(_total(F.col("_syllables")), lex)
+        least = F.lit(3)
+        for name, n in HARD.items() if key is not None else ():
+            least = F.when(key == name, n).otherwise(least)
+        hard = F.try_divide(F.size(F.filter("_syllables", lambda k: k >= least)), lex)
         columns |= {
-            "flesch_reading_ease": where(lex, 206.835 - 1.015 * length - 84.6 * syllables, 2, "_lexicon"),
-            "flesch_kincaid_grade": where(lex, 0.39 * length + 11.8 * syllables - 15.59, 2, "_lexicon"),
+            "flesch_reading_ease": where(lex, _constant(key, 0) - _constant(key, 1) * length - _constant(key, 2) * spoken, 2, "_lexicon"),
+            "flesch_kincaid_grade": where(lex, 0.39 * length + 11.8 * spoken - 15.59, 2, "_lexicon"),
             "gunning_fog": where(lex, 0.4 * (length + 100 * hard), 2, "_lexicon"),
             "lexicon_count": F.when(F.col("_lexicon").isNotNull(), lex.cast("double")),
             "sentence_count": F.when(F.col("_sizes").isNotNull(), sent.cast("double")),
@@ -79,9 +134,9 @@ def with_complexity(df: DataFrame, text: str = "text", basic: bool = False, metr
     return made.select(*rest, F.inline(F.array(F.struct(*(columns[c].alias(c) for c in names)))))
 
 
-def metrics_map(df: DataFrame, text: str = "text", name: str = "complexity_metrics") -> DataFrame:
-    """``df`` with the metrics as one map, empty for a blank text."""
-    made = with_complexity(df.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text")
+def metrics_map(df: DataFrame, text: str = "text", name: str = "complexity_metrics", language: str | None = None) -> DataFrame:
+    """``df`` with the metrics as one map, empty for a blank text. language: the column with each row's language tag."""
+    made = with_complexity(df.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text", language=language and F.col(f"_row.{language}"))
     pairs = [x for m in METRICS for x in (F.lit(m), F.col(m))]
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     value = F.when(F.col("ttr").isNull(), empty).otherwise(F.create_map(*pairs))

@@ -9,7 +9,7 @@ from ..functions import scalar
 from ..operators import evaluation, extraction, graph, results, vectors
 from ..storage import work_dir
 from ..sources import base, posts, tei
-from ..streaming import incremental
+from ..streaming import incremental, sessions
 from . import views as V
 from .registry import query
 
@@ -277,6 +277,19 @@ def stream_windows(spark, d):
     return found.withColumn("total", F.round("total", 4))
 
 
+@query("stream_sessions", """
+WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n_events, round(sum(value), 4) AS total FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions(spark, d):
+    """Sessions of all events as a stream that is started three times; those still open are not there."""
+    base = work_dir(spark, "sessions")
+    for _ in range(3):
+        found = sessions.run_sessions(spark, f"{d}/events.parque[t]", f"{base}/out", f"{base}/checkpoint")
+    return found.withColumn("total", F.round("total", 4))
+
+
 def _results(spark, d):
     """Extraction results of replies, one document a part."""
     r = F.col("r")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.complexity import with_complexity
 from ..functions.scalar import rounded
 from ..operators import evaluation, layout, vector_index, vectors
 from ..storage import work_dir
@@ -357,6 +358,27 @@ def text_complexity(spark, d):
     return V.measured(spark, d).select("speech_id", "word_count", *METRICS)
 
 
+_BY_LANGUAGE = V.TEXTS_SQL.replace("SELECT *, list_transform(lex, lambda w:\n  greatest(len(regexp_extract_all(lower(w), '[aeiouyà-æè-ïò-öø-ýÿœ]+')), 1)) AS syls,", r"""SELECT *, list_transform(lex, lambda w: greatest(1, len(CASE country_code
+    WHEN 'EN' THEN regexp_extract_all(regexp_replace(lower(w), '([aeiouy].*[^aeiouyl])e$', '\1'), '[aeiouyà-æè-ïò-öø-ýÿœ]+')
+    WHEN 'FR' THEN regexp_extract_all(regexp_replace(lower(w), '(?:([aeiouyà-ÿœ].*[qg])u|([aeiouyà-ÿœ].*[^aeiouyà-ÿœ]))es?$', '\1\2'), '[aeiouyà-æè-ïò-öø-ýÿœ]+')
+    WHEN 'DE' THEN regexp_extract_all(lower(w), 'ie|ei|ai|au|eu|äu|ey|ay|oi|aa|ee|oo|[aeiouyäöüéèà]')
+    ELSE regexp_extract_all(lower(w), '[iuüy]*[aeoáéíóúàèìòùâêôãõ][iuy]*|[iuüy]+') END))) AS syls,""").replace(
+    "206.835::DOUBLE - 1.015::DOUBLE * (len(lex)::DOUBLE / sent) - 84.6::DOUBLE *",
+    "(CASE country_code WHEN 'EN' THEN 206.835::DOUBLE WHEN 'FR' THEN 207 WHEN 'DE' THEN 180 ELSE 206.84::DOUBLE END)"
+    " - (CASE country_code WHEN 'DE' THEN 1 WHEN 'ES' THEN 1.02::DOUBLE ELSE 1.015::DOUBLE END) * (len(lex)::DOUBLE / sent)"
+    " - (CASE country_code WHEN 'EN' THEN 84.6::DOUBLE WHEN 'FR' THEN 73.6::DOUBLE WHEN 'DE' THEN 58.5::DOUBLE ELSE 60 END) *",
+)
+
+
+@query("text_complexity_by_language", _with(_BY_LANGUAGE) + """
+SELECT speech_id, flesch_reading_ease, flesch_kincaid_grade, gunning_fog FROM measured""")
+def text_complexity_by_language(spark, d):
+    """Grades by the rules of each document's own language: English, French, German or Spanish."""
+    made = with_complexity(V.texts(spark, d), metrics=("flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog"), language=F.col("country_code"))
+    return made.filter("gunning_fog IS NOT NULL").select("speech_id", "flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog")
+
+
+
 @query("ml_adjusted_rand_index", """
 WITH p AS (SELECT label AS t, vec_id % 7 + label // 3 AS c, count(*) AS n FROM embeddings GROUP BY ALL),
 s AS (SELECT (SELECT sum(n * (n - 1) / 2.0::DOUBLE) FROM p) AS cells, (SELECT sum(n)::DOUBLE FROM p) AS total,

@@ -1,8 +1,10 @@
 import re
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+from plenaria.functions import complexity
 from plenaria.functions import scalar as S
 from plenaria.functions.complexity import BASIC, METRICS, metrics_map, with_complexity
 
@@ -59,3 +61,39 @@ def test_basic_metrics_alone(spark):
     whole = with_complexity(df).select("i", *BASIC).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, basic.select("i", *BASIC).collect()))
     assert with_complexity(df, metrics=["gunning_fog"]).columns == ["i", "text", "gunning_fog"]
+
+
+BY_LANGUAGE = {
+    # Syllables of each word, counted by hand.
+    "en": [("table", 2), ("make", 1), ("the", 1), ("decide", 2), ("people", 2), ("law", 1)],
+    "de-DE": [("Theater", 3), ("Freiheit", 2), ("Regierung", 3), ("Häuser", 2), ("Schnee", 1), ("Chaos", 2)],
+    "fr": [("table", 1), ("politique", 3), ("les", 1), ("gouvernement", 4), ("lignes", 1), ("je", 1)],
+    "es-ES": [("gobierno", 3), ("país", 2), ("teatro", 3), ("ciudad", 2), ("muy", 1), ("guerra", 2)],
+    "xx": [("idea", 2), ("make", 2)],
+}
+
+
+def test_syllables_by_language(spark):
+    rows = [(tag, w, n) for tag, words in BY_LANGUAGE.items() for w, n in words]
+    df = spark.createDataFrame(rows, "tag string, word string, n int")
+    key = F.when(F.col("tag") == "xx", "xx").otherwise(S.language_key(F.col("tag")))
+    got = df.withColumn("found", complexity.syllables(F.lower("word"), key)).filter("found <> n").collect()
+    assert got == []
+
+
+def test_grades_by_language_by_hand(spark):
+    """One sentence each, of six words: 9 syllables in English, 13 in German and Spanish, 11 in French."""
+    text = {tag: " ".join(w for w, _ in words) + "." for tag, words in BY_LANGUAGE.items() if tag != "xx"}
+    sizes = {tag: sum(n for _, n in words) for tag, words in BY_LANGUAGE.items()}
+    assert sizes == {"en": 9, "de-DE": 13, "fr": 11, "es-ES": 13, "xx": 4}
+    df = spark.createDataFrame([*text.items(), (None, text["en"]), ("en", " "), ("en", None)], "tag string, text string")
+    rows = complexity.with_complexity(df, metrics=("flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog"), language=F.col("tag")).collect()
+    ease = {"en": (206.835, 1.015, 84.6), "de-DE": (180, 1, 58.5), "fr": (207, 1.015, 73.6), "es-ES": (206.84, 1.02, 60)}
+    for r in rows[:4]:
+        base, length, spoken = ease[r.tag]
+        a = sizes[r.tag] / 6
+        assert r.flesch_reading_ease == pytest.approx(base - length * 6 - spoken * a, abs=0.006)
+        assert r.flesch_kincaid_grade == pytest.approx(0.39 * 6 + 11.8 * a - 15.59, abs=0.006)
+        hard = sum(n >= 3 for _, n in BY_LANGUAGE[r.tag])
+        assert r.gunning_fog == pytest.approx(0.4 * (6 + 100 * hard / 6), abs=0.006)
+    assert rows[4].flesch_reading_ease == rows[0].flesch_reading_ease and rows[5].gunning_fog is None is rows[6].gunning_fog

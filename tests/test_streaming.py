@@ -1,5 +1,8 @@
 """Incremental drains: nothing twice, a limit of batches, and failures that do not stop the rest."""
 
+from pyspark.sql import functions as F
+
+from plenaria.streaming import sessions
 from plenaria.streaming.incremental import append_new, drain, windowed_counts
 
 
@@ -87,3 +90,27 @@ def test_windows_of_a_stream_drop_late_events(spark, tmp_path):
         query.awaitTermination()
     got = sorted((str(r.start)[11:16], r.event_type, r.n, r.total) for r in spark.read.parquet(out).collect())
     assert got == [("10:00", "a", 3, 11.0), ("11:00", "b", 1, 4.0), ("14:00", "b", 1, 16.0)]
+
+
+def test_sessions_go_on_over_restarts(spark, tmp_path):
+    """Three runs over growing input: repeated events count once, sessions span files and runs, late events are lost."""
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    runs = [
+        [(1, "10:00", 1, 1.0), (2, "10:20", 1, 2.0), (2, "10:20", 1, 2.0), (3, "10:10", 2, 4.0)],
+        [(2, "10:20", 1, 2.0), (4, "10:45", 1, 8.0), (5, "10:41", 2, 16.0)],  # an event repeated, a session continued
+        [(6, "12:30", 3, 1.0), (7, "10:50", 1, 32.0)],  # an event of a session that is open still
+        [(8, "16:00", 3, 1.0), (9, "10:51", 1, 64.0)],  # later than the watermark
+        [(10, "23:00", 4, 1.0)],
+    ]
+    whole = []
+    for rows in runs:
+        whole += rows
+        made = spark.createDataFrame([(i, f"2024-01-01 {t}", u, "a", v) for i, t, u, v in rows], "event_id long, ts string, user_id long, event_type string, value double")
+        made.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+        found = sessions.run_sessions(spark, source, out, mark)
+    got = sorted((r.user_id, str(r.start)[11:16], str(r.end)[11:16], r.n_events, r.total) for r in found.collect())
+    assert got == [(1, "10:00", "11:20", 4, 43.0), (2, "10:10", "10:40", 1, 4.0), (2, "10:41", "11:11", 1, 16.0), (3, "12:30", "13:00", 1, 1.0), (3, "16:00", "16:30", 1, 1.0)]
+    assert sessions.run_sessions(spark, source, out, mark).count() == 5
+    table = spark.createDataFrame([(i, f"2024-01-01 {t}", u, v) for i, t, u, v in whole if i != 9], "event_id long, ts string, user_id long, value double")
+    batch = sessions.sessions(table.withColumn("ts", F.to_timestamp("ts"))).filter("user_id < 4")
+    assert sorted((r.user_id, str(r.start)[11:16], str(r.end)[11:16], r.n_events, r.total) for r in batch.collect()) == got
