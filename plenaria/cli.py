@@ -6,14 +6,14 @@ import argparse
 import logging
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation, extraction, graph, vectors
 from .operators.results import extract_once
 from .plans import catalogue
 from .settings import settings
-from .sources.tei import TranscriptSource
+from .sources.tei import TranscriptSource, documents, parse
 from .storage import drop, work_dir
 from .streaming.incremental import drain
 
@@ -25,17 +25,38 @@ def session() -> SparkSession:
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> dict:
-    """Transcripts into the graph; with dry_run, only their count. Files that fail are counted."""
+    """Transcripts into the graph; with dry_run, only their count. Files that fail are counted. With incremental, only
+    files that no such run has taken: Spark keeps their list beside the graph. Files are parsed once, and counted as
+    they pass; what is written again after a run that was cut off changes nothing."""
     began = time.time()
     source = TranscriptSource(args.country, args.min_tokens, [s.upper() for s in args.subcorpus or []])
-    parsed = source.parsed(spark, args.data_dir).cache()
-    from .sources import tei
-
-    documents = tei.documents(parsed, source.country, source.min_tokens, source.subcorpora, trace=True)
-    report = {"documents": documents.count(), "errors": parsed.filter("error IS NOT NULL").count()}
-    if not args.dry_run:
-        graph.GraphStore(spark, args.graph_dir).upsert_documents(documents)
-    parsed.unpersist()
+    report = {"documents": 0, "errors": 0}
+
+    def take(files, number: int = 0) -> None:
+        spark = files.sparkSession
+        counts, errors = Observation(), Observation()
+        parsed = parse(files).observe(errors, F.count("error").alias("errors"))
+        rows = documents(parsed, source.country, source.min_tokens, source.subcorpora, trace=True)
+        rows = rows.observe(counts, F.count(F.lit(1)).alias("documents"))
+        if args.dry_run:
+            rows.write.format("noop").mode("overwrite").save()
+        else:
+            path = work_dir(spark, "documents")
+            try:
+                rows.write.parquet(path)
+                graph.GraphStore(spark, args.graph_dir).upsert_documents(spark.read.schema(rows.schema).parquet(path))
+            finally:
+                drop(spark, path)
+        for found in (counts.get, errors.get):
+            for name, n in found.items():
+                report[name] += n or 0
+
+    if args.incremental and not args.dry_run:
+        stream = source.files(spark, args.data_dir, stream=True).writeStream.foreachBatch(take)
+        stream = stream.option("checkpointLocation", f"{args.graph_dir}/ingested").trigger(availableNow=True)
+        stream.start().awaitTermination()
+    else:
+        take(source.files(spark, args.data_dir))
     report["rate"] = round(report["documents"] / max(time.time() - began, 1e-9), 1)
     return report
 
@@ -129,6 +150,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-tokens", type=int, default=s.min_tokens)
     p.add_argument("--subcorpus", nargs="*")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--incremental", action="store_true", help="take only files that no incremental run has taken")
     p = command("extract", extract)
     p.add_argument("--batch-size", type=int, default=100_000, help="most speeches a batch: each is a Spark job over all executors")
     p.add_argument("--max-batches", type=int, default=-1)

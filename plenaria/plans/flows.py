@@ -27,16 +27,8 @@ _HEADER = (
 )
 
 
-@query("src_transcripts", r"""
-SELECT 'u' || doc_id AS doc_id, lang AS language, 'p' || doc_id % 7 AS speaker_id,
-  CASE WHEN doc_id % 7 < 5 THEN 'Ann' || doc_id % 7 || ' Lee' || doc_id % 7 ELSE 'p' || doc_id % 7 END AS speaker_name,
-  CASE WHEN doc_id % 7 >= 5 THEN 'Unknown' WHEN doc_id % 7 % 3 < 2 THEN 'Group ' || doc_id % 7 % 3 ELSE 'g2' END AS party,
-  CASE doc_id % 4 WHEN 0 THEN DATE '2021-09-15' WHEN 1 THEN DATE '2021-09-16' WHEN 2 THEN DATE '2021-09-01' ELSE DATE '2021-01-01' END AS date,
-  'm' || source AS session_id, CASE WHEN doc_id % 2 = 0 THEN 'COVID' ELSE 'REGULAR' END AS subcorpus,
-  CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS token_count, md5(trim(text, chr(10) || ' ')) AS text_md5
-FROM documents WHERE len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 20""")
-def src_transcripts(spark, d):
-    """Transcripts made of documents, one file each, parsed back."""
+def _transcripts(spark, d):
+    """Transcripts made of documents, one file each: (path, content)."""
     when = F.element_at(F.array(*map(F.lit, ("2021-09-15", "20210916", "2021-09", "2021"))), (F.col("doc_id") % 4 + 1).cast("int"))
     kind = F.when(F.col("doc_id") % 2 == 0, "covid").otherwise("regular")
     text = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -47,13 +39,39 @@ def src_transcripts(spark, d):
     u = [F.lit('<u who="#p'), who, F.lit('" xml:id="u'), F.col("doc_id").cast("string"), F.lit('"><seg>'), text, F.lit("</seg></u>")]
     xml = F.concat(*head, *u, F.lit("</div></body></text></TEI>"))
     path = F.concat(F.lit("file:/transcripts/"), "doc_id", F.lit(".xml"))
-    files = V.spread(V.read(spark, d, "documents")).select(path.alias("path"), F.encode(xml, "UTF-8").alias("content"))
-    found = tei.documents(tei.parse(files), "de", 20)
+    return V.spread(V.read(spark, d, "documents")).select(path.alias("path"), F.encode(xml, "UTF-8").alias("content"))
+
+
+@query("src_transcripts", r"""
+SELECT 'u' || doc_id AS doc_id, lang AS language, 'p' || doc_id % 7 AS speaker_id,
+  CASE WHEN doc_id % 7 < 5 THEN 'Ann' || doc_id % 7 || ' Lee' || doc_id % 7 ELSE 'p' || doc_id % 7 END AS speaker_name,
+  CASE WHEN doc_id % 7 >= 5 THEN 'Unknown' WHEN doc_id % 7 % 3 < 2 THEN 'Group ' || doc_id % 7 % 3 ELSE 'g2' END AS party,
+  CASE doc_id % 4 WHEN 0 THEN DATE '2021-09-15' WHEN 1 THEN DATE '2021-09-16' WHEN 2 THEN DATE '2021-09-01' ELSE DATE '2021-01-01' END AS date,
+  'm' || source AS session_id, CASE WHEN doc_id % 2 = 0 THEN 'COVID' ELSE 'REGULAR' END AS subcorpus,
+  CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS token_count, md5(trim(text, chr(10) || ' ')) AS text_md5
+FROM documents WHERE len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 20""")
+def src_transcripts(spark, d):
+    """Transcripts made of documents, parsed back."""
+    found = tei.documents(tei.parse(_transcripts(spark, d)), "de", 20)
     return found.select(
         "doc_id", "language", "speaker_id", "speaker_name", "party", "date", "session_id", "subcorpus", "token_count", F.md5(F.encode("text", "UTF-8")).alias("text_md5")
     )
 
 
+@query("src_transcripts_sql", r"""
+SELECT 'm' || source AS session_id, 'p' || doc_id % 7 AS who, count(*) AS utterances, CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))) AS BIGINT) AS words
+FROM documents GROUP BY ALL""")
+def src_transcripts_sql(spark, d):
+    """Files joined with their utterances in SQL, through the table function."""
+    tei.register(spark)
+    return spark.sql(
+        """SELECT u.session_id, replace(u.who, '#', '') AS who, count(*) AS utterances,
+          sum(size(filter(split(u.text, '(?U)\\\\s+'), w -> w <> ''))) AS words
+        FROM {files} f, LATERAL utterances(f.path, f.content) u WHERE u.error IS NULL GROUP BY ALL""",
+        files=_transcripts(spark, d),
+    )
+
+
 def _posts(spark, d):
     line = F.struct(
         F.col("event_id").cast("string").alias("id"),

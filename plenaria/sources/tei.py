@@ -101,6 +101,7 @@ def parse_file(path: str, content: bytes) -> Iterator[dict]:
         }
 
 
+_BINARY = "path string, modificationTime timestamp, length long, content binary"
 _ARROW = pa.schema([(f, pa.string()) for f in _FIELDS] + [("ordinal", pa.int64())])
 
 
@@ -112,6 +113,19 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows[at : at + 1000], schema=_ARROW)
 
 
+class Utterances:
+    """``utterances(path, content)`` for SQL: the rows of one file, to be joined laterally with files."""
+
+    def eval(self, path: str, content: bytes) -> Iterator[tuple]:
+        for row in parse_file(path or "", bytes(content or b"")):
+            yield tuple(row.get(f) for f in _ARROW.names)
+
+
+def register(spark: SparkSession, name: str = "utterances") -> None:
+    """Make the table function known to the session's SQL."""
+    spark.udtf.register(name, F.udtf(Utterances, returnType=PARSED))
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Utterances of ``files`` (path, content)."""
     return files.select("path", "content").mapInArrow(_parse, PARSED)
@@ -162,15 +176,22 @@ class TranscriptSource:
     def schema(self) -> T.StructType:
         return schemas.RAW_DOCUMENT
 
+    def files(self, spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+        """(path, content) of the transcripts below ``path``; as a stream, of those that its checkpoint lacks."""
+        reader = (spark.readStream.schema(_BINARY) if stream else spark.read).format("binaryFile")
+        found = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(existing(spark, path))
+        return found.filter(~F.col("path").rlike(r"[-_]root\.xml$")).select("path", "content")
+
+    def paths(self, spark: SparkSession, path: str) -> DataFrame:
+        """(path) of the transcripts below ``path``, in order; contents aren't read."""
+        return self.files(spark, path).select("path").orderBy("path")
+
     def parsed(self, spark: SparkSession, path: str) -> DataFrame:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.xml")
-            .load(existing(spark, path))
-            .filter(~F.col("path").rlike(r"[-_]root\.xml$"))
-        )
-        return parse(files)
+        return parse(self.files(spark, path))
+
+    def documents(self, files: DataFrame, trace: bool = False) -> DataFrame:
+        """Raw documents of ``files`` (path, content), be they of a table or of a stream."""
+        return documents(parse(files), self.country, self.min_tokens, self.subcorpora, self.default_date, trace)
 
     def load(self, spark: SparkSession, path: str, trace: bool = False) -> DataFrame:
         return documents(self.parsed(spark, path), self.country, self.min_tokens, self.subcorpora, self.default_date, trace)

@@ -313,6 +313,17 @@ def test_command_line(spark, folder, tmp_path):
 
     assert run("ingest", "--data-dir", folder, "--min-tokens", "5", "--dry-run")["documents"] == 3
     assert run("ingest", "--data-dir", folder, "--min-tokens", "5")["errors"] == 1
+    # Incremental runs take new files only, and change nothing where all is known.
+    more = tmp_path / "more"
+    more.mkdir()
+    (more / "first.xml").write_text(TEI)
+    assert run("ingest", "--data-dir", str(more), "--min-tokens", "5", "--incremental")["documents"] == 3
+    assert run("ingest", "--data-dir", str(more), "--min-tokens", "5", "--incremental") == {"documents": 0, "errors": 0, "rate": 0.0}
+    (more / "second.xml").write_text("<TEI")
+    (more / "third-root.xml").write_text(TEI)
+    assert run("ingest", "--data-dir", str(more), "--min-tokens", "5", "--incremental")["errors"] == 1
+    assert graph.GraphStore(spark, str(tmp_path / "g")).read("speeches").count() == 3
+    assert [os.path.basename(r.path) for r in TranscriptSource("de").paths(spark, str(more)).collect()] == ["first.xml", "second.xml"]
     assert run("extract", "--batch-size", "2", "--max-batches", "1")["documents"] == 2
     last = run("extract", "--batch-size", "2")
     assert (last["documents"], last["batches"], last["errors"]) == (1, 1, 0)
