@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import logging
 import time
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .operators import evaluation, extraction, graph, vectors
 from .operators.results import extract_once
 from .plans import catalogue
-from .settings import settings
+from .settings import named, settings
 from .sources.tei import TranscriptSource, documents, parse
 from .storage import drop, work_dir
 from .streaming.incremental import drain
@@ -44,7 +45,7 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> dict:
             path = work_dir(spark, "documents")
             try:
                 rows.write.parquet(path)
-                graph.GraphStore(spark, args.graph_dir).upsert_documents(spark.read.schema(rows.schema).parquet(path))
+                graph.GraphStore(spark, args.graph_dir, settings().text_cap or None).upsert_documents(spark.read.schema(rows.schema).parquet(path))
             finally:
                 drop(spark, path)
         for found in (counts.get, errors.get):
@@ -67,7 +68,7 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     text, so no text is asked about twice. Speeches to be done are looked up once and written to files of a batch
     each, which are drained. A batch that fails is counted and left for the next run; an interrupt ends the run with
     its report."""
-    store = graph.GraphStore(spark, args.graph_dir)
+    s, store = settings(), graph.GraphStore(spark, args.graph_dir)
     done, asked = f"{args.graph_dir}/processed", f"{args.graph_dir}/results"
     spark.createDataFrame([], "speech_id string").write.mode("append").parquet(done)  # the folder, if it is new
     processed = spark.read.schema("speech_id string").parquet(done)
@@ -78,7 +79,10 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     def process(batch, number: int) -> None:
         session = batch.sparkSession
         texts = batch.filter(F.length(F.trim("text")) > 0)
-        results = extract_once(texts, asked, llm=not args.no_llm)
+        results = extract_once(
+            texts, asked, named(s.entity_backend), named(s.reply_backend), s.results_version,
+            llm=not args.no_llm, threshold=s.entity_threshold, least_words=s.least_words,
+        )
         graph.GraphStore(session, args.graph_dir).upsert_extractions(results)
         batch.select(F.col("doc_id").alias("speech_id")).write.mode("append").parquet(done)
 
@@ -102,7 +106,10 @@ def analyze(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.step in ("all", "embeddings"):
         own = store.read("speeches").filter((F.col("country_code") == country) & F.col("year").between(args.start_year, args.end_year))
         missing = own.join(store.read("embeddings").select(F.col("doc_id").alias("speech_id")), "speech_id", "left_anti")
-        records = extraction.embed(missing.withColumnsRenamed({"speech_id": "doc_id", "raw_text": "text"}))
+        s = settings()
+        embedder = named(s.embedder) or functools.partial(extraction.HashingEmbedder, s.embedding_dim)
+        model = s.embedding_model or getattr(embedder, "model_name", extraction.HashingEmbedder.model_name)
+        records = extraction.embed(missing.withColumnsRenamed({"speech_id": "doc_id", "raw_text": "text"}), embedder, model_name=model)
         store.upsert_embeddings(records)
     embedded = vectors.vectors_for_country(store.read("embeddings"), country)
     if args.step in ("all", "evaluate"):

@@ -97,3 +97,18 @@ def test_grades_by_language_by_hand(spark):
         hard = sum(n >= 3 for _, n in BY_LANGUAGE[r.tag])
         assert r.gunning_fog == pytest.approx(0.4 * (6 + 100 * hard / 6), abs=0.006)
     assert rows[4].flesch_reading_ease == rows[0].flesch_reading_ease and rows[5].gunning_fog is None is rows[6].gunning_fog
+
+
+def test_settings_from_environment_and_file(tmp_path, monkeypatch):
+    from plenaria import settings
+
+    (tmp_path / ".env").write_text("# models\nexport PLENARIA_EMBEDDER='plenaria.operators.extraction:HashingEmbedder'\nPLENARIA_TEXT_CAP=10000\nPLENARIA_LEAST_WORDS = 7\nnothing\n")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("PLENARIA_LEAST_WORDS", "9")
+    settings.settings.cache_clear()
+    try:
+        found = settings.settings()
+        assert (found.text_cap, found.least_words, found.entity_threshold, found.reply_backend) == (10000, 9, 0.5, "")
+        assert settings.named(found.embedder).model_name == "hashing" and settings.named("") is None
+    finally:
+        settings.settings.cache_clear()
