@@ -111,7 +111,7 @@ def analyze(spark: SparkSession, args: argparse.Namespace) -> dict:
         model = s.embedding_model or getattr(embedder, "model_name", extraction.HashingEmbedder.model_name)
         records = extraction.embed(missing.withColumnsRenamed({"speech_id": "doc_id", "raw_text": "text"}), embedder, model_name=model)
         store.upsert_embeddings(records)
-    embedded = vectors.vectors_for_country(store.read("embeddings"), country)
+    embedded = store.vectors(country)
     if args.step in ("all", "evaluate"):
         if args.compare_models:
             names = [r[0] for r in embedded.select("model_name").distinct().collect()]

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.scalar import entity_id, party_id, relation_name
-from ..storage import drop, work_dir
+from ..storage import drop, scratch, work_dir
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
@@ -151,6 +151,8 @@ class ConcurrentWrite(RuntimeError):
 UPDATES = T.StructType([f for f in schemas.SPEECHES.fields if f.name in ("speech_id", "sentiment_score", *METRIC_COLUMNS)])
 #: Tables whose parts hold later states of the same keys; the last one counts.
 LATER = {"embeddings": ["doc_id"], "speech_updates": ["speech_id"]}
+#: Tables whose parts are folders by these columns, so that a read for some values lists no others.
+FOLDERS = {"embeddings": ["country_code", "year"]}
 #: Parts of a table from which on a write joins them.
 MOST_PARTS = 64
 
@@ -192,14 +194,30 @@ class GraphStore:
         later = [T.StructField("_seq", T.LongType())] if name in LATER else []
         return T.StructType([*(T.StructField(f.name, f.dataType) for f in schema.fields), *later])
 
-    def _stored(self, name: str) -> DataFrame:
+    def _stored(self, name: str, where: dict | None = None) -> DataFrame:
         parts = self._manifest()[1].get(name, [])
         schema = self._schema(name)
         if not parts:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{p}" for p in parts))
+        rows = self._parts(name, parts)
+        for column, value in (where or {}).items():
+            rows = rows.filter(F.col(column) == value)
+        if name == "embeddings":  # a document that has moved leaves a row without a vector where it was
+            rows = rows.withColumn("_real", F.col("vector").isNotNull())
+            return first_of(rows, LATER[name], ["_seq", "_real"], last=True).filter("_real").drop("_real")
         return first_of(rows, LATER[name], ["_seq"], last=True) if name in LATER else rows
 
+    def _parts(self, name: str, parts: list[str]) -> DataFrame:
+        schema = self._schema(name)
+        reader = self.spark.read.schema(schema)
+        if name in FOLDERS:  # parts are folders of one more level, so that all are read as one table
+            reader = reader.option("basePath", f"{self.path}/{name}")
+        return reader.parquet(*(f"{self.path}/{name}/{p}" for p in parts)).select(*schema.names)
+
+    @staticmethod
+    def _new_part(name: str) -> str:
+        return f"part=p-{uuid.uuid4().hex}" if name in FOLDERS else f"p-{uuid.uuid4().hex}"
+
     def read(self, name: str) -> DataFrame:
         """The table's state; speeches with what later steps have set on them."""
         rows = self._stored(name)
@@ -218,12 +236,12 @@ class GraphStore:
         number, parts = self._manifest()
         new = {}
         for name, df in tables.items():
-            part, schema = f"p-{uuid.uuid4().hex}", self._schema(name)
+            part, schema = self._new_part(name), self._schema(name)
             if name in LATER:
                 df = df.withColumn("_seq", F.lit(number + 1).cast("long"))
-            df.select(*schema.names).write.parquet(f"{self.path}/{name}/{part}")
-            written = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{part}")
-            keys = LATER.get(name) or schemas.GRAPH[name][1]
+            df.select(*schema.names).write.partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.path}/{name}/{part}")
+            written = self._parts(name, [part])
+            keys = (LATER.get(name) or schemas.GRAPH[name][1]) + FOLDERS.get(name, [])
             clash = duplicate_keys(written, keys).first()
             others = parts.get(name, []) if add and not fresh and name not in LATER else []
             if clash is None and others:
@@ -255,8 +273,8 @@ class GraphStore:
     def compact(self, name: str) -> None:
         """Join the parts of a table, and delete what neither the last manifest nor the one before names."""
         number, parts = self._manifest()
-        rows, part = self._stored(name), f"p-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}/{part}")
+        rows, part = self._stored(name), self._new_part(name)
+        rows.write.partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.path}/{name}/{part}")
         self._commit(number + 1, parts | {name: [part]})
         keep = {p for n in (number, number + 1) for p in (self._manifest(n)[1].get(name, []) if n else [])}
         fs, folder = self._fs(f"{self.path}/{name}")
@@ -300,8 +318,31 @@ class GraphStore:
             drop(self.spark, path)
 
     def upsert_embeddings(self, records: DataFrame, order: list[str] | None = None) -> None:
-        """The last vector of each document replaces the one before, here and on its speech."""
-        self.write({"embeddings": first_of(records, ["doc_id"], order or ["model_name", "vector"], last=True)}, add=True)
+        """The last vector of each document replaces the one before, here and on its speech. Vectors are of one
+        dimension, that of the stored ones if there are any: else ValueError."""
+        latest = scratch(first_of(records, ["doc_id"], order or ["model_name", "vector"], last=True), "vectors")
+        sizes = latest.select(F.size("vector").alias("n")).distinct()
+        there = self._manifest()[1].get("embeddings", [])
+        if there:
+            old = self._stored("embeddings")
+            sizes = sizes.union(old.select(F.size("vector")).limit(1)).distinct()
+            was = old.select("doc_id", F.struct(*FOLDERS["embeddings"]).alias("_was"))
+            moved = latest.join(was, "doc_id").filter(~F.struct(*FOLDERS["embeddings"]).eqNullSafe(F.col("_was")))
+            moved = moved.select("doc_id", "_was.*").withColumns({f.name: F.lit(None).cast(f.dataType) for f in schemas.EMBEDDINGS.fields if f.name not in ("doc_id", *FOLDERS["embeddings"])})
+            latest = latest.unionByName(moved, allowMissingColumns=True)
+        dims = [r["n"] for r in sizes.filter("n >= 0").limit(2).collect()]
+        if len(dims) > 1:
+            raise ValueError(f"vectors of {min(dims)} and of {max(dims)} dimensions")
+        self.write({"embeddings": latest}, add=True)
+
+    def vectors(self, country: str, year: int | None = None) -> DataFrame:
+        """Embedding records of a country, and year: folders of others aren't listed, as long as the table is."""
+        return self._stored("embeddings", {"country_code": country} | ({} if year is None else {"year": year})).drop("_seq")
+
+    def recreate(self, name: str) -> None:
+        """Make the table an empty one; its parts go when it is next compacted."""
+        number, parts = self._manifest()
+        self._commit(number + 1, parts | {name: []})
 
     def unprocessed(self, processed: DataFrame, country: str) -> DataFrame:
         """Speeches of a country that ``processed`` (by speech_id) lacks."""

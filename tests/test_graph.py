@@ -225,6 +225,34 @@ def test_keys_of_other_parts_are_checked(spark, tmp_path):
     assert store.read("concepts").count() == 2
 
 
+def test_vectors_are_stored_by_country_and_year(spark, tmp_path):
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    schema = "doc_id string, vector array<float>, model_name string, party string, country_code string, year int, language string"
+    rows = [(f"{c}{y}{i}", [float(i), 1.0], "m", "P", c, y, "x") for c in ("DE", "FR") for y in (2020, 2021) for i in range(3)] + [("n", [1.0, 2.0], "m", "P", None, None, "x")]
+    store.upsert_embeddings(spark.createDataFrame(rows, schema))
+    found = store.vectors("DE", 2021)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "country_code" in filters and "year" in filters
+    assert sorted(r.doc_id for r in found.collect()) == ["DE20210", "DE20211", "DE20212"]
+    # A later vector replaces the one before; a document that moves is where it was last, and nowhere else.
+    store.upsert_embeddings(spark.createDataFrame([("DE20210", [9.0, 9.0], "m", "P", "DE", 2021, "x"), ("DE20211", [8.0, 8.0], "m", "P", "FR", 2020, "x"), ("n", [7.0, 7.0], "m", "P", "DE", 2021, "x")], schema))
+    assert {r.doc_id: r.vector[0] for r in store.vectors("DE", 2021).collect()} == {"DE20210": 9.0, "DE20212": 2.0, "n": 7.0}
+    assert {r.doc_id for r in store.vectors("FR", 2020).collect()} == {"FR20200", "FR20201", "FR20202", "DE20211"}
+    assert store.read("embeddings").count() == 13
+    store.upsert_embeddings(spark.createDataFrame([("DE20211", [6.0, 6.0], "m", "P", "DE", 2021, "x")], schema))  # and back
+    assert store.vectors("FR", 2020).count() == 3 and store.vectors("DE").count() == 7
+    state = sorted(map(str, store.read("embeddings").collect()))
+    store.compact("embeddings")
+    assert sorted(map(str, store.read("embeddings").collect())) == state and store.vectors("DE", 2021).count() == 4
+    with pytest.raises(ValueError, match="dimensions"):
+        store.upsert_embeddings(spark.createDataFrame([("z", [1.0], "m", "P", "DE", 2021, "x")], schema))
+    store.recreate("embeddings")
+    assert store.read("embeddings").count() == 0 and store.vectors("DE").count() == 0
+    store.upsert_embeddings(spark.createDataFrame([("z", [1.0], "m", "P", "DE", 2021, "x")], schema))
+    assert store.vectors("DE", 2021).count() == 1
+
+
 def test_extraction_gate_retry_and_failures(spark):
     class Flaky:
         extractor_name = "flaky"
