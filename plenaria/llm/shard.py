@@ -97,21 +97,23 @@ def row_numbers(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
 
     Rows are dealt by ranges of the order and written, so that the ranges hold still; a range's
     first number is the count of the rows in the ranges before it. Only one number per range is
-    added up in one place.
+    added up in one place. Rows that are equal in ``order`` are told apart by where they were read, so a
+    group of them, whatever its size, is dealt to several ranges as well.
     """
-    ranged = scratch(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    told = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = scratch(told.repartitionByRange(*order, "_tie").withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
     starts, total = [], 0
     for r in counts:
         starts.append((r["_range"], total))
         total += r["n"]
     offsets = df.sparkSession.createDataFrame(starts, "_range int, _start long")
-    w = Window.partitionBy("_range").orderBy(*order)
+    w = Window.partitionBy("_range").orderBy(*order, "_tie")
     return (
         ranged.withColumn("_local", F.row_number().over(w))
         .join(F.broadcast(offsets), "_range")
         .withColumn("row_number", F.col("_start") + F.col("_local") - 1)
-        .drop("_range", "_start", "_local"),
+        .drop("_range", "_tie", "_start", "_local"),
         total,
     )
 

@@ -821,6 +821,27 @@ def test_sharding(spark, texts, odd, none):
 # --- 10: classifier
 
 
+def test_equal_rows_are_dealt_to_several_ranges(spark, monkeypatch):
+    """A third of all rows equal, another third with null ids and one text."""
+    rows = [(7, "same")] * 1000 + [(None, "same")] * 1000 + [(i, f"text {i}") for i in range(1000)]
+    made, sizes = shard.scratch, []
+
+    def noted(df, name):
+        found = made(df, name)
+        sizes.extend(r["n"] for r in found.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+        return found
+
+    monkeypatch.setattr(shard, "scratch", noted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = shard.shard(docs(spark, rows).repartition(6), 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.row_number for r in got) == list(range(3000))
+    assert max(sizes) < 1500 and len(sizes) == 4
+    assert all(r.doc_id is None for r in got if r.row_number < 1000)
+
+
 def test_classifier_held_out(spark):
     """On the next larger tables, as the smallest have but 87 labels."""
     sf = "/root/testdata/sf0.1"
