@@ -349,6 +349,31 @@ def snk_extraction_rows(spark, d):
     return counts
 
 
+@query("snk_graph_store", f"""
+WITH kept AS ({_KEPT_SQL})
+SELECT 'topic' AS kind, CAST(p_partkey AS VARCHAR) AS speech_id, p_type AS value, NULL::DOUBLE AS number FROM kept WHERE p_size % 5 > 0
+UNION ALL SELECT 'relation', CAST(p_partkey AS VARCHAR), p_brand || ' MADE_AS ' || p_type, NULL FROM kept WHERE p_size % 2 = 0
+UNION ALL SELECT 'entity', CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 3 = 1 THEN 'EVENT_here:' ELSE 'EVENT_{{"top' END, 0.9 FROM kept
+UNION ALL SELECT 'speech', CAST(p.p_partkey AS VARCHAR), CASE WHEN k.p_partkey IS NULL THEN 'old' ELSE 'set' END, round((k.p_size - 25) / 20.0::DOUBLE, 4)
+  FROM part p LEFT JOIN kept k ON k.p_partkey = p.p_partkey""")
+def snk_graph_store(spark, d):
+    """A graph of a speech for each part, given the same results twice, read back: edges by content, metrics on speeches."""
+    store = graph.GraphStore(spark, work_dir(spark, "graph"))
+    ids = V.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("speech_id"))
+    store.write({"speeches": ids.select("speech_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.SPEECHES.fields[1:]))})
+    for _ in range(2):
+        store.upsert_extractions(_results(spark, d))
+    none = F.lit(None).cast("double").alias("number")
+    relation = F.concat_ws(" ", "subject", "relation", "obj").alias("value")
+    state = F.when(F.col("ttr").isNull(), "old").otherwise("set").alias("value")
+    return (
+        store.read("mentions_topic").select(F.lit("topic").alias("kind"), "speech_id", F.col("topic").alias("value"), none)
+        .unionByName(store.read("semantic_relation").select(F.lit("relation").alias("kind"), "speech_id", relation, none))
+        .unionByName(store.read("references_entity").select(F.lit("entity").alias("kind"), "speech_id", F.col("entity_id").alias("value"), F.col("score").alias("number")))
+        .unionByName(store.read("speeches").select(F.lit("speech").alias("kind"), "speech_id", state, F.round("sentiment_score", 4).alias("number")))
+    )
+
+
 @query("snk_speech_metrics", f"""
 WITH kept AS ({_KEPT_SQL})
 SELECT CAST(o_orderkey AS VARCHAR) AS speech_id, CASE WHEN p_partkey IS NULL THEN 0.125 ELSE round((p_size - 25) / 20.0::DOUBLE, 4) END AS sentiment_score,
