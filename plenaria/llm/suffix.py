@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -282,8 +283,9 @@ class _Bucket:
             key[hot] = whole
         shard = (mixed(key) % np.uint64(shards)).astype(np.int64)
         raw = self.data.tobytes()
-        places: list[dict[bytes, int]] = [{} for _ in range(shards)]
-        least: list[list[int]] = [[] for _ in range(shards)]
+        # By shard that occurs: there are many more of them than a bucket has segments.
+        places: dict[int, dict[bytes, int]] = defaultdict(dict)
+        least: dict[int, list[int]] = defaultdict(list)
         place = np.empty(len(start), np.int64)
         ids = self.ids[doc].tolist()
         for i, (a, b, s) in enumerate(zip(start.tolist(), (start + windows + LENGTH - 1).tolist(), shard.tolist())):
@@ -296,7 +298,7 @@ class _Bucket:
             elif ids[i] < least[s][p]:
                 least[s][p] = ids[i]
             place[i] = p
-        sent = {s: (list(places[s]), least[s]) for s in range(shards) if places[s]}
+        sent = {s: (list(own), least[s]) for s, own in places.items()}
         return sent, np.stack([shard, place, start, doc], axis=1)
 
     def _window_hashes(self, start: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -325,6 +326,21 @@ def test_repeats_beyond_the_limit_of_buckets(spark, texts):
         spark.conf.set(limit, before)
 
 
+def test_a_bucket_costs_nothing_for_shards_it_does_not_meet():
+    """A million shards, as of a corpus of terabytes: a bucket names those of its own segments only."""
+    rng = random.Random(2)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(20)]
+    rows = pa.table({"bucket": pa.array([3] * 200, pa.int32()), "doc_id": range(200), "text": [rng.choice(shared) + str(i) for i in range(200)]})
+    key = (pa.scalar(3),)
+    answers = suffix._answers(512)((pa.scalar(0),), suffix._anchors(1)(key, rows))
+    began = time.process_time()
+    many = suffix._send(1, 10**6)(key, rows, answers)
+    assert time.process_time() - began < 1
+    few = suffix._send(1, 7)(key, rows, answers)
+    assert len(many) > len(few) == 7
+    assert sum(map(len, many.column("bytes").to_pylist())) == sum(map(len, few.column("bytes").to_pylist()))
+
+
 def test_repeats_keep_whole_characters(spark):
     a = "é" * 40
     got = {r.doc_id: r for r in suffix.remove_repeats(docs(spark, [(1, a), (2, "x" + a + "y")]), ["lang"], ("kept", "spans")).collect()}
