@@ -419,3 +419,14 @@ def ml_neighbour_graph(spark, d):
 @query("ml_neighbour_layout")
 def ml_neighbour_layout(spark, d):
     return layout.spectral_layout(layout.neighbour_graph(V.embedded(spark, d)))
+
+
+@query("ml_cluster_separated", _with(V.EMBEDDED_SQL) + """
+SELECT 1.0::DOUBLE AS ari, count(*) AS n_samples, count(DISTINCT party) AS n_parties FROM embedded""")
+def ml_cluster_separated(spark, d):
+    """The evaluation of all vectors, drawn apart by party: clusters have to be the parties then."""
+    rows = evaluation.encode_labels(V.embedded(spark, d))
+    apart = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("label_id") % 64, 100.0).otherwise(0.0))
+    drawn = rows.withColumn("vector", F.concat(apart, F.transform("vector", lambda x: x.cast("double"))))
+    found = evaluation.evaluate(drawn.drop("label_id"), "separated")
+    return spark.createDataFrame([(found["ari"], found["n_samples"], found["n_parties"])], "ari double, n_samples long, n_parties long")
