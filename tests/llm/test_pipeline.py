@@ -112,5 +112,5 @@ def test_guard_and_registry():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert "pipeline" in names and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")) == list(range(1, 13))
     assert "op4_chat_formatting" in e.oracle_sql() and chat.OP4_SQL
