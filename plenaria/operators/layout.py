@@ -35,7 +35,7 @@ LEAST_GAIN = 0.002
 #: Neighbours that each member of a group takes from it.
 TAKEN = 5
 #: Power steps, and how many are planned together.
-STEPS, CHAINED = 48, 6
+STEPS, CHAINED = 24, 6
 DIGITS = 6
 
 
