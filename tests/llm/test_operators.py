@@ -439,12 +439,11 @@ def word_hash(w):
 class BruteModel:
     """Interpolated modified Kneser-Ney of order three on dictionaries, from its formulas."""
 
-    def __init__(self, texts, least_share=quality.LEAST_SHARE):
+    def __init__(self, texts):
         words = [WORD.findall(t or "") for t in texts]
         count = collections.Counter(w for t in words for w in t)
         self.own = set(sorted(count, key=lambda w: (-count[w], word_hash(w)))[: quality.WORDS])
         self.tri = collections.Counter(g for t in words for g in self.trigrams(t))
-        self.least = max(1, int(np.ceil(least_share * sum(count.values()))))
         self.cont2 = collections.Counter((b, c) for _, b, c in self.tri)
         self.cont1 = collections.Counter(c for _, c in self.cont2)
         self.after = [collections.defaultdict(dict) for _ in range(2)]
@@ -475,7 +474,7 @@ class BruteModel:
         return [0.0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k, 0.1), k) for k in (1, 2, 3)]
 
     def above(self, n):
-        return n - self.d[0][min(n, 3)] if n >= self.least else 0.0
+        return n - self.d[0][min(n, 3)]
 
     def probability(self, a, b, c, own=None):
         """own: counts of the text at hand, which are taken out of the highest order."""
@@ -487,10 +486,10 @@ class BruteModel:
         if pairs:
             n = pairs.get(c, 0)
             p = (n - d2[min(n, 3)] + sum(d2[min(x, 3)] for x in pairs.values()) * p) / sum(pairs.values())
-        table = {x: (n, n - own.get((a, b, x), 0)) for x, n in self.after[0].get((a, b), {}).items()}
-        total = sum(n for _, n in table.values())
+        table = {x: n - own.get((a, b, x), 0) for x, n in self.after[0].get((a, b), {}).items()}
+        total = sum(table.values())
         if total:
-            kept = {x: self.above(n) for x, (was, n) in table.items() if was >= self.least}
+            kept = {x: self.above(n) for x, n in table.items()}
             p = kept.get(c, 0) / total + (total - sum(kept.values())) / total * p
         return p
 
@@ -501,25 +500,25 @@ class BruteModel:
 
 
 def test_kneser_ney_by_hand(spark, texts, monkeypatch):
-    """The model's log probabilities against the formulas, with and without rare trigrams, and their sum."""
+    """The model's log probabilities against the formulas, and their sum."""
     rows = [t for _, t in texts[:60]]
-    for least_share in (quality.LEAST_SHARE, 1 / 3000):
-        brute = BruteModel(rows, least_share)
-        model = quality.train(docs(spark, list(enumerate(rows))).repartition(3), least_share)
-        assert len(model.tri) == sum(n >= brute.least for n in brute.tri.values()) > 0
-        for t in [*rows[:20], "never seen words +++ here 12", "The the THE"]:
-            chunk = quality.Chunk([0], [t.encode()])
-            symbol, text, _ = quality._symbols(chunk, model.words)
-            for own in (True, False) if t in rows else (True,):  # a text that was not counted has nothing to take out
-                got = model.log(quality._trigrams(symbol, text), text, own)[1].sum()
-                assert np.isclose(got, brute.log_of(WORD.findall(t), not own), rtol=1e-9)
-        for middle, first in ((3, 7), (quality.BEGIN, quality.BEGIN), (quality.WORDS + 1, 0), (250, 251)):
-            every = (middle << 2 * quality.BITS | first << quality.BITS | np.arange(quality.SYMBOLS)).astype(np.uint32)
-            assert np.isclose(np.exp(model.log(every, np.zeros(len(every), np.int64), True)[1]).sum(), 1)
+    brute = BruteModel(rows)
+    model = quality.train(docs(spark, list(enumerate(rows))).repartition(3))
+    assert len(model.tri) == len(brute.tri) and model.n.sum() == sum(brute.tri.values())
+    assert (np.diff(model.tri.astype(np.int64)) > 0).all()
+    for t in [*rows[:20], "never seen words +++ here 12", "The the THE"]:
+        chunk = quality.Chunk([0], [t.encode()])
+        symbol, text, _ = quality._symbols(chunk, model.words)
+        for own in (True, False) if t in rows else (True,):  # a text that was not counted has nothing to take out
+            got = model.log(quality._trigrams(symbol, text), text, own)[1].sum()
+            assert np.isclose(got, brute.log_of(WORD.findall(t), not own), rtol=1e-9)
+    for middle, first in ((3, 7), (quality.BEGIN, quality.BEGIN), (quality.WORDS + 1, 0), (250, 251)):
+        every = (middle << 2 * quality.BITS | first << quality.BITS | np.arange(quality.SYMBOLS)).astype(np.uint32)
+        assert np.isclose(np.exp(model.log(every, np.zeros(len(every), np.int64), True)[1]).sum(), 1)
     # sums by levels, and what a task sends in parts, give the same counts
     monkeypatch.setattr(quality, "FAN_IN", 2)
-    again = quality.train(docs(spark, list(enumerate(rows))).repartition(7), least_share)
-    assert all(np.array_equal(getattr(again, x), getattr(model, x)) for x in ("tri", "n", "words", "totals", "kept", "p2"))
+    again = quality.train(docs(spark, list(enumerate(rows))).repartition(7))
+    assert all(np.array_equal(getattr(again, x), getattr(model, x)) for x in ("tri", "n", "words", "totals", "above", "p2"))
     # texts of one chunk don't touch each other
     own = [t.encode() for t in rows[:9]]
     symbol, text, _ = quality._symbols(quality.Chunk(list(range(9)), own), model.words)
@@ -527,6 +526,23 @@ def test_kneser_ney_by_hand(spark, texts, monkeypatch):
     assert np.allclose(np.bincount(of, logs), [brute.log_of(WORD.findall(t)) for t in rows[:9]])
 
 
+def test_counts_of_any_size_and_every_trigram():
+    """Counts beyond four bytes come back whole; the largest model has its bound; each trigram has its own hash."""
+    n, rows = quality.SYMBOLS, {}
+    for middle, (pairs, counts) in {4: ([9, 70], [3, 1 << 40]), 5: ([0], [(1 << 32) - 1])}.items():
+        table = np.zeros(n * n, np.int64)
+        table[pairs] = counts
+        table = table.reshape(n, n)
+        seen = {f"seen_{k}": (table == k if k < 3 else table > 2).sum(axis=1) for k in (1, 2, 3)}
+        rows[middle] = {"totals": table.sum(axis=1), "continued": (table > 0).sum(axis=0), "counts_of": np.zeros(4, int), **seen}
+        rows[middle] |= {"pairs": np.array(pairs, np.uint16), "counts": np.array(counts)}
+    model = quality.Model(np.empty(0, np.uint64), rows)
+    codes = np.array([4 << 16 | 9, 4 << 16 | 70, 4 << 16 | 71, 5 << 16, 6 << 16])
+    assert model.counts(codes).tolist() == [3, 1 << 40, 0, (1 << 32) - 1, 0]
+    assert len(np.unique(quality._hashed(np.arange(n**3, dtype=np.uint32)))) == n**3
+    assert n**3 * (model.tri.itemsize + model.n.itemsize) <= 140_000_000
+
+
 def test_quality_verdicts_by_brute_force(spark, sf):
     """``kept`` and the perplexity of every document of the smallest tables."""
     rows = [(r.doc_id, r.text, r.lang) for r in table(spark, sf, "documents").collect()]
