@@ -13,7 +13,8 @@ small or linked and has no heading; the page's blocks outside of that node are l
 Names decide where the wrapper can't: elements whose tag, role, class or id says that they are
 furniture (forms, notices, reader comments, which vary like the article and may stand in it) are left
 out, and where a page marks its article (``article``, ``main``) only blocks in it are kept; that is all
-there is on hosts of few pages. A block counts as template only on strong evidence, as copied articles
+there is on hosts of few pages. Within a marked article a weak word (alert, share, related) that is only a part
+of a name leaves out blocks of links, and no others. A block counts as template only on strong evidence, as copied articles
 look constant as well: equal pages count as one, many pages have to agree, and what is left has to be a
 share of the page's text. All other blocks are kept, however short or linked.
 """
@@ -60,6 +61,11 @@ WEAK = frozenset(
     " cookies consent gdpr alert announcement newsletter subscribe signup login share sharing social related"
     " recommended popup modal overlay pagination pager toolbar widget skip".split()
 )
+#: Parts of a name that say nothing about what an element holds.
+PLAIN = frozenset(
+    "area bar block box button buttons container form global group icons inline inner item items link links list outer panel"
+    " section site sticky widget wrap wrapper".split()
+)
 TITLED = frozenset("article content entry post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = HEADINGS | frozenset("p li blockquote pre dd dt figcaption tr caption summary".split())
@@ -80,6 +86,8 @@ CONSTANT, LEAST_PAGES = 0.95, 20
 #: Nothing is template on a page of which less than this share of characters would be left: copies of a
 #: page but for a date or a counter look like that.
 LEAST_SHARE = 0.2
+#: Blocks of which links hold this share are left out where a name alone is in doubt.
+LINKED = 0.5
 #: The wrapper leads to a node if it was aligned on so many pages and if at most this share of the text that
 #: varies stands beside it, links apart.
 REGION_PAGES, BESIDE = 10, 0.1
@@ -104,29 +112,49 @@ _NAMED = re.compile(r"\b(?:class|id|role|hidden|style|aria-hidden)\b", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _furniture(tag: str, attributes: str) -> tuple[bool, str, str]:
+#: Whether an element is furniture: NO and YES, or DOUBT where it depends on the links of each block.
+NO, YES, DOUBT = 0, 1, 2
+
+
+def _said(value: str) -> set[str]:
+    """The words of a class or id, without those that another takes its meaning from (``has-sidebar``)."""
+    parts = [p.lower() for p in _PARTS.findall(value)]
+    return {p for b, p in zip(["", *parts], parts) if b not in ("has", "with", "no", "without", "page")}
+
+
+def _named(said: set[str], inside: bool) -> int:
+    """Whether a name's words are those of furniture. Within a marked article (``inside``) a weak word has to be the
+    whole of it, plain ones apart: an ``alert-text`` or ``related-work`` there may be the article's own."""
+    if STRONG & said:
+        return YES
+    if not WEAK & said:
+        return NO
+    return YES if not inside or all(p in WEAK or p in PLAIN or len(p) < 3 or p.isdigit() for p in said) else DOUBT
+
+
+def _furniture(tag: str, attributes: str, inside: bool = False) -> tuple[int, str, str]:
     """(whether the element is furniture, its class, "header" or "title" if it heads a page or an article)."""
     head = "header" if tag == "header" else ""
     if not attributes or not _NAMED.search(attributes):
-        return tag in FURNITURE, "", head
+        return int(tag in FURNITURE), "", head
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     name = found.get("class", "")
     if tag in FURNITURE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
-        return tag not in ("html", "body"), name, head
+        return int(tag not in ("html", "body")), name, head
     if "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True, name, head
+        return YES, name, head
     if tag in ("html", "body", "main"):
-        return False, name, head
+        return NO, name, head
+    doubt = NO
     for value in re.split(r"\s+", f"{name} {found.get('id', '')}"):
-        parts = [p.lower() for p in _PARTS.findall(value)]
-        for before, part in zip(["", *parts], parts):
-            if before in ("has", "with", "no", "without", "page"):
-                continue
-            if part == "header":
-                head = "title" if TITLED & set(parts) else head or "header"
-            elif part in STRONG or part in WEAK and tag != "article":
-                return True, name, head
-    return False, name, head
+        said = _said(value)
+        if "header" in said:
+            head = "title" if TITLED & {p.lower() for p in _PARTS.findall(value)} else head or "header"
+        own = _named(said, inside)
+        if own == YES and (tag != "article" or STRONG & said):
+            return YES, name, head
+        doubt = max(doubt, own if tag != "article" else NO)
+    return doubt, name, head
 
 
 class Page:
@@ -146,7 +174,7 @@ class Page:
     def _parse(self, html: str) -> None:
         labels, sizes, said, blocks = self.labels, self.sizes, self.said, self.blocks
         # open elements: (tag, node, furniture, in an article, in a header of an article)
-        stack = [("#", 0, False, False, False)]
+        stack = [("#", 0, NO, False, False)]
         text: list[str] = []
         opened: dict[str, int] = {}
         link, linked = False, 0
@@ -162,7 +190,7 @@ class Page:
                 if joined:
                     share = min(1.0, linked / len(joined))
                     tag, node, out, inside, header = stack[-1]
-                    out = out or header and tag not in HEADINGS
+                    out = out == YES or out == DOUBT and share >= LINKED or header and tag not in HEADINGS
                     said[node] = zlib.crc32(joined.encode("utf-8", "surrogatepass"), said[node])
                     blocks.append((node, joined, out, inside, share))
                 text, linked = [], 0
@@ -212,17 +240,17 @@ class Page:
                             if stack[i][0] in scope:
                                 break
                     _, _, out, inside, header = stack[-1]
-                    own, name, head = _furniture(tag, token[3])
-                    if tag in ("article", "main") and not own and not (out and stack[-1][0] != "form"):
-                        out, inside = False, True
+                    own, name, head = _furniture(tag, token[3], inside)
+                    if tag in ("article", "main") and not own and not (out == YES and stack[-1][0] != "form"):
+                        out, inside = NO, True
                         self.marked = True
                     if head:
-                        own, header = own or head == "header" and not inside, True
+                        own, header = YES if head == "header" and not inside else own, True
                     if tag not in VOID:
                         labels.append(f"{tag}.{name}" if name else tag)
                         sizes.append(1)
                         said.append(0)
-                        stack.append((tag, len(labels) - 1, out or own, inside, header))
+                        stack.append((tag, len(labels) - 1, YES if YES in (out, own) else max(out, own), inside, header))
                         opened[tag] = opened.get(tag, 0) + 1
                     if tag in RAW:
                         close = re.compile(rf"</{tag}\b", re.I).search(html, at)

@@ -64,6 +64,12 @@ ARTICLE = "<article><h1>T &amp; t</h1><p>One <b>two</b>&nbsp;three<p>Four<ul><li
         ("<article><div class=entry-header><h2>Title</h2>by line</div><p>A text.</p></article>", "Title\n\nA text."),
         ("<article><p>a < b &lt; c<!-- <p>x --> d<br>e</p><article class=comment>no</article></article>", "a < b < c d e"),
         ("<div class='article-comments'><p>no</p></div><table><tr><td>1<td>2<tr><td>3</table>", "1 2\n\n3"),
+        ("<article><h1>T</h1><div class='alert-text'><p>The army raised the alarm.</div><p class='share-price'>Shares rose</p></article>", "T\n\nThe army raised the alarm.\n\nShares rose"),
+        ("<article><p>One</p><section id='related-work'><h2>Related</h2><p>Earlier papers.</p></section></article>", "One\n\nRelated\n\nEarlier papers."),
+        ("<article><p>One</p><ul class='related-guides'><li><a href=x>More</a></ul><div class='share-box c-2'>Share</div><p class='login_form'>in</p></article>", "One"),
+        ("<article><div class='notice'><p>no</div><div class='alert-text'><div class='reader-comments'>no</div><p>One</p></div></article>", "One"),
+        ("<div class='share-price'>no</div><p>One</p>", "One"),
+        ("<div class='page-header'>One</div><div class='PostHeader'><h1>T</h1>by</div><p>Two</p>", "One\n\nT\n\nTwo"),
         ("", ""),
     ],
 )
