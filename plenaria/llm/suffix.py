@@ -13,7 +13,8 @@ and no shard needs the whole corpus. Neighbouring windows of one anchor travel a
    neighbouring suffixes share a window, and each window's least doc_id goes back to the buckets.
 3. Buckets mark the windows that a document with a smaller doc_id also has, and cut them out.
 
-Anchors in very many buckets are dealt window by window instead, so that no shard grows with one.
+Anchors in very many buckets, or of very many different segments, are dealt window by window instead, so
+that no shard grows with one.
 """
 
 from __future__ import annotations
@@ -40,8 +41,11 @@ GRAM = 16
 BUCKET_BYTES, RANGE_BYTES, SHARD_BYTES = 6 << 20, 16 << 20, 3 << 20
 #: Bytes whose anchors are found at once.
 SLICE = 1 << 20
-#: Buckets that may have an anchor before its windows are dealt one by one.
-HOT_BUCKETS = 512
+#: Buckets that may have an anchor, and different segments that it may have in them, before its windows are
+#: dealt one by one. So many segments are about what a shard answers for.
+HOT_BUCKETS, HOT_SEGMENTS = 512, 1 << 15
+#: Segments of an anchor in a bucket that count as different unseen.
+FEW = 16
 _NOBODY = np.iinfo(np.int64).max
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -254,6 +258,22 @@ class _Bucket:
             return none, none, none, np.empty(0, np.uint64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def different(self, start: np.ndarray, windows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many different segments each anchor has, of segments in the order of anchors, which begin at
+        ``first``. FEW and less are not looked at. A segment's first and last window are all of its bytes."""
+        counts = np.diff(np.append(first, len(start)))
+        many = np.flatnonzero(counts > FEW)
+        if len(many):
+            anchor = np.repeat(many, counts[many])
+            here = np.arange(len(anchor)) + np.repeat(first[many] - (np.cumsum(counts[many]) - counts[many]), counts[many])
+            a, b = start[here], start[here] + windows[here] - 1
+            content = self._window_hashes(a) + self._window_hashes(b) * _K1 + windows[here].astype(np.uint64)
+            order = np.lexsort((content, anchor))
+            anchor, content = anchor[order], content[order]
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
+            counts[many] = np.bincount(anchor[new], minlength=len(counts))[many]
+        return counts
+
     def shared(self, answers: pa.Table, ranges: int, shards: int) -> tuple[dict[int, list], np.ndarray]:
         """Segments of shared anchors: by shard the different ones in order, and (shard, place, start,
         document's number) of all."""
@@ -316,7 +336,7 @@ def _struct(*fields: str) -> T.StructType:
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in fields)])
 
 
-RANGED = _struct("range int", "bucket int", "hashes binary", "twice binary")
+RANGED = _struct("range int", "bucket int", "hashes binary", "twice binary", "segments binary")
 ANSWERED = _struct("bucket int", "range int", "hashes binary", "hot binary")
 SENT = _struct("shard int", "bucket int", "bytes binary", "sizes binary", "least binary")
 FOUND = _struct("bucket int", "shard int", "counts binary", "lengths binary", "docs binary")
@@ -337,24 +357,30 @@ def _arrow(rows: list[tuple], schema: T.StructType) -> pa.Table:
 def _anchors(ranges: int) -> Callable:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = _Bucket(rows)
-        _, _, doc, keys = bucket.segments(ranges)
+        start, windows, doc, keys = bucket.segments(ranges)
         order = np.argsort(keys)
         keys, ids = keys[order], bucket.ids[doc][order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
         twice = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(keys) else np.empty(0, bool)
+        segments = _saturated(bucket.different(start[order], windows[order], first))
         keys = keys[first]
         out = []
         own = (keys >> np.uint64(32)).astype(np.int64)
         for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(own)) + 1):
             if len(part):
                 low = (keys[part] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-                out.append((int(own[part[0]]), key[0].as_py(), low, np.packbits(twice[part]).tobytes()))
+                out.append((int(own[part[0]]), key[0].as_py(), low, np.packbits(twice[part]).tobytes(), segments[:, part].tobytes()))
         return _arrow(out, RANGED)
 
     return run
 
 
-def _answers(hot_buckets: int) -> Callable:
+def _saturated(counts: np.ndarray) -> np.ndarray:
+    """Counts in two planes of bytes, the upper one of which is mostly empty; the largest stands for all beyond it."""
+    return np.minimum(counts, (1 << 16) - 1).astype("<u2").view(np.uint8).reshape(-1, 2).T
+
+
+def _answers(hot_buckets: int, hot_segments: int) -> Callable:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         buckets = rows.column("bucket").to_pylist()
         hashes = [np.frombuffer(x, "<u4") for x in rows.column("hashes").to_pylist()]
@@ -362,16 +388,21 @@ def _answers(hot_buckets: int) -> Callable:
             np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool)
             for x, h in zip(rows.column("twice").to_pylist(), hashes, strict=True)
         ]
-        every = np.sort(np.concatenate(hashes))
+        planes = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in rows.column("segments").to_pylist()], axis=1)
+        every = np.concatenate(hashes)
+        order = np.argsort(every)
+        every, planes = every[order], planes[:, order]
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         counts = np.diff(np.append(first, len(every)))
+        segments = np.add.reduceat(planes[0], first, dtype=np.int64) + (np.add.reduceat(planes[1], first, dtype=np.int64) << 8)
+        hot_ones = (counts > hot_buckets) | (segments > hot_segments)
         every = every[first]
         out = []
         for b, h, two in zip(buckets, hashes, twice, strict=True):
-            n = counts[np.searchsorted(every, h)]
-            keep = (n > 1) | two
+            at = np.searchsorted(every, h)
+            keep = (counts[at] > 1) | two
             if keep.any():
-                hot = np.packbits(n[keep] > hot_buckets).tobytes()
+                hot = np.packbits(hot_ones[at[keep]]).tobytes()
                 out.append((b, key[0].as_py(), h[keep].tobytes(), hot))
         return _arrow(out, ANSWERED)
 
@@ -519,7 +550,11 @@ def _finish(ranges: int, shards: int, schema: pa.Schema, columns: list[str]) ->
 
 
 def remove_repeats(
-    documents: DataFrame, columns: list[str] | None = None, outputs: tuple[str, ...] = ("kept", "spans"), hot_buckets: int = HOT_BUCKETS
+    documents: DataFrame,
+    columns: list[str] | None = None,
+    outputs: tuple[str, ...] = ("kept", "spans"),
+    hot_buckets: int = HOT_BUCKETS,
+    hot_segments: int = HOT_SEGMENTS,
 ) -> DataFrame:
     """Every row's ``doc_id`` and the ``columns`` named, ``n_bytes``, ``n_removed``, ``n_spans``,
     ``kept_sha256`` and, as asked by ``outputs``, ``kept`` (the text that stays; characters cut in
@@ -554,7 +589,7 @@ def remove_repeats(
     texts = dealt.select("bucket", "doc_id", "text")
 
     anchors = texts.groupBy("bucket").applyInArrow(_anchors(ranges), RANGED)
-    answers = scratch(anchors.groupBy("range").applyInArrow(_answers(hot_buckets), ANSWERED), "answers")
+    answers = scratch(anchors.groupBy("range").applyInArrow(_answers(hot_buckets, hot_segments), ANSWERED), "answers")
     sent = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_send(ranges, shards), SENT)
     found = sent.groupBy("shard").applyInArrow(_resolve, FOUND)
 

@@ -314,8 +314,8 @@ def test_repeats_are_removed(spark, texts, odd, none):
     made = [(i, " ".join([rng.choice(["x", "yy"]) * 30, passage, str(i)])) for i in range(100, 130)]
     hot = [(200 + i, f"{i} the same sixteen bytes and then {i * 7919} different things that go on") for i in range(60)]
     for rows in (texts[:120] + made + hot, ODD):
-        for bound in (512, 1):
-            got = suffix.remove_repeats(docs(spark, rows), outputs=(), hot_buckets=bound).collect()
+        for bound, segments in ((512, suffix.HOT_SEGMENTS), (1, suffix.HOT_SEGMENTS), (512, 3)):
+            got = suffix.remove_repeats(docs(spark, rows), outputs=(), hot_buckets=bound, hot_segments=segments).collect()
             assert sorted([tuple(r) for r in got], key=str) == removed(rows)
     assert suffix.remove_repeats(none).count() == 0
 
@@ -338,7 +338,7 @@ def test_a_bucket_costs_nothing_for_shards_it_does_not_meet():
     shared = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(20)]
     rows = pa.table({"bucket": pa.array([3] * 200, pa.int32()), "doc_id": range(200), "text": [rng.choice(shared) + str(i) for i in range(200)]})
     key = (pa.scalar(3),)
-    answers = suffix._answers(512)((pa.scalar(0),), suffix._anchors(1)(key, rows))
+    answers = suffix._answers(512, suffix.HOT_SEGMENTS)((pa.scalar(0),), suffix._anchors(1)(key, rows))
     began = time.process_time()
     many = suffix._send(1, 10**6)(key, rows, answers)
     assert time.process_time() - began < 1
@@ -347,6 +347,36 @@ def test_a_bucket_costs_nothing_for_shards_it_does_not_meet():
     assert sum(map(len, many.column("bytes").to_pylist())) == sum(map(len, few.column("bytes").to_pylist()))
 
 
+def test_an_anchor_of_many_segments_is_hot_in_few_buckets():
+    """Lines of one beginning and other ends, in two buckets: their anchor is dealt by window, that of copies isn't."""
+    rng = random.Random(3)
+    start, passage = "an other beginning of a line, which is a bit longer: ", "a passage with nothing random in it, said again and again, "
+    ends = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(400)]
+    parts = []
+    for b in (0, 1):
+        text = [start + e for e in ends[200 * b : 200 * b + 200]] + [passage * 2] * 300
+        rows = pa.table({"bucket": pa.array([b] * 500, pa.int32()), "doc_id": range(1000 * b, 1000 * b + 500), "text": text})
+        bucket = suffix._Bucket(rows)
+        begin, windows, _, keys = bucket.segments(1)
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order].view(np.int64)) != 0]))
+        brute = collections.defaultdict(set)
+        times = collections.Counter(keys.tolist())
+        for a, w, k in zip(begin.tolist(), windows.tolist(), keys.tolist()):
+            brute[k].add(bucket.data[a : a + w + suffix.LENGTH - 1].tobytes())
+        got = bucket.different(begin[order], windows[order], first)
+        want = [len(brute[k]) if times[k] > suffix.FEW else times[k] for k in keys[order][first].tolist()]
+        assert got.tolist() == want and max(want) >= 200
+        parts.append(suffix._anchors(1)((pa.scalar(b),), rows))
+    answers = suffix._answers(512, 300)((pa.scalar(0),), pa.concat_tables(parts))
+    hot = {}
+    for hashes, flags in zip(answers.column("hashes").to_pylist(), answers.column("hot").to_pylist()):
+        known = np.frombuffer(hashes, "<u4")
+        hot |= dict(zip(known.tolist(), np.unpackbits(np.frombuffer(flags, np.uint8), count=len(known)).tolist()))
+    assert 0 < sum(hot.values()) < len(hot)
+    assert suffix._saturated(np.array([3, 300, 70_000])).tolist() == [[3, 44, 255], [0, 1, 255]]
+
+
 def test_repeats_keep_whole_characters(spark):
     a = "é" * 40
     got = {r.doc_id: r for r in suffix.remove_repeats(docs(spark, [(1, a), (2, "x" + a + "y")]), ["lang"], ("kept", "spans")).collect()}
