@@ -12,6 +12,7 @@ every stretch of 13 words with up to two substitutions, of 15 with three and of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,9 +70,11 @@ def _seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Word hashes of some test items and, by mask, their seeds in order."""
+    """Word hashes of some test items and, by mask, their seeds in order. Items without an id have a ``key``, by
+    their text, in its place."""
 
-    ids: np.ndarray
+    ids: pa.Array
+    key: pa.Array
     words: np.ndarray
     start: np.ndarray
     length: np.ndarray
@@ -90,15 +93,21 @@ def _read_by(mask: tuple[int, ...], length: np.ndarray) -> np.ndarray:
     return short | (length == len(mask)) if mask == tuple(range(len(mask))) else short
 
 
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def index(items: pa.Table) -> Index:
-    words, ids, lengths = [], [], []
+    words, ids, keys, lengths = [], [], [], []
     for batch in items.to_batches():
         for chunk in chunks(batch, lower=True):
             hashes, text = _words(chunk)
             counts = np.bincount(text, minlength=len(chunk.texts))
             words.append(hashes)
             lengths.append(counts)
-            ids.append(np.asarray(batch.column("item_id").to_numpy())[chunk.rows])
+            own = batch.take(pa.array(np.asarray(chunk.rows, np.int64)))
+            ids.append(own.column("item_id").cast(pa.int64()))
+            keys.append(pa.array([None if i.is_valid else _key(t.as_py()) for i, t in zip(own.column("item_id"), own.column("text"))], pa.int64()))
     word = np.concatenate(words) if words else np.empty(0, np.uint64)
     length = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
     start = np.cumsum(length) - length
@@ -118,8 +127,8 @@ def index(items: pa.Table) -> Index:
     order = np.argsort(seed, kind="stable")
     bits = np.zeros(1 << _BITS, bool)
     bits[seed >> np.uint64(64 - _BITS)] = True
-    found = np.concatenate(ids) if ids else np.empty(0, np.int64)
-    return Index(found, word, start, length, masks, seed[order], seed_item[order], seed_at[order], bits)
+    none = pa.array([], pa.int64())
+    return Index(pa.concat_arrays([none, *ids]), pa.concat_arrays([none, *keys]), word, start, length, masks, seed[order], seed_item[order], seed_at[order], bits)
 
 
 def _verified(ix: Index, words: np.ndarray, first: np.ndarray, count: np.ndarray, item: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +206,7 @@ def _search(ix: Index, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Index]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
-        "item_id IS NOT NULL AND text IS NOT NULL"
-    )
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for i in range(n):
@@ -214,14 +221,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     Words are lower-cased (A-Z) runs between ASCII white space, without ASCII punctuation around
     them. The benchmark goes to the executors in blocks of a bounded size, each searched for in all
     whole documents. Null or empty texts leak nothing, rows of one id count as one document, a null
-    doc_id is one as well, items without an id or a word are not searched for, and an empty table gives no
-    rows. Other columns are not used. ``key``: what identifies a document, in place of its doc_id and in
+    doc_id is one as well. Of items without an id, those of one text count as one, with a null ``item_id``. Items
+    without a word are in no document, and an empty table gives no rows. Other columns are not used. ``key``: what identifies a document, in place of its doc_id and in
     a column of that name.
     """
     spark = documents.sparkSession
     rows = documents.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), "text")
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("item_id", "matched_words", "item_words"))])
-    found = spark.createDataFrame([], schema)
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("item_id", "key", "matched_words", "item_words"))])
+    found, names = spark.createDataFrame([], schema), schema.names[1:]
     for ix in _blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(ix)
 
@@ -232,13 +239,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
                     doc, item, equal = _search(ix, chunk)
                     if len(doc):
                         ids = batch.column("doc_id").take(pa.array(np.asarray(chunk.rows)[doc]))
-                        columns = [ids, *(pa.array(np.asarray(x, np.int64)) for x in (ix.ids[item], equal, ix.length[item]))]
-                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "matched_words", "item_words"])
+                        of = pa.array(item)
+                        counts = (pa.array(np.asarray(x, np.int64)) for x in (equal, ix.length[item]))
+                        yield pa.RecordBatch.from_arrays([ids, ix.ids.take(of), ix.key.take(of), *counts], ["doc_id", *names])
 
         found = found.unionByName(rows.mapInArrow(trimmed(run), schema))
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words")
-    )
+    most = (F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words"))
+    return found.groupBy("doc_id", "item_id", "key").agg(*most).drop("key")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

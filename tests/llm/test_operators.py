@@ -751,7 +751,7 @@ def leaked(documents, items):
         w = split(t)
         for i, s in items:
             v = split(s)
-            if i is None or not v:
+            if not v:
                 continue
             for shift in range(-len(v) + 1, len(w)):
                 lo, hi = max(0, -shift), min(len(v), len(w) - shift)
@@ -778,20 +778,24 @@ def test_leaks(spark, none, monkeypatch):
         noise = [rng.choice(vocabulary) for _ in range(40)]
         at = rng.randrange(40)
         rows.append((d, " ".join([*noise[:at], *v, *noise[at:]]).replace("w1 ", "W1, ")))
-    rows += [(70, None), (71, ""), (72, items[0][1]), (72, items[1][1])]
+    rows += [(70, None), (71, ""), (72, items[0][1]), (72, items[1][1]), (73, "here a b c d e f g is")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit(0))
     want = leaked(rows, items)
-    assert {i for _, i in want} >= set(range(13))
+    assert {i for _, i in want} >= set(range(13)) and (73, None) in want
     for size in (decontam.BLOCK_BYTES, 100):
         got = decontam.leaks(docs(spark, rows), bench, size).collect()
         assert len(got) == len({(r.doc_id, r.item_id) for r in got})
         assert {(r.doc_id, r.item_id) for r in got} == want
     monkeypatch.setattr(decontam, "_AT_ONCE", 7)
-    table_of = pa.table({"item_id": pa.array([i for i, t in items if i is not None and t]), "text": [t for i, t in items if i is not None and t]})
+    table_of = pa.table({"item_id": pa.array([i for i, t in items if t]), "text": [t for _, t in items if t]})
     ix = decontam.index(table_of)
     chunk = decontam.Chunk(list(range(len(rows))), [(t or "").lower().encode() for _, t in rows])
     doc, item, _ = decontam._search(ix, chunk)
-    assert {(rows[d][0], int(ix.ids[i])) for d, i in zip(doc, item)} == want
+    assert {(rows[d][0], ix.ids[i].as_py()) for d, i in zip(doc, item)} == want
+    # of items without an id, each text counts once
+    unnamed = spark.createDataFrame([(None, "v w x y z"), (None, "v w x y z"), (None, "one two three four")], "item_id long, text string")
+    twice = decontam.leaks(docs(spark, [(1, "v w x y z one two three four"), (2, "v w x y z")]), unnamed).collect()
+    assert sorted((r.doc_id, r.item_id, r.item_words) for r in twice if r.item_id is None) == [(1, None, 4), (1, None, 5), (2, None, 5)]
     digests = {(i, hashlib.md5(t.encode()).hexdigest()): t for i, t in rows if t}
     one = [((i, h), t) for (i, h), t in digests.items()]
     keyed = decontam.leaks(docs(spark, rows), bench, key=F.md5("text"))
