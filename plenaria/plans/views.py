@@ -16,9 +16,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan, dealt out evenly if it is of few files and of fewer splits than cores: splits of a file of one
     row group are empty but for one. For work that costs more than moving the rows; other tables stay as
-    they are."""
+    they are, and the paths of their files are asked for only if there are few splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    few = 4 * len(df.inputFiles()) <= cores and df.rdd.getNumPartitions() <= cores
+    few = df.rdd.getNumPartitions() <= cores and 4 * len(df.inputFiles()) <= cores
     return df.repartition(cores) if few else df
 
 
