@@ -77,6 +77,17 @@ def test_html_of_one_page(page, want):
     assert html.main_text(html.Page(page), None, {}) == want
 
 
+def test_html_of_very_long_texts(spark):
+    """A text of megabytes, in one block and in many, beside pages of a few words and repeated rows."""
+    one, many = "word " * 600_000, [f"block {i} of many" for i in range(20_000)]
+    rows = [(1, "https://a.org/1", f"<nav>m</nav><article><p>{one}</article>"), (2, "https://a.org/2", "<article><p>short</article>")]
+    rows += [(3, "https://a.org/3", "<article>" + "".join(f"<p>{x}" for x in many) + "</article>")] * 2
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    want = {1: one.strip(), 2: "short", 3: "\n\n".join(many)}
+    assert sorted(r.page_id for r in got) == [1, 2, 3, 3]
+    assert all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+
+
 def test_html_alignment_is_simple_tree_matching():
     def weight(a, b, i, j):
         if a.labels[i] != b.labels[j]:

@@ -103,6 +103,25 @@ def test_empty_and_null_documents(spark, sf):
         assert P.packing(spark, rows, sf).count() == rows.count()
 
 
+def test_very_long_documents(spark, sf):
+    """A text of megabytes: its copy goes, what it shares with a smaller id is cut, a leak in its end is found."""
+    docs = read(spark, sf).limit(5)
+    words = [f"w{i}" for i in range(200_000)]
+    long = " ".join(words)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 80").orderBy("item_id").first().text
+    made = [(-3, long), (-2, long), (-1, "x " * 90 + " ".join(words[:50_000]) + " end"), (-4, f"{long} {item}")]
+    rows = docs.limit(1).select(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    rows = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string").crossJoin(rows).select(*docs.columns))
+    near = {r.doc_id: r.text for r in P.near_duplicates(spark, rows.filter("doc_id IN (-3, -2) OR doc_id >= 0"), sf).collect()}
+    assert near[-3] == long and -2 not in near
+    cut = {r.doc_id: r.text for r in P.repeated_passages(spark, rows.filter("doc_id <> -4"), sf).collect()}
+    assert cut[-3] == long and cut[-2] == "" and cut[-1] == "x " * 90 + "end"
+    clean = {r.doc_id for r in P.benchmark_leaks(spark, rows, sf).collect()}
+    assert clean >= {-3, -2, -1} and -4 not in clean
+    packed = P.packing(spark, rows.filter("doc_id = -3"), sf)
+    assert packed.agg(F.sum("length")).first()[0] > 200_000 and packed.filter("length > 2048").count() == 0
+
+
 def test_run_packs_what_is_kept(spark, sf):
     out = P.run(spark, sf)
     assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
