@@ -258,18 +258,17 @@ class _Bucket:
             return none, none, none, np.empty(0, np.uint64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def different(self, start: np.ndarray, windows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """How many different segments each anchor has, of segments in the order of anchors, which begin at
-        ``first``. FEW and less are not looked at. A segment's first and last window are all of its bytes."""
-        counts = np.diff(np.append(first, len(start)))
+    def different(self, start: np.ndarray, windows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many different segments each anchor has, which in ``order`` begin at ``first``. FEW and less are not looked at. A segment's first and last window are all of its bytes."""
+        counts = np.diff(np.append(first, len(order)))
         many = np.flatnonzero(counts > FEW)
         if len(many):
             anchor = np.repeat(many, counts[many])
-            here = np.arange(len(anchor)) + np.repeat(first[many] - (np.cumsum(counts[many]) - counts[many]), counts[many])
+            here = order[np.arange(len(anchor)) + np.repeat(first[many] - (np.cumsum(counts[many]) - counts[many]), counts[many])]
             a, b = start[here], start[here] + windows[here] - 1
             content = self._window_hashes(a) + self._window_hashes(b) * _K1 + windows[here].astype(np.uint64)
-            order = np.lexsort((content, anchor))
-            anchor, content = anchor[order], content[order]
+            by = np.lexsort((content, anchor))
+            anchor, content = anchor[by], content[by]
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
             counts[many] = np.bincount(anchor[new], minlength=len(counts))[many]
         return counts
@@ -362,7 +361,7 @@ def _anchors(ranges: int) -> Callable:
         keys, ids = keys[order], bucket.ids[doc][order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
         twice = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(keys) else np.empty(0, bool)
-        segments = _saturated(bucket.different(start[order], windows[order], first))
+        segments = _saturated(bucket.different(start, windows, order, first))
         keys = keys[first]
         out = []
         own = (keys >> np.uint64(32)).astype(np.int64)
@@ -389,14 +388,15 @@ def _answers(hot_buckets: int, hot_segments: int) -> Callable:
             for x, h in zip(rows.column("twice").to_pylist(), hashes, strict=True)
         ]
         planes = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in rows.column("segments").to_pylist()], axis=1)
-        every = np.concatenate(hashes)
-        order = np.argsort(every)
-        every, planes = every[order], planes[:, order]
+        every = np.sort(np.concatenate(hashes))
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         counts = np.diff(np.append(first, len(every)))
-        segments = np.add.reduceat(planes[0], first, dtype=np.int64) + (np.add.reduceat(planes[1], first, dtype=np.int64) << 8)
-        hot_ones = (counts > hot_buckets) | (segments > hot_segments)
         every = every[first]
+        # nearly all have one segment in a bucket; those of more are added
+        segments, more = counts.copy(), np.flatnonzero((planes[0] > 1) | (planes[1] > 0))
+        at = np.searchsorted(every, np.concatenate(hashes)[more])
+        np.add.at(segments, at, planes[0][more] + (planes[1][more].astype(np.int64) << 8) - 1)
+        hot_ones = (counts > hot_buckets) | (segments > hot_segments)
         out = []
         for b, h, two in zip(buckets, hashes, twice, strict=True):
             at = np.searchsorted(every, h)
