@@ -1,9 +1,9 @@
-"""A neighbour graph by descent, and a layout of it in two dimensions.
+"""The neighbour graph of vectors, and a layout of it in two dimensions.
 
-The graph. Every vector begins with neighbours that are near it in the order of a few random projections. Then, round by
-round, the neighbours of a vector (those that it names, and some of those that name it) are compared with each other, and
-each keeps the ``k`` nearest that it has met. A round joins edges with vectors and aggregates by vector; a vector that many
-name is met by ``k`` of them, chosen by digest, so no group is larger than ``2 k``. Rounds end when distances hardly fall.
+The graph is exact. Vectors are dealt to blocks of a bounded size, and each block is compared with each by products of
+matrices, some rows at a time; a vector sends its ``k`` nearest of a block, and keeps the ``k`` nearest of all. Work grows with
+the square of the vectors, but the memory of a task does not grow with them. Descent by neighbours of neighbours is not used:
+vectors of many directions, none near another, have nearest neighbours that it misses.
 
 The layout. Edges are weighted by distance in the scale of their vector's neighbourhood, made symmetric, and the two
 leading eigenvectors of the normalised graph (next to the trivial one) are found by power iteration: joins of edges with
@@ -16,24 +16,22 @@ The same vectors, seed and k give the same graph and layout. Vectors without a d
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..storage import scratch
 from .evaluation import SEED
 
 NEIGHBOURS = 15
-PROJECTIONS = 4
-ROUNDS = 10
-#: Rounds end when the sum of distances falls by less than this share.
-LEAST_GAIN = 0.002
-#: Neighbours that each member of a group takes from it.
-TAKEN = 5
+#: Vectors of a block, about, and distances that are held at once.
+BLOCK, HELD = 1 << 16, 1 << 22
+#: Blocks are not made smaller than this to occupy all cores.
+LEAST_BLOCK = 1 << 10
 #: Power steps, and how many are planned together.
 STEPS, CHAINED = 24, 6
 DIGITS = 6
@@ -54,85 +52,61 @@ def _edge_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("u", id_type), T.StructField("v", id_type), T.StructField("d", T.DoubleType())])
 
 
-def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each u, ties by v."""
-    once = edges.filter("u <> v").groupBy("u", "v").agg(F.min("d").alias("d"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
-
-
-def _beginning(units: DataFrame, dim: int, k: int, seed: int) -> DataFrame:
-    """Each vector with those that follow it in the order of a random projection, within a range of it."""
-    rng, found = np.random.default_rng(seed), None
-    schema = _edge_schema(units.schema["doc_id"].dataType)
-    ahead = -(-k // PROJECTIONS) + 1
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, m = batch.column("doc_id"), _matrix(batch.column("unit"))
-            for step in range(1, min(ahead, len(ids) - 1) + 1):
-                d = pa.array(np.round(1 - (m[:-step] * m[step:]).sum(1), DIGITS))
-                a, b = ids.slice(0, len(ids) - step), ids.slice(step)
-                yield pa.RecordBatch.from_arrays([a, b, d], ["u", "v", "d"])
-                yield pa.RecordBatch.from_arrays([b, a, d], ["u", "v", "d"])
-
-    for _ in range(PROJECTIONS):
-        way = F.array(*(F.lit(float(x)) for x in rng.normal(size=dim)))
-        at = F.aggregate(F.zip_with("unit", way, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        ranged = units.withColumn("at", at).repartitionByRange("at", "doc_id").sortWithinPartitions("at", "doc_id")
-        edges = ranged.select("doc_id", "unit").mapInArrow(linked, schema)
-        found = edges if found is None else found.unionByName(edges)
-    return _nearest(found, k)
-
-
-def _compared(edges: DataFrame, units: DataFrame, k: int, turn: int) -> DataFrame:
-    """Edges between the neighbours of each vector."""
-    digest = F.xxhash64("u", "v", F.lit(turn))
-    few = Window.partitionBy("v").orderBy(digest, "u")
-    named_by = edges.select("u", "v").withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= k)
-    own = edges.select("u").distinct().select("u", F.col("u").alias("v"))
-    groups = edges.select("u", "v").unionByName(named_by.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(own).distinct()
-    met = groups.join(units.withColumnRenamed("doc_id", "v"), "v")
-    lists = met.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("v", "unit"))).alias("met")).select(F.col("met.v").alias("v"), F.col("met.unit").alias("unit"))
-    id_type = units.schema["doc_id"].dataType
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.diff(np.asarray(batch.column("v").offsets))
-            ids, m = batch.column("v").flatten(), _matrix(batch.column("unit").flatten())
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            us, vs, ds = [], [], []
-            for a, b in zip(starts, starts[1:]):
-                if b - a < 2:
-                    continue
-                d = np.round(1 - m[a:b] @ m[a:b].T, DIGITS)
-                np.fill_diagonal(d, np.inf)
-                best = np.argsort(d, axis=1, kind="stable")[:, : min(TAKEN, b - a - 1)]
-                us.append(a + np.repeat(np.arange(b - a), best.shape[1]))
-                vs.append(a + best.ravel())
-                ds.append(np.take_along_axis(d, best, axis=1).ravel())
-            if us:
-                u, v = (pa.array(np.concatenate(x)) for x in (us, vs))
-                yield pa.RecordBatch.from_arrays([ids.take(u), ids.take(v), pa.array(np.concatenate(ds))], ["u", "v", "d"])
-
-    return lists.mapInArrow(compared, _edge_schema(id_type))
-
-
-def neighbour_graph(embeddings: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
-    """(u, v, d): about the ``k`` nearest of each vector by cosine distance (``doc_id``, ``vector``)."""
+def _best(d: np.ndarray, k: int) -> np.ndarray:
+    """Which are the k least of each row, of equals the first ones."""
+    if k >= d.shape[1]:
+        return np.isfinite(d)
+    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    less, ties = d < last, d == last
+    return (less | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - less.sum(axis=1, keepdims=True)))) & np.isfinite(d)
+
+
+def _between(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """Edges from each vector of a block to the k nearest of another one. Rows of one id lie in one block."""
+    left, right = left.sort_by("doc_id").combine_chunks(), right.sort_by("doc_id").combine_chunks()
+    ids = pa.chunked_array([*left.column("doc_id").chunks, *right.column("doc_id").chunks]).combine_chunks()
+    code = np.asarray(ids.dictionary_encode().indices.fill_null(-1))
+    u, v = code[: len(left)], code[len(left) :]
+    most = int(np.unique(v, return_counts=True)[1].max())
+    a, b = (_matrix(x.column("unit").combine_chunks()) for x in (left, right))
+    several = most > 1 or len(np.unique(u)) < len(u)
+    step, found = max(1, HELD // len(b)), []
+    for at in range(0, len(a), step):
+        d = np.round(1 - a[at : at + step] @ b.T, DIGITS)
+        if len(np.intersect1d(u[at : at + step], v)):
+            d[u[at : at + step, None] == v] = np.inf
+        i, j = np.nonzero(_best(d, k * most))
+        found.append((at + i, j, d[i, j]))
+    i, j, d = (np.concatenate(x) for x in zip(*found))
+    if several:
+        order = np.lexsort((d, v[j], u[i]))
+        i, j, d = i[order], j[order], d[order]
+        first = np.concatenate([[True], (u[i][1:] != u[i][:-1]) | (v[j][1:] != v[j][:-1])])[: len(i)]
+        i, j, d = i[first], j[first], d[first]
+    return pa.table([left.column("doc_id").take(pa.array(i)), right.column("doc_id").take(pa.array(j)), pa.array(d)], ["u", "v", "d"])
+
+
+def neighbour_graph(embeddings: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+    """(u, v, d): the ``k`` nearest of each vector by cosine distance (``doc_id``, ``vector``), of equals those of least id."""
     units = scratch(_units(embeddings), "units")
-    first = units.agg(F.mode(F.size("unit"), True).alias("dim")).first()
-    dim = first["dim"] or 0
+    dim = units.agg(F.mode(F.size("unit"), True).alias("dim")).first()["dim"] or 0
     units = units.filter(F.size("unit") == dim)
-    edges = scratch(_beginning(units, dim, k, seed), "edges")
-    before = edges.agg(F.sum("d")).first()[0] or 0.0
-    for turn in range(ROUNDS):
-        edges = scratch(_nearest(edges.unionByName(_compared(edges, units, k, turn)), k), "edges")
-        after = edges.agg(F.sum("d")).first()[0] or 0.0
-        if before - after <= LEAST_GAIN * before:
-            break
-        before = after
-    return edges
+    n = units.count()
+    # as many blocks as give each core a pair of them, if they are not too small for that
+    wide = math.isqrt(units.sparkSession.sparkContext.defaultParallelism) + 1
+    blocks = max(-(-n // block), min(wide, -(-n // LEAST_BLOCK)), 1)
+    dealt = units.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.select(F.col("own").alias("a"), every.alias("b"), "doc_id", "unit")
+    right = dealt.select(every.alias("a"), F.col("own").alias("b"), "doc_id", "unit")
+    schema = _edge_schema(units.schema["doc_id"].dataType)
+
+    def between(one: pa.Table, other: pa.Table) -> pa.Table:
+        return _between(one, other, k) if one.num_rows and other.num_rows else to_arrow_schema(schema).empty_table()
+
+    edges = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(between, schema)
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
+    return scratch(edges.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank"), "edges")
 
 
 def _weighted(edges: DataFrame) -> DataFrame:

@@ -63,3 +63,21 @@ def test_few_and_no_vectors(spark):
     edges = layout.neighbour_graph(two, 3)
     assert sorted((r.u, r.v) for r in edges.collect()) == [(1, 2), (2, 1)]
     assert layout.spectral_layout(edges, steps=6).count() == 2
+
+
+def test_graph_of_vectors_none_near_another(spark):
+    """Descent by neighbours of neighbours found about half of the nearest ones of such vectors."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(3000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), "P") for i, v in enumerate(m)], SCHEMA)
+    edges = layout.neighbour_graph(rows, 15, block=700)
+    got = {u: set(v) for u, v in edges.groupBy("u").agg(F.collect_list("v")).collect()}
+    units = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = np.argsort(np.where(np.eye(3000, dtype=bool), -2, units @ units.T), axis=1)[:, -15:]
+    assert sum(len(got[i] & set(near[i].tolist())) for i in range(3000)) >= 0.999 * 45000
+
+
+def test_graph_of_rows_that_share_an_id(spark):
+    rows = [(i % 20, [1.0, i / 10.0], "P") for i in range(40)]
+    edges = layout.neighbour_graph(spark.createDataFrame(rows, SCHEMA), 6).collect()
+    assert len(edges) == 120 == len({(r.u, r.v) for r in edges}) and all(r.u != r.v for r in edges)
