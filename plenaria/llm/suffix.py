@@ -328,6 +328,31 @@ class _Bucket:
         return h
 
 
+#: Whole numbers and segments are sent compressed: of what tasks send each other, little else remains to be written.
+_CODEC = "zstd"
+
+
+def _zipped(values: np.ndarray) -> bytes:
+    """Their number, and whole numbers by planes of bytes, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes, _CODEC, asbytes=True)
+
+
+def _unzipped(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[4:], n * width, _CODEC, asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+def _zipped_steps(values: np.ndarray) -> bytes:
+    """The same of numbers that mostly rise, by their differences."""
+    return _zipped(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _unzipped_steps(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(_unzipped(data, kind), dtype=kind)
+
+
 _KINDS = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType(), "binary": T.BinaryType()}
 
 
@@ -367,7 +392,7 @@ def _anchors(ranges: int) -> Callable:
         own = (keys >> np.uint64(32)).astype(np.int64)
         for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(own)) + 1):
             if len(part):
-                low = (keys[part] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+                low = _zipped_steps((keys[part] & np.uint64(0xFFFFFFFF)).astype("<u4"))
                 out.append((int(own[part[0]]), key[0].as_py(), low, np.packbits(twice[part]).tobytes(), segments[:, part].tobytes()))
         return _arrow(out, RANGED)
 
@@ -382,7 +407,7 @@ def _saturated(counts: np.ndarray) -> np.ndarray:
 def _answers(hot_buckets: int, hot_segments: int) -> Callable:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         buckets = rows.column("bucket").to_pylist()
-        hashes = [np.frombuffer(x, "<u4") for x in rows.column("hashes").to_pylist()]
+        hashes = [_unzipped_steps(x, "<u4") for x in rows.column("hashes").to_pylist()]
         twice = [
             np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool)
             for x, h in zip(rows.column("twice").to_pylist(), hashes, strict=True)
@@ -416,7 +441,7 @@ def _send(ranges: int, shards: int) -> Callable:
         sent, _ = _Bucket(rows).shared(answers, ranges, shards)
         return _arrow(
             [
-                (s, key[0].as_py(), b"".join(parts), np.fromiter(map(len, parts), "<u2").tobytes(), np.array(least, "<i8").tobytes())
+                (s, key[0].as_py(), b"".join(parts), _zipped(np.fromiter(map(len, parts), "<u2")), _zipped_steps(np.array(least, "<i8")))
                 for s, (parts, least) in sent.items()
             ],
             SENT,
@@ -425,6 +450,17 @@ def _send(ranges: int, shards: int) -> Callable:
     return run
 
 
+def _compressed(send: Callable) -> Callable:
+    """What ``send`` gives, with the segments of a row compressed."""
+
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        sent = send(key, rows, answers)
+        data = pa.array([pa.compress(x, _CODEC, asbytes=True) for x in sent.column("bytes").to_pylist()], pa.binary())
+        return sent.set_column(sent.schema.get_field_index("bytes"), "bytes", data)
+
+    return run
+
+
 def _resolve(key: tuple, rows: pa.Table) -> pa.Table:
     """A shard: the least doc_id of each window of each segment, in runs, to those who sent it."""
     places: dict[bytes, int] = {}
@@ -432,7 +468,9 @@ def _resolve(key: tuple, rows: pa.Table) -> pa.Table:
     asked = []
     for bucket, data, sizes, docs in zip(*(rows.column(c).to_pylist() for c in ("bucket", "bytes", "sizes", "least")), strict=True):
         at, own = 0, []
-        for size, doc in zip(np.frombuffer(sizes, "<u2").tolist(), np.frombuffer(docs, "<i8").tolist(), strict=True):
+        size_of = _unzipped(sizes, "<u2")
+        data = pa.decompress(data, int(size_of.sum()), _CODEC, asbytes=True)
+        for size, doc in zip(size_of.tolist(), _unzipped_steps(docs, "<i8").tolist(), strict=True):
             segment = data[at : at + size]
             at += size
             p = places.get(segment)
@@ -475,9 +513,9 @@ def _resolve(key: tuple, rows: pa.Table) -> pa.Table:
             (
                 bucket,
                 key[0].as_py(),
-                n.astype("<u2").tobytes(),
-                lengths[take].astype("<u2").tobytes(),
-                run_doc[take].astype("<i8").tobytes(),
+                _zipped(n.astype("<u2")),
+                _zipped(lengths[take].astype("<u2")),
+                _zipped(run_doc[take].astype("<i8")),
             )
         )
     return _arrow(out, FOUND)
@@ -492,8 +530,8 @@ def _cut(bucket: _Bucket, found: pa.Table, occurrences: np.ndarray) -> np.ndarra
     for shard, counts, lengths, docs in zip(*columns, strict=True):
         lo, hi = np.searchsorted(occurrences[:, 0], [shard, shard + 1])
         _, place, start, doc = occurrences[lo:hi].T
-        n = np.frombuffer(counts, "<u2").astype(np.int64)
-        size, least = np.frombuffer(lengths, "<u2").astype(np.int64), np.frombuffer(docs, "<i8")
+        n = _unzipped(counts, "<u2").astype(np.int64)
+        size, least = _unzipped(lengths, "<u2").astype(np.int64), _unzipped(docs, "<i8")
         first = np.cumsum(n) - n
         offset = np.cumsum(size) - size
         offset -= np.repeat(offset[first], n)
@@ -582,6 +620,7 @@ def remove_repeats(
         .write.bucketBy(buckets, "bucket")
         .sortBy("bucket")
         .option("path", path)
+        .option("compression", "zstd")
         .saveAsTable(name)
     )
     forget_at_exit(spark, path, name)
@@ -590,7 +629,7 @@ def remove_repeats(
 
     anchors = texts.groupBy("bucket").applyInArrow(_anchors(ranges), RANGED)
     answers = scratch(anchors.groupBy("range").applyInArrow(_answers(hot_buckets, hot_segments), ANSWERED), "answers")
-    sent = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_send(ranges, shards), SENT)
+    sent = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_compressed(_send(ranges, shards)), SENT)
     found = sent.groupBy("shard").applyInArrow(_resolve, FOUND)
 
     both = answers.unionByName(found, allowMissingColumns=True)

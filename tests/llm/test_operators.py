@@ -358,6 +358,26 @@ def test_a_bucket_costs_nothing_for_shards_it_does_not_meet():
     assert sum(map(len, many.column("bytes").to_pylist())) == sum(map(len, few.column("bytes").to_pylist()))
 
 
+def test_what_buckets_send_is_compressed():
+    """Sorted hashes, ids and segments take far fewer bytes than they have, and come back as they were."""
+    rng = np.random.default_rng(5)
+    hashes = np.sort(rng.integers(0, 1 << 32, 2000)).astype("<u4")
+    assert (suffix._unzipped_steps(suffix._zipped_steps(hashes), "<u4") == hashes).all() and len(suffix._zipped_steps(hashes)) < 0.85 * hashes.nbytes
+    ids = np.array([5, -3, 2**62, 7, 7, -(2**62)], "<i8")
+    for x in (ids, ids[:0], np.arange(10**6, 10**6 + 500).astype("<i8")):
+        assert (suffix._unzipped(suffix._zipped(x), "<i8") == x).all() and (suffix._unzipped_steps(suffix._zipped_steps(x), "<i8") == x).all()
+    words = ["speech", "house", "member", "motion", "the", "of", "and", "minister", "question", "budget"]
+    shared = [" ".join(rng.choice(words, 40)) for _ in range(50)]
+    rows = pa.table({"bucket": pa.array([3] * 200, pa.int32()), "doc_id": range(200), "text": [shared[i % 50] + str(i) for i in range(200)]})
+    key = (pa.scalar(3),)
+    answers = suffix._answers(512, suffix.HOT_SEGMENTS)((pa.scalar(0),), suffix._anchors(1)(key, rows))
+    raw, sent = (f(key, rows, answers) for f in (suffix._send(1, 3), suffix._compressed(suffix._send(1, 3))))
+    sizes = [sum(map(len, x.column("bytes").to_pylist())) for x in (raw, sent)]
+    assert sizes[1] < 0.4 * sizes[0]
+    found = suffix._resolve(key, sent.slice(0, 1))
+    assert found.num_rows == 1
+
+
 def test_an_anchor_of_many_segments_is_hot_in_few_buckets():
     """Lines of one beginning and other ends, in two buckets: their anchor is dealt by window, that of copies isn't."""
     rng = random.Random(3)
