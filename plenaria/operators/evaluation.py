@@ -18,6 +18,8 @@ from ..sources.base import numbered_rows
 
 log = logging.getLogger(__name__)
 SEED = 42
+#: Partitions of the vectors that are clustered.
+PARTITIONS_PER_CORE = 2
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = SEED, key: str = "doc_id") -> DataFrame:
@@ -56,7 +58,8 @@ def evaluate(embeddings: DataFrame, model_name: str = "", sample: int | None = N
     cluster, x, y): by principal components, or with ``plot="graph"`` by the layout of the neighbour graph, which leaves
     vectors without a direction out. No vectors: ValueError."""
     rows = encode_labels(embeddings if sample is None else seeded_sample(embeddings, sample)).withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
-    rows = rows.cache()
+    # k-means reports to the driver from each partition in each step: no more of them than keep the cores occupied
+    rows = rows.coalesce(PARTITIONS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism).cache()
     try:
         n = rows.count()
         if not n:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plenaria.operators import layout, vector_index
+from plenaria.operators import evaluation, layout, vector_index
 
 SCHEMA = "doc_id long, vector array<float>, party string"
 
@@ -81,3 +81,17 @@ def test_graph_of_rows_that_share_an_id(spark):
     rows = [(i % 20, [1.0, i / 10.0], "P") for i in range(40)]
     edges = layout.neighbour_graph(spark.createDataFrame(rows, SCHEMA), 6).collect()
     assert len(edges) == 120 == len({(r.u, r.v) for r in edges}) and all(r.u != r.v for r in edges)
+
+
+def test_clustering_reports_from_a_bounded_number_of_partitions(spark, clouds):
+    """Each step of k-means sends something to the driver from each partition, so their number must not grow with the table."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        points = evaluation.evaluate(clouds.filter("doc_id < 60"), plot=True)["points"]
+        assert points.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
