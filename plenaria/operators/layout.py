@@ -57,8 +57,12 @@ def _best(d: np.ndarray, k: int) -> np.ndarray:
     if k >= d.shape[1]:
         return np.isfinite(d)
     last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    less, ties = d < last, d == last
-    return (less | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - less.sum(axis=1, keepdims=True)))) & np.isfinite(d)
+    best = (d <= last) & np.isfinite(d)
+    over = np.flatnonzero(best.sum(axis=1) > k)  # rows of more equals than are wanted
+    if len(over):
+        less, ties = d[over] < last[over], d[over] == last[over]
+        best[over] = less | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - less.sum(axis=1, keepdims=True)))
+    return best
 
 
 def _between(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
