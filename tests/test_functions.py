@@ -1,10 +1,11 @@
+import random
 import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from plenaria.functions import complexity
+from plenaria.functions import complexity, textcounts
 from plenaria.functions import scalar as S
 from plenaria.functions.complexity import BASIC, METRICS, metrics_map, with_complexity
 
@@ -112,3 +113,27 @@ def test_settings_from_environment_and_file(tmp_path, monkeypatch):
         assert settings.named(found.embedder).model_name == "hashing" and settings.named("") is None
     finally:
         settings.settings.cache_clear()
+
+
+def test_counts_are_those_of_the_expressions(spark):
+    """Metrics come from one pass over the code points; the expressions that languages with rules use give the same."""
+    rnd = random.Random(5)
+    letters = [*"aeiouAEbcdXYZzßÿŸÀ×÷ '-.!?\n\t_1²  ́Œœİı‍ΑΣς中Ⓐ😀ÅKẞé,;", *" " * 12, *"abcdeo" * 3]
+    odd = ["", None, " ", "...", "a×b", "1××a", "ab××1 ab×", "a×× ×b", "x", "İa İb", "a-e a'e", "\x00ab cd", "a" * 5000]
+    odd += ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 60))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, text string").repartition(3)
+    made = with_complexity(df)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    same = [c for c in made.columns if c != "flesch_reading_ease"]  # Dutch has other constants there, but no rules for syllables
+    assert sorted(made.select(same).collect(), key=lambda r: r.i) == sorted(with_complexity(df, language=F.lit("nl")).select(same).collect(), key=lambda r: r.i)
+
+
+def test_classes_are_the_jvms(spark):
+    """But for characters that the JVM's edition of Unicode doesn't have."""
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    rows = spark.range(0, 0x110000).filter("id NOT BETWEEN 55296 AND 57343").select("id", c.alias("c"))
+    rows = rows.select("id", *(F.col("c").rlike(p).alias(n) for n, p in (("word", r"(?U)^\w$"), ("space", r"(?Us)^\s$"), ("none", r"^\p{Cn}$"))), F.lower("c").rlike(complexity.VOWELS).alias("vowel"))
+    found = rows.toPandas()
+    kind = textcounts._classes()[found.id.to_numpy()]
+    for name, bit in (("word", textcounts._WORD), ("space", textcounts._SPACE), ("vowel", textcounts._VOWEL)):
+        assert not found[(((kind & bit) > 0) != found[name]) & ~found.none].id.tolist(), name
