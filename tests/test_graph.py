@@ -367,3 +367,14 @@ def test_command_line(spark, folder, tmp_path):
     report = run("analyze", "--step", "longitudinal", "--party-a", "Alpha Party", "--party-b", "pb", "--output-dir", out)
     assert {r["party"] for r in report["latest"]} == {"Alpha Party", "pb", "Unknown"}
     assert spark.read.option("header", True).csv(f"{out}/complexity_trends_DE").count() == 3
+
+
+def test_backends_get_parts_of_a_batch(spark):
+    """What a task holds of vectors and findings is bounded by rows, however many a batch has."""
+    class Counting(extraction.HashingEmbedder):
+        def embed(self, texts):
+            return [[float(len(texts))] for _ in texts]
+
+    rows = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "'a b' AS text", "'p' AS party", "'DE' AS country_code", "'de' AS language", "DATE'2020-01-01' AS date")
+    sizes = [r.vector[0] for r in extraction.embed(rows, Counting).collect()]
+    assert len(sizes) == 3000 and max(sizes) <= extraction.SLICE
