@@ -29,6 +29,8 @@ from .evaluation import SEED, seeded_sample
 
 SAMPLE = 100_000
 MOST_CELLS = 1024
+#: Rows of the sample for each cell, so that fitting costs a number of products that grows with the rows.
+SAMPLE_PER_CELL = 100
 #: Scores that differ by less count as equal where cells are skipped.
 SLACK = 2e-6
 #: Digits of a score by which neighbours are ordered, so that the order of additions decides no tie.
@@ -87,7 +89,8 @@ def build(embeddings: DataFrame, path: str, cells: int | None = None, sample: in
         norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
         unit = directed.filter(F.size("vector") == dim).select("doc_id", F.transform("vector", lambda x: x / norm).alias("unit"))
         k = min(MOST_CELLS, cells or max(1, round(n**0.5)))
-        features = seeded_sample(unit, sample).select(array_to_vector("unit").alias("features")).cache()
+        # A limit leaves one partition: the sample is dealt out again.
+        features = seeded_sample(unit, min(sample, SAMPLE_PER_CELL * k)).repartition(spark.sparkContext.defaultParallelism, "doc_id").select(array_to_vector("unit").alias("features")).cache()
         centres = np.array(KMeans(k=k, seed=SEED, maxIter=20).fit(features).clusterCenters()) if k > 1 else unit.limit(1).toPandas()["unit"].tolist()
         centres = np.asarray(centres, np.float64)
         features.unpersist()

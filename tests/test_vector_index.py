@@ -88,3 +88,17 @@ def test_more_neighbours_than_rows_and_no_rows(spark, tmp_path):
     assert none.join(asked, 3).count() == 0 and none.search([1.0, 2.0], 3)[0].count() == 0
     odd = vector_index.build(spark.createDataFrame(ODD[:2], SCHEMA), str(tmp_path / "odd"))
     assert odd.search([1.0] * 8, 5)[0].count() == 2 and odd.join(asked, 3).count() == 0
+
+
+def test_sample_is_dealt_out_and_grows_with_the_cells(spark, tmp_path, monkeypatch):
+    seen = []
+
+    class Spy(vector_index.KMeans):
+        def fit(self, dataset, params=None):
+            seen.append((dataset.count(), dataset.rdd.getNumPartitions()))
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(vector_index, "KMeans", Spy)
+    rows = spark.range(1000).selectExpr("id AS doc_id", "array(cos(id), sin(id)) AS vector")
+    index = vector_index.build(rows, str(tmp_path), cells=3)
+    assert seen == [(3 * vector_index.SAMPLE_PER_CELL, spark.sparkContext.defaultParallelism)] and index.size == 1000
