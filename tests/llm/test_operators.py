@@ -277,6 +277,18 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_plans_are_small(spark):
+    """A step's plan doesn't hold the step before: the driver keeps the plans of all executions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = max((e.executionId() for e in map(store.executionsList().apply, range(store.executionsList().size()))), default=-1)
+    hub = spark.range(2000).selectExpr("id AS a", "CASE WHEN id < 1000 THEN 0L ELSE id - 1 END AS b")
+    found = components.components(hub, "a", "b").collect()
+    assert len(found) == 2000 and {r.component for r in found} == {0}
+    made = store.executionsList()
+    plans = [e.physicalPlanDescription() for e in map(made.apply, range(made.size())) if e.executionId() > seen]
+    assert plans and max(p.count("Exchange") for p in plans) <= 24
+
+
 # --- 3: suffix arrays
 
 
