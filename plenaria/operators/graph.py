@@ -31,8 +31,10 @@ def first_of(df: DataFrame, keys: list[str], order: list[str], last: bool = Fals
 
 
 def fresh_rows(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key of ``new`` that ``existing`` lacks."""
-    lacking = new.join(existing.select(*keys).distinct(), keys, "left_anti")
+    """The first row of each key of ``new`` that ``existing`` lacks. Rows that are all key need no order."""
+    lacking = new.join(existing.select(*keys), keys, "left_anti")
+    if set(existing.columns) == set(keys):
+        return lacking.select(*existing.columns).distinct()
     return first_of(lacking, keys, order).select(*existing.columns)
 
 
@@ -309,9 +311,9 @@ class GraphStore:
         once: all eight tables are made of what was written of them then."""
         path = work_dir(self.spark, "results")
         try:
-            results.select(*schemas.EXTRACTION.names).write.parquet(path)
-            once = self.spark.read.schema(schemas.EXTRACTION).parquet(path)
-            known = once.join(self._stored("speeches").select(F.col("speech_id").alias("doc_id")), "doc_id", "left_semi")
+            ids = self._stored("speeches").select(F.col("speech_id").alias("doc_id"))
+            results.select(*schemas.EXTRACTION.names).join(ids, "doc_id", "left_semi").write.parquet(path)
+            known = self.spark.read.schema(schemas.EXTRACTION).parquet(path)
             rows = self._fresh(extraction_rows(known))
             self.write(rows | {"speech_updates": metric_rows(known)}, add=True, fresh=True)
         finally:

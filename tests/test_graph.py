@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plenaria import cli, schemas
 from plenaria.operators import evaluation, extraction, graph, results, vectors
+from plenaria.plans import flows
 from plenaria.sources.posts import PostSource
 from plenaria.sources.tei import TranscriptSource
 
@@ -378,3 +379,14 @@ def test_backends_get_parts_of_a_batch(spark):
     rows = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "'a b' AS text", "'p' AS party", "'DE' AS country_code", "'de' AS language", "DATE'2020-01-01' AS date")
     sizes = [r.vector[0] for r in extraction.embed(rows, Counting).collect()]
     assert len(sizes) == 3000 and max(sizes) <= extraction.SLICE
+
+
+def test_replies_are_parsed_once_and_by_all_cores(spark, sf):
+    found = flows._results(spark, sf)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # part is one small file
+    said = [None, "none", '{"sentiment_score": 2}', 'x {"topics": [{"label": "a"}, {"label": ""}], "triples": [{"subject": "s", "obj": "o"}]} y']
+    raw = spark.createDataFrame(list(enumerate(said)), "n int, raw string")
+    got = [r.r for r in raw.select("n", extraction.parsed_reply(F.col("raw")).alias("r")).orderBy("n").collect()]
+    assert got[:3] == [None] * 3
+    assert (got[3].topics, got[3].triples, got[3].sentiment_score) == ([("a", [])], [("s", "RELATED_TO", "o", None, None)], 0.0)
