@@ -7,7 +7,8 @@ and no shard needs the whole corpus. Neighbouring windows of one anchor travel a
 1. Documents are dealt to buckets of a bounded size, written once. Each bucket sends the hashes of
    its anchors, once each, to ranges of hashes; a range answers which of them any other document has.
 2. Buckets send the segments of shared anchors, once each with the least doc_id, to shards. A shard
-   builds the suffix array of its segments: suffixes are classified, leftmost-smaller substrings
+   builds the suffix array of its segments, but for those whose anchor no different segment has, as their
+   windows are in no other: suffixes are classified, leftmost-smaller substrings
    are sorted and named, the string of names is sorted by pairs until they cover
    a window, and the array is induced from them in linear passes over the byte buckets. Permuted common prefixes tell which
    neighbouring suffixes share a window, and each window's least doc_id goes back to the buckets.
@@ -21,8 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of text in a bucket, of hashes in a range, and of text that a shard answers for, about.
 BUCKET_BYTES, RANGE_BYTES, SHARD_BYTES = 6 << 20, 16 << 20, 3 << 20
-#: Bytes whose anchors are found at once.
-SLICE = 1 << 20
+#: Bytes whose anchors are found at once: so few that the steps between stay in a core's cache.
+SLICE = 1 << 16
 #: Buckets that may have an anchor, and different segments that it may have in them, before its windows are
 #: dealt one by one. So many segments are about what a shard answers for.
 HOT_BUCKETS, HOT_SEGMENTS = 512, 1 << 15
@@ -48,6 +48,9 @@ HOT_BUCKETS, HOT_SEGMENTS = 512, 1 << 15
 FEW = 16
 _NOBODY = np.iinfo(np.int64).max
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_GRAM_STEPS = (*range(0, GRAM - 8, 8), GRAM - 8)
+#: Of the hash that puts equal strings side by side.
+_FACTOR = _K2
 
 
 def _words8(data: np.ndarray, order: str = "<") -> np.ndarray:
@@ -79,9 +82,9 @@ def _deal(suffixes: np.ndarray, s: np.ndarray, lists: list[list[np.ndarray]]) ->
     first = s[suffixes]
     order = np.argsort(first, kind="stable")
     first, suffixes = first[order], suffixes[order]
-    cuts = np.flatnonzero(first[1:] != first[:-1]) + 1
-    for part in np.split(suffixes, cuts):
-        lists[s[part[0]]].append(part)
+    cuts = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
+    for c, a, b in zip(first[cuts[:-1]].tolist(), cuts, cuts[1:]):
+        lists[c].append(suffixes[a:b])
 
 
 def _induce(s: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
@@ -96,9 +99,10 @@ def _induce(s: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray) -> np.ndar
     large: list[list[np.ndarray]] = [[] for _ in range(256)]
     large[s[n - 1]].append(np.array([n - 1], leftmost.dtype))
 
+    induces = {False: np.concatenate([[False], ~smaller[:-1]]), True: np.concatenate([[False], smaller[:-1]])}
+
     def before(suffixes: np.ndarray, kind: bool) -> np.ndarray:
-        p = suffixes[suffixes > 0] - 1
-        return p[smaller[p] == kind]
+        return suffixes[induces[kind][suffixes]] - 1
 
     for c in range(256):
         done = 0
@@ -142,20 +146,27 @@ def _names(s: np.ndarray, ordered: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def _sorted_names(names: np.ndarray, covered: int, need: int) -> np.ndarray:
-    """Ranks of the suffixes of ``names``: by pairs of names, by recursion, until no two are equal or
-    a name covers ``need`` symbols, beyond which order does not matter."""
-    m = len(names)
-    if covered >= need or int(names.max()) == m - 1:
-        return names
-    following = np.zeros(m, np.int64)
-    following[: m - min(covered, m)] = names[min(covered, m) :] + 1
-    pair = names.astype(np.int64) * (m + 1) + following
-    order = np.argsort(pair)
-    new = np.concatenate([[0], np.cumsum(pair[order[1:]] != pair[order[:-1]])])
-    ranks = np.empty(m, np.int64)
-    ranks[order] = new
-    return _sorted_names(ranks, 2 * covered, need)
+def _sorted_names(names: np.ndarray, need: int) -> np.ndarray:
+    """Ranks of the suffixes of ``names``: by pairs of names, then of such pairs, until no two are equal or
+    a rank covers ``need`` symbols, beyond which order does not matter. Only equal ones are sorted again."""
+    m, covered = len(names), 1
+    order = np.argsort(names)
+    ordered = names[order]
+    ranks = np.empty(m + 1, np.int64)
+    ranks[m] = -1  # of what lies behind the end
+    at = np.arange(m)
+    while True:
+        # a rank is the first place of those that share it
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        ranks[order] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if covered >= need or not len(tied):
+            return ranks[:m]
+        order, at = order[tied], at[tied]
+        pairs = ranks[order] * (m + 1) + ranks[np.minimum(order + covered, m)] + 1
+        by = np.argsort(pairs)
+        order, ordered = order[by], pairs[by]
+        covered *= 2
 
 
 def suffix_array(s: np.ndarray, need: int | None = None) -> np.ndarray:
@@ -175,7 +186,7 @@ def suffix_array(s: np.ndarray, need: int | None = None) -> np.ndarray:
         ranks = np.empty(n, np.int64)
         ranks[ordered] = _names(s, ordered, ends)
         # two or more bytes lie between leftmost-smaller suffixes
-        names = _sorted_names(ranks[leftmost], 1, len(leftmost) if need is None else -(-need // 2) + 1)
+        names = _sorted_names(ranks[leftmost], len(leftmost) if need is None else -(-need // 2) + 1)
         leftmost = leftmost[np.argsort(names)]
     return _induce(s, smaller, leftmost)
 
@@ -191,10 +202,12 @@ def permuted_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray
         inside = (active + k < n) & (before + k < n)
         active, before = active[inside], before[inside]
         x = words[active + k] ^ words[before + k]
-        equal = sum((x < np.uint64(1 << (64 - 8 * b))).astype(np.int32) for b in range(1, 8)) + (x == 0)
+        go = x == 0
+        equal = np.full(len(x), 8, np.int32)
+        x = x[~go]
+        equal[~go] = sum((x < np.uint64(1 << (64 - 8 * b))).astype(np.int32) for b in range(1, 8))
         equal = np.minimum(equal, n - np.maximum(active, before) - k)
         common[active] = np.minimum(k + equal, most)
-        go = x == 0
         active, before = active[go], before[go]
         k += 8
     return common
@@ -203,6 +216,71 @@ def permuted_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray
 # --- anchors and segments ------------------------------------------------------------------------
 
 
+def _words_at(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """By eight bytes, all of the strings data[at : at + size], which have LENGTH bytes at least and twice as many at most."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data),), "<u8", padded, 0, (1,))
+    for begin in (at, at + size - LENGTH):
+        for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+            yield words[begin + k]
+
+
+def _equal_strings(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings data[at : at + size] in an order that has equal ones side by side, the first of them first, and
+    whether each differs from the one before. The order is that of a hash, equality that of all bytes: strings
+    that only share their hash may be told apart more often than they have to be, never less."""
+    h = size.astype(np.uint64)
+    for words in _words_at(data, at, size):
+        h ^= h >> np.uint64(32)
+        h += words
+        h *= _FACTOR
+    order = np.argsort(h, kind="stable")
+    h, size = h[order], size[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (size[1:] != size[:-1])
+    same = np.flatnonzero(~new)
+    a, b = order[same - 1], order[same]
+    differs = np.zeros(len(same), bool)
+    for x, y in zip(_words_at(data, at[a], size[same]), _words_at(data, at[b], size[same]), strict=True):
+        differs |= x != y
+    new[same] = differs
+    return order, new
+
+
+def _gram_hashes(words: Iterator[np.ndarray]) -> np.ndarray:
+    """A hash of GRAM bytes each, given eight by eight, from _GRAM_STEPS on."""
+    h = next(words) * _K1
+    for x in words:
+        h ^= h >> np.uint64(32)
+        h += x
+        h *= _K2
+    return h
+
+
+def _anchored_alike(data: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether another of the different segments from ``at`` on has the same anchor. Windows of one that has an
+    anchor of its own are found nowhere else: neither in others nor again in itself, as each has another place of it."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data),), "<u8", padded, 0, (1,))
+    # an anchor lies in all windows
+    places = LENGTH - GRAM + 2 - windows
+    first = np.cumsum(places) - places
+    offset = np.arange(places.sum()) - np.repeat(first, places)
+    grams = np.repeat(at + windows - 1, places) + offset
+    hashes = _gram_hashes(words[grams + k] for k in _GRAM_STEPS)
+    least = np.minimum.reduceat((hashes & np.uint64(0xFFFFFFFF00000000)) | offset.astype(np.uint64), first)
+    anchor = hashes[first + (least & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    order = np.argsort(anchor)
+    new = np.concatenate([[True], anchor[order[1:]] != anchor[order[:-1]], [True]])
+    alike = np.empty(len(at), bool)
+    alike[order] = ~(new[1:] & new[:-1])
+    return alike
+
+
+def _joined(raw: bytes, at: np.ndarray, size: np.ndarray) -> bytes:
+    return b"".join([raw[a:b] for a, b in zip(at.tolist(), (at + size).tolist(), strict=True)])
+
+
 class _Bucket:
     """The texts of a bucket in a fixed order, one after another."""
 
@@ -233,11 +311,7 @@ class _Bucket:
                 continue
             words = _words8(part)
             grams = len(part) - GRAM + 1
-            hashes = words[:grams] * _K1
-            for k in (*range(8, GRAM - 8, 8), GRAM - 8):
-                hashes ^= hashes >> np.uint64(32)
-                hashes += words[k : k + grams]
-                hashes *= _K2
+            hashes = _gram_hashes(words[k : k + grams] for k in _GRAM_STEPS)
             least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
             width, have = LENGTH - GRAM + 1, 1
             while 2 * have <= width:
@@ -273,9 +347,9 @@ class _Bucket:
             counts[many] = np.bincount(anchor[new], minlength=len(counts))[many]
         return counts
 
-    def shared(self, answers: pa.Table, ranges: int, shards: int) -> tuple[dict[int, list], np.ndarray]:
-        """Segments of shared anchors: by shard the different ones in order, and (shard, place, start,
-        document's number) of all."""
+    def shared(self, answers: pa.Table, ranges: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segments of shared anchors: (shard, start, bytes, least doc_id) of the different ones by shard, in
+        order, and (shard, place, start, document's number) of all."""
         start, windows, doc, key = self.segments(ranges)
         keys, hot = [], []
         for r, low, flags in zip(*(answers.column(c).to_pylist() for c in ("range", "hashes", "hot")), strict=True):
@@ -285,10 +359,13 @@ class _Bucket:
         known = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         hot = np.concatenate(hot) if hot else np.empty(0, bool)
         if not len(known) or not len(key):
-            return {}, np.empty((0, 4), np.int64)
+            return np.empty((0, 4), np.int64), np.empty((0, 4), np.int64)
         order = np.argsort(known)
         known, hot = known[order], hot[order]
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        # looked up in order, which is much faster
+        order = np.argsort(key)
+        at = np.empty(len(key), np.int64)
+        at[order] = np.minimum(np.searchsorted(known, key[order]), len(known) - 1)
         mine = np.flatnonzero(known[at] == key)
         start, windows, doc, key, hot = start[mine], windows[mine], doc[mine], key[mine], hot[at[mine]]
         single = np.where(hot, windows, 1)
@@ -301,27 +378,23 @@ class _Bucket:
             key = key.copy()
             key[hot] = whole
         shard = (mixed(key) % np.uint64(shards)).astype(np.int64)
-        raw = self.data.tobytes()
-        # By shard that occurs: there are many more of them than a bucket has segments.
-        places: dict[int, dict[bytes, int]] = defaultdict(dict)
-        least: dict[int, list[int]] = defaultdict(list)
-        place = np.empty(len(start), np.int64)
-        ids = self.ids[doc].tolist()
-        for i, (a, b, s) in enumerate(zip(start.tolist(), (start + windows + LENGTH - 1).tolist(), shard.tolist())):
-            segment = raw[a:b]
-            own = places[s]
-            p = own.get(segment)
-            if p is None:
-                p = own[segment] = len(own)
-                least[s].append(ids[i])
-            elif ids[i] < least[s][p]:
-                least[s][p] = ids[i]
-            place[i] = p
-        sent = {s: (list(own), least[s]) for s, own in places.items()}
-        return sent, np.stack([shard, place, start, doc], axis=1)
+        size = windows + LENGTH - 1
+        order, new = _equal_strings(self.data, start, size)
+        first = np.flatnonzero(new)
+        lead, least = order[first], np.minimum.reduceat(self.ids[doc[order]], first) if len(first) else first
+        # by shard, and there as they come: their ids rise, which compresses well
+        by = np.argsort(shard[lead] * len(shard) + lead)
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        lead, least = lead[by], least[by]
+        place = np.empty(len(shard), np.int64)
+        place[order] = number[np.cumsum(new) - 1]
+        place -= np.searchsorted(shard[lead], shard)
+        different = np.stack([shard[lead], start[lead], size[lead], least], axis=1)
+        return different, np.stack([shard, place, start, doc], axis=1)
 
     def _window_hashes(self, start: np.ndarray) -> np.ndarray:
-        words = _words8(self.data)
+        words = np.ndarray((len(self.data),), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), 0, (1,))
         h = np.zeros(len(start), np.uint64)
         for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
             h = mixed(h * _K1 + words[start + k])
@@ -438,14 +511,14 @@ def _send(ranges: int, shards: int) -> Callable:
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows or not answers.num_rows:
             return _arrow([], SENT)
-        sent, _ = _Bucket(rows).shared(answers, ranges, shards)
-        return _arrow(
-            [
-                (s, key[0].as_py(), b"".join(parts), _zipped(np.fromiter(map(len, parts), "<u2")), _zipped_steps(np.array(least, "<i8")))
-                for s, (parts, least) in sent.items()
-            ],
-            SENT,
-        )
+        bucket = _Bucket(rows)
+        sent, _ = bucket.shared(answers, ranges, shards)
+        raw, out = bucket.data.tobytes(), []
+        for part in np.split(sent, np.flatnonzero(np.diff(sent[:, 0])) + 1):
+            if len(part):
+                shard, start, size, least = part.T
+                out.append((int(shard[0]), key[0].as_py(), _joined(raw, start, size), _zipped(size.astype("<u2")), _zipped_steps(least.astype("<i8"))))
+        return _arrow(out, SENT)
 
     return run
 
@@ -463,43 +536,40 @@ def _compressed(send: Callable) -> Callable:
 
 def _resolve(key: tuple, rows: pa.Table) -> pa.Table:
     """A shard: the least doc_id of each window of each segment, in runs, to those who sent it."""
-    places: dict[bytes, int] = {}
-    least: list[int] = []
-    asked = []
-    for bucket, data, sizes, docs in zip(*(rows.column(c).to_pylist() for c in ("bucket", "bytes", "sizes", "least")), strict=True):
-        at, own = 0, []
-        size_of = _unzipped(sizes, "<u2")
-        data = pa.decompress(data, int(size_of.sum()), _CODEC, asbytes=True)
-        for size, doc in zip(size_of.tolist(), _unzipped_steps(docs, "<i8").tolist(), strict=True):
-            segment = data[at : at + size]
-            at += size
-            p = places.get(segment)
-            if p is None:
-                p = places[segment] = len(least)
-                least.append(doc)
-            elif doc < least[p]:
-                least[p] = doc
-            own.append(p)
-        asked.append((bucket, np.array(own)))
-    s = np.frombuffer(b"".join(places), np.uint8)
-    size = np.fromiter(map(len, places), np.int64, len(places))
+    sizes = [_unzipped(x, "<u2") for x in rows.column("sizes").to_pylist()]
+    raw = b"".join(
+        pa.decompress(x, int(n.sum()), _CODEC, asbytes=True) for x, n in zip(rows.column("bytes").to_pylist(), sizes, strict=True)
+    )
+    docs = np.concatenate([_unzipped_steps(x, "<i8") for x in rows.column("least").to_pylist()])
+    ends = np.cumsum([len(x) for x in sizes])
+    size = np.concatenate(sizes).astype(np.int64)
     begin = np.cumsum(size) - size
+    equal, new = _equal_strings(np.frombuffer(raw, np.uint8), begin, size)
+    own = np.empty(len(size), np.int64)
+    own[equal] = np.cumsum(new) - 1
+    asked = zip(rows.column("bucket").to_pylist(), np.split(own, ends[:-1]), strict=True)
+    docs = np.minimum.reduceat(docs[equal], np.flatnonzero(new))
+    begin, size = begin[equal[new]], size[equal[new]]
     windows = size - LENGTH + 1
-    del places
     segment = np.repeat(np.arange(len(size)), windows)
-    first = np.cumsum(windows) - windows
-    position = np.arange(len(segment)) - np.repeat(first - begin, windows)
-    is_window = np.full(len(s), -1, np.int32)
-    is_window[position] = np.arange(len(position))
-    order = suffix_array(s, LENGTH)
-    order = order[is_window[order] >= 0]
-    prefix = permuted_prefixes(s, order, LENGTH)
-    group = np.flatnonzero(np.concatenate([[True], prefix[order[1:]] < LENGTH]))
-    docs = np.array(least, np.int64)
-    number = is_window[order]
-    lowest = np.minimum.reduceat(docs[segment[number]], group)
-    by_window = np.empty(len(position), np.int64)
-    by_window[number] = np.repeat(lowest, np.diff(np.append(group, len(order))))
+    by_window = docs[segment]
+    alike = _anchored_alike(np.frombuffer(raw, np.uint8), begin, windows)
+    if alike.any():
+        s = np.frombuffer(_joined(raw, begin[alike], size[alike]), np.uint8)
+        looked = np.flatnonzero(alike[segment])
+        least = by_window[looked]
+        begin = np.cumsum(size[alike]) - size[alike]
+        first = np.cumsum(windows[alike]) - windows[alike]
+        position = np.arange(len(looked)) - np.repeat(first - begin, windows[alike])
+        is_window = np.full(len(s), -1, np.int32)
+        is_window[position] = np.arange(len(position))
+        order = suffix_array(s, LENGTH)
+        order = order[is_window[order] >= 0]
+        prefix = permuted_prefixes(s, order, LENGTH)
+        group = np.flatnonzero(np.concatenate([[True], prefix[order[1:]] < LENGTH]))
+        number = is_window[order]
+        lowest = np.minimum.reduceat(least[number], group)
+        by_window[looked[number]] = np.repeat(lowest, np.diff(np.append(group, len(order))))
     starts = np.flatnonzero(np.concatenate([[True], (by_window[1:] != by_window[:-1]) | (segment[1:] != segment[:-1])]))
     lengths = np.diff(np.append(starts, len(by_window)))
     run_doc = by_window[starts]
@@ -562,26 +632,31 @@ def _finish(ranges: int, shards: int, schema: pa.Schema, columns: list[str]) ->
         if found.num_rows:
             _, occurrences = bucket.shared(marked, ranges, shards)
             goes = _cut(bucket, found, occurrences)
-        rise = np.concatenate([[False], goes])
-        rise = np.flatnonzero(~rise[:-1] & rise[1:])
-        removed, spans, digests, texts = [], [], [], []
-        for a, b in zip(bucket.start.tolist(), bucket.end.tolist(), strict=True):
-            own = goes[a:b]
-            starts = np.flatnonzero(own & ~np.concatenate([[False], own[:-1]]))
-            ends = np.flatnonzero(own & ~np.concatenate([own[1:], [False]])) + 1
-            kept = bucket.data[a:b][~own].tobytes()
-            removed.append(int(own.sum()))
-            spans.append([{"start": x, "end": y} for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
-            digests.append(hashlib.sha256(kept).hexdigest())
-            texts.append(kept.decode(errors="ignore"))
+        n_removed = np.diff(np.concatenate([[0], np.cumsum(goes)])[np.append(bucket.start, len(goes))])
+        # a run of removed bytes ends with its document
+        begins = goes.copy()
+        begins[1:] &= ~goes[:-1]
+        inner = bucket.start[bucket.size > 0]
+        begins[inner] = goes[inner]
+        starts = np.flatnonzero(begins)
+        first, last = np.searchsorted(starts, bucket.start), np.searchsorted(starts, bucket.end)
+        stays, whole = bucket.data[~goes].tobytes(), np.cumsum(bucket.size - n_removed)
+        kept = [stays[a:b] for a, b in zip((whole - bucket.size + n_removed).tolist(), whole.tolist(), strict=True)]
         made = {
             "n_bytes": pa.array(bucket.size),
-            "n_removed": pa.array(removed, pa.int64()),
-            "n_spans": pa.array([len(x) for x in spans], pa.int64()),
-            "kept_sha256": pa.array(digests, pa.string()),
-            "kept": pa.array(texts, pa.string()),
-            "spans": pa.array(spans, schema.field("spans").type) if "spans" in schema.names else None,
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "n_spans": pa.array(last - first, pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
         }
+        if "kept" in schema.names:
+            made["kept"] = pa.array([x.decode(errors="ignore") for x in kept], pa.string())
+        if "spans" in schema.names:
+            ends = np.flatnonzero(goes & ~np.concatenate([(goes & ~begins)[1:], [False]])) + 1
+            spans = [
+                [{"start": x - at, "end": y - at} for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                for at, a, b in zip(bucket.start.tolist(), first.tolist(), last.tolist(), strict=True)
+            ]
+            made["spans"] = pa.array(spans, schema.field("spans").type)
         return pa.table([made[c] if c in made and c not in columns else bucket.rows.column(c) for c in schema.names], schema=schema)
 
     return run

@@ -420,6 +420,66 @@ def test_an_anchor_of_many_segments_is_hot_in_few_buckets():
     assert suffix._saturated(np.array([3, 300, 70_000])).tolist() == [[3, 44, 255], [0, 1, 255]]
 
 
+def sent_by(texts, shards=1):
+    """What one bucket of these documents sends, whose ids are their places."""
+    key, rows = (pa.scalar(0),), pa.table({"bucket": pa.array([0] * len(texts), pa.int32()), "doc_id": range(len(texts)), "text": texts})
+    answers = suffix._answers(512, suffix.HOT_SEGMENTS)((pa.scalar(0),), suffix._anchors(1)(key, rows))
+    return suffix._compressed(suffix._send(1, shards))(key, rows, answers)
+
+
+def test_a_shard_sorts_what_may_be_found_in_another_segment(monkeypatch):
+    """Segments that alone have their anchor aren't sorted; each window's least id is that of the definition all the same."""
+    rng = random.Random(4)
+    sorted_bytes = []
+    whole = suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda s, need=None: sorted_bytes.append(len(s)) or whole(s, need))
+    copies = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(5)]
+    parts = [c[at : at + 400] for c in copies for at in (0, 300, 777, 1234)]
+    for texts, share in ((copies * 2, 0), (["%s %d" % (rng.choice(parts), i) for i in range(60)] + copies, 0.5)):
+        sent = sent_by(texts)
+        sorted_bytes.clear()
+        found = suffix._resolve((pa.scalar(0),), sent)
+        sizes = suffix._unzipped(sent.column("sizes")[0].as_py(), "<u2").tolist()
+        raw = pa.decompress(sent.column("bytes")[0].as_py(), sum(sizes), "zstd", asbytes=True)
+        assert sum(sorted_bytes) <= share * len(raw) and bool(sorted_bytes) == (share > 0)
+        counts, lengths, ids = (suffix._unzipped(found.column(c)[0].as_py(), k).tolist() for c, k in (("counts", "<u2"), ("lengths", "<u2"), ("docs", "<i8")))
+        assert len(counts) == len(sizes) and sum(lengths) == sum(sizes) - 49 * len(sizes)
+        each = np.repeat(ids, lengths).tolist()
+        windows = [raw[a + i : a + i + 50] for a, n in zip(np.cumsum(sizes) - sizes, sizes) for i in range(n - 49)]
+        data = [x.encode() for x in texts]
+        assert each == [next(i for i, x in enumerate(data) if w in x) for w in windows]
+
+
+def test_equal_strings_are_told_by_their_bytes(monkeypatch):
+    """Strings of one hash aren't taken for equal: with a hash that is the same for all, results stay right."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") * 25 for _ in range(rng.randint(2, 5))) for _ in range(80)]
+    key, rows = (pa.scalar(0),), pa.table({"bucket": pa.array([0] * 80, pa.int32()), "doc_id": range(80), "text": texts})
+    answers = suffix._answers(512, suffix.HOT_SEGMENTS)(key, suffix._anchors(1)(key, rows))
+    bucket, want = suffix._Bucket(rows), removed(list(enumerate(texts)))
+    for factor in (suffix._FACTOR, np.uint64(0)):
+        with monkeypatch.context() as m:
+            m.setattr(suffix, "_FACTOR", factor)
+            found = suffix._resolve(key, suffix._compressed(suffix._send(1, 1))(key, rows, answers))
+            _, occurrences = bucket.shared(answers, 1, 1)
+        goes = suffix._cut(bucket, found, occurrences)
+        assert [int(goes[a:b].sum()) for a, b in zip(bucket.start, bucket.end)] == [r[2] for r in sorted(want, key=lambda r: r[0])]
+
+
+def test_only_tied_names_are_sorted_again(monkeypatch):
+    """Names that differ are sorted once, however many names a match covers."""
+    rng = np.random.default_rng(6)
+    names = rng.permutation(5000)
+    names[:20] = names[20:40]
+    again = []
+    argsort = np.argsort
+    monkeypatch.setattr(suffix.np, "argsort", lambda a, *k, **v: again.append(len(a)) or argsort(a, *k, **v))
+    ranks = suffix._sorted_names(names, 26)
+    assert again[0] == 5000 and sum(again[1:]) < 400
+    by = sorted(range(5000), key=lambda i: names[i : i + 64].tolist())
+    assert argsort(ranks).tolist() == by
+
+
 def test_repeats_keep_whole_characters(spark):
     a = "é" * 40
     got = {r.doc_id: r for r in suffix.remove_repeats(docs(spark, [(1, a), (2, "x" + a + "y")]), ["lang"], ("kept", "spans")).collect()}
