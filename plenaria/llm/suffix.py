@@ -7,15 +7,14 @@ and no shard needs the whole corpus. Neighbouring windows of one anchor travel a
 1. Documents are dealt to buckets of a bounded size, written once. Each bucket sends the hashes of
    its anchors, once each, to ranges of hashes; a range answers which of them any other document has.
 2. Buckets send the segments of shared anchors, once each with the least doc_id, to shards. A shard
-   builds the suffix array of its segments, but for those whose anchor no different segment has, as their
-   windows are in no other: suffixes are classified, leftmost-smaller substrings
+   builds the suffix array of its segments, but for those whose anchor, with the half of a window's other bytes that
+   stand before or behind it, no different segment has, as their windows are in no other: suffixes are classified, leftmost-smaller substrings
    are sorted and named, the string of names is sorted by pairs until they cover
    a window, and the array is induced from them in linear passes over the byte buckets. Permuted common prefixes tell which
    neighbouring suffixes share a window, and each window's least doc_id goes back to the buckets.
 3. Buckets mark the windows that a document with a smaller doc_id also has, and cut them out.
 
-Anchors in very many buckets, or of very many different segments, are dealt window by window instead, so
-that no shard grows with one.
+Anchors of very many different segments are dealt window by window instead, so that no shard grows with one.
 """
 
 from __future__ import annotations
@@ -36,19 +35,24 @@ from .common import forget_at_exit, scratch, scratch_dir, table
 from .textarrays import give_back, mixed
 
 LENGTH = 50
-GRAM = 16
+#: So long that different texts hardly share one by chance, however many they are; longer ones make more segments.
+GRAM = 24
 #: Bytes of text in a bucket, of hashes in a range, and of text that a shard answers for, about.
-BUCKET_BYTES, RANGE_BYTES, SHARD_BYTES = 6 << 20, 16 << 20, 3 << 20
+BUCKET_BYTES, RANGE_BYTES, SHARD_BYTES = 6 << 20, 16 << 20, 8 << 20
 #: Bytes whose anchors are found at once: so few that the steps between stay in a core's cache.
 SLICE = 1 << 16
 #: Buckets that may have an anchor, and different segments that it may have in them, before its windows are
-#: dealt one by one. So many segments are about what a shard answers for.
-HOT_BUCKETS, HOT_SEGMENTS = 512, 1 << 15
+#: dealt one by one, of LENGTH bytes each. So many segments are less than a shard answers for, and an anchor has
+#: one at least in each of its buckets: fewer buckets would bound nothing, but grow with the table.
+HOT_BUCKETS = HOT_SEGMENTS = 1 << 15
 #: Segments of an anchor in a bucket that count as different unseen.
 FEW = 16
 _NOBODY = np.iinfo(np.int64).max
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _GRAM_STEPS = (*range(0, GRAM - 8, 8), GRAM - 8)
+#: Bytes that a window has before its anchor, or else behind it, at least; two words of eight cover them.
+BEFORE = (LENGTH - GRAM) // 2
+BEHIND = LENGTH - GRAM - BEFORE + 1
 #: Of the hash that puts equal strings side by side.
 _FACTOR = _K2
 
@@ -257,9 +261,19 @@ def _gram_hashes(words: Iterator[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _again(keys: np.ndarray) -> np.ndarray:
+    """Whether each key is found twice or more."""
+    order = np.argsort(keys)
+    new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]], [True]])
+    found = np.empty(len(keys), bool)
+    found[order] = ~(new[1:] & new[:-1])
+    return found
+
+
 def _anchored_alike(data: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Whether another of the different segments from ``at`` on has the same anchor. Windows of one that has an
-    anchor of its own are found nowhere else: neither in others nor again in itself, as each has another place of it."""
+    """Whether another of the different segments from ``at`` on may have a window of the segment. Equal windows have their anchor
+    at the same place, so both hold either BEFORE bytes before it or BEHIND bytes behind it, as the place is. Windows of
+    a segment whose anchor no other has with these bytes are neither in others nor again in itself, as each has another place of it."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray((len(data),), "<u8", padded, 0, (1,))
     # an anchor lies in all windows
@@ -268,13 +282,20 @@ def _anchored_alike(data: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np
     offset = np.arange(places.sum()) - np.repeat(first, places)
     grams = np.repeat(at + windows - 1, places) + offset
     hashes = _gram_hashes(words[grams + k] for k in _GRAM_STEPS)
-    least = np.minimum.reduceat((hashes & np.uint64(0xFFFFFFFF00000000)) | offset.astype(np.uint64), first)
-    anchor = hashes[first + (least & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    order = np.argsort(anchor)
-    new = np.concatenate([[True], anchor[order[1:]] != anchor[order[:-1]], [True]])
-    alike = np.empty(len(at), bool)
-    alike[order] = ~(new[1:] & new[:-1])
-    return alike
+    least = (np.minimum.reduceat((hashes & np.uint64(0xFFFFFFFF00000000)) | offset.astype(np.uint64), first) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    anchor = hashes[first + least]
+    alike = np.flatnonzero(_again(anchor))
+    place = least[alike] + windows[alike] - 1
+    found = np.zeros(len(at), bool)
+    # the first window has most bytes before its anchor, the last one fewest
+    for here, steps in ((place >= BEFORE, (-BEFORE, -8)), (least[alike] < BEFORE, (GRAM, GRAM + BEHIND - 8))):
+        some = alike[here]
+        beside = (at[alike] + place)[here]
+        h = anchor[some]
+        for k in steps:
+            h = mixed(h * _K1 + words[beside + k])
+        found[some] |= _again(h)
+    return found
 
 
 def _joined(raw: bytes, at: np.ndarray, size: np.ndarray) -> bytes:

@@ -450,6 +450,37 @@ def test_a_shard_sorts_what_may_be_found_in_another_segment(monkeypatch):
         assert each == [next(i for i, x in enumerate(data) if w in x) for w in windows]
 
 
+def test_passages_in_many_buckets_travel_in_segments():
+    """However many buckets have an anchor, its windows aren't dealt one by one while its segments fit a shard."""
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+
+    def rows(b):
+        return pa.table({"bucket": pa.array([b], pa.int32()), "doc_id": [b], "text": [text]})
+
+    own = suffix._anchors(1)((pa.scalar(0),), rows(0))
+    parts = [own.set_column(own.schema.get_field_index("bucket"), "bucket", pa.array([b], pa.int32())) for b in range(1000)]
+    answers = suffix._answers(suffix.HOT_BUCKETS, suffix.HOT_SEGMENTS)((pa.scalar(0),), pa.concat_tables(parts))
+    assert answers.num_rows == 1000 and not any(any(x) for x in answers.column("hot").to_pylist())
+    sent = suffix._send(1, 1)((pa.scalar(5),), rows(5), answers.filter(pa.compute.equal(answers.column("bucket"), 5)))
+    assert sum(map(len, sent.column("bytes").to_pylist())) < 8 * len(text)
+
+
+def test_phrases_shared_by_chance_are_neither_sent_nor_sorted(monkeypatch):
+    """Texts that share some common words only: strings much shorter than a window's 50 bytes."""
+    rng = random.Random(8)
+    sorted_bytes = []
+    monkeypatch.setattr(suffix, "suffix_array", lambda s, need=None: sorted_bytes.append(len(s)))
+
+    def around(phrase):
+        return ["".join(rng.choice("abcdefgh ") for _ in range(200)) + phrase + "".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(100)]
+
+    assert sent_by(around(" of the and in to ")).num_rows == 0
+    sent = sent_by(around(" of the and in to is it on"))
+    found = suffix._resolve((pa.scalar(0),), sent)
+    assert sent.num_rows and found.num_rows and not sorted_bytes
+
+
 def test_equal_strings_are_told_by_their_bytes(monkeypatch):
     """Strings of one hash aren't taken for equal: with a hash that is the same for all, results stay right."""
     rng = random.Random(5)
